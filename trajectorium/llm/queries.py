@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_codec, packing, simhash, token_counts, training_order
+from . import bpe_codec, embed_dedup, packing, simhash, token_counts, training_order
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -37,8 +37,12 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), BYTE_BPE)
 
 
+def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_training_order, op5_simhash_near_dedup, op6_bpe_codec, op7_best_fit_packing, op9_token_counts)}
+    return {f.__name__: f for f in (op2_training_order, op5_simhash_near_dedup, op6_bpe_codec, op7_best_fit_packing, op9_token_counts, op10_embedding_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
