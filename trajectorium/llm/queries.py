@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_codec, embed_dedup, packing, simhash, token_counts, training_order
+from . import bpe_codec, embed_dedup, langid, packing, secret_scan, simhash, style_tree, token_counts, training_order
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -17,10 +17,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.ownership_scan(table(spark, sf_dir, "documents"))
+
+
 def op2_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return training_order.training_order(table(spark, sf_dir, "documents"), BYTE_BPE, key="epoch-0")
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return style_tree.extract(table(spark, sf_dir, "pages"))
+
+
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -42,7 +54,7 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_training_order, op5_simhash_near_dedup, op6_bpe_codec, op7_best_fit_packing, op9_token_counts, op10_embedding_near_dedup)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_training_order, op3_language_id, op4_html_extraction, op5_simhash_near_dedup, op6_bpe_codec, op7_best_fit_packing, op9_token_counts, op10_embedding_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
