@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_codec, embed_dedup, langid, packing, secret_scan, simhash, style_tree, token_counts, training_order
+from . import bpe_codec, embed_dedup, langid, packing, quality, secret_scan, simhash, style_tree, token_counts, training_order
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -45,6 +45,11 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit_packing(table(spark, sf_dir, "documents"), WORD_BPE)
 
 
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance2"]
+    return quality.judge(table(spark, sf_dir, "documents")).select(*counts)
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), BYTE_BPE)
 
@@ -54,7 +59,7 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_training_order, op3_language_id, op4_html_extraction, op5_simhash_near_dedup, op6_bpe_codec, op7_best_fit_packing, op9_token_counts, op10_embedding_near_dedup)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_training_order, op3_language_id, op4_html_extraction, op5_simhash_near_dedup, op6_bpe_codec, op7_best_fit_packing, op8_quality_rules, op9_token_counts, op10_embedding_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -94,7 +94,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_
                 sha.append(hashlib.sha256(written(spans).encode()).hexdigest())
                 own, others = candidate_spans(t)
                 more.append([{"kind": 3, "start": s, "end": e, "hash": hashed(v)} for (_, s, e), v in zip(own, others) if not any(s < y and x < e for _, x, y in spans)])
-                text_hash.append(hashed(t))
+                text_hash.append(int(np.uint64(xxhash.xxh64_intdigest(t.encode(), 42)).astype(np.int64)))  # as Spark's xxhash64
             yield pa.RecordBatch.from_arrays(
                 [b.column("id"), b.column("owner"), b.column("repo"), pa.array(text_hash, pa.int64()), pa.array(sha), pa.array(base, span), pa.array(more, span)],
                 names=["id", "owner", "repo", "text_hash", "base_sha256", "base", "more"],
@@ -113,8 +113,8 @@ def frequencies(found: DataFrame) -> DataFrame:
     return by_owner.groupBy("hash").agg(F.sum("n").alias("repositories"), F.count("*").alias("owners"))
 
 
-def ownership_scan(docs: DataFrame, owners: int = OWNERS, repositories: int = REPOSITORIES, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str = "doc_id") -> DataFrame:
-    """id_col, n_assign, n_access, n_hex, base_sha256, spans, n_live (values in the text that are owner-specific), n_copied (others)."""
+def _judged(docs: DataFrame, owners: int = OWNERS, repositories: int = REPOSITORIES, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str = "doc_id") -> DataFrame:
+    """What ownership_scan() returns, with the id as `id` and text_hash."""
     found = scan(docs, id_col, text_col, owner_col, repo_col)
     live = frequencies(found).where((F.col("owners") <= owners) & (F.col("repositories") <= repositories)).select("hash", F.lit(True).alias("live"))
     # documents equal in id and text have equal values; the rows of a live value are few by its definition
@@ -123,7 +123,7 @@ def ownership_scan(docs: DataFrame, owners: int = OWNERS, repositories: int = RE
     of = values.join(live, "hash", "left_semi").groupBy(*key).agg(F.collect_set("hash").alias("live"))
     a, b = found.alias("a"), of.alias("b")
     both = a.join(b, F.col("a.id").eqNullSafe(F.col("b.id")) & (F.col("a.text_hash") == F.col("b.text_hash")), "left")
-    both = both.select("a.id", "base_sha256", "base", "more", F.coalesce("live", F.array().cast("array<bigint>")).alias("live"))
+    both = both.select("a.id", "a.text_hash", "base_sha256", "base", "more", F.coalesce("live", F.array().cast("array<bigint>")).alias("live"))
     is_live = lambda x: F.array_contains("live", x["hash"])
     names = F.array(*[F.lit(k) for k in KINDS])
     spans = F.array_sort(F.transform(F.concat("base", F.filter("more", is_live)), lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"))))
@@ -132,46 +132,33 @@ def ownership_scan(docs: DataFrame, owners: int = OWNERS, repositories: int = RE
     every = F.concat("base", "more")
     n_live = F.size(F.filter(every, is_live))
     return both.select(
-        F.col("id").alias(id_col), count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), "base_sha256", text.alias("spans"), n_live.cast("long").alias("n_live"), (F.size(every) - n_live).cast("long").alias("n_copied")
+        "id", "text_hash", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), "base_sha256", text.alias("spans"), n_live.cast("long").alias("n_live"), (F.size(every) - n_live).cast("long").alias("n_copied")
     )
 
 
-def redact(docs: DataFrame, owners: int = OWNERS, repositories: int = REPOSITORIES, mark: str = "[SECRET]") -> DataFrame:
-    """docs with the same columns, each span of ownership_scan() replaced by the mark, n_chars counted anew where a text changes. Texts without spans stay as they are."""
-    ship(docs.sparkSession)
-    spans = ownership_scan(docs, owners, repositories).where("spans <> ''").select(F.col("doc_id").alias("_id"), F.col("spans").alias("_spans")).distinct()
-    # rows of one id but other texts keep apart by their own base spans: spans that don't fit the text change nothing
-    at = spans.groupBy("_id").agg(F.collect_set("_spans").alias("_all"))
-    both = docs.join(at, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
-    texts = _redacted(both.where("_all IS NOT NULL").drop("_id"), mark)
-    clean = both.where("_all IS NULL").select(*docs.columns)
-    return clean.unionByName(texts.select(*docs.columns))
-
+def ownership_scan(docs: DataFrame, owners: int = OWNERS, repositories: int = REPOSITORIES, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str = "doc_id") -> DataFrame:
+    """id_col, n_assign, n_access, n_hex, base_sha256, spans, n_live (values in the text that are owner-specific), n_copied (others)."""
+    return _judged(docs, owners, repositories, id_col, text_col, owner_col, repo_col).drop("text_hash").withColumnRenamed("id", id_col)
 
-def _redacted(rows: DataFrame, mark: str) -> DataFrame:
-    schema = rows.drop("_all").schema
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in units(batches):
-            texts, sizes = [], b.column("n_chars").to_pylist() if "n_chars" in schema.names else None
-            for k, (t, every) in enumerate(zip(b.column("text").to_pylist(), b.column("_all").to_pylist())):
-                if t is not None:
-                    base = written(base_spans(t)[0]).split(",")
-                    own = [s for s in every if {x for x in s.split(",") if not x.startswith("live:")} == set(filter(None, base))]
-                    cuts = sorted({(int(p[1]), int(p[2])) for s in own for p in (x.split(":") for x in s.split(","))})
-                    out, done = [], 0
-                    for s, e in cuts:
-                        if e > done:
-                            out += [t[done:s] if s > done else "", mark if s >= done else ""]
-                            done = e
-                    t = "".join(out) + t[done:]
-                    if sizes:
-                        sizes[k] = len(t)
-                texts.append(t)
-            b = b.drop_columns(["_all"])
-            b = b.set_column(b.schema.get_field_index("text"), "text", pa.array(texts, pa.string()))
-            if sizes is not None:
-                b = b.set_column(b.schema.get_field_index("n_chars"), "n_chars", pa.array(sizes, b.schema.field("n_chars").type))
-            yield b
-
-    return rows.mapInArrow(run, schema)
+def redact(docs: DataFrame, owners: int = OWNERS, repositories: int = REPOSITORIES, mark: str = "[SECRET]") -> DataFrame:
+    """docs with the same columns, each span replaced by the mark (overlapping ones by one), n_chars counted anew where a text changes."""
+    spans = _judged(docs, owners, repositories).where("spans <> ''").select(F.col("id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("spans").alias("_spans")).distinct()
+    spans = materialize(spans, "spans")  # few, as few texts have secrets: their size is known when the join is planned
+    text = F.col("text").cast("string")
+    both = docs.join(spans, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_hash")), "left")
+    place = lambda x, k: F.get(F.split(x, ":"), F.lit(k)).cast("int")
+    cuts = F.array_sort(F.transform(F.split("_spans", ","), lambda x: F.struct(place(x, 1).alias("start"), place(x, 2).alias("end"))))
+
+    def step(acc: F.Column, s: F.Column) -> F.Column:
+        gap = F.when(s["start"] > acc["done"], F.substr(text, acc["done"] + 1, s["start"] - acc["done"])).otherwise("")
+        fresh = F.concat(acc["out"], gap, F.when(s["start"] >= acc["done"], F.lit(mark)).otherwise(""))
+        return F.when(s["end"] > acc["done"], F.struct(fresh.alias("out"), s["end"].alias("done"))).otherwise(acc)
+
+    begin = F.struct(F.lit("").alias("out"), F.lit(0).alias("done"))
+    masked = F.aggregate(cuts, begin, step, lambda acc: F.concat(acc["out"], F.substr(text, acc["done"] + 1)))
+    done = both.withColumn("_masked", F.when(F.col("_spans").isNotNull(), masked).otherwise(text))
+    new = {"text": F.col("_masked")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(F.col("_spans").isNotNull(), F.length("_masked").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    return done.select(*[new.get(c, F.col(c)).alias(c) for c in docs.columns])
