@@ -2,7 +2,12 @@
 
 Texts become token ids, cut into sequences of `seq_len`; the last of a document
 is filled up with the end id. Every sequence has a dense index: the rank within
-the task that tokenised it, after the sequences of the tasks before it. A keyed
+the task that tokenises it, after the sequences of the tasks before it. A first
+pass only counts each task's sequences; a second one over the same splits of the
+input emits ids, so that no copy of them is held besides the one that is dealt
+out. Input that isn't a plain scan of files is written to the shared folder
+first, and the least number of splits is fixed, so both passes see the same; a
+task that yet finds another number of sequences than it counted fails. A keyed
 Feistel network over the smallest power of two that holds all indices, walked
 along its cycle until the value is an index again, permutes them into slots.
 Slots are dealt by range, one shard to a task; a task writes its shard as one
@@ -19,6 +24,7 @@ columns are left alone.
 from __future__ import annotations
 
 import hashlib
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -29,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import fresh_path, ship
+from ..session import fresh_path, materialize, ship
 from .bpe import encoder
 from .common import units
 
@@ -63,11 +69,29 @@ def permuted(index: Column, n: int, key: str) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), first, lambda x, _: F.when(x < n, x).otherwise(network(x)))
 
 
-def sequences(docs: DataFrame, tokenizer: str, seq_len: int = SEQ_LEN) -> DataFrame:
-    """doc_id, piece, n_tokens, ids (binary, without filling), task and rank: a table in the shared folder."""
+def settled(docs: DataFrame) -> DataFrame:
+    """doc_id and text from a scan whose splits don't depend on how many executors there are just now."""
     spark = docs.sparkSession
-    ship(spark)
+    if spark.conf.get("spark.sql.files.minPartitionNum", None) is None:
+        spark.conf.set("spark.sql.files.minPartitionNum", str(spark.sparkContext.defaultParallelism))
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    plan = rows._jdf.queryExecution().optimizedPlan().toString().strip().splitlines()
+    plain = all(re.match(r"[\s:+-]*(Project|Filter|Relation) ", x) for x in plan) and len(docs.inputFiles()) > 0
+    return rows if plain else materialize(rows, "documents")
+
+
+def task_counts(rows: DataFrame, tokenizer: str, seq_len: int = SEQ_LEN) -> dict[int, int]:
+    """How many sequences each task makes: a row for each task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = sum(int(np.maximum(1, -(-encoder(tokenizer).counts(b.column("text")) // seq_len)).sum()) for b in units(batches))
+        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([total], pa.int64())], names=["task", "n"])
+
+    return {r["task"]: r["n"] for r in rows.select("doc_id", "text").mapInArrow(run, "task int, n bigint").collect() if r["n"]}
+
+
+def sequences(rows: DataFrame, tokenizer: str, seq_len: int, counted: dict[int, int]) -> DataFrame:
+    """doc_id, piece, n_tokens, ids (binary, without filling), task and rank."""
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,20 +111,17 @@ def sequences(docs: DataFrame, tokenizer: str, seq_len: int = SEQ_LEN) -> DataFr
                 names=["doc_id", "piece", "n_tokens", "ids", "task", "rank"],
             )
             rank += len(row)
+        if rank != counted.get(task, 0):
+            raise RuntimeError(f"the input's splits changed between the passes: task {task} has {rank} sequences, not {counted.get(task, 0)}")
 
-    out = rows.mapInArrow(run, f"doc_id {kind}, piece int, n_tokens int, ids binary, task int, rank bigint")
-    path = fresh_path(spark, "sequences")
-    out.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(out.schema).parquet(path)
+    return rows.mapInArrow(run, f"doc_id {kind}, piece int, n_tokens int, ids binary, task int, rank bigint")
 
 
-def write_shards(found: DataFrame, path: str, key: str, seq_len: int = SEQ_LEN, shard_records: int = SHARD_RECORDS, end_id: int = END) -> DataFrame:
+def write_shards(found: DataFrame, counted: dict[int, int], path: str, key: str, seq_len: int = SEQ_LEN, shard_records: int = SHARD_RECORDS, end_id: int = END) -> DataFrame:
     """Writes found (see sequences) to shards under path, a URI that executors share; one row per sequence: doc_id, piece, slot, shard, record, n_tokens, record_crc32 (of the record as read back)."""
     spark = found.sparkSession
-    ship(spark)
-    per_task = sorted((r["task"], r["n"]) for r in found.groupBy("task").agg(F.count("*").alias("n")).collect())  # a row for each task
     total, before = 0, []
-    for task, n in per_task:
+    for task, n in sorted(counted.items()):
         before.append((task, total))
         total += n
     kind = found.schema["doc_id"].dataType.simpleString()
@@ -171,4 +192,7 @@ def read_slots(path: str, start: int, n: int, seq_len: int = SEQ_LEN, shard_reco
 def training_order(docs: DataFrame, tokenizer: str, key: str, path: str | None = None, seq_len: int = SEQ_LEN, shard_records: int = SHARD_RECORDS, end_id: int = END) -> DataFrame:
     """Writes the shards and returns their manifest, one row per sequence."""
     spark: SparkSession = docs.sparkSession
-    return write_shards(sequences(docs, tokenizer, seq_len), path or fresh_path(spark, "shards"), key, seq_len, shard_records, end_id)
+    ship(spark)
+    rows = settled(docs)
+    counted = task_counts(rows, tokenizer, seq_len)
+    return write_shards(sequences(rows, tokenizer, seq_len, counted), counted, path or fresh_path(spark, "shards"), key, seq_len, shard_records, end_id)
