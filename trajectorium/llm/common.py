@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,11 +11,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that a Python worker holds as one unit of work.
-UNIT_BYTES = 4 << 20
+UNIT_BYTES = 2 << 20
 
 
 def units(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = UNIT_BYTES) -> Iterator[pa.RecordBatch]:
-    """Slices of the batches, each with about `most` bytes of the column, one row at least."""
+    """Slices of the batches, each with about `most` bytes of the column, one row at least. At the end the worker gives back memory that it doesn't use."""
     for b in batches:
         n = b.num_rows
         if n == 0:
@@ -26,6 +28,13 @@ def units(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = U
             end = max(int(np.searchsorted(at, before + most, "right")), start + 1)
             yield b.slice(start, end - start)
             start = end
+    give_back()
+
+
+def give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only the GNU library has it
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def strings(column: pa.Array) -> list[str]:
