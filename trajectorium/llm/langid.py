@@ -223,11 +223,11 @@ def _network(held: bytes) -> Network:
     return pickle.loads(held)  # made by this process's own driver
 
 
-def predict(docs: DataFrame, net: Network) -> DataFrame:
-    """docs' columns and lang_pred, score."""
+def predict(docs: DataFrame, net: Network, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """docs' columns, text among them, and the language and score under names that docs doesn't have."""
     ship(docs.sparkSession)
     held = pickle.dumps(net)
-    schema = docs.withColumns({"lang_pred": F.lit("").cast("string"), "score": F.lit(0.0)}).schema
+    schema = docs.withColumns({names[0]: F.lit("").cast("string"), names[1]: F.lit(0.0)}).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = _network(held)
@@ -239,7 +239,7 @@ def predict(docs: DataFrame, net: Network) -> DataFrame:
             known = np.array([bool(own.labels) and _LETTER.search(t) is not None for t in texts], bool)
             said = [own.labels[k] if ok else UND for k, ok in zip(best.tolist(), known.tolist())]
             score = np.clip(np.where(known, p.max(1, initial=0), 0.0), 0, 1)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(said, pa.string()), pa.array(score, pa.float64())], names=[*b.schema.names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(said, pa.string()), pa.array(score, pa.float64())], names=[*b.schema.names, *names])
 
     return docs.mapInArrow(run, schema)
 
