@@ -58,3 +58,9 @@ def interpolate(a: Column, b: Column, alpha: Column) -> Column:
 def near(a: Column, reference: Column, period: float) -> Column:
     """a moved by whole periods next to the reference; halves go to the even side."""
     return a - F.bround((a - reference) / period) * period
+
+
+def class_or_degrees(a: Column) -> Column:
+    """Degrees of a value that is a class, if it lies within 1e-6 of 0 to 7, else an angle."""
+    k = F.round(a)
+    return F.when((F.abs(a - k) <= 1e-6) & k.between(0, 7), class_to_degrees(k)).otherwise(wrap(a))

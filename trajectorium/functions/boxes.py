@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -47,3 +47,15 @@ def iou(a: dict[str, Column], b: dict[str, Column]) -> Column:
     both = overlap(a, b)
     union = a["w"] * a["h"] + b["w"] * b["h"] - both
     return F.when(union > 0, both / union).otherwise(0.0)
+
+
+def long_side_first(df: DataFrame) -> DataFrame:
+    """df with w >= h; boxes whose sides change places are turned by 90 degrees."""
+    turned = F.col("w") < F.col("h")
+    return df.withColumns({"w": F.greatest("w", "h"), "h": F.least("w", "h"), "heading": F.when(turned, F.pmod(F.col("heading") + 90.0, F.lit(360.0))).otherwise(F.col("heading"))})
+
+
+def at_edge(cx: Column, cy: Column, half: Column, width: float, height: float, most: float, margin: float) -> Column:
+    """Whether a box, taken as a square of that half side but at most `most`, comes within the margin of the picture's border."""
+    h = F.least(half, F.lit(most))
+    return F.least(cx - h, width - cx - h, cy - h, height - cy - h) <= margin

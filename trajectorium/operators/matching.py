@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import boxes
+from ..functions import boxes, polygons
 
 BOX = ("cx", "cy", "w", "h")
 
@@ -132,3 +132,46 @@ def nearest_mutual(det: DataFrame, radius: float) -> DataFrame:
     pairs = a.join(b, ["frame", "gx", "gy"]).select("frame", "a", "b", d.alias("d")).where(F.col("d") <= radius)
     ra, rb = Window.partitionBy("a").orderBy("d", "b"), Window.partitionBy("b").orderBy("d", "a")
     return pairs.withColumn("_a", F.row_number().over(ra)).withColumn("_b", F.row_number().over(rb)).where("_a = 1 AND _b = 1").drop("_a", "_b")
+
+
+def near_pairs(a: DataFrame, b: DataFrame, radius: float) -> DataFrame:
+    """Rows of a and b (frame, id, cx, cy, ...; a's columns as a_*, b's as b_*) of one frame at most radius apart along both axes. They meet in grid cells of that size, so each pair comes once."""
+    cell = lambda c: F.floor(F.col(c) / radius)
+    around = lambda c: F.explode(F.sequence(cell(c) - 1, cell(c) + 1))
+    left = a.select("frame", *[F.col(c).alias(f"a_{c}") for c in a.columns if c != "frame"], cell("cx").alias("_gx"), cell("cy").alias("_gy"))
+    right = b.withColumn("_gx", around("cx")).withColumn("_gy", around("cy"))
+    right = right.select("frame", "_gx", "_gy", *[F.col(c).alias(f"b_{c}") for c in b.columns if c != "frame"])
+    close = (F.abs(F.col("a_cx") - F.col("b_cx")) <= radius) & (F.abs(F.col("a_cy") - F.col("b_cy")) <= radius)
+    return left.join(right, ["frame", "_gx", "_gy"]).where(close).drop("_gx", "_gy")
+
+
+def oriented_pairs(det: DataFrame, reach: float) -> DataFrame:
+    """frame, a_event_id, b_event_id, iou of the pairs of one frame whose oriented boxes share an area. reach: at least the longest diagonal."""
+    p = boxes.corners(*[F.col(c) for c in (*BOX, "heading")])
+    d = det.select("frame", "event_id", "cx", "cy", p.alias("p"))
+    pairs = near_pairs(d, d, reach).where("a_event_id < b_event_id")
+    moved = lambda side: F.transform(F.col(f"{side}_p"), lambda q: F.struct((q["x"] - F.col("a_cx")).alias("x"), (q["y"] - F.col("a_cy")).alias("y")))
+    return pairs.select("frame", "a_event_id", "b_event_id", polygons.iou(moved("a"), moved("b")).alias("iou")).where("iou > 1e-9")
+
+
+def temporal_edges(det: DataFrame, cell: float = 64.0) -> DataFrame:
+    """frame, parent, child, overlap: detections of a frame and of the next one whose axis-aligned boxes share an area. Each pair is taken in the cell of its lower overlap corner."""
+    span = lambda c, s: F.sequence(F.floor((F.col(c) - F.col(s) / 2) / cell), F.floor((F.col(c) + F.col(s) / 2) / cell))
+    celled = det.select("frame", "event_id", *BOX).withColumn("gx", F.explode(span("cx", "w"))).withColumn("gy", F.explode(span("cy", "h")))
+    a = celled.select("frame", "gx", "gy", *[F.col(c).alias(f"a_{c}") for c in (*BOX, "event_id")])
+    b = celled.select((F.col("frame") - 1).alias("frame"), "gx", "gy", *[F.col(c).alias(f"b_{c}") for c in (*BOX, "event_id")])
+    left, right = ({c: F.col(f"{k}_{c}") for c in BOX} for k in "ab")
+    low = lambda c, s: F.floor(F.greatest(left[c] - left[s] / 2, right[c] - right[s] / 2) / cell)
+    shared = (F.abs(left["cx"] - right["cx"]) < (left["w"] + right["w"]) / 2) & (F.abs(left["cy"] - right["cy"]) < (left["h"] + right["h"]) / 2)
+    pairs = a.join(b, ["frame", "gx", "gy"]).where(shared & (low("cx", "w") == F.col("gx")) & (low("cy", "h") == F.col("gy")))
+    return pairs.select("frame", F.col("a_event_id").alias("parent"), F.col("b_event_id").alias("child"), boxes.overlap(left, right).alias("overlap"))
+
+
+def centre_owner(det: DataFrame, reach: float) -> DataFrame:
+    """event_id, owner: of the other oriented boxes of the frame that hold its centre, the one whose centre is nearest, then the lowest id. reach: at least the longest half diagonal."""
+    a = det.select("frame", "event_id", "cx", "cy", "w", "h", "heading")
+    pairs = near_pairs(a, det.select("frame", "event_id", "cx", "cy"), reach).where("a_event_id != b_event_id")
+    dx, dy = F.col("b_cx") - F.col("a_cx"), F.col("b_cy") - F.col("a_cy")
+    ux, uy = F.sin(F.radians("a_heading")), -F.cos(F.radians("a_heading"))
+    held = (F.abs(dx * ux + dy * uy) <= F.col("a_w") / 2) & (F.abs(dy * ux - dx * uy) <= F.col("a_h") / 2)
+    return pairs.where(held).groupBy(F.col("b_event_id").alias("event_id")).agg(F.min_by("a_event_id", F.struct(F.round(dx * dx + dy * dy, 6), "a_event_id")).alias("owner"))

@@ -59,3 +59,27 @@ def front_rear(df: DataFrame) -> DataFrame:
     """df with the ends of each box along its heading and their middle."""
     ux, uy = F.sin(F.radians("heading")) * F.col("w") / 2, -F.cos(F.radians("heading")) * F.col("w") / 2
     return df.withColumns({"front_x": F.col("cx") + ux, "front_y": F.col("cy") + uy, "rear_x": F.col("cx") - ux, "rear_y": F.col("cy") - uy})
+
+
+def merged_reasons(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    """Both tables' keys with the union of their reasons, a's first."""
+    none = F.array().cast("array<string>")
+    both = a.withColumnRenamed("reasons", "_a").join(b.withColumnRenamed("reasons", "_b"), key, "full")
+    return both.select(key, F.array_union(F.coalesce("_a", none), F.coalesce("_b", none)).alias("reasons"))
+
+
+def natural_key(name: Column) -> Column:
+    """A text that sorts like name with its numbers compared as numbers, of up to 20 digits."""
+    parts = F.regexp_extract_all(name, F.lit("([0-9]+|[^0-9]+)"), 1)
+    return F.array_join(F.transform(parts, lambda x: F.when(x.rlike("^[0-9]"), F.lpad(x, 20, "0")).otherwise(F.lower(x))), "")
+
+
+def trailing_number(column: str) -> Column:
+    """The digits at the end of a name; a name without any is an error."""
+    digits = F.regexp_extract(column, r"([0-9]+)$", 1)
+    return F.when(digits != "", digits.cast("long")).otherwise(F.raise_error(F.concat(F.lit("no number at the end of "), F.col(column))).cast("long"))
+
+
+def number_text(x: Column) -> Column:
+    """Whole numbers bare, others with six decimals."""
+    return F.when(x == F.floor(x), F.format_string("%d", F.floor(x))).otherwise(F.format_string("%.6f", x))

@@ -37,3 +37,11 @@ def even_jobs(frames: DataFrame, order: str, total: int) -> DataFrame:
 def top_per_group(df: DataFrame, group: str, by: str, count: int, tie: str) -> DataFrame:
     w = Window.partitionBy(group).orderBy(F.desc(by), tie)
     return df.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= count).drop("_r")
+
+
+def overlapping_intervals(f: DataFrame, bin_size: int) -> DataFrame:
+    """a < b, a_obj, b_obj: fragments (frag_id, obj_id, start_frame, end_frame) that share a frame. They meet in bins of frames, a pair in the bin of the later start only."""
+    binned = f.withColumn("_b", F.explode(F.sequence(F.floor(F.col("start_frame") / bin_size), F.floor(F.col("end_frame") / bin_size))))
+    side = lambda k: binned.select("_b", *[F.col(c).alias(f"{k}{n}") for c, n in (("frag_id", ""), ("obj_id", "_obj"), ("start_frame", "_s"), ("end_frame", "_e"))])
+    pairs = side("a").join(side("b"), "_b").where("a < b AND a_s <= b_e AND b_s <= a_e")
+    return pairs.where(F.floor(F.greatest("a_s", "b_s") / bin_size) == F.col("_b")).select("a", "b", "a_obj", "b_obj")

@@ -96,3 +96,31 @@ def sign_continuity(df: DataFrame, key: list[str]) -> DataFrame:
     rows = df.withColumn("_f", F.when(against, 1).otherwise(0))
     flips = F.sum("_f").over(w.rowsBetween(Window.unboundedPreceding, 0))
     return rows.withColumn("turned", angles.wrap(F.col("heading") + 180.0 * (flips % 2))).drop("_f")
+
+
+def null_runs(df: DataFrame, key: list[str], value: str) -> DataFrame:
+    """df with severity: the length of the row's run of nulls of value, counted in rows, not frames; 0 where it is known."""
+    w = _along(key)
+    rows = df.withColumn("_k", F.count(value).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    nulls = F.sum(F.when(F.col(value).isNull(), 1).otherwise(0)).over(Window.partitionBy(*key, "_k"))
+    return rows.withColumn("severity", F.when(F.col(value).isNull(), nulls).otherwise(0).cast("long")).drop("_k")
+
+
+def stable_islands(df: DataFrame, key: list[str], turn: float, least: int) -> DataFrame:
+    """One row per run of at least `least` consecutive frames in which the heading turns by less than turn from one to the next."""
+    w = _along(key)
+    goes_on = (F.col("frame") == F.lag("frame").over(w) + 1) & (angles.distance(F.col("heading"), F.lag("heading").over(w)) < turn)
+    rows = df.withColumn("_new", F.when(goes_on, 0).otherwise(1)).withColumn("island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return rows.groupBy(*key, "island").agg(F.min("frame").alias("start_frame"), F.max("frame").alias("end_frame"), F.count("*").alias("n")).where(F.col("n") >= least).drop("island")
+
+
+def broken_order(df: DataFrame, key: list[str], order: str = "frame") -> DataFrame:
+    """Rows whose order is not the one after their predecessor's: what an in-order reader has to refuse."""
+    before = F.lag(order).over(_along(key, order))
+    return df.withColumn("before", before).where((F.col("before").isNotNull()) & (F.col(order) != F.col("before") + 1))
+
+
+def gaps(df: DataFrame, key: list[str], shorter_than: int) -> DataFrame:
+    """key, before, after: the known frames around each gap of fewer missing frames than that."""
+    rows = df.select(*key, F.col("frame").alias("before"), F.lead("frame").over(_along(key)).alias("after"))
+    return rows.where((F.col("after") > F.col("before") + 1) & (F.col("after") - F.col("before") - 1 < shorter_than))

@@ -55,3 +55,18 @@ def centroids(frags: DataFrame, key: str, vector: str, median: bool = False) ->
     each = frags.select(key, F.posexplode(vector).alias("position", "_v"))
     value = F.percentile("_v", F.lit(0.5)) if median else F.avg("_v")
     return each.groupBy(key, "position").agg(value.alias("value"))
+
+
+def median_bounds(df: DataFrame, value: str, low: float = 1.5, high: float = 1.5) -> DataFrame:
+    """iqr_bounds, moved outwards where the median would lie outside."""
+    q = df.agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
+    a, m, b = (F.col("q")[k] for k in range(3))
+    return q.select(F.coalesce(F.least(m, a - low * (b - a)), F.lit(float("-inf"))).alias("lo"), F.coalesce(F.greatest(m, b + high * (b - a)), F.lit(float("inf"))).alias("hi"))
+
+
+def summary(df: DataFrame, value: str, ident: str) -> DataFrame:
+    """One row: lo, hi, q1, median, q3, mean, and the rows of the extremes: the first id of the least, the last of the most."""
+    q = F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+    lo, hi = F.min(F.struct(F.col(value).alias("v"), F.col(ident).alias("i"))), F.max(F.struct(F.col(value).alias("v"), F.col(ident).alias("i")))
+    out = df.where(F.col(value).isNotNull()).agg(lo.alias("a"), hi.alias("b"), q.alias("q"), F.avg(value).alias("mean"))
+    return out.select(F.col("a.v").alias("lo"), F.col("b.v").alias("hi"), F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"), "mean", F.col("a.i").alias("lo_id"), F.col("b.i").alias("hi_id"))
