@@ -4,9 +4,9 @@ import math
 import numpy as np
 from pyspark.sql import functions as F
 
-from trajectorium.functions import boxes, polygons
+from trajectorium.functions import polygons
 from trajectorium.functions.kalman import Filter
-from trajectorium.operators import headings, identity
+from trajectorium.operators import headings, identity, matching
 
 
 def test_signs_are_the_cheapest():
@@ -41,7 +41,8 @@ def test_gaps_are_predicted_up_to_their_age(spark):
 
 
 def box(cx, cy, w, h, heading):
-    return boxes.corners(*[F.lit(float(x)) for x in (cx, cy, w, h, heading)])
+    ux, uy = math.sin(math.radians(heading)), -math.cos(math.radians(heading))
+    return [(cx + a * ux * w / 2 - b * uy * h / 2, cy + a * uy * w / 2 + b * ux * h / 2) for a, b in [(1, 1), (1, -1), (-1, -1), (-1, 1)]]
 
 
 def test_oriented_overlap(spark):
@@ -56,9 +57,11 @@ def test_oriented_overlap(spark):
         (box(0, 0, 2, 2, 0), box(9, 9, 2, 2, 10), 0.0),
         (box(0, 0, 2, 0, 0), box(0, 0, 2, 2, 10), 0.0),  # no area
     ]
-    got = spark.range(1).select(*[polygons.overlap(a, b).alias(f"c{k}") for k, (a, b, _) in enumerate(cases)]).first()
-    for k, (_, _, want) in enumerate(cases):
-        assert math.isclose(got[k], want, abs_tol=1e-6), k
+    points = "array<struct<x:double,y:double>>"
+    rows = [(k, a, b) for k, (a, b, _) in enumerate(cases)]
+    got = spark.createDataFrame(rows, f"k int, a {points}, b {points}").select("k", polygons.overlap(F.col("a"), F.col("b")).alias("shared")).collect()
+    for x in got:
+        assert math.isclose(x.shared, cases[x.k][2], abs_tol=1e-6), x.k
 
 
 def test_slots_go_to_the_lowest_and_come_back(spark):
@@ -80,3 +83,16 @@ def test_silhouette_of_two_groups(spark):
     assert math.isclose(got[1], (b - 1) / b) and got[3] == 0 and got[4] == 0
     one = identity.silhouette(spark.createDataFrame(rows[:2], "i long, l long, v array<double>"), "i", "l", "v", 3).collect()
     assert [x.s for x in one] == [None, None]
+
+
+def test_both_overlaps_agree(spark):
+    rng = np.random.default_rng(5)
+    a = np.column_stack([rng.uniform(0, 20, (300, 2)), rng.uniform(2, 20, (300, 2)), rng.integers(0, 72, 300) * 5.0])
+    b = np.column_stack([rng.uniform(0, 20, (300, 2)), rng.uniform(2, 20, (300, 2)), rng.integers(0, 72, 300) * 5.0])
+    b[:20] = a[:20]
+    points = "array<struct<x:double,y:double>>"
+    df = spark.createDataFrame([(k, box(*a[k].tolist()), box(*b[k].tolist())) for k in range(300)], f"k int, a {points}, b {points}")
+    native = {x.k: x.s for x in df.select("k", polygons.overlap(F.col("a"), F.col("b")).alias("s")).collect()}
+    got = matching.shared_areas(a, b)
+    assert np.allclose(got, [native[k] for k in range(300)], atol=1e-6) and (got > 0).sum() > 50
+    assert np.allclose(got[:20], a[:20, 2] * a[:20, 3])

@@ -161,6 +161,7 @@ ea AS ({_edges("a")}), eb AS ({_edges("b")}), parts AS ({_clipped("ea", "eb")} U
 SELECT c.frame, a_id a_event_id, b_id b_event_id, round(shared / (a_w*a_h + b_w*b_h - shared), 4) iou FROM s JOIN c USING (a_id, b_id) WHERE shared / (a_w*a_h + b_w*b_h - shared) > 1E-9""",
 )
 def j08(s, d):
+    ship(s)
     return matching.oriented_pairs(det(s, d), 56.0).withColumn("iou", r("iou"))
 
 

@@ -54,9 +54,9 @@ def silhouette(points: DataFrame, ident: str, label: str, vector: str, blocks: i
         return pd.concat(out)
 
     cells = left.unionByName(right.select(left.columns)).groupBy("x", "y").applyInPandas(run, "i bigint, l bigint, m bigint, d double, n bigint")
-    to = cells.groupBy("i", "l", "m").agg((F.sum("d") / F.sum("n")).alias("mean"), F.sum("n").alias("n"))
+    to = cells.groupBy("i", "l", "m").agg(F.try_divide(F.sum("d"), F.sum("n")).alias("mean"), F.sum("n").alias("n"))
     each = to.groupBy("i", "l").agg(F.max(F.when(F.col("l") == F.col("m"), F.coalesce("mean", F.lit(0.0)))).alias("a"), F.max(F.when(F.col("l") == F.col("m"), F.col("n"))).alias("own"), F.min(F.when(F.col("l") != F.col("m"), F.col("mean"))).alias("b"))
-    s = (F.col("b") - F.col("a")) / F.greatest("a", "b")
+    s = F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b"))
     return each.select(F.col("i").alias(ident), F.when(F.col("b").isNull(), F.lit(None)).when(F.col("own") == 0, 0.0).otherwise(s).alias("s"))
 
 

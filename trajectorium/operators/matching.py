@@ -145,13 +145,54 @@ def near_pairs(a: DataFrame, b: DataFrame, radius: float) -> DataFrame:
     return left.join(right, ["frame", "_gx", "_gy"]).where(close).drop("_gx", "_gy")
 
 
+def _edges(cx, cy, w, h, heading) -> list[np.ndarray]:
+    """x, y, dx, dy of the four edges of many boxes, each (n, 4), with the inside on the left."""
+    ux, uy = np.sin(np.radians(heading)), -np.cos(np.radians(heading))
+    turns = [(1, 1), (-1, 1), (-1, -1), (1, -1)]
+    x = np.stack([cx + a * ux * w / 2 - b * uy * h / 2 for a, b in turns], 1)
+    y = np.stack([cy + a * uy * w / 2 + b * ux * h / 2 for a, b in turns], 1)
+    return [x, y, np.roll(x, -1, 1) - x, np.roll(y, -1, 1) - y]
+
+
+def _boundary_inside(e: list[np.ndarray], q: list[np.ndarray], shared: bool) -> np.ndarray:
+    """Line integral over the parts of e's edges inside q. shared: an edge that lies on one running the same way counts."""
+    x, y, dx, dy = (v[:, :, None] for v in e)
+    qx, qy, qdx, qdy = (v[:, None, :] for v in q)
+    den, num = qdx * dy - qdy * dx, qdx * (y - qy) - qdy * (x - qx)
+    flat, on = np.abs(den) <= polygons.EPS, np.abs(num) <= polygons.EPS
+    same = (qdx * dx + qdy * dy > 0) if shared else np.zeros_like(flat)
+    out = (flat & np.where(on, ~same, num < 0)).any(2)
+    t = np.divide(-num, den, out=np.zeros_like(num), where=~flat)
+    low = np.where(~flat & (den > 0), t, 0.0).max(2).clip(0)
+    high = np.where(~flat & (den < 0), t, 1.0).min(2).clip(None, 1)
+    return (np.where(out, 0.0, (high - low).clip(0)) * (e[0] * e[3] - e[1] * e[2])).sum(1)
+
+
+def shared_areas(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Areas that oriented boxes (n rows of cx, cy, w, h, heading) share, pair by pair, by Green's theorem."""
+    here, there = a.T.astype(float), b.T.astype(float)
+    zero = np.zeros(len(a))
+    e, q = _edges(zero, zero, *here[2:]), _edges(there[0] - here[0], there[1] - here[1], *there[2:])
+    return ((_boundary_inside(e, q, True) + _boundary_inside(q, e, False)) / 2).clip(0)
+
+
 def oriented_pairs(det: DataFrame, reach: float) -> DataFrame:
-    """frame, a_event_id, b_event_id, iou of the pairs of one frame whose oriented boxes share an area. reach: at least the longest diagonal."""
-    p = boxes.corners(*[F.col(c) for c in (*BOX, "heading")])
-    d = det.select("frame", "event_id", "cx", "cy", p.alias("p"))
-    pairs = near_pairs(d, d, reach).where("a_event_id < b_event_id")
-    moved = lambda side: F.transform(F.col(f"{side}_p"), lambda q: F.struct((q["x"] - F.col("a_cx")).alias("x"), (q["y"] - F.col("a_cy")).alias("y")))
-    return pairs.select("frame", "a_event_id", "b_event_id", polygons.iou(moved("a"), moved("b")).alias("iou")).where("iou > 1e-9")
+    """frame, a_event_id, b_event_id, iou of the pairs of one frame whose oriented boxes share an area. reach: at least the longest diagonal. Pairs whose bounds don't meet go before; the rest is cut in Arrow batches, which took a fraction of the time of polygons.overlap on them."""
+    d = det.select("frame", "event_id", *BOX, "heading").where("w > 0 AND h > 0")
+    turn = lambda f, g: F.abs(f(F.radians("heading"))) * F.col("w") / 2 + F.abs(g(F.radians("heading"))) * F.col("h") / 2
+    d = d.withColumn("ex", turn(F.sin, F.cos)).withColumn("ey", turn(F.cos, F.sin))
+    meet = F.expr("abs(a_cx - b_cx) < a_ex + b_ex AND abs(a_cy - b_cy) < a_ey + b_ey")
+    pairs = near_pairs(d, d, reach).where((F.col("a_event_id") < F.col("b_event_id")) & meet)
+    values = [f"{k}_{c}" for k in "ab" for c in (*BOX, "heading")]
+
+    def run(batches):
+        for p in batches:
+            a, b = (p[[f"{k}_{c}" for c in (*BOX, "heading")]].to_numpy() for k in "ab")
+            shared = shared_areas(a, b)
+            iou = shared / (a[:, 2] * a[:, 3] + b[:, 2] * b[:, 3] - shared)
+            yield p[["frame", "a_event_id", "b_event_id"]].assign(iou=iou)[iou > 1e-9]
+
+    return pairs.select("frame", "a_event_id", "b_event_id", *values).mapInPandas(run, "frame bigint, a_event_id bigint, b_event_id bigint, iou double")
 
 
 def temporal_edges(det: DataFrame, cell: float = 64.0) -> DataFrame:
