@@ -45,3 +45,50 @@ def overlapping_intervals(f: DataFrame, bin_size: int) -> DataFrame:
     side = lambda k: binned.select("_b", *[F.col(c).alias(f"{k}{n}") for c, n in (("frag_id", ""), ("obj_id", "_obj"), ("start_frame", "_s"), ("end_frame", "_e"))])
     pairs = side("a").join(side("b"), "_b").where("a < b AND a_s <= b_e AND b_s <= a_e")
     return pairs.where(F.floor(F.greatest("a_s", "b_s") / bin_size) == F.col("_b")).select("a", "b", "a_obj", "b_obj")
+
+
+def reachable_split(sizes: dict[int, int], target: int, low: int | None = None, high: int | None = None) -> dict[int, int]:
+    """How many groups of each size make up the validation rows. sizes: group size -> number of groups. With low and high the sum must lie in them: target if it can be made, else the least sum that can, else an error. Without, the sum next to target, the larger on a tie."""
+    items = [(s, min(n, 1 << k, n - (1 << k) + 1)) for s, n in sorted(sizes.items()) for k in range(n.bit_length()) if n - (1 << k) + 1 > 0]
+    reach = [1]
+    for s, n in items:
+        reach.append(reach[-1] | reach[-1] << (s * n))
+    total = sum(s * n for s, n in sizes.items())
+    sums = [x for x in range(total + 1) if reach[-1] >> x & 1]
+    if low is None or high is None:
+        best = min(sums, key=lambda x: (abs(x - target), -x))
+    else:
+        inside = [x for x in sums if low <= x <= high]
+        if not inside:
+            raise ValueError(f"no sum from {low} to {high} can be made")
+        best = target if target in inside else inside[0]
+    taken = dict.fromkeys(sizes, 0)
+    for (s, n), before in zip(reversed(items), reversed(reach[:-1])):
+        if not before >> best & 1:
+            taken[s] += n
+            best -= s * n
+    return taken
+
+
+def disjoint_split(rows: DataFrame, group: str, target: int, seed: str, low: int | None = None, high: int | None = None) -> DataFrame:
+    """rows with split train or val, of which val has as near to target rows as whole groups allow. Groups of one size are chosen by a hash.
+
+    Only the histogram of group sizes goes to the driver: as many numbers as
+    there are different sizes.
+    """
+    per = rows.groupBy(group).agg(F.count("*").alias("_size"))
+    sizes = {r["_size"]: r["count"] for r in per.groupBy("_size").count().collect()}
+    taken = reachable_split(sizes, target, low, high)
+    many = F.create_map(*[F.lit(x).cast("long") for k in taken.items() for x in k])
+    place = F.row_number().over(Window.partitionBy("_size").orderBy(unit_interval(seed, F.col(group)), group))
+    val = per.where(many[F.col("_size")] > 0).withColumn("_r", place).where(F.col("_r") <= many[F.col("_size")]).select(group, F.lit("val").alias("split"))
+    return rows.join(val, group, "left").withColumn("split", F.coalesce("split", F.lit("train")))
+
+
+def rotation(seed: str, degrees: list[int], share: float, *parts: Column) -> Column:
+    """0, or with probability share one of degrees; depends on seed and parts alone."""
+    some = [x for x in degrees if x]
+    if not some:
+        return F.lit(0)
+    which = F.get(F.array(*[F.lit(x) for x in some]), F.floor(unit_interval(f"{seed}/which", *parts) * len(some)).cast("int"))
+    return F.when(unit_interval(seed, *parts) < share, which).otherwise(0)

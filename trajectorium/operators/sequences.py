@@ -124,3 +124,12 @@ def gaps(df: DataFrame, key: list[str], shorter_than: int) -> DataFrame:
     """key, before, after: the known frames around each gap of fewer missing frames than that."""
     rows = df.select(*key, F.col("frame").alias("before"), F.lead("frame").over(_along(key)).alias("after"))
     return rows.where((F.col("after") > F.col("before") + 1) & (F.col("after") - F.col("before") - 1 < shorter_than))
+
+
+def between_anchors(df: DataFrame, key: list[str], value: str, edited: str) -> DataFrame:
+    """df, value of edited rows taken from the line between the unedited rows around them; kept where one of these lacks."""
+    w = _along(key)
+    anchor = F.when(~F.col(edited), F.struct(F.col("frame").alias("f"), F.col(value).alias("v")))
+    rows = df.withColumn("_a", F.last(anchor, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_b", F.first(anchor, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)))
+    line = F.col("_a.v") + (F.col("_b.v") - F.col("_a.v")) * (F.col("frame") - F.col("_a.f")) / (F.col("_b.f") - F.col("_a.f"))
+    return rows.withColumn(value, F.when(F.col(edited) & F.col("_a").isNotNull() & F.col("_b").isNotNull(), line).otherwise(F.col(value))).drop("_a", "_b")

@@ -70,3 +70,12 @@ def summary(df: DataFrame, value: str, ident: str) -> DataFrame:
     lo, hi = F.min(F.struct(F.col(value).alias("v"), F.col(ident).alias("i"))), F.max(F.struct(F.col(value).alias("v"), F.col(ident).alias("i")))
     out = df.where(F.col(value).isNotNull()).agg(lo.alias("a"), hi.alias("b"), q.alias("q"), F.avg(value).alias("mean"))
     return out.select(F.col("a.v").alias("lo"), F.col("b.v").alias("hi"), F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"), "mean", F.col("a.i").alias("lo_id"), F.col("b.i").alias("hi_id"))
+
+
+def reference_scale(df: DataFrame, chain: str, value: str) -> DataFrame:
+    """low, middle, high (10, 50 and 99 %) of the medians of the chains of two rows or more; of all values if there are under three such chains."""
+    ends = F.array(F.lit(0.1), F.lit(0.5), F.lit(0.99))
+    per = df.groupBy(chain).agg(F.percentile(value, F.lit(0.5)).alias("m"), F.count("*").alias("n")).where("n >= 2")
+    chains = per.agg(F.percentile("m", ends).alias("c"), F.count("*").alias("k"))
+    q = chains.join(df.agg(F.percentile(value, ends).alias("v"))).select(F.when(F.col("k") >= 3, F.col("c")).otherwise(F.col("v")).alias("q"))  # one row each
+    return q.select(F.col("q")[0].alias("low"), F.col("q")[1].alias("middle"), F.col("q")[2].alias("high"))

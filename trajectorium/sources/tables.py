@@ -83,6 +83,43 @@ def read_centroids(spark: SparkSession, path: str, most_missing: float = 0.5) ->
     return cells.select(F.col("_i").alias("frame"), F.explode(each).alias("_x")).select("frame", "_x.*")
 
 
+def read_labels(spark: SparkSession, path: str) -> DataFrame:
+    """Label lines (class and four corners as parts of the image's size) as stem, klass, x0, y0, ..., x3, y3; lines of another form are left out."""
+    parts = F.split(F.trim("value"), r"\s+")
+    rows = spark.read.text(path).select(F.regexp_replace(F.col("_metadata.file_name"), r"\.[^.]*$", "").alias("stem"), parts.alias("_p")).where(F.size("_p") == 9)
+    number = lambda k: F.expr(f"try_cast(_p[{k}] AS double)")
+    rows = rows.select("stem", F.expr("try_cast(_p[0] AS bigint)").alias("klass"), *[number(2 * i + j + 1).alias(f"{c}{i}") for i in range(4) for j, c in enumerate("xy")])
+    return rows.dropna()
+
+
+def read_reasons(spark: SparkSession, path: str, schema: str, column: str = "reasons") -> DataFrame:
+    """A table whose reasons, joined by a vertical bar, become an array; none: an empty one."""
+    text = F.coalesce(F.col(column), F.lit(""))
+    return spark.read.schema(schema).option("header", True).csv(path).withColumn(column, F.filter(F.split(text, r"\|"), lambda x: x != ""))
+
+
+def complete(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows in which all of these are numbers."""
+    for c in columns:
+        df = df.where(F.col(c).isNotNull() & ~F.isnan(c))
+    return df
+
+
+def metrics(row: DataFrame) -> DataFrame:
+    """metric, value for each column of a table of one row."""
+    each = F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in row.columns])
+    return row.select(F.explode(each).alias("_x")).select("_x.*")
+
+
+def read_metrics(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
+    """One row with these metrics of a metric, value table; an error if one lacks."""
+    raw = spark.read.schema("metric string, value double").option("header", True).csv(path).where(F.col("metric").isin(names))
+    found = {r["metric"] for r in raw.select("metric").distinct().collect()}  # as many as names at most
+    if set(names) - found:
+        raise ValueError(f"metrics lack: {sorted(set(names) - found)}")
+    return raw.agg(*[F.max(F.when(F.col("metric") == n, F.col("value"))).alias(n) for n in names])
+
+
 register("result", lambda c: "frame" in c and "cx0" in c, read_result)
 register("pose", lambda c: {"track", "frame_idx"} <= set(c), read_pose)
 register("centroids", lambda c: "x0" in c and "y0" in c, read_centroids)
