@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .functions import angles
-from .operators import episodes, identity, matching, reshape, sampling, sequences, statistics
+from .operators import episodes, headings, identity, matching, reshape, sampling, sequences, statistics
 from .plans import reuse
 from .plans.views import DET_SQL, FRAG_SQL, OBS_SQL, det, frag, obs
 from .registry import PAIRS_SQL, query, r
@@ -136,7 +136,7 @@ def w23(s, d):
     return episodes.at_risk(c.select("episode").distinct(), c, c.withColumn("filled", F.expr("filled AND frame < 1")), 0.99)
 
 
-@query("w24_seams", f"WITH {OBS_SQL}, {_CELLS}, z AS (SELECT episode, tid, min(CASE WHEN filled THEN frame END) f, arg_min(frame, CASE WHEN iou > 0 THEN -iou*1000000 + frame END) o, CAST(floor((min(frame) + max(frame)) / 2) AS BIGINT) m FROM cells GROUP BY 1, 2) SELECT episode, min(coalesce(f, o, m)) AS seam FROM z GROUP BY 1")
+@query("w24_seams", f"WITH {OBS_SQL}, {_CELLS}, z AS (SELECT episode, tid, arg_min(frame, CASE WHEN filled AND iou > 0 THEN -iou*1000000 + frame END) f, arg_min(frame, CASE WHEN iou > 0 THEN -iou*1000000 + frame END) o FROM cells GROUP BY 1, 2), e AS (SELECT episode, CAST(floor((min(frame) + max(frame)) / 2) AS BIGINT) m FROM cells GROUP BY 1) SELECT episode, min(coalesce(f, o, m)) AS seam FROM z JOIN e USING (episode) GROUP BY 1")
 def w24(s, d):
     return episodes.seams(_cells(s, d), ["episode"])
 
@@ -406,3 +406,44 @@ def k08(s, d):
     half = F.sin(F.radians("heading")) * F.col("w") / 2
     rows = obs(s, d).where("tid IN (1, 2)").select("frame", (F.col("tid") - 1).alias("tid"), r(F.col("cx") + half).alias("front_x"), r(F.col("cx") - half).alias("rear_x"))
     return reshape.to_wide(rows, [0, 1], ["front_x", "rear_x"]).select("frame", "front_x0", "rear_x1")
+
+
+@query("w17_flip_repair")
+def w17(s, d):
+    ship(s)
+    return headings.repair_flips(obs(s, d), 2)
+
+
+@query("j22_result_rescue")
+def j22(s, d):
+    """Results are the detections, a little off and some of them missing."""
+    ship(s)
+    blobs = det(s, d).select("frame", "event_id", *staged.VALUES)
+    off = blobs.where("event_id % 9 <> 0").withColumn("cx", F.expr("cx + event_id % 3 * 0.3")).withColumn("heading", F.expr("heading + event_id % 5 * 6"))
+    return matching.rescued(blobs, off, 60.0)
+
+
+@query("k07_split_manifest", f"WITH {DET_SQL} SELECT CASE WHEN frame % 5 = 0 THEN 'val' ELSE 'train' END AS split, 'cam' || lpad(CAST(frame AS VARCHAR), 6, '0') AS stem, frame AS source_frame, CASE WHEN event_id % 4 = 0 THEN 'clustered' ELSE 'single' END AS kind FROM det")
+def k07(s, d):
+    rows = det(s, d).select("frame", F.concat(F.lit("cam"), F.lpad(F.col("frame").cast("string"), 6, "0")).alias("stem"), F.col("frame").alias("source_frame"), F.expr("CASE WHEN event_id % 4 = 0 THEN 'clustered' ELSE 'single' END").alias("kind"))
+    parts = [rows.where(on).withColumn("split", F.lit(name)) for name, on in (("val", "frame % 5 = 0"), ("train", "frame % 5 <> 0"))]
+    return parts[0].unionByName(parts[1]).select("split", "stem", "source_frame", "kind")
+
+
+@query("k02_corner_table", f"WITH {OBS_SQL}, z AS (SELECT frame, tid, round(cx + sin(radians(heading))*w/2 + cos(radians(heading))*h/2, 4) x FROM obs WHERE tid IN (1, 2)) SELECT frame AS position, max(CASE WHEN tid = 1 THEN x END) x00, max(CASE WHEN tid = 2 THEN x END) x01 FROM z GROUP BY 1")
+def k02(s, d):
+    x = F.col("cx") + F.sin(F.radians("heading")) * F.col("w") / 2 + F.cos(F.radians("heading")) * F.col("h") / 2
+    rows = obs(s, d).where("tid IN (1, 2)").select(F.col("frame").alias("position"), (F.col("tid") - 1).alias("tid"), r(x).alias("x0"))
+    return reshape.to_wide(rows, [0, 1], ["x0"], frame="position")
+
+
+@query("s12_sniffed_format", "SELECT 'result' AS format UNION ALL SELECT 'pose' UNION ALL SELECT 'centroids'")
+def s12(s, d):
+    o = obs(s, d).where("tid = 1 AND frame < 5")
+    tables_ = [o.selectExpr("frame", "cx AS cx0", "cy AS cy0", "w AS w0", "h AS h0"), o.selectExpr("tid AS track", "frame AS frame_idx", "cx AS `head.x`", "cy AS `head.y`"), o.selectExpr("cx AS x0", "cy AS y0")]
+    found = []
+    for k, t in enumerate(tables_):
+        path = fresh_path(s, f"sniff{k}")
+        t.coalesce(1).write.option("header", True).csv(path)
+        found.append((tables.sniff(s, path),))
+    return s.createDataFrame(found, "format string")

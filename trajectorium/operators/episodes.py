@@ -80,10 +80,12 @@ def at_risk(episodes: DataFrame, overlaps: DataFrame, cells: DataFrame, least_io
 
 
 def seams(cells: DataFrame, key: list[str]) -> DataFrame:
-    """key, seam: for each id of an episode its first filled frame, else the frame of most overlap (the earliest), else the middle of the episode; the earliest of the ids. cells: key, tid, frame, filled, iou (null: none)."""
-    per = cells.groupBy(*key, "tid").agg(F.min(F.when(F.col("filled"), F.col("frame"))).alias("f"), F.min_by("frame", F.when(F.col("iou") > 0, F.struct(-F.col("iou"), "frame"))).alias("o"), F.min("frame").alias("lo"), F.max("frame").alias("hi"))
-    middle = F.floor((F.col("lo") + F.col("hi")) / 2)
-    return per.groupBy(*key).agg(F.min(F.coalesce("f", "o", middle)).alias("seam"))
+    """key, seam: for each id of an episode the frame of its most overlap among the filled ones, else among all (the earliest on a tie), else the middle of the episode; the earliest of the ids. cells: key, tid, frame, filled, iou (null or 0: none)."""
+    most = lambda on: F.min_by("frame", F.when(on & (F.col("iou") > 0), F.struct(-F.col("iou"), "frame")))
+    per = cells.groupBy(*key, "tid").agg(most(F.col("filled")).alias("f"), most(F.lit(True)).alias("o"), F.min("frame").alias("lo"), F.max("frame").alias("hi"))
+    found = F.coalesce("f", "o")
+    whole = per.groupBy(*key).agg(F.min(found).alias("_s"), F.bool_or(found.isNull()).alias("_open"), F.floor((F.min("lo") + F.max("hi")) / 2).alias("_m"))
+    return whole.select(*key, F.when(F.col("_open"), F.least("_s", "_m")).otherwise(F.col("_s")).alias("seam"))
 
 
 def unique_matching(cost: np.ndarray, ratio: float = 1.5) -> list[int] | None:

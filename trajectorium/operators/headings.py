@@ -80,3 +80,45 @@ def predicted_gaps(tracks: DataFrame, max_age: int) -> DataFrame:
         return out
 
     return tracks.select("tid", "frame", "cx", "cy").groupBy("tid").applyInPandas(run, "tid bigint, frame bigint, cx double, cy double")
+
+
+def repaired(frames: np.ndarray, headings: np.ndarray, least: int, split: float = 60.0, boundary: float = 120.0) -> np.ndarray:
+    """headings of one track, short runs turned round where that joins them to a long one.
+
+    Runs are consecutive frames whose headings differ by at most split; those
+    of `least` frames or more are anchors and stay. A short run is judged by
+    the anchors right next to it from which it differs by boundary or more:
+    it turns if the squares of the angles there grow smaller. The run with the
+    largest gain goes first (the earliest on a tie), then runs are made anew,
+    until none turns; each turn joins two runs, so it ends.
+    """
+    h = np.asarray(headings, float) % 360.0
+    while True:
+        far = np.abs((h[1:] - h[:-1] + 180.0) % 360.0 - 180.0)
+        near = np.diff(frames) == 1
+        first = np.concatenate(([0], np.flatnonzero(~near | (far > split)) + 1)).astype(int)
+        last = np.concatenate((first[1:], [len(h)])) - 1
+        anchor = frames[last] - frames[first] + 1 >= least if len(h) else np.zeros(0, bool)
+        best, at = 0.0, -1
+        for r in np.flatnonzero(~anchor):
+            ends = [(r - 1, first[r] - 1), (r + 1, last[r])]
+            angles = [far[k] for other, k in ends if 0 <= other < len(first) and anchor[other] and near[k] and far[k] >= boundary]
+            gain = sum(x * x - (180.0 - x) ** 2 for x in angles)
+            if gain > best:
+                best, at = gain, r
+        if at < 0:
+            return h
+        h[first[at] : last[at] + 1] = (h[first[at] : last[at] + 1] + 180.0) % 360.0
+
+
+def repair_flips(tracks: DataFrame, least: int = 5) -> DataFrame:
+    """tid, frame, heading, turned. Rows without a heading stay out. A track is one group, as each repair depends on the one before."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("frame")
+        was = pdf["heading"].to_numpy(float) % 360.0
+        now = repaired(pdf["frame"].to_numpy(), was, least)
+        return pdf[["tid", "frame"]].assign(heading=now, turned=now != was)
+
+    rows = tracks.select("tid", "frame", "heading").where("heading IS NOT NULL AND NOT isnan(heading)")
+    return rows.groupBy("tid").applyInPandas(run, "tid bigint, frame bigint, heading double, turned boolean")

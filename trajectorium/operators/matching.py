@@ -216,3 +216,46 @@ def centre_owner(det: DataFrame, reach: float) -> DataFrame:
     ux, uy = F.sin(F.radians("a_heading")), -F.cos(F.radians("a_heading"))
     held = (F.abs(dx * ux + dy * uy) <= F.col("a_w") / 2) & (F.abs(dy * ux - dx * uy) <= F.col("a_h") / 2)
     return pairs.where(held).groupBy(F.col("b_event_id").alias("event_id")).agg(F.min_by("a_event_id", F.struct(F.round(dx * dx + dy * dy, 6), "a_event_id")).alias("owner"))
+
+
+def rescued(blobs: DataFrame, results: DataFrame, reach: float) -> DataFrame:
+    """frame, event_id, reason of each blob: `rescued`, or the first rule that it fails against the result boxes of its frame.
+
+    Both have frame, event_id, cx, cy, w, h, heading (along w); areas are those
+    of the oriented boxes. A result belongs to the blobs that its centre lies
+    in. reach: at least the longest sum of two half diagonals. Pairs meet in
+    grid cells, and a blob's measures are aggregates, so no group is collected.
+    """
+    values = [f"{k}_{c}" for k in "ab" for c in (*BOX, "heading")]
+    pairs = near_pairs(blobs.select("frame", "event_id", *BOX, "heading"), results.select("frame", "event_id", *BOX, "heading"), reach)
+
+    def run(batches):
+        for p in batches:
+            a, b = (p[[f"{k}_{c}" for c in (*BOX, "heading")]].to_numpy(float) for k in "ab")
+            shared = shared_areas(a, b) if len(p) else np.zeros(0)
+            ux, uy = np.sin(np.radians(a[:, 4])), -np.cos(np.radians(a[:, 4]))
+            dx, dy = b[:, 0] - a[:, 0], b[:, 1] - a[:, 1]
+            inside = (np.abs(dx * ux + dy * uy) <= a[:, 2] / 2) & (np.abs(dx * uy - dy * ux) <= a[:, 3] / 2)
+            cover = shared / np.maximum(a[:, 2] * a[:, 3], 1e-9)
+            iou = shared / np.maximum(a[:, 2] * a[:, 3] + b[:, 2] * b[:, 3] - shared, 1e-9)
+            axis = np.abs(np.cos(np.radians(a[:, 4] - b[:, 4])))
+            yield p[["frame", "a_event_id", "b_event_id", "a_w", "a_h", "b_w", "b_h"]].assign(inside=inside, cover=cover, iou=iou, axis=axis)
+
+    measured = pairs.select("frame", "a_event_id", "b_event_id", *values).mapInPandas(run, "frame bigint, a_event_id bigint, b_event_id bigint, a_w double, a_h double, b_w double, b_h double, inside boolean, cover double, iou double, axis double")
+    spread = Window.partitionBy("frame", "b_event_id")
+    measured = measured.withColumn("_spans", F.count_if(F.col("cover") > 0.1).over(spread) - F.when(F.col("cover") > 0.1, 1).otherwise(0))
+    own = lambda c: F.max(F.when(F.col("inside"), c))
+    size = lambda c: (F.col(f"b_{c}") / F.col(f"a_{c}")).between(0.70, 1.40)
+    per = measured.groupBy("frame", F.col("a_event_id").alias("event_id")).agg(
+        F.count_if("inside").alias("owned"), F.count_if(F.col("cover") > 0.1).alias("covering"), own(F.col("cover")).alias("cover"), own(F.col("_spans")).alias("spans"),
+        own(F.col("a_w") / F.col("a_h")).alias("aspect"), own(size("w") & size("h")).alias("sized"), own(F.col("axis")).alias("axis"), own(F.col("iou")).alias("iou"),
+    )
+    has = results.select("frame").distinct().withColumn("_has", F.lit(True))
+    rows = blobs.select("frame", "event_id").join(has, "frame", "left").join(per, ["frame", "event_id"], "left")
+    rules = [
+        (F.col("_has").isNull(), "no_result_frame"), (F.coalesce("owned", F.lit(0)) == 0, "no_matching_obb"), (F.col("owned") > 1, "multiple_result_obbs"), (F.col("cover") < 0.85, "insufficient_blob_coverage"),
+        (F.col("covering") > 1, "competing_result_obb"), (F.col("spans") > 0, "obb_spans_multiple_blobs"), (F.col("aspect") < 1.25, "axis_ambiguous"), (~F.col("sized"), "obb_size_mismatch"),
+        (F.col("axis") < F.cos(F.radians(F.lit(20.0))), "heading_axis_mismatch"), (F.col("iou") < 0.6, "obb_iou_too_low"),
+    ]
+    reason = F.coalesce(*[F.when(on, name) for on, name in rules], F.lit("rescued"))
+    return rows.select("frame", "event_id", reason.alias("reason"))
