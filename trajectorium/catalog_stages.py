@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .functions import angles
-from .operators import episodes, headings, identity, matching, reshape, sampling, sequences, statistics
+from .operators import episodes, headings, identity, matching, reshape, resolver, sampling, sequences, statistics
 from .plans import reuse
 from .plans.views import DET_SQL, FRAG_SQL, OBS_SQL, det, frag, obs
 from .registry import PAIRS_SQL, query, r
@@ -447,3 +447,24 @@ def s12(s, d):
         t.coalesce(1).write.option("header", True).csv(path)
         found.append((tables.sniff(s, path),))
     return s.createDataFrame(found, "format string")
+
+
+def _resolver_input(s, d):
+    """Ten ids of a video, each with the fragments of one object."""
+    tracks = obs(s, d).where("tid < 40").select((F.col("tid") % 4).cast("string").alias("video"), "tid", "frame", *staged.VALUES)
+    f = frag(s, d).where("obj_id IS NOT NULL AND centroid IS NOT NULL")
+    ids = F.explode(F.sequence(F.lit(0), F.lit(3))).alias("k")
+    parts = f.select(ids, "obj_id", F.expr("frag_id % 170").alias("start_frame"), F.expr("frag_id % 170 + 3").alias("end_frame"), "centroid")
+    return tracks, parts.select(F.col("k").cast("string").alias("video"), (F.col("obj_id") * 4 + F.col("k")).alias("tid"), "start_frame", "end_frame", "centroid")
+
+
+@query("c02_resolved_tracks")
+def c02(s, d):
+    ship(s)
+    return resolver.resolve(*_resolver_input(s, d), resolver.Rules(limit=50.0))
+
+
+@query("c04_guarded_decisions")
+def c04(s, d):
+    ship(s)
+    return resolver.decisions(*_resolver_input(s, d), resolver.Rules(limit=50.0, closed_only=True))
