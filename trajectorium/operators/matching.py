@@ -60,6 +60,10 @@ def last_before(left: DataFrame, frags: DataFrame, key: str, at: str) -> DataFra
 
 def min_cost(cost: np.ndarray, valid: np.ndarray) -> list[tuple[int, int]]:
     """Pairs of a one-to-one assignment of least cost, those that aren't valid left out afterwards (shortest augmenting paths)."""
+    some = [np.flatnonzero(valid.any(k)) for k in (1, 0)]
+    if len(some[0]) < valid.shape[0] or len(some[1]) < valid.shape[1]:  # what fits nothing changes nothing
+        kept = np.ix_(*some)
+        return [(int(some[0][i]), int(some[1][j])) for i, j in min_cost(cost[kept], valid[kept])] if len(some[0]) else []
     c = np.where(valid, cost, 1e12)
     flip = c.shape[0] > c.shape[1]
     c = c.T if flip else c

@@ -59,10 +59,14 @@ def fits_axis(axis: float, v: np.ndarray) -> bool:
 
 def overlaps(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Share of the union for each of a with each of b (rows of VALUES)."""
-    i, j = np.divmod(np.arange(len(a) * len(b)), max(len(b), 1))
-    both = shared_areas(a[i], b[j]) if len(i) else np.zeros(0)
-    union = a[i, 2] * a[i, 3] + b[j, 2] * b[j, 3] - both
-    return np.divide(both, union, out=np.zeros_like(both), where=union > 0).reshape(len(a), len(b))
+    out = np.zeros((len(a), len(b)))
+    reach = np.hypot(a[:, 2], a[:, 3])[:, None] / 2 + np.hypot(b[:, 2], b[:, 3])[None, :] / 2
+    i, j = np.nonzero(np.hypot(a[:, None, 0] - b[None, :, 0], a[:, None, 1] - b[None, :, 1]) < reach)
+    if len(i):
+        both = shared_areas(a[i], b[j])
+        union = a[i, 2] * a[i, 3] + b[j, 2] * b[j, 3] - both
+        out[i, j] = np.divide(both, union, out=np.zeros_like(both), where=union > 0)
+    return out
 
 
 def by_overlap(references: list[tuple[np.ndarray, np.ndarray]], miss: np.ndarray, det: np.ndarray, strong: bool, directed: bool, limits: Limits) -> list[tuple[int, int]]:
@@ -76,6 +80,8 @@ def by_overlap(references: list[tuple[np.ndarray, np.ndarray]], miss: np.ndarray
             break
         iou = overlaps(boxes[rows], det[cols])
         valid = iou >= limits.strong_iou if strong else iou > 1e-9
+        if not valid.any():
+            continue
         turn = apart(headings[rows][:, None], det[cols, 4][None, :])
         if directed:
             valid &= np.isnan(turn) | (turn <= limits.strong_turn)
