@@ -10,7 +10,7 @@ import xxhash
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from trajectorium.llm import bpe, bpe_codec, components, embed_dedup, langid, packing, quality, queries, secret_scan, simhash, style_tree, token_counts, training_order
+from trajectorium.llm import bpe, bpe_codec, components, embed_dedup, jaccard_dedup, langid, packing, quality, queries, secret_scan, simhash, style_tree, token_counts, training_order
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, id string, fp int, hash int, label int, rank int, n int"
@@ -301,3 +301,34 @@ def test_pipeline(spark, docs):
     assert len(ids) == len(set(ids)) and all("token = \"" not in r["text"] for r in rows)
     packed = corpus_pipeline.STAGES[-1][1](spark, kept, SF)
     assert packed.select("doc_id").distinct().count() == len(ids)
+
+
+def test_pipeline_near_dedup_equals_brute_force(spark, docs):
+    """Near copies of a similarity of 0.8 or more go, whatever the distance of their fingerprints."""
+    real = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choices("abcdefgh", k=6))
+    base = [[word() for _ in range(104)] for _ in range(30)]
+    made = [(50_000 + 10 * k + j, " ".join([*b[: 104 - 4 * j], *[word() for _ in range(4 * j)]]), "en", "s", 9) for k, b in enumerate(base) for j in range(6)]
+    made += [(60_000, None, "en", "s", 0), (60_001, "", "en", "s", 0), (60_002, "two words", "en", "s", 9), (60_003, "Two  words", "en", "s", 10)]
+    df = real.select("doc_id", "text", "lang", "source", "n_chars").union(spark.createDataFrame(made, "doc_id bigint, text string, lang string, source string, n_chars bigint"))
+    rows = sorted(texts(df))
+
+    def shingled(t):
+        w = re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t))
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    sets = [shingled(t) for _, t in rows]
+    pairs, apart = [], 0
+    for a in range(len(rows)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if 5 * both >= 4 * (len(sets[a]) + len(sets[b]) - both):
+                pairs.append((a, b))
+                apart += (fingerprint(rows[a][1]) ^ fingerprint(rows[b][1])).bit_count() > 3
+    assert apart > 20
+    root = reached(len(rows), pairs)
+    wanted = {rows[k][0] for k in range(len(rows)) if root[k] == k}
+    kept = {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, df, SF).collect()}
+    assert kept == wanted
+    assert jaccard_dedup.copies(df.limit(0).selectExpr("doc_id AS row", "text")).count() == 0
