@@ -332,3 +332,15 @@ def test_pipeline_near_dedup_equals_brute_force(spark, docs):
     kept = {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, df, SF).collect()}
     assert kept == wanted
     assert jaccard_dedup.copies(df.limit(0).selectExpr("doc_id AS row", "text")).count() == 0
+
+
+def test_secret_of_one_owner_in_many_documents(spark):
+    """One owner's value is live however many of its documents hold it; two owners' isn't."""
+    own, shared = "Zx9kQ7vB2mN4pL8wR1tY", "aB3dE5gH7jK9mN1pQ3sT5vX7"
+    rows = [(k, f"page {k} has {own} in it", "s0") for k in range(12)] + [(20 + k, f"copy {own[::-1]}", "s1") for k in range(5)]
+    rows += [(40 + k, f"page {k} has {shared} in it", f"s{k % 2}") for k in range(12)]
+    df = spark.createDataFrame([(*r, len(r[1])) for r in rows], "doc_id bigint, text string, source string, n_chars bigint")
+    found = {r["doc_id"]: (r["n_live"], r["n_copied"]) for r in secret_scan.ownership_scan(df).collect()}
+    assert found == {i: (0, 1) if i >= 40 else (1, 0) for i, *_ in rows}
+    masked = {r["doc_id"]: r["text"] for r in secret_scan.redact(df).collect()}
+    assert masked == {i: t if i >= 40 else t.replace(own, "[SECRET]").replace(own[::-1], "[SECRET]") for i, t, _ in rows}

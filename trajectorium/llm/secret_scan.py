@@ -3,10 +3,12 @@
 Each text is scanned for three fixed kinds of secrets (assignments, access
 keys, long hexadecimal strings) and for candidates: other long mixed strings
 that look random. Every value, hashed, is counted over the whole corpus: in how
-many distinct repositories and by how many distinct owners. A value that few
-owners and few repositories have is owner-specific and live-looking; one that
-many have is a copied example. Live-looking candidates are added as spans of
-kind `live`; spans of the fixed kinds always stay.
+many distinct repositories and by how many distinct owners. A value of a single
+owner is owner-specific and live-looking, however many of the owner's
+repositories repeat it; so is one of few owners and few repositories, where
+more owners than one are allowed. One that many owners have is a copied
+example, also where they have copies of one text. Live-looking candidates are
+added as spans of kind `live`; spans of the fixed kinds always stay.
 
 Null and empty texts have no spans; null owners and repositories count as one
 each. Texts are scanned whole. Repeated rows repeat their result and count as
@@ -39,7 +41,7 @@ _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 
 #: Bits per character that a candidate needs.
 ENTROPY = 3.2
-#: A value of at most so many owners and repositories is owner-specific.
+#: A value of at most so many owners is owner-specific; if it has more than one, it may have at most so many repositories.
 OWNERS = 1
 REPOSITORIES = 3
 
@@ -116,8 +118,9 @@ def frequencies(found: DataFrame) -> DataFrame:
 def _judged(docs: DataFrame, owners: int = OWNERS, repositories: int = REPOSITORIES, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str = "doc_id") -> DataFrame:
     """What ownership_scan() returns, with the id as `id` and text_hash."""
     found = scan(docs, id_col, text_col, owner_col, repo_col)
-    live = frequencies(found).where((F.col("owners") <= owners) & (F.col("repositories") <= repositories)).select("hash", F.lit(True).alias("live"))
-    # documents equal in id and text have equal values; the rows of a live value are few by its definition
+    few = (F.col("owners") == 1) | (F.col("repositories") <= repositories)
+    live = frequencies(found).where((F.col("owners") <= owners) & few).select("hash", F.lit(True).alias("live"))
+    # documents equal in id and text have equal values; a live value can have many rows, so the join is one that splits skewed keys
     key = ["id", "text_hash"]
     values = found.select("id", "text_hash", F.explode(F.concat("base", "more")).alias("s")).select(*key, F.col("s.hash").alias("hash")).distinct()
     of = values.join(live, "hash", "left_semi").groupBy(*key).agg(F.collect_set("hash").alias("live"))
