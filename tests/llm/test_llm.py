@@ -344,3 +344,19 @@ def test_secret_of_one_owner_in_many_documents(spark):
     assert found == {i: (0, 1) if i >= 40 else (1, 0) for i, *_ in rows}
     masked = {r["doc_id"]: r["text"] for r in secret_scan.redact(df).collect()}
     assert masked == {i: t if i >= 40 else t.replace(own, "[SECRET]").replace(own[::-1], "[SECRET]") for i, t, _ in rows}
+
+
+def test_style_tree_keeps_copied_articles(spark):
+    """Neither a block that only copies of one page have nor an article that most pages of a host have is a template."""
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choices("abcdefgh", k=6))
+    page = "<html><body><nav>%s</nav><article>%s</article></body></html>"
+    table = "<p>Copied text</p><table><tr><td>A cell</td></tr></table>"
+    rows = [(k, "http://a.example/x", page % ("Menu", table), "Copied text\n\nA cell") for k in range(9)]
+    for host, lo, n in (("a", 100, 30), ("b", 1000, 38)):
+        for k in range(n):
+            t = f"{word()} {word()} {word()}"
+            rows.append((lo + k, f"http://{host}.example/x", page % (word(), f"<p>{t}</p>"), t))
+    rows += [(2000 + k, "http://b.example/x", page % (word(), "<p>The same article</p>"), "The same article") for k in range(62)]
+    df = spark.createDataFrame([r[:3] for r in rows], "page_id bigint, url string, html string")
+    assert {r["page_id"]: r["text"] for r in style_tree.extract(df).collect()} == {r[0]: r[3] for r in rows}

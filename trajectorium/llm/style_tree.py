@@ -11,7 +11,8 @@ whose tag or class says that they aren't the article (menus, forms, comments
 
 Null and empty pages give an empty text. Pages are parsed whole, cut ones as
 far as they go. Pages without a host share the empty host. Repeated rows repeat
-their result (and count as pages of the tree). An empty table gives an empty
+their result; pages of a host with the same article count once in the tree, so
+copies of a page are no template. An empty table gives an empty
 one; other columns are left alone.
 """
 
@@ -19,7 +20,6 @@ from __future__ import annotations
 
 import html as entities
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -151,27 +151,34 @@ def main_text(page: str, low: set[str]) -> str:
     return "\n\n".join(t for main, t in kept if main) or "\n\n".join(t for _, t in kept)
 
 
+def own_text(found: list[Block]) -> str:
+    """What tells a page from others: its article, else its text without branches apart, else all of its text."""
+    return "\n".join(t for _, apart, main, t in found if main and not apart) or "\n".join(t for _, apart, _, t in found if not apart) or "\n".join(t for *_, t in found)
+
+
 def contents(pages: DataFrame) -> DataFrame:
-    """host, path, content, n: how often a node of a host's tree has a content, over whole pages; summed in each batch."""
+    """host, path, content, n: with how many distinct articles of a host a node of its tree has a content. Copies of an article count once, whatever is around them."""
     ship(pages.sparkSession)
     rows = pages.select(F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in units(batches, "html"):
-            seen: Counter[tuple[str, str, int]] = Counter()
+            seen: set[tuple[str, str, int, int]] = set()
             for u, h in zip(b.column("url").to_pylist(), strings(b.column("html"))):
                 below: dict[str, xxhash.xxh3_64] = {}
-                for path, _, _, text in blocks(h):
+                found = blocks(h)
+                article = xxhash.xxh3_64_intdigest(own_text(found)) >> 1
+                for path, _, _, text in found:
                     for p in branches(path):
                         below.setdefault(p, xxhash.xxh3_64()).update(text + "\n")
                 own = host(u)
                 for p, x in below.items():
-                    seen[own, p, x.intdigest() >> 1] += 1
+                    seen.add((own, p, x.intdigest() >> 1, article))
             keys = list(seen)
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array([k[2] for k in keys], pa.int64()), pa.array(list(seen.values()), pa.int64())], names=["host", "path", "content", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array([k[2] for k in keys], pa.int64()), pa.array([k[3] for k in keys], pa.int64())], names=["host", "path", "content", "article"])
 
-    found = rows.mapInArrow(run, "host string, path string, content bigint, n bigint")
-    return found.groupBy("host", "path", "content").agg(F.sum("n").alias("n"))
+    found = rows.mapInArrow(run, "host string, path string, content bigint, article bigint").distinct()
+    return found.groupBy("host", "path", "content").agg(F.count("*").alias("n"))
 
 
 def importance(pages: DataFrame) -> DataFrame:
