@@ -142,14 +142,21 @@ def w24(s, d):
     return episodes.seams(_cells(s, d), ["episode"])
 
 
+#: More than any frame's number.
+_FRAMES = 1 << 31
+
+
 @query("j25_unique_matchings")
 def j25(s, d):
     ship(s)
-    rows = obs(s, d).where("tid < 4")
-    here = rows.select("frame", F.col("event_id").alias("source"), "cx", "cy")
-    there = rows.select((F.col("frame") - 1).alias("frame"), F.col("event_id").alias("target"), F.col("cx").alias("x"), F.col("cy").alias("y"))
-    costs = here.join(there, "frame").select("frame", "source", "target", F.hypot(F.col("cx") - F.col("x"), F.col("cy") - F.col("y")).alias("cost"))
-    return episodes.unique_matchings(costs, "frame")
+    """Four ids are one roster, matched from each frame to the next."""
+    roster = F.floor(F.col("tid") / 4)
+    rows = obs(s, d).select(roster.alias("roster"), "tid", "frame", "event_id", "cx", "cy")
+    cell = lambda f: (F.col("roster") * _FRAMES + f).alias("cell")
+    here = rows.select(cell(F.col("frame")), F.col("event_id").alias("source"), "cx", "cy")
+    there = rows.where("frame > 0").select(cell(F.col("frame") - 1), F.col("event_id").alias("target"), F.col("cx").alias("x"), F.col("cy").alias("y"))
+    costs = here.join(there, "cell").select("cell", "source", "target", F.hypot(F.col("cx") - F.col("x"), F.col("cy") - F.col("y")).alias("cost"))
+    return episodes.unique_matchings(costs, "cell").select(F.floor(F.col("cell") / _FRAMES).alias("roster"), (F.col("cell") % _FRAMES).alias("frame"), "source", "target")
 
 
 _PIVOT = 2500
@@ -451,12 +458,13 @@ def s12(s, d):
 
 
 def _resolver_input(s, d):
-    """Ten ids of a video, each with the fragments of one object."""
-    tracks = obs(s, d).where("tid < 40").select((F.col("tid") % 4).cast("string").alias("video"), "tid", "frame", *staged.VALUES)
-    f = frag(s, d).where("obj_id IS NOT NULL AND centroid IS NOT NULL")
-    ids = F.explode(F.sequence(F.lit(0), F.lit(3))).alias("k")
-    parts = f.select(ids, "obj_id", F.expr("frag_id % 170").alias("start_frame"), F.expr("frag_id % 170 + 3").alias("end_frame"), "centroid")
-    return tracks, parts.select(F.col("k").cast("string").alias("video"), (F.col("obj_id") * 4 + F.col("k")).alias("tid"), "start_frame", "end_frame", "centroid")
+    """Ten ids are one video, so there are more videos where there are more ids; each fragment is of one video, its object one of the video's ids."""
+    o = obs(s, d)
+    tracks = o.select(F.floor(F.col("tid") / 10).cast("string").alias("video"), "tid", "frame", *staged.VALUES)
+    videos = o.agg((F.floor(F.max("tid") / 10) + 1).alias("videos"))
+    f = frag(s, d).where("obj_id IS NOT NULL AND centroid IS NOT NULL").crossJoin(F.broadcast(videos))
+    parts = f.select(F.expr("pmod(xxhash64(frag_id), videos)").alias("k"), "obj_id", F.expr("frag_id % 170").alias("start_frame"), F.expr("frag_id % 170 + 3").alias("end_frame"), "centroid")
+    return tracks, parts.select(F.col("k").cast("string").alias("video"), (F.col("k") * 10 + F.col("obj_id")).alias("tid"), "start_frame", "end_frame", "centroid")
 
 
 @query("c02_resolved_tracks")
