@@ -7,6 +7,7 @@ from collections import Counter
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -126,6 +127,45 @@ def test_training_order(docs, none, tmp_path):
     assert training_order.training_order(none, queries.BYTE_BPE, "k").count() == 0
 
 
+def feistel(index, n, key, rounds=8):
+    """A plain keyed Feistel network with cycle-walking."""
+    import struct
+
+    bits = max(2, (n - 1).bit_length())
+    low = bits // 2
+    keys = [int.from_bytes(hashlib.sha256(f"{key}:{r}".encode()).digest()[:7], "little") for r in range(rounds)]
+    hashed = lambda x, k: xxhash.xxh64_intdigest(struct.pack("<q", k), xxhash.xxh64_intdigest(struct.pack("<q", x), 42))
+    x = index
+    while True:
+        left, right = x >> low, x & ((1 << low) - 1)
+        for r, k in enumerate(keys):
+            if r % 2:
+                right ^= hashed(left, k) & ((1 << low) - 1)
+            else:
+                left ^= hashed(right, k) & ((1 << (bits - low)) - 1)
+        x = left << low | right
+        if x < n:
+            return x
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 5, 64, 65, 1000, 4099])
+def test_permutation_equals_plain_feistel(spark, n):
+    found = [r[0] for r in spark.range(n).orderBy("id").select(training_order.permuted(F.col("id"), n, "a key")).collect()]
+    assert found == [feistel(i, n, "a key") for i in range(n)] and sorted(found) == list(range(n))
+
+
+def test_training_order_runs_over_one_plan(spark, docs):
+    """Neither the setting nor the number of partitions planned later changes what the passes see; a shuffled input works too."""
+    before = dict(spark.sparkContext.getConf().getAll()), spark.conf.get("spark.sql.files.minPartitionNum", None)
+    rows, partitions = training_order.settled(docs.repartition(7, "doc_id"))
+    parts = [r[0] for r in rows.groupBy(F.spark_partition_id()).count().select("count").orderBy("count").collect()]
+    spark.conf.set("spark.sql.shuffle.partitions", "3")
+    again = [r[0] for r in rows.groupBy(F.spark_partition_id()).count().select("count").orderBy("count").collect()]
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    assert parts == again and sum(parts) == docs.count() and partitions >= len(parts)
+    assert before == (dict(spark.sparkContext.getConf().getAll()), spark.conf.get("spark.sql.files.minPartitionNum", None))
+
+
 def fingerprint(text):
     w = re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text))
     h = [xxhash.xxh64_intdigest(" ".join(w[i : i + 3]).encode(), 42) for i in range(max(1, len(w) - 2))] if w else []

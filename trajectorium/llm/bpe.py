@@ -82,6 +82,8 @@ class Merges:
             rest = np.ones(len(left), bool)
             rest[settled] = False
             left, rank, slot = left[rest], rank[rest], slot[rest] + 1
+        pairs = np.arange(1 << 16)
+        self.bytes_rank = self.rank(self.first[pairs >> 8], self.first[pairs & 255])
 
     def rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """The rank of each pair of ids; the largest int32 where there is no such merge."""
@@ -110,53 +112,59 @@ def rank_synchronous(m: Merges, words: list[bytes]) -> tuple[np.ndarray, np.ndar
 
     The words are one ragged array. Every round finds the lowest rank among each
     word's pairs and merges all its pairs of that rank, left to right, in all
-    words at once, until no word has a pair with a rank.
+    words at once, until no word has a pair with a rank. Ranks stay beside their
+    pairs, and only those of the pairs next to a merge are looked up anew.
     """
-    lengths = np.array([len(w) for w in words], np.int64)
-    ids_out: list[np.ndarray] = []
-    counts = np.zeros(len(words), np.int64)
-    owner_out: list[np.ndarray] = []
+    lengths = np.fromiter(map(len, words), np.int64, len(words))
     flat = np.frombuffer(b"".join(words), np.uint8)
-    ids = m.first[flat].copy()
-    full = lengths > 0
-    if m.end and len(ids):
-        ends = np.cumsum(lengths)[full] - 1
-        ids[ends] = m.last[flat[ends]]
-    owner = np.repeat(np.arange(len(words)), lengths)
+    if not len(flat):
+        return np.zeros(0, np.int32), np.zeros(len(words), np.int64)
     none = np.iinfo(np.int32).max
-    while len(ids):
-        same = owner[1:] == owner[:-1]
-        rank = np.full(len(ids), none, np.int32)
-        at = np.flatnonzero(same)
+    word = np.flatnonzero(lengths)  # the words that are still in the array, and their symbols
+    sizes = lengths[word]
+    ends = np.cumsum(sizes) - 1
+    ids = m.first[flat]
+    rank = np.full(len(ids), none, np.int32)
+    rank[:-1] = m.bytes_rank[(flat[:-1].astype(np.int32) << 8) | flat[1:]]
+    last = np.zeros(len(ids), bool)
+    last[ends] = True
+    if m.end:
+        ids[ends] = m.last[flat[ends]]
+        at = ends[sizes > 1] - 1
         rank[at] = m.rank(ids[at], ids[at + 1])
-        starts = np.concatenate(([0], np.flatnonzero(~same) + 1))
-        best = np.minimum.reduceat(rank, starts)
-        sizes = np.diff(np.concatenate((starts, [len(ids)])))
+    rank[ends] = none
+    ids_out: list[np.ndarray] = []
+    word_out: list[np.ndarray] = []
+    while True:
+        best = np.minimum.reduceat(rank, np.cumsum(sizes) - sizes)
         live = best < none
-        mine = np.repeat(best, sizes)
-        done = ~np.repeat(live, sizes)
-        if done.any():  # finished words leave the array
+        some = np.count_nonzero(live)
+        if 2 * some <= len(live):  # finished words leave the array
+            done = np.repeat(~live, sizes)
             ids_out.append(ids[done])
-            owner_out.append(owner[done])
-            ids, owner, rank, mine = ids[~done], owner[~done], rank[~done], mine[~done]
-            if not len(ids):
+            word_out.append(np.repeat(word[~live], sizes[~live]))
+            if not some:
                 break
-        hit = rank == mine
-        run = hit & np.concatenate(([False], hit[:-1]))
+            ids, rank, last = ids[~done], rank[~done], last[~done]
+            word, sizes, best = word[live], sizes[live], best[live]
+        at = np.flatnonzero(rank == np.repeat(np.where(best < none, best, -1), sizes))
+        run = np.concatenate(([False], at[1:] == at[:-1] + 1))
         if run.any():  # aaa: of neighbouring hits, every second one merges
-            index = np.arange(len(hit))
-            begin = np.maximum.accumulate(np.where(hit & ~run, index, -1))
-            hit &= ((index - begin) & 1) == 0
-        at = np.flatnonzero(hit)
+            index = np.arange(len(at))
+            at = at[((index - np.maximum.accumulate(np.where(run, 0, index))) & 1) == 0]
         ids[at] = m.made[rank[at]]
+        last[at] = last[at + 1]
         keep = np.ones(len(ids), bool)
         keep[at + 1] = False
-        ids, owner = ids[keep], owner[keep]
-    if not ids_out:
-        return np.zeros(0, np.int32), counts
-    owners, values = np.concatenate(owner_out), np.concatenate(ids_out)
-    counts = np.bincount(owners, minlength=len(words)).astype(np.int64)
-    return values[np.argsort(owners, kind="stable")], counts
+        sizes = sizes - np.bincount(np.searchsorted(np.cumsum(sizes), at, "right"), minlength=len(sizes))
+        ids, rank, last = ids[keep], rank[keep], last[keep]
+        at = at - np.arange(len(at))  # where the merged symbols are now
+        rank[at] = none
+        before = at[at > 0] - 1
+        at = np.concatenate((at[~last[at]], before[~last[before]]))
+        rank[at] = m.rank(ids[at], ids[at + 1])
+    owners, values = np.concatenate(word_out), np.concatenate(ids_out)
+    return values[np.argsort(owners, kind="stable")], np.bincount(owners, minlength=len(words)).astype(np.int64)
 
 
 class PrefixCoder:

@@ -3,13 +3,15 @@
 Texts become token ids, cut into sequences of `seq_len`; the last of a document
 is filled up with the end id. Every sequence has a dense index: the rank within
 the task that tokenises it, after the sequences of the tasks before it. A first
-pass only counts each task's sequences; a second one over the same splits of the
-input emits ids, so that no copy of them is held besides the one that is dealt
-out. Input that isn't a plain scan of files is written to the shared folder
-first, and the least number of splits is fixed, so both passes see the same; a
-task that yet finds another number of sequences than it counted fails. A keyed
-Feistel network over the smallest power of two that holds all indices, walked
-along its cycle until the value is an index again, permutes them into slots.
+pass only counts each task's sequences; a second one over the same partitions of
+the input emits ids, so that no copy of them is held besides the one that is
+dealt out. The second pass runs over partitions that are planned before the
+first, so executors that come or go between them don't change them; should the
+first have seen others, it runs again over these, and a task that yet finds
+another number of sequences than it counted fails. What goes to the driver is a
+number for each task of the input. A keyed Feistel network over the smallest
+power of two that holds all indices, walked along its cycle until the value is
+an index again, permutes them into slots; a walk that doesn't end fails.
 Slots are dealt by range, one shard to a task; a task writes its shard as one
 file of records of seq_len * 2 bytes (little-endian unsigned 16-bit ids), so
 that slot s is record s mod shard_records of shard s div shard_records, and a
@@ -24,7 +26,6 @@ columns are left alone.
 from __future__ import annotations
 
 import hashlib
-import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -35,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import fresh_path, materialize, ship
+from ..session import fresh_path, ship
 from .bpe import encoder
 from .common import units
 
@@ -43,8 +44,10 @@ SEQ_LEN = 512
 SHARD_RECORDS = 16384
 END = 50256
 ROUNDS = 8
-#: Each step of a walk ends it with a chance of a half at least.
+#: Each step of a walk ends it with a chance of a half at least; one that takes more steps than this fails.
 WALK = 96
+#: Bytes of text that a worker tokenises at once: of more text, a smaller share of the words is new.
+UNIT = 4 << 20
 
 
 def permuted(index: Column, n: int, key: str) -> Column:
@@ -66,28 +69,25 @@ def permuted(index: Column, n: int, key: str) -> Column:
         return F.aggregate(rounds, begin, step, lambda s: F.shiftleft(s["high"], low).bitwiseOR(s["low"]))
 
     first = network(index.cast("long"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), first, lambda x, _: F.when(x < n, x).otherwise(network(x)))
+    walked = F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), first, lambda x, _: F.when(x < n, x).otherwise(network(x)))
+    return F.transform(F.array(walked), lambda x: F.when(x < n, x).otherwise(F.raise_error(F.lit("a walk along the permutation's cycle didn't end")).cast("bigint")))[0]
 
 
-def settled(docs: DataFrame) -> DataFrame:
-    """doc_id and text from a scan whose splits don't depend on how many executors there are just now."""
-    spark = docs.sparkSession
-    if spark.conf.get("spark.sql.files.minPartitionNum", None) is None:
-        spark.conf.set("spark.sql.files.minPartitionNum", str(spark.sparkContext.defaultParallelism))
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    plan = rows._jdf.queryExecution().optimizedPlan().toString().strip().splitlines()
-    plain = all(re.match(r"[\s:+-]*(Project|Filter|Relation) ", x) for x in plan) and len(docs.inputFiles()) > 0
-    return rows if plain else materialize(rows, "documents")
+def settled(rows: DataFrame) -> tuple[DataFrame, int]:
+    """rows over partitions that are planned once, and how many: every use of the result runs over the same."""
+    planned = rows._jdf.queryExecution().toRdd()
+    spark = rows.sparkSession
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(planned, rows._jdf.schema(), False), spark), planned.getNumPartitions()
 
 
 def task_counts(rows: DataFrame, tokenizer: str, seq_len: int = SEQ_LEN) -> dict[int, int]:
     """How many sequences each task makes: a row for each task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = sum(int(np.maximum(1, -(-encoder(tokenizer).counts(b.column("text")) // seq_len)).sum()) for b in units(batches))
+        total = sum(int(np.maximum(1, -(-encoder(tokenizer).counts(b.column("text")) // seq_len)).sum()) for b in units(batches, most=UNIT))
         yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([total], pa.int64())], names=["task", "n"])
 
-    return {r["task"]: r["n"] for r in rows.select("doc_id", "text").mapInArrow(run, "task int, n bigint").collect() if r["n"]}
+    return {r["task"]: r["n"] for r in rows.select("doc_id", "text").mapInArrow(run, "task int, n bigint").collect()}
 
 
 def sequences(rows: DataFrame, tokenizer: str, seq_len: int, counted: dict[int, int]) -> DataFrame:
@@ -96,7 +96,7 @@ def sequences(rows: DataFrame, tokenizer: str, seq_len: int, counted: dict[int,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, rank = TaskContext.get().partitionId(), 0
-        for b in units(batches):
+        for b in units(batches, most=UNIT):
             ids, counts = encoder(tokenizer).encode(b.column("text"))
             ids = ids.astype("<u2")
             many = np.maximum(1, -(-counts // seq_len))
@@ -193,6 +193,9 @@ def training_order(docs: DataFrame, tokenizer: str, key: str, path: str | None =
     """Writes the shards and returns their manifest, one row per sequence."""
     spark: SparkSession = docs.sparkSession
     ship(spark)
-    rows = settled(docs)
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    fixed, partitions = settled(rows)
     counted = task_counts(rows, tokenizer, seq_len)
-    return write_shards(sequences(rows, tokenizer, seq_len, counted), counted, path or fresh_path(spark, "shards"), key, seq_len, shard_records, end_id)
+    if len(counted) != partitions:
+        counted = task_counts(fixed, tokenizer, seq_len)
+    return write_shards(sequences(fixed, tokenizer, seq_len, counted), counted, path or fresh_path(spark, "shards"), key, seq_len, shard_records, end_id)
