@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import io
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -24,6 +27,7 @@ def ship(spark: SparkSession) -> None:
         for p in sorted(ROOT.rglob("*.py")):
             z.write(p, str(p.relative_to(ROOT.parent)))
     folder = tempfile.mkdtemp(prefix="trajectorium-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
     path = os.path.join(folder, "trajectorium_package.zip")
     Path(path).write_bytes(held.getvalue())
     sc.addPyFile(path)
@@ -31,14 +35,16 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = getattr(spark.sparkContext, "_trajectorium_shared", None)
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a temporary one if all of Spark runs in this process, else an error."""
+    sc = spark.sparkContext
+    at = spark.conf.get("spark.checkpoint.dir", None) or getattr(sc, "_trajectorium_shared", None)
     if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="trajectorium-shared-")
-        spark.sparkContext._trajectorium_shared = at
-        spark.sparkContext.setCheckpointDir(at)
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="trajectorium-shared-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        at = sc._trajectorium_shared = "file://" + folder
+        sc.setCheckpointDir(at)
     return at.rstrip("/")
 
 
@@ -46,9 +52,38 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def _delete_all(spark: SparkSession) -> None:
+    """What is left of this session's tables, if Spark still runs."""
+    if spark.sparkContext._jsc is not None:
+        with contextlib.suppress(Exception):
+            for path in list(spark.sparkContext._trajectorium_tables):
+                _delete(spark, path)
+
+
 def materialize(df: DataFrame, name: str = "table") -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: cuts lineage and survives lost executors."""
+    """Write df as Parquet in the shared folder and read it back: cuts lineage and survives lost executors. The table goes with discard(), or when the driver ends."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    sc = spark.sparkContext
+    if not hasattr(sc, "_trajectorium_tables"):
+        sc._trajectorium_tables = set()
+        atexit.register(_delete_all, spark)
+    sc._trajectorium_tables.add(path)
+    table._trajectorium_path = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of materialize() that nothing reads any more."""
+    for t in tables:
+        path = t._trajectorium_path
+        _delete(t.sparkSession, path)
+        t.sparkSession.sparkContext._trajectorium_tables.discard(path)
