@@ -345,6 +345,129 @@ def test_style_tree_removes_templates(spark):
     assert style_tree.extract(df.limit(0)).count() == 0
 
 
+def neutral_site(seed, pages=40):
+    """Pages whose templates have none of the names that say so: a line of the site, a bar of changing links, a rotating text from a small pool; the article's paragraphs and lists vary."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choices("abcdefgh", k=6))
+    pool = [" ".join(word() for _ in range(6)) for _ in range(5)]
+    links = [word() for _ in range(4)]
+    out = []
+    for k in range(pages):
+        parts = [("p", " ".join(word() for _ in range(rng.randint(3, 30)))) for _ in range(rng.randint(1, 5))]
+        if rng.random() < 0.4:
+            parts.insert(rng.randint(0, len(parts)), ("h2", word()))
+        body = "".join(f"<{t}>{x}</{t}>" for t, x in parts)
+        html = f"<html><body><div class=x1><div>All of {seed}</div></div><div class=x2><ul>" + "".join(f"<li>{x}</li>" for x in links[: 3 + k % 2]) + f"</ul></div><div class=x3>{body}</div><div class=x4>{rng.choice(pool)}</div></body></html>"
+        out.append((html, "\n\n".join(x for _, x in parts)))
+    return out
+
+
+def test_style_tree_decides_on_neutral_names(spark):
+    """Templates without telling names go by importance alone; without the tree they stay."""
+    site = neutral_site(1)
+    rows = [(k, "http://n.example/x", html) for k, (html, _) in enumerate(site)]
+    df = spark.createDataFrame([(*r, 1, 2) for r in rows], "page_id bigint, url string, html string, host int, removed int")
+    found = {r["page_id"]: r for r in style_tree.extract(df).collect()}
+    for k, (html, text) in enumerate(site):
+        assert found[k]["text"] == text and found[k]["n_template"] >= 4 and found[k]["n_aside"] == 0
+        assert style_tree.main_text(html, set()) != text
+    few = style_tree.extract(df.where("page_id < 2")).collect()  # two pages say nothing
+    assert all(r["n_template"] == 0 for r in few)
+
+
+def test_style_tree_ignores_near_copies(spark):
+    """Pages whose articles differ in a few words show what the articles have in common, but that is no template."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choices("abcdefgh", k=6))
+    base = [word() for _ in range(300)]
+    rows = []
+    for k in range(40):
+        w = list(base)
+        w[rng.randrange(100, 300)] = word()
+        rows.append((k, "http://c.example/x", f"<body><div class=a><h3>The same head</h3><div>{' '.join(w[:100])}</div><div class=b>{' '.join(w[100:])}</div></div></body>", "\n\n".join(["The same head", " ".join(w[:100]), " ".join(w[100:])])))
+    for k in range(40, 90):
+        t = [word(), " ".join(word() for _ in range(40)), " ".join(word() for _ in range(50))]
+        rows.append((k, "http://c.example/x", f"<body><div class=a><h3>{t[0]}</h3><div>{t[1]}</div><div class=b>{t[2]}</div></div></body>", "\n\n".join(t)))
+    df = spark.createDataFrame([r[:3] for r in rows], "page_id bigint, url string, html string")
+    assert {r["page_id"]: r["text"] for r in style_tree.extract(df).collect()} == {r[0]: r[3] for r in rows}
+
+
+def plain_importance(pages):
+    """(label path with numbers of runs): importance and whether it is noise, by html.parser and dictionaries, for well-formed pages of one host."""
+    import math
+    from html.parser import HTMLParser
+
+    class Tree(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.stack, self.kids, self.text, self.count = [()], {(): [[]]}, {}, [{}]
+
+        def handle_starttag(self, tag, attrs):
+            label = f"{tag}.{dict(attrs).get('class', '')}"
+            runs, seen = self.kids[self.stack[-1]][-1], self.count[-1]
+            if not runs or runs[-1] != label:
+                runs.append(label)
+                seen[label] = seen.get(label, 0) + 1
+            node = (*self.stack[-1], (label, seen[label]))
+            self.kids.setdefault(node, []).append([])
+            self.stack.append(node)
+            self.count.append({})
+
+        def handle_endtag(self, tag):
+            self.stack.pop()
+            self.count.pop()
+
+        def handle_data(self, data):
+            for k in range(len(self.stack[-1]) + 1):
+                self.text.setdefault(self.stack[-1][:k], []).append(data)
+
+    contents, styles, seen = {}, {}, set()
+    for html in pages:
+        t = Tree()
+        t.feed(html)
+        words = " ".join(t.text[()]).split()
+        article = min(xxhash.xxh3_64_intdigest(" ".join(words[k : k + 4])) for k in range(len(words) - 3))
+        for node, text in t.text.items():
+            shapes = []
+            for x in map(tuple, t.kids[node]):
+                if not shapes or shapes[-1] != x:
+                    shapes.append(x)
+            if (node, tuple(text), tuple(shapes), article) not in seen:
+                seen.add((node, tuple(text), tuple(shapes), article))
+                contents.setdefault(node, Counter())[tuple(text)] += 1
+                styles.setdefault(node, Counter())[tuple(shapes)] += 1
+    out = {}
+    for node, c in contents.items():
+        m = sum(c.values()) + 8
+        entropy = lambda x: 1 - sum(n * math.log(n) for n in x.values()) / (m * math.log(m))  # noqa: E731, B023
+        leaf = all(not any(x) for x in styles[node])
+        w = 0.9 ** len(styles[node])
+        i = entropy(c) if leaf else (1 - w) * entropy(styles[node]) + w * entropy(c)
+        again = sum(n for n in c.values() if n > 1)
+        out[node] = (m - 8, len(styles[node]), again, round(i, 9), i < 1 - math.log(2) / math.log(m) and again >= 0.75 * (m - 8))
+    return out
+
+
+def test_importance_equals_brute_force(spark):
+    for seed in (3, 4):
+        pages = [h for h, _ in neutral_site(seed, 25)]
+        want = plain_importance(pages)
+        df = spark.createDataFrame([(k, "http://n.example/x", h) for k, h in enumerate(pages)], "page_id bigint, url string, html string")
+        low = {r["node"] for r in style_tree.noise(df).collect()}
+        found = sorted((r["pages"], r["styles"], r["repeated"], round(r["importance"], 9), r["node"] in low) for r in style_tree.importance(df).collect())
+        assert found == sorted(want.values())
+
+
+def test_long_and_deep_pages(spark):
+    deep = "<div>" * 20_000 + "deep" + "</div>" * 20_000
+    long = "<article>" + "".join(f"<p>w{k} &amp;</p>" for k in range(50_000)) + "</article>"
+    open_ = "<p><b>x" * 20_000 + "</i></u>" * 20_000
+    df = spark.createDataFrame([(1, None, deep), (2, None, long), (3, None, open_), (None, "u", None), (2, None, long)], "page_id bigint, url string, html string")
+    found = [(r["page_id"], r["n_chars"], r["text"][:20]) for r in style_tree.extract(df).collect()]
+    n = sum(len(f"w{k} &") for k in range(50_000)) + 2 * 49_999
+    same(found, [(1, 4, "deep"), (2, n, "w0 &\n\nw1 &\n\nw2 &\n\n"[:20]), (2, n, "w0 &\n\nw1 &\n\nw2 &\n\n"[:20]), (3, 3 * 20_000 - 2, "\n\n".join("x" * 20)[:20]), (None, 0, "")])
+
+
 def counts(text):
     w = re.findall(r"[^\x20\x09-\x0D]+", text)
     seen = Counter(tuple(w[i : i + 3]) for i in range(len(w) - 2))

@@ -1,25 +1,41 @@
 """Main text of pages by a site style tree.
 
-The DOMs of a host's pages are merged: nodes with the same path of tags and
-classes from the root are one node of the site's tree. A content node's
-importance is the entropy of its contents over the pages that have it, divided
-by the largest possible; a presentation node's is that of the contents below
-it. A node whose contents hardly vary over many pages is a menu, notice or
-footer of the site, and its branch is removed from each page, as are branches
-whose tag or class says that they aren't the article (menus, forms, comments
-...). If a page has an article or main element with text, only that counts.
-
-Null and empty pages give an empty text. Pages are parsed whole, cut ones as
-far as they go. Pages without a host share the empty host. Repeated rows repeat
-their result; pages of a host with the same article count once in the tree, so
-copies of a page are no template. An empty table gives an empty
-one; other columns are left alone.
+The DOMs of a host's pages are merged into one tree. A node of it stands for a
+run of neighbouring siblings of one label (tag and classes: a list's items, an
+article's paragraphs) and is aligned over pages by its parent's node, its label
+and how many runs of that label its parent had before. Beside its contents each
+node has style nodes: the different sequences of runs that it has as children.
+
+A node's presentation importance is the entropy of its style nodes over the
+pages that have it, its content importance that of the contents below it, both
+divided by the largest possible, the logarithm of the number of pages; PRIOR
+more pages of their own style and content stand for what few pages don't show.
+Its importance is composed of both, the presentation's with the weight 1 - GAMMA
+** (number of style nodes); a node without children has its contents' only. A
+node is noise if that is less than contents that recur on REPEATS pages each
+would have, and if SHARE of its pages show a content that others show too: so
+menus, notices and footers of the site, and slots of rotating adverts.
+
+A page's blocks below noise whose parent is none are removed first. Then go the
+branches whose tag or class says that they aren't the article (menus, forms,
+comments ...), which serves hosts of few pages and texts that don't recur. If a
+page has an article or main element with text left, only that counts.
+
+A content counts once for each distinct article that it stands by, told by the
+smallest hash of the article's windows of words, so copies of a page are no
+template, and near copies hardly count. Null and empty pages give an empty text.
+Pages are parsed whole, cut and very long ones too. Pages without a host share
+the empty host. Repeated rows repeat their result. A node at the bound is no
+noise. An empty table gives an empty one; other columns, whatever their names,
+are left alone.
 """
 
 from __future__ import annotations
 
 import html as entities
+import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -30,10 +46,22 @@ from pyspark.sql import functions as F
 from ..session import materialize, ship
 from .common import strings, units
 
-#: A node needs so many pages before its entropy speaks.
-PAGES = 8
-#: Nodes of a lower importance are removed.
-IMPORTANCE = 0.45
+#: Pages of their own style and content that every node is taken to have besides.
+PRIOR = 8
+#: The weight of contents falls by this factor with each style node.
+GAMMA = 0.9
+#: A template's contents are on so many pages on average (the geometric mean).
+REPEATS = 2
+#: The share of a template's pages whose content other pages show too.
+SHARE = 0.75
+#: A tree has so many levels; what is deeper belongs to the node above.
+DEPTH = 64
+#: Words in a window of an article's sketch.
+WINDOW = 4
+#: Up to so many nodes of templates, all hosts together, are broadcast: 8 bytes each.
+MOST_BROADCAST = 500_000
+#: Shares into which a host's pages are dealt for the join beyond that.
+SALTS = 64
 
 #: HTML elements by their part in a page.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -52,7 +80,30 @@ _NAMES = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""",
 _SPLIT = re.compile(r"[^a-z0-9]+")
 _HOST = re.compile(r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)")
 
-Block = tuple[str, bool, bool, str]
+#: Nodes from the page down, whether in a branch apart, whether in an article, text.
+Block = tuple[tuple[int, ...], bool, bool, str]
+ROOT = 0
+
+
+class Element:
+    """An open element: its tag, its nodes from the page down, whether it is apart or in an article, and its children's runs."""
+
+    __slots__ = ("apart", "before", "block", "main", "nodes", "runs", "tag")
+
+    def __init__(self, tag: str, nodes: tuple[int, ...], apart: bool, main: bool, above: Element | None = None):
+        self.tag, self.nodes, self.apart, self.main = tag, nodes, apart, main
+        self.block: Element = above.block if above and tag in INLINE else self
+        self.runs: list[str] = []
+        self.before: dict[str, int] = {}
+
+    def child(self, label: str) -> tuple[int, ...]:
+        """The nodes of a child of this label that begins now. Below DEPTH nodes, children belong to the last one."""
+        if not self.runs or self.runs[-1] != label:
+            self.runs.append(label)
+            self.before[label] = self.before.get(label, 0) + 1
+        if len(self.nodes) > DEPTH:
+            return self.nodes
+        return (*self.nodes, xxhash.xxh3_64_intdigest(f"{self.nodes[-1]} {self.before[label]} {label}") >> 1)
 
 
 def host(url: str | None) -> str:
@@ -60,10 +111,12 @@ def host(url: str | None) -> str:
     return m[1].lower() if m else ""
 
 
-def blocks(page: str) -> list[Block]:
-    """The page's blocks of text in order: path, whether in a branch apart, whether in an article, text."""
+def parsed(page: str) -> tuple[list[Block], dict[int, list[tuple[str, ...]]]]:
+    """The page's blocks of text in order, and each node's style: its elements' runs of children, equal neighbours once."""
     out: list[Block] = []
-    stack: list[tuple[str, str, bool, bool]] = [("", "", False, False)]  # tag, path, apart, main
+    styles: dict[int, list[tuple[str, ...]]] = {}
+    stack = [Element("", (ROOT,), False, False)]
+    many: Counter[str] = Counter()  # open elements of each tag
     held: list[str] = []
     owner = stack[0]
 
@@ -72,7 +125,17 @@ def blocks(page: str) -> list[Block]:
             text = " ".join(entities.unescape("".join(held)).split())
             held.clear()
             if text:
-                out.append((owner[1], owner[2], owner[3], text))
+                out.append((owner.nodes, owner.apart, owner.main, text))
+
+    def close(k: int) -> None:
+        """End the elements from the k-th on."""
+        for x in stack[k:]:
+            many[x.tag] -= 1
+            if x.tag not in INLINE:
+                own, style = styles.setdefault(x.nodes[-1], []), tuple(x.runs)
+                if not own or own[-1] != style:
+                    own.append(style)
+        del stack[k:]
 
     at, n = 0, len(page)
     while at < n:
@@ -80,8 +143,8 @@ def blocks(page: str) -> list[Block]:
         cut = m.start() if m else n
         if cut > at:
             if not held:
-                owner = next(x for x in reversed(stack) if x[0] not in INLINE)
-            if owner[2] != stack[-1][2]:  # an inline element apart, inside a block that isn't
+                owner = stack[-1].block
+            if owner.apart != stack[-1].apart:  # an inline element apart, inside a block that isn't
                 flush()
                 owner = stack[-1]
             held.append(page[at:cut])
@@ -92,15 +155,15 @@ def blocks(page: str) -> list[Block]:
             continue
         tag = m[2].lower()
         if m[1]:  # end tag
-            if tag in ("br", "p") and not any(x[0] == tag for x in stack):
+            if tag in ("br", "p") and many[tag] <= 0:
                 held.append(" ")
                 continue
-            k = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == tag), 0)
-            if not k or tag in INLINE and any(x[0] not in INLINE for x in stack[k:]):
+            k = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == tag), 0) if many[tag] > 0 else 0
+            if not k or tag in INLINE and any(x.tag not in INLINE for x in stack[k:]):
                 continue
-            if tag not in INLINE or stack[k][2] != stack[k - 1][2]:
+            if tag not in INLINE or stack[k].apart != stack[k - 1].apart:
                 flush()
-            del stack[k:]
+            close(k)
             continue
         if tag == "br":
             held.append(" ")
@@ -109,100 +172,129 @@ def blocks(page: str) -> list[Block]:
         if tag not in INLINE:
             flush()
             for k in range(len(stack) - 1, 0, -1):  # elements that this one ends
-                closes = _CLOSES.get(stack[k][0])
+                closes = _CLOSES.get(stack[k].tag)
                 if closes and tag in closes:
-                    del stack[k:]
+                    close(k)
                     break
-                if stack[k][0] not in INLINE and stack[k][0] not in _CLOSES:
+                if stack[k].tag not in INLINE and stack[k].tag not in _CLOSES:
                     break
         if tag in VOID:
             continue
-        _, path, apart, main = stack[-1]
+        above = stack[-1]
+        main = above.main
         names = " ".join(sorted(x[2].strip("\"'").lower() for x in _NAMES.finditer(attributes) if x[1].lower() != "id")) if attributes and "=" in attributes else ""
         said = {w for x in _NAMES.finditer(attributes) for w in _SPLIT.split(x[2].lower())} if attributes and "=" in attributes else set()
         aside = tag in ASIDE and not (main and tag == "header") or bool(said & _ASIDE_WORDS) and tag not in ("html", "body", "main") and not (tag == "article" and not said & {"comment", "comments", "reply"})
-        node = (tag, f"{path}/{tag}.{names}" if names else f"{path}/{tag}", apart or aside, main or tag in MAIN)
-        if tag not in INLINE or node[2] != apart:
-            if node[2] != apart:
-                flush()
-        stack.append(node)
+        apart = above.apart or aside
+        if tag not in INLINE or apart != above.apart:
+            nodes = above.block.child(f"{tag}.{names}") if tag not in INLINE or names else above.nodes
+            flush()
+        else:
+            nodes = above.nodes
+        stack.append(Element(tag, nodes, apart, main or tag in MAIN, above))
+        many[tag] += 1
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I).search(page, at)
             at = end.end() if end else n
-            stack.pop()
+            close(len(stack) - 1)
     flush()
-    return out
+    close(0)
+    return out, styles
 
 
-def branches(path: str) -> list[str]:
-    """The path of each node from the root to this one."""
-    parts = path.split("/")
-    return ["/".join(parts[:k]) for k in range(2, len(parts) + 1)]
+def templated(nodes: tuple[int, ...], low: set[int]) -> bool:
+    """Whether one of the nodes is noise below one that isn't. Where the page's root is noise too, as on a host of copies, that says nothing about a node."""
+    return any(b in low and a not in low for a, b in zip(nodes, nodes[1:]))
 
 
-def templated(path: str, low: set[str]) -> bool:
-    """Whether the path has a node of low importance whose parent is important. Where the parent hardly varies either, as on a host of copies, that says nothing about the node."""
-    nodes = branches(path)
-    return any(b in low and a not in low for a, b in zip(nodes, nodes[1:]))
+def judged(page: str, low: set[int]) -> tuple[str, int, int]:
+    """The page's main text, how many blocks the tree removed, and how many the tags and classes besides."""
+    found = [(templated(nodes, low), apart, main, text) for nodes, apart, main, text in parsed(page)[0]]
+    kept = [(main, text) for template, apart, main, text in found if not template and not apart]
+    text = "\n\n".join(t for main, t in kept if main) or "\n\n".join(t for _, t in kept)
+    return text, sum(x[0] for x in found), sum(x[1] and not x[0] for x in found)
+
+
+def main_text(page: str, low: set[int]) -> str:
+    return judged(page, low)[0]
 
 
-def main_text(page: str, low: set[str]) -> str:
-    kept = [(main, text) for path, apart, main, text in blocks(page) if not apart and not (low and templated(path, low))]
-    return "\n\n".join(t for main, t in kept if main) or "\n\n".join(t for _, t in kept)
+def sketch(found: list[Block]) -> int:
+    """What tells a page from others that aren't near copies: the smallest hash of the windows of words of its article, else of its text without branches apart, else of all of its text."""
+    words = [w for _, apart, main, t in found if main and not apart for w in t.split()] or [w for _, apart, _, t in found if not apart for w in t.split()] or [w for *_, t in found for w in t.split()]
+    return min(xxhash.xxh3_64_intdigest(" ".join(words[k : k + WINDOW])) for k in range(max(1, len(words) - WINDOW + 1))) >> 1
 
 
-def own_text(found: list[Block]) -> str:
-    """What tells a page from others: its article, else its text without branches apart, else all of its text."""
-    return "\n".join(t for _, apart, main, t in found if main and not apart) or "\n".join(t for _, apart, _, t in found if not apart) or "\n".join(t for *_, t in found)
+def observed(found: list[Block], styles: dict[int, list[tuple[str, ...]]]) -> list[tuple[int, int, int]]:
+    """Of each node of a page that has text below it: the node, its style (0 without children) and its content, hashed."""
+    below: dict[int, xxhash.xxh3_64] = {}
+    for nodes, _, _, text in found:
+        own = xxhash.xxh3_64_digest(text)
+        for x in nodes:
+            below.setdefault(x, xxhash.xxh3_64()).update(own)
+    return [(x, xxhash.xxh3_64_intdigest(repr(styles[x])) >> 1 if any(styles[x]) else 0, c.intdigest() >> 1) for x, c in below.items() if x in styles]
 
 
-def contents(pages: DataFrame) -> DataFrame:
-    """host, path, content, n: with how many distinct articles of a host a node of its tree has a content. Copies of an article count once, whatever is around them."""
+def nodes(pages: DataFrame) -> DataFrame:
+    """host, node, style, content, n: with how many distinct articles of a host a node of its tree has a style and content. Copies of an article count once, whatever is around them."""
     ship(pages.sparkSession)
     rows = pages.select(F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in units(batches, "html"):
-            seen: set[tuple[str, str, int, int]] = set()
+            seen: set[tuple[str, int, int, int, int]] = set()
             for u, h in zip(b.column("url").to_pylist(), strings(b.column("html"))):
-                below: dict[str, xxhash.xxh3_64] = {}
-                found = blocks(h)
-                article = xxhash.xxh3_64_intdigest(own_text(found)) >> 1
-                for path, _, _, text in found:
-                    for p in branches(path):
-                        below.setdefault(p, xxhash.xxh3_64()).update(text + "\n")
-                own = host(u)
-                for p, x in below.items():
-                    seen.add((own, p, x.intdigest() >> 1, article))
-            keys = list(seen)
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array([k[2] for k in keys], pa.int64()), pa.array([k[3] for k in keys], pa.int64())], names=["host", "path", "content", "article"])
-
-    found = rows.mapInArrow(run, "host string, path string, content bigint, article bigint").distinct()
-    return found.groupBy("host", "path", "content").agg(F.count("*").alias("n"))
+                found, styles = parsed(h)
+                if found:
+                    own, article = host(u), sketch(found)
+                    seen.update((own, *x, article) for x in observed(found, styles))
+            columns = list(zip(*seen)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), *(pa.array(c, pa.int64()) for c in columns[1:])], names=["host", "node", "style", "content", "article"])
 
-
-def importance(pages: DataFrame) -> DataFrame:
-    """host, path, pages, importance: the site style trees. A node's importance is the entropy of its contents to the base of its number of pages."""
-    c = F.col("n").cast("double")
-    nodes = contents(pages).groupBy("host", "path").agg(F.sum("n").alias("pages"), F.sum(c * F.log(c)).alias("s"))
-    total = F.col("pages").cast("double")
-    return nodes.select("host", "path", "pages", F.when(F.col("pages") > 1, 1 - F.col("s") / (total * F.log(total))).otherwise(1.0).alias("importance"))
+    found = rows.mapInArrow(run, "host string, node bigint, style bigint, content bigint, article bigint").distinct()
+    return found.groupBy("host", "node", "style", "content").agg(F.count("*").alias("n"))
 
 
-def extract(pages: DataFrame, least_pages: int = PAGES, least_importance: float = IMPORTANCE) -> DataFrame:
-    """page_id, url, text, n_chars."""
+def importance(pages: DataFrame) -> DataFrame:
+    """host, node, pages, styles, repeated (pages with a content that recurs), presentation, content, importance: the site style trees."""
+    seen = materialize(nodes(pages), "style-nodes")
+    weight = lambda n: F.sum(n * F.log(n.cast("double")))
+    n = F.col("n")
+    contents = seen.groupBy("host", "node", "content").agg(F.sum("n").alias("n")).groupBy("host", "node").agg(F.sum("n").alias("pages"), weight(n).alias("c"), F.sum(F.when(n > 1, n).otherwise(0)).alias("repeated"))
+    styles = seen.groupBy("host", "node", "style").agg(F.sum("n").alias("n")).groupBy("host", "node").agg(F.count("*").alias("styles"), weight(n).alias("s"), F.max("style").alias("most"))
+    total = (F.col("pages") + PRIOR).cast("double")
+    most = total * F.log(total)
+    share = F.pow(F.lit(GAMMA), F.col("styles"))
+    found = contents.join(styles, ["host", "node"]).withColumns({"content": 1 - F.col("c") / most, "presentation": 1 - F.col("s") / most})
+    composed = F.when(F.col("most") == 0, F.col("content")).otherwise((1 - share) * F.col("presentation") + share * F.col("content"))
+    return found.select("host", "node", "pages", "styles", "repeated", "presentation", "content", composed.alias("importance"))
+
+
+def noise(pages: DataFrame, repeats: float = REPEATS, share: float = SHARE) -> DataFrame:
+    """host, node of the nodes that are noise."""
+    bound = 1 - math.log(repeats) / F.log((F.col("pages") + PRIOR).cast("double"))
+    return importance(pages).where((F.col("importance") < bound) & (F.col("repeated") >= share * F.col("pages"))).select("host", "node")
+
+
+def extract(pages: DataFrame, repeats: float = REPEATS, share: float = SHARE) -> DataFrame:
+    """page_id, url, text, n_chars, n_template (blocks that the tree removed), n_aside (those that tags and classes removed besides)."""
     ship(pages.sparkSession)
-    low = importance(pages).where((F.col("pages") >= least_pages) & (F.col("importance") < least_importance))
-    # nodes that many pages of a host share are its templates', so a host's list is as short as its templates
-    low = materialize(low.groupBy("host").agg(F.collect_list("path").alias("removed")), "style-tree")
+    low = materialize(noise(pages, repeats, share).groupBy("host").agg(F.collect_list("node").alias("removed")), "style-tree")
     rows = pages.select("page_id", "url", F.col("html").cast("string").alias("html"))
     of = F.coalesce(F.lower(F.regexp_extract(F.col("url").cast("string"), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
-    joined = rows.withColumn("host", of).join(low, "host", "left").select("page_id", "url", "html", "removed")
+    placed = rows.withColumn("host", of)
+    if (low.agg(F.sum(F.size("removed"))).first()[0] or 0) <= MOST_BROADCAST:
+        joined = placed.join(F.broadcast(low), "host", "left")
+    else:  # every host's list once for each of its shares of pages, so a crowded host is many tasks
+        salted = low.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = placed.withColumn("salt", F.pmod(F.xxhash64("html"), F.lit(SALTS)).cast("int")).join(salted, ["host", "salt"], "left")
+    joined = joined.select("page_id", "url", "html", "removed")
     kind = {f.name: f.dataType.simpleString() for f in rows.schema}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in units(batches, "html"):
-            texts = [main_text(h, set(r or ())) for h, r in zip(strings(b.column("html")), b.column("removed").to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
+            found = [judged(h, set(r or ())) for h, r in zip(strings(b.column("html")), b.column("removed").to_pylist())]
+            texts, template, aside = zip(*found)
+            yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), pa.array(template, pa.int64()), pa.array(aside, pa.int64())], names=["page_id", "url", "text", "n_chars", "n_template", "n_aside"])
 
-    return joined.mapInArrow(run, f"page_id {kind['page_id']}, url {kind['url']}, text string, n_chars bigint")
+    return joined.mapInArrow(run, f"page_id {kind['page_id']}, url {kind['url']}, text string, n_chars bigint, n_template bigint, n_aside bigint")
