@@ -489,6 +489,68 @@ def test_quality(spark, docs, none):
     assert sum(r["kept"] == (r["quality"] == 1) for r in judged) >= 0.98 * len(judged)
 
 
+def plain_mcd(x, support=0.75):
+    """(mean, covariance) with the least determinant: the three starts, sorted distances, steps until the determinant stands still."""
+    floor, h = np.diag(np.array(quality.FLOORS) ** 2), support * len(x)
+    at = (len(x) + 1) // 2 - 1
+    median = np.sort(x, axis=0)[at]
+    spread = 1.4826 * np.sort(np.abs(x - median), axis=0)[at]
+    z = (x - median) / np.maximum(spread, quality.FLOORS)
+    r = np.sqrt((z * z).sum(1))
+    u = np.where(r[:, None] > 0, z / np.where(r > 0, r, 1)[:, None], 0)
+    scale = np.maximum(spread, quality.FLOORS)
+    starts = [(median, np.diag(spread**2)), (x.mean(0), np.cov(x.T, bias=True).reshape(5, 5)), (median, 5 * (u.T @ u) / len(x) * np.outer(scale, scale))]
+    ends = []
+    for mean, cov in starts:
+        before = np.inf
+        while True:
+            d = x - mean
+            order = np.argsort(np.einsum("ij,jk,ik->i", d, np.linalg.inv(cov + floor), d), kind="stable")
+            w = np.zeros(len(x))
+            w[order] = np.clip(h - np.arange(len(x)), 0, 1)
+            mean = (w[:, None] * x).sum(0) / h
+            cov = ((w[:, None] * (x - mean)).T @ (x - mean)) / h * quality.consistency(5, support)
+            det = np.linalg.det(cov + floor)
+            if det >= before * (1 - quality.STILL):
+                break
+            before = det
+        ends.append((det, mean, cov))
+    return min(ends, key=lambda e: e[0])
+
+
+def test_quality_estimates_equal_plain_ones(spark):
+    """Groups of all sizes, with outliers and ties, against estimates from sorted distances; shrunk by hand."""
+    rng = np.random.default_rng(8)
+    groups = {("en", "a"): 3, ("en", "b"): 25, ("en", None): 60, (None, "a"): 900, ("en|", "-"): 1, ("de", "b"): 400}
+    rows = []
+    for (lang, source), n in groups.items():
+        mix = rng.standard_normal((5, 5)) * 0.5 + np.eye(5)
+        x = rng.standard_normal((n, 5)) @ mix + rng.uniform(0, 6, 5)
+        x[: n // 6] += rng.uniform(5, 9, 5)
+        x[:, 3] = np.maximum(x[:, 3].round(), 0)
+        rows += [(lang, source, r) for r in np.rint(x * quality.GRID).astype(int).tolist()]
+    able = spark.createDataFrame(rows, "lang string, source string, x array<bigint>").repartition(4).cache()
+    of = lambda test: np.array([x for lang, source, x in rows if test(lang, source)]) / quality.GRID
+    whole = plain_mcd(of(lambda *_: True))
+    wanted = {}
+    for (lang, source), n in groups.items():
+        by_lang = of(lambda a, _: a == lang)  # noqa: B023
+        det, mean, cov = plain_mcd(by_lang)
+        k, s = len(by_lang), quality.SHRINK
+        mean, cov = (k * mean + s * whole[1]) / (k + s), (k * cov + s * whole[2]) / (k + s)
+        _, own, own_cov = plain_mcd(of(lambda a, b: (a, b) == (lang, source)))  # noqa: B023
+        wanted[lang, source] = (n * own + s * mean) / (n + s), (n * own_cov + s * cov) / (n + s) + np.diag(np.array(quality.FLOORS) ** 2)
+    keyed = spark.createDataFrame(list(groups), "lang string, source string").withColumn("key", quality._key(2, F.col("lang"), F.col("source")))
+    found = {(r["lang"], r["source"]): r for r in keyed.join(quality.group_estimates(able), "key").collect()}
+    assert set(found) == set(wanted)
+    for name, (mean, cov) in wanted.items():
+        inverse = np.array(found[name]["inverse"]).reshape(5, 5)
+        x = of(lambda a, b: (a, b) == name)  # noqa: B023
+        d = lambda m, i: np.einsum("ij,jk,ik->i", x - m, i, x - m)  # noqa: E731, B023
+        mine, plain = d(np.array(found[name]["mean"]), inverse), d(mean, np.linalg.inv(cov))
+        assert np.allclose(mine, plain, rtol=0.05, atol=0.05), (name, np.abs(mine / plain - 1).max())
+
+
 def test_pipeline(spark, docs):
     plain = docs.select("doc_id", "text", "lang", "source", "n_chars")
     kept = plain

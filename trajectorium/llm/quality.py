@@ -2,23 +2,34 @@
 
 Base rules reject short and repetitive texts. The others are judged by their
 statistics, transformed to be roughly symmetric, against the minimum-covariance-
-determinant estimate of their language and source: from coordinate-wise medians
-and median deviations, concentration steps keep the `support` share of a
-group's documents with the smallest Mahalanobis distances and take mean and
-covariance of those, over all documents. A document whose distance to the last
-estimate lies beyond the chi-square quantile is an outlier.
-
-Statistics are held as integers in steps of 1 / GRID, so sums are exact and
-the verdicts don't depend on the order of rows. Medians, deviations and the
-share's bound come from histograms. A group is never gathered: its rows are
-summed before the exchange, and what a group has left is a histogram of bounded
-size or a row of sums. Every variance has a floor, so that a statistic that
-hardly any document of a group has (say, repeated lines) can't reject all that
-do. Groups of under `least` documents use the estimate over all groups.
+determinant estimate of their language and source. Each estimate begins from
+several starts: medians with median deviations, the mean and covariance of all,
+and the covariance of signs around the medians. From each, concentration steps
+keep the `support` share of the documents with the smallest Mahalanobis distances
+and take mean and covariance of those, over all documents, until the determinant
+falls no more; of the starts, the one that ends with the least determinant counts.
+A document whose distance to its group's estimate lies beyond the chi-square
+quantile is an outlier.
+
+Every covariance has a floor added, the regularised form of the estimate, so a
+statistic that hardly any document of a group has (say, repeated lines) can't
+make it singular and reject all that do. Every group has its own estimate, shrunk
+towards its language's as if that were SHRINK more documents; the language's is
+shrunk in the same way towards the one over all documents. So a group of a few
+documents is judged nearly by its language, and one of many by itself, without a
+size at which that changes.
+
+Statistics are held as integers in steps of 1 / GRID, so sums are exact and the
+verdicts don't depend on the order of rows. Medians, deviations and the share's
+bound come from histograms; documents in the histogram's cell that holds the
+bound, and so all at equal distances, count in part, each alike, so that the
+share is kept exactly. A group is never gathered: its rows are summed before the
+exchange, and what a group has left is a histogram of bounded size.
 
 Null and empty texts have no words and fail the base rules. Null languages and
-sources are groups of their own. Repeated rows count and are judged each. An
-empty table gives an empty result; other columns are left alone.
+sources are groups of their own. Very long texts are read whole. Repeated rows
+count and are judged each. A document at the quantile stays. An empty table gives
+an empty result; other columns, whatever their names, are left alone.
 """
 
 from __future__ import annotations
@@ -29,7 +40,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize, ship
@@ -40,8 +51,12 @@ LEAST_WORDS = 50
 MOST_REPEATED = 50
 WINDOW = 3
 SUPPORT = 0.75
-STEPS = 3
-LEAST_GROUP = 40
+#: A start is done when a step lowers its determinant by no more than this share.
+STILL = 1e-3
+#: A group's estimate is mixed with its language's as if that were so many documents.
+SHRINK = 40
+#: Cells of the histogram of distances to each doubling.
+BINS = 64
 #: The share of clean documents that chance may reject, under a normal distribution.
 TAIL = 1e-7
 GRID = 256
@@ -133,102 +148,181 @@ def consistency(d: int, share: float) -> float:
     return share / (1 - _beyond(d + 2, _quantile(d, share)))
 
 
-_GROUP = "lang string, source string"
-_ESTIMATE = f"{_GROUP}, n bigint, mean array<double>, inverse array<double>"
+_D = len(DIMENSIONS)
+_SIGN = 4096
+_MATRIX = "mean array<double>, cov array<double>, inverse array<double>, det double"
+_ESTIMATE = f"key string, start int, n bigint, {_MATRIX}"
 
 
-def _row(lang, source, n: int, mean: np.ndarray, cov: np.ndarray) -> dict:
-    cov = cov + np.diag(np.array(FLOORS) ** 2)
-    return {"lang": lang, "source": source, "n": int(n), "mean": mean.tolist(), "inverse": np.linalg.inv(cov).ravel().tolist()}
+def _pairs() -> list[tuple[int, int]]:
+    return [(i, j) for i in range(_D) for j in range(i + 1)]
+
+
+def _settled(mean: np.ndarray, cov: np.ndarray) -> dict:
+    """An estimate's columns; distances and determinants are those of the covariance with its floor."""
+    full = cov + np.diag(np.array(FLOORS) ** 2)
+    return {"mean": mean.tolist(), "cov": cov.ravel().tolist(), "inverse": np.linalg.inv(full).ravel().tolist(), "det": float(np.linalg.det(full))}
+
+
+def _key(level: int, lang: F.Column | None = None, source: F.Column | None = None) -> F.Column:
+    """A string that tells groups apart: level 0 all documents, 1 a language, 2 a language and source."""
+    part = lambda c: F.coalesce(F.concat(F.length(c).cast("string"), F.lit(":"), c), F.lit("-"))
+    return F.concat_ws("/", F.lit(str(level)), *[part(c) for c in (lang, source) if c is not None])
+
+
+def _levels(able: DataFrame) -> DataFrame:
+    """Every row's x for all documents, for its language and for its group."""
+    lang, source = F.col("lang"), F.col("source")
+    return able.select("x", F.explode(F.array(_key(0), _key(1, lang), _key(2, lang, source))).alias("key"))
+
+
+def _x(k: int) -> F.Column:
+    return F.get("x", F.lit(k))
+
 
+def _moments(rows: DataFrame, values: list[F.Column], *by: str) -> DataFrame:
+    """Counts, sums and sums of products of whole numbers."""
+    sums = [F.sum(v).alias(f"s{i}") for i, v in enumerate(values)] + [F.sum(values[i] * values[j]).alias(f"p{i}_{j}") for i, j in _pairs()]
+    return rows.groupBy(*by).agg(F.count("*").alias("c"), *sums)
 
-def _by_group(able: DataFrame, *others: str) -> DataFrame:
-    """Every row for its own group and for the one of all rows (`whole`)."""
-    own = F.struct(F.lit(False).alias("whole"), "lang", "source")
-    none = F.lit(None).cast("string")
-    return able.select(*others, F.explode(F.array(own, F.struct(F.lit(True).alias("whole"), none.alias("lang"), none.alias("source")))).alias("g")).select("g.*", *others)
 
+def _mean_cov(own: pd.DataFrame, weight: np.ndarray, unit: float) -> tuple[np.ndarray, np.ndarray]:
+    """Of moments, each row's with a weight: in whole numbers where the weight is 1."""
+    full, part = own[weight == 1], own[weight < 1]
+    w = weight[weight < 1].tolist()
+    total = lambda c: sum(map(int, full[c])) + sum(x * int(v) for x, v in zip(w, part[c]))
+    h = total("c")
+    s = [total(f"s{i}") for i in range(_D)]
+    cov = np.zeros((_D, _D))
+    for i, j in _pairs():
+        cov[i, j] = cov[j, i] = (total(f"p{i}_{j}") * h - s[i] * s[j]) / (h * h) / unit**2
+    return np.array([x / h for x in s]) / unit, cov
 
-def _start(able: DataFrame) -> DataFrame:
-    """Medians and median deviations of each group."""
-    cells = _by_group(able, "x").select("whole", "lang", "source", F.posexplode("x").alias("k", "v")).groupBy("whole", "lang", "source", "k", "v").agg(F.count("*").alias("c"))
+
+def _medians(able: DataFrame) -> DataFrame:
+    """key, n, median and spread (the median deviations) of each group."""
+    cells = _levels(able).select("key", F.posexplode("x").alias("k", "v")).groupBy("key", "k", "v").agg(F.count("*").alias("c"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        mean, spread, n = [], [], 0
-        for k in range(len(DIMENSIONS)):
+        median, spread, n = [], [], 0
+        for k in range(_D):
             own = pdf[pdf["k"] == k].sort_values("v")
             v, c = own["v"].to_numpy(float) / GRID, own["c"].to_numpy()
             n = int(c.sum())
-            median = v[np.searchsorted(c.cumsum(), (n + 1) // 2)]
-            order = np.argsort(np.abs(v - median), kind="stable")
-            away = np.abs(v - median)[order]
-            mean.append(median)
-            spread.append(1.4826 * away[np.searchsorted(c[order].cumsum(), (n + 1) // 2)])
-        first = pdf.iloc[0]
-        return pd.DataFrame([{"whole": first["whole"]} | _row(first["lang"], first["source"], n, np.array(mean), np.diag(np.square(spread)))])
-
-    return materialize(cells.groupBy("whole", "lang", "source").applyInPandas(run, f"whole boolean, {_ESTIMATE}"), "estimate")
+            median.append(v[np.searchsorted(c.cumsum(), (n + 1) // 2)])
+            order = np.argsort(np.abs(v - median[k]), kind="stable")
+            spread.append(1.4826 * np.abs(v - median[k])[order][np.searchsorted(c[order].cumsum(), (n + 1) // 2)])
+        return pd.DataFrame([{"key": pdf["key"].iloc[0], "n": n, "median": median, "spread": spread}])
+
+    return materialize(cells.groupBy("key").applyInPandas(run, "key string, n bigint, median array<double>, spread array<double>"), "medians")
+
+
+def _starts(able: DataFrame) -> DataFrame:
+    """The estimates that the steps begin with, three for each group."""
+    medians = _medians(able)
+    rows = _levels(able).join(medians, "key")
+    z = [(_x(k) / float(GRID) - F.get("median", F.lit(k))) / F.greatest(F.get("spread", F.lit(k)), F.lit(FLOORS[k])) for k in range(_D)]
+    rows = rows.withColumn("z", F.array(*z))
+    rows = rows.withColumn("r", F.sqrt(sum((F.get("z", F.lit(k)) * F.get("z", F.lit(k)) for k in range(_D)), F.lit(0.0))))
+    sign = [F.when(F.col("r") > 0, F.round(F.get("z", F.lit(k)) / F.col("r") * _SIGN)).otherwise(0).cast("long") for k in range(_D)]
+    both = rows.select("key", F.explode(F.array(F.struct(F.lit(1).alias("start"), F.col("x").alias("x")), F.struct(F.lit(2).alias("start"), F.array(*sign).alias("x")))).alias("e")).select("key", "e.start", "e.x")
+    moments = _moments(both, [_x(k) for k in range(_D)], "key", "start").join(medians, "key")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for k in range(len(pdf)):
+                own = pdf.iloc[k : k + 1]
+                row = own.iloc[0]
+                median, spread = np.array(row["median"], float), np.array(row["spread"], float)
+                if row["start"] == 1:
+                    out.append((row, 0, median, np.diag(spread**2)))
+                    out.append((row, 1, *_mean_cov(own, np.ones(1), GRID)))
+                else:
+                    scale = np.maximum(spread, FLOORS)
+                    shape = np.zeros((_D, _D))
+                    for i, j in _pairs():
+                        shape[i, j] = shape[j, i] = int(row[f"p{i}_{j}"]) / int(row["c"]) / _SIGN**2
+                    out.append((row, 2, median, _D * shape * np.outer(scale, scale)))
+            yield pd.DataFrame([{"key": r["key"], "start": s, "n": int(r["n"])} | _settled(mean, cov) | {"det": math.inf} for r, s, mean, cov in out], columns=["key", "start", "n", "mean", "cov", "inverse", "det"])
+
+    return materialize(moments.mapInPandas(run, _ESTIMATE), "starts")
 
 
 def _distance(mean: F.Column, inverse: F.Column) -> F.Column:
-    d = len(DIMENSIONS)
-    z = [F.get("x", F.lit(k)) / F.lit(float(GRID)) - F.get(mean, F.lit(k)) for k in range(d)]
+    z = [_x(k) / float(GRID) - F.get(mean, F.lit(k)) for k in range(_D)]
     total = F.lit(0.0)
-    for i in range(d):
+    for i in range(_D):
         for j in range(i + 1):
-            total = total + z[i] * z[j] * F.get(inverse, F.lit(i * d + j)) * (1.0 if i == j else 2.0)
+            total = total + z[i] * z[j] * F.get(inverse, F.lit(i * _D + j)) * (1.0 if i == j else 2.0)
     return total
 
 
-def _joined(rows: DataFrame, estimate: DataFrame, whole: bool) -> DataFrame:
-    """rows with their group's mean and inverse; estimates are as many as groups, and Spark broadcasts them where their size is known to be small."""
-    e = estimate.select(F.col("whole").alias("_w"), F.col("lang").alias("_l"), F.col("source").alias("_s"), F.col("n").alias("_n"), "mean", "inverse")
-    key = lambda c: F.concat(F.when(F.col(c).isNull(), F.lit("-")).otherwise(F.lit("+")), F.coalesce(c, F.lit("")))
-    e = e.select("_n", "mean", "inverse", key("_l").alias("_a"), key("_s").alias("_b"), F.col("_w").alias("_c"))
-    rows = rows.withColumns({"_a": key("lang"), "_b": key("source"), "_c": F.col("whole") if whole else F.lit(False)})
-    return rows.join(e, ["_a", "_b", "_c"], "left").drop("_a", "_b", "_c")
-
-
 def _concentrate(able: DataFrame, estimate: DataFrame, support: float) -> DataFrame:
-    """Mean and covariance of each group's closest documents: one concentration step."""
-    d = len(DIMENSIONS)
-    rows = _joined(_by_group(able, "x"), estimate, True).withColumn("d2", _distance(F.col("mean"), F.col("inverse")))
-    # 32 bins to each doubling; all documents of the bin that fills the share count
-    rows = rows.withColumn("bin", F.floor(F.log2(F.col("d2") + 1e-6) * 32).cast("int"))
-    sums = [F.sum(F.get("x", F.lit(i))).alias(f"s{i}") for i in range(d)] + [F.sum(F.get("x", F.lit(i)) * F.get("x", F.lit(j))).alias(f"p{i}_{j}") for i, j in _pairs()]
-    cells = rows.groupBy("whole", "lang", "source", "bin").agg(F.count("*").alias("c"), *sums)
+    """One concentration step of every estimate: the closest documents' mean and covariance. still: the determinant falls no more."""
+    # estimates are as many as groups, and Spark broadcasts them where their size is known to be small
+    rows = _levels(able).join(estimate.select("key", "start", "mean", "inverse", F.col("det").alias("before")), "key")
+    rows = rows.withColumn("bin", F.floor(F.log2(_distance(F.col("mean"), F.col("inverse")) + 1e-6) * BINS).cast("int"))
+    cells = _moments(rows, [_x(k) for k in range(_D)], "key", "start", "before", "bin")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         own = pdf.sort_values("bin")
-        n = int(own["c"].sum())
-        last = int(np.searchsorted(own["c"].to_numpy().cumsum(), math.ceil(support * n)))
-        own = own.iloc[: last + 1]
-        h = int(own["c"].sum())
-        s = [sum(map(int, own[f"s{i}"])) for i in range(d)]
-        cov = np.zeros((d, d))
-        for i, j in _pairs():  # in whole numbers up to here
-            cov[i, j] = cov[j, i] = (sum(map(int, own[f"p{i}_{j}"])) * h - s[i] * s[j]) / (h * h) / GRID**2
-        share = h / n
-        first = pdf.iloc[0]
-        return pd.DataFrame([{"whole": first["whole"]} | _row(first["lang"], first["source"], n, np.array(s) / h / GRID, cov * (consistency(d, share) if share < 1 else 1.0))])
-
-    return materialize(cells.groupBy("whole", "lang", "source").applyInPandas(run, f"whole boolean, {_ESTIMATE}"), "estimate")
-
-
-def _pairs() -> list[tuple[int, int]]:
-    return [(i, j) for i in range(len(DIMENSIONS)) for j in range(i + 1)]
-
-
-def judge(docs: DataFrame, support: float = SUPPORT, steps: int = STEPS, least: int = LEAST_GROUP, tail: float = TAIL) -> DataFrame:
+        c = own["c"].to_numpy()
+        n = int(c.sum())
+        weight = np.clip((support * n - (c.cumsum() - c)) / c, 0, 1)
+        mean, cov = _mean_cov(own[weight > 0], weight[weight > 0], GRID)
+        first = own.iloc[0]
+        found = {"key": first["key"], "start": int(first["start"]), "n": n} | _settled(mean, cov * consistency(_D, support) if support < 1 else cov)
+        return pd.DataFrame([found | {"still": bool(found["det"] >= first["before"] * (1 - STILL))}])
+
+    return materialize(cells.groupBy("key", "start").applyInPandas(run, f"{_ESTIMATE}, still boolean"), "estimates")
+
+
+def estimates(able: DataFrame, support: float = SUPPORT) -> DataFrame:
+    """key, start, n, mean, cov, inverse, det: of each group (see _key) the estimate of the least determinant. able: lang, source, x."""
+    now = _starts(able)
+    ended = None
+    while True:
+        after = _concentrate(able, now, support)
+        found = after.where("still").drop("still")
+        ended = found if ended is None else ended.unionByName(found)
+        now = after.where("NOT still").drop("still")
+        if now.isEmpty():
+            break
+    first = F.row_number().over(Window.partitionBy("key").orderBy("det", "start"))  # three rows each
+    return materialize(ended.withColumn("_first", first).where("_first = 1").drop("_first"), "estimates")
+
+
+def _shrunk(own: DataFrame, towards: DataFrame, on: list[str], shrink: float) -> DataFrame:
+    """own (n, mean, cov) mixed with another estimate that counts as `shrink` documents."""
+    mixed = lambda a, b: F.zip_with(a, b, lambda x, y: (F.col("n") * x + shrink * y) / (F.col("n") + shrink))
+    other = towards.select(*on, F.col("mean").alias("_mean"), F.col("cov").alias("_cov"))
+    joined = own.join(other, on) if on else own.crossJoin(F.broadcast(other))  # one row
+    return joined.withColumns({"mean": mixed("mean", "_mean"), "cov": mixed("cov", "_cov")}).drop("_mean", "_cov")
+
+
+def group_estimates(able: DataFrame, support: float = SUPPORT, shrink: float = SHRINK) -> DataFrame:
+    """key, mean, inverse of each language and source, shrunk."""
+    found = estimates(able, support).select("key", "n", "mean", "cov")
+    lang, source = F.col("lang"), F.col("source")
+    names = able.select("lang", "source").distinct().select(_key(1, lang).alias("_lang"), _key(2, lang, source).alias("key")).distinct()
+    whole = found.where(F.col("key") == _key(0))
+    langs = _shrunk(found.where(F.col("key").startswith("1/")).withColumnRenamed("key", "_lang"), whole, [], shrink)
+    groups = _shrunk(found.join(names, "key"), langs, ["_lang"], shrink).select("key", "mean", "cov")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [{"key": k} | _settled(np.array(m), np.array(c).reshape(_D, _D)) for k, m, c in zip(pdf["key"], pdf["mean"], pdf["cov"])]
+            yield pd.DataFrame([{c: r[c] for c in ("key", "mean", "inverse")} for r in rows], columns=["key", "mean", "inverse"])
+
+    return materialize(groups.mapInPandas(run, "key string, mean array<double>, inverse array<double>"), "groups")
+
+
+def judge(docs: DataFrame, support: float = SUPPORT, shrink: float = SHRINK, tail: float = TAIL) -> DataFrame:
     """doc_id, lang, source, the five counts, base_failed, distance2, kept."""
     found = statistics(docs)
-    able = found.where(~F.col("base_failed"))
-    estimate = _start(able)
-    for _ in range(steps):
-        estimate = _concentrate(able, estimate, support)
-    whole = estimate.where("whole").select(F.col("mean").alias("_mean"), F.col("inverse").alias("_inverse"))
-    rows = _joined(found, estimate.where(~F.col("whole")), False).join(F.broadcast(whole), F.lit(True), "left")  # one row
-    own = F.coalesce(F.col("_n") >= least, F.lit(False))
-    rows = rows.withColumn("distance2", _distance(F.when(own, F.col("mean")).otherwise(F.col("_mean")), F.when(own, F.col("inverse")).otherwise(F.col("_inverse"))))
-    kept = ~F.col("base_failed") & F.coalesce(F.col("distance2") <= _quantile(len(DIMENSIONS), 1 - tail), F.lit(True))
+    groups = group_estimates(found.where(~F.col("base_failed")).select("lang", "source", "x"), support, shrink)
+    rows = found.withColumn("key", _key(2, F.col("lang"), F.col("source"))).join(groups, "key", "left")
+    rows = rows.withColumn("distance2", _distance(F.col("mean"), F.col("inverse")))
+    kept = ~F.col("base_failed") & F.coalesce(F.col("distance2") <= _quantile(_D, 1 - tail), F.lit(True))
     return rows.select("doc_id", "lang", "source", *COUNTS, "base_failed", "distance2", kept.alias("kept"))
