@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 
 #: Bytes of text that a Python worker holds as one unit of work.
 UNIT_BYTES = 2 << 20
@@ -31,6 +32,18 @@ def units(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = U
     give_back()
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, lengthened until df has no such column, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def give_back() -> None:
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # only the GNU library has it

@@ -10,10 +10,14 @@ more owners than one are allowed. One that many owners have is a copied
 example, also where they have copies of one text. Live-looking candidates are
 added as spans of kind `live`; spans of the fixed kinds always stay.
 
+A repository is named by a column, and counts once for a value, whoever owns it.
+Where no column names it, texts stand for it: equal texts, as in forks and
+mirrors, are one.
+
 Null and empty texts have no spans; null owners and repositories count as one
-each. Texts are scanned whole. Repeated rows repeat their result and count as
-one repository. An empty table gives an empty one; other columns are left
-alone.
+each. Texts are scanned whole, very long ones too. Repeated rows repeat their
+result and count as one repository. At one start, spans go by kind. An empty
+table gives an empty one; other columns, whatever their names, are left alone.
 """
 
 from __future__ import annotations
@@ -30,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize, ship
-from .common import strings, units
+from .common import free_names, strings, units
 
 #: Kinds in order, and their patterns.
 KINDS = ("assign", "access", "hex", "live")
@@ -77,10 +81,10 @@ def written(spans: list[Span]) -> str:
     return ",".join(f"{k}:{s}:{e}" for k, s, e in spans)
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str = "doc_id") -> DataFrame:
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str | None = None) -> DataFrame:
     """One narrow row per document, as a table in the shared folder: id, owner, repo, text_hash, base and more (arrays of kind, start, end, hash)."""
     ship(docs.sparkSession)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(owner_col).cast("string").alias("owner"), F.col(repo_col).cast("string").alias("repo"), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(owner_col).cast("string").alias("owner"), (F.col(repo_col).cast("string") if repo_col else F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).cast("string")).alias("repo"), F.col(text_col).cast("string").alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
     span = pa.list_(pa.struct([("kind", pa.int8()), ("start", pa.int64()), ("end", pa.int64()), ("hash", pa.int64())]))
 
@@ -108,14 +112,14 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_
 
 
 def frequencies(found: DataFrame) -> DataFrame:
-    """hash, repositories, owners: distinct ones that have each value. Rows are summed before each exchange, and the first key holds the repository, so no value's rows meet in one task."""
+    """hash, repositories, owners: distinct ones that have each value, a null one among them. Rows are summed before each exchange, and the first key holds the repository or owner, so no value's rows meet in one task."""
     each = found.select("owner", "repo", F.explode(F.concat("base", "more")).alias("s")).select("owner", "repo", F.col("s.hash").alias("hash"))
-    by_repo = each.distinct()
-    by_owner = by_repo.groupBy("hash", "owner").agg(F.count("*").alias("n"))
-    return by_owner.groupBy("hash").agg(F.sum("n").alias("repositories"), F.count("*").alias("owners"))
+    some = F.explode(F.array(F.struct(F.lit(True).alias("repo"), F.col("repo").alias("name")), F.struct(F.lit(False).alias("repo"), F.col("owner").alias("name"))))
+    named = each.select("hash", some.alias("of")).select("hash", "of.repo", "of.name").distinct()
+    return named.groupBy("hash").agg(F.count_if("repo").alias("repositories"), F.count_if(~F.col("repo")).alias("owners"))
 
 
-def _judged(docs: DataFrame, owners: int = OWNERS, repositories: int = REPOSITORIES, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str = "doc_id") -> DataFrame:
+def _judged(docs: DataFrame, owners: int = OWNERS, repositories: int = REPOSITORIES, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str | None = None) -> DataFrame:
     """What ownership_scan() returns, with the id as `id` and text_hash."""
     found = scan(docs, id_col, text_col, owner_col, repo_col)
     few = (F.col("owners") == 1) | (F.col("repositories") <= repositories)
@@ -139,19 +143,20 @@ def _judged(docs: DataFrame, owners: int = OWNERS, repositories: int = REPOSITOR
     )
 
 
-def ownership_scan(docs: DataFrame, owners: int = OWNERS, repositories: int = REPOSITORIES, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str = "doc_id") -> DataFrame:
+def ownership_scan(docs: DataFrame, owners: int = OWNERS, repositories: int = REPOSITORIES, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str | None = None) -> DataFrame:
     """id_col, n_assign, n_access, n_hex, base_sha256, spans, n_live (values in the text that are owner-specific), n_copied (others)."""
     return _judged(docs, owners, repositories, id_col, text_col, owner_col, repo_col).drop("text_hash").withColumnRenamed("id", id_col)
 
 
 def redact(docs: DataFrame, owners: int = OWNERS, repositories: int = REPOSITORIES, mark: str = "[SECRET]") -> DataFrame:
     """docs with the same columns, each span replaced by the mark (overlapping ones by one), n_chars counted anew where a text changes."""
-    spans = _judged(docs, owners, repositories).where("spans <> ''").select(F.col("id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("spans").alias("_spans")).distinct()
+    id_, hash_, spans_, masked_ = free_names(docs, "_id", "_hash", "_spans", "_masked")
+    spans = _judged(docs, owners, repositories).where("spans <> ''").select(F.col("id").alias(id_), F.col("text_hash").alias(hash_), F.col("spans").alias(spans_)).distinct()
     spans = materialize(spans, "spans")  # few, as few texts have secrets: their size is known when the join is planned
     text = F.col("text").cast("string")
-    both = docs.join(spans, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_hash")), "left")
+    both = docs.join(spans, F.col("doc_id").eqNullSafe(F.col(id_)) & (F.xxhash64(text) == F.col(hash_)), "left")
     place = lambda x, k: F.get(F.split(x, ":"), F.lit(k)).cast("int")
-    cuts = F.array_sort(F.transform(F.split("_spans", ","), lambda x: F.struct(place(x, 1).alias("start"), place(x, 2).alias("end"))))
+    cuts = F.array_sort(F.transform(F.split(spans_, ","), lambda x: F.struct(place(x, 1).alias("start"), place(x, 2).alias("end"))))
 
     def step(acc: F.Column, s: F.Column) -> F.Column:
         gap = F.when(s["start"] > acc["done"], F.substr(text, acc["done"] + 1, s["start"] - acc["done"])).otherwise("")
@@ -160,8 +165,8 @@ def redact(docs: DataFrame, owners: int = OWNERS, repositories: int = REPOSITORI
 
     begin = F.struct(F.lit("").alias("out"), F.lit(0).alias("done"))
     masked = F.aggregate(cuts, begin, step, lambda acc: F.concat(acc["out"], F.substr(text, acc["done"] + 1)))
-    done = both.withColumn("_masked", F.when(F.col("_spans").isNotNull(), masked).otherwise(text))
-    new = {"text": F.col("_masked")}
+    done = both.withColumn(masked_, F.when(F.col(spans_).isNotNull(), masked).otherwise(text))
+    new = {"text": F.col(masked_)}
     if "n_chars" in docs.columns:
-        new["n_chars"] = F.when(F.col("_spans").isNotNull(), F.length("_masked").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+        new["n_chars"] = F.when(F.col(spans_).isNotNull(), F.length(masked_).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
     return done.select(*[new.get(c, F.col(c)).alias(c) for c in docs.columns])
