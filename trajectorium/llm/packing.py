@@ -9,10 +9,14 @@ filled greedily, longest first; then its smallest piece gives way to the two
 unpacked pieces that fit the widened gap most tightly. A pattern repeats as
 often as the counts allow. Pieces take their places by rank among the pieces of
 their length, and ranks come from counts of (length, salt), so that a length
-which a third of all pieces share is spread over all tasks.
-
-Null texts are empty: one piece, the end id alone. An empty table gives an
-empty result. Repeated rows are packed each for itself.
+which a third of all pieces share is spread over all tasks; salts come from a
+number of each written piece, so rows of one document id or none are spread too.
+
+Null texts are empty: one piece, the end id alone. Very long texts are many
+pieces. A null doc_id is carried along. An empty table gives an empty result.
+Repeated rows are packed each for itself. Of two pairs of pieces that fit alike,
+the one with the longer piece is taken; pieces of one length are alike and take
+places by their numbers. Other columns, whatever their names, are left alone.
 """
 
 from __future__ import annotations
@@ -137,9 +141,10 @@ def _below(left: np.ndarray, n: int) -> int:
 
 
 def pack(found: DataFrame, capacity: int = CAPACITY, length_col: str = "length") -> DataFrame:
-    """found with sequence_id and offset. found must be a table that reads the same each time (see materialize)."""
+    """found with sequence_id and offset, over a numbered copy of found in the shared folder."""
     spark = found.sparkSession
-    salted = found.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SALTS)))
+    numbered = materialize(found.withColumn("_number", F.monotonically_increasing_id()), "pieces")
+    salted = numbered.withColumn("_salt", F.pmod(F.xxhash64("_number"), F.lit(SALTS)))
     groups = materialize(salted.groupBy(F.col(length_col).alias("_n"), "_salt").agg(F.count("*").alias("_c")), "packing-counts")
     counts = {r["_n"]: r["c"] for r in groups.groupBy("_n").agg(F.sum("_c").alias("c")).collect()}  # at most `capacity` rows
     segments, first = [], 0
@@ -154,7 +159,7 @@ def pack(found: DataFrame, capacity: int = CAPACITY, length_col: str = "length")
     places = spark.createDataFrame(segments, "_n bigint, _from bigint, _to bigint, _bin bigint, _k bigint, _offset bigint")
     places = places.groupBy("_n").agg(F.sort_array(F.collect_list(F.struct("_from", "_to", "_bin", "_k", "_offset"))).alias("_places"))
     before = groups.withColumn("_before", F.sum("_c").over(Window.partitionBy("_n").orderBy("_salt")) - F.col("_c")).drop("_c")
-    rank = Window.partitionBy("_n", "_salt").orderBy("doc_id", "piece", "ids_crc32")
+    rank = Window.partitionBy("_n", "_salt").orderBy("_number")
     ranked = (
         salted.withColumn("_n", F.col(length_col))
         .withColumn("_r", F.row_number().over(rank) - 1)
@@ -173,4 +178,4 @@ def pack(found: DataFrame, capacity: int = CAPACITY, length_col: str = "length")
 
 def best_fit_packing(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    return pack(materialize(pieces(docs, tokenizer, capacity, end_id), "pieces"), capacity)
+    return pack(pieces(docs, tokenizer, capacity, end_id), capacity)
