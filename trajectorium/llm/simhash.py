@@ -217,4 +217,5 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, distance: int = DISTANC
         with_root = by_fp.join(joined.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("component", "rep"))
         least = with_root.groupBy("root").agg(F.min("least").alias("component_id"))
         of = with_root.join(least, "root").select("fp", "component_id")
-    return found.join(of, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    # a crowded fingerprint's rows are many, its class is one: between two tables, Spark broadcasts the classes or splits the skewed rows
+    return found.join(materialize(of, "components"), "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
