@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import ship
@@ -195,15 +195,19 @@ def is_held_out(doc_id: Column) -> Column:
 
 
 def train(docs: DataFrame, windows: int = WINDOWS, segment: int = SEGMENT, hidden: int = HIDDEN) -> Network:
-    """A network fitted on the driver to at most `windows` windows of 2 * segment characters."""
+    """A network fitted on the driver to at most `windows` windows of 2 * segment characters, as many of each language as there are, so that rare ones are learned too (one at least of each)."""
     able = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~is_held_out(F.col("doc_id")) & (F.col("lang") != UND))
     h = F.xxhash64(F.col("doc_id").cast("string"))
-    total = docs.count()
-    share = min(1.0, 4 * windows / max(1, total))
+    lang = F.col("lang").cast("string")
+    count = {r["lang"]: r["n"] for r in able.groupBy(lang.alias("lang")).agg(F.count("*").alias("n")).collect()}  # the network's labels
+    each = max(1, windows // max(1, len(count)))
+    # a share by hash that holds the wanted number many times over; rare languages whole
+    shares = docs.sparkSession.createDataFrame([(k, min(1 << 20, (64 + 4 * each) * (1 << 20) // n)) for k, n in count.items()], "lang string, share bigint")
     text = F.col("text").cast("string")
     at = F.pmod(F.abs(h), F.greatest(F.length(text) - 2 * segment, F.lit(0)) + 1).cast("int") + 1
-    some = able.where(F.pmod(h, F.lit(1 << 20)) < int(share * (1 << 20))).select(F.col("lang").cast("string").alias("lang"), F.substr(text, at, F.lit(2 * segment)).alias("w"), h.alias("h"))
-    rows = some.orderBy("h", "lang", "w").limit(windows).collect()
+    some = able.select(lang.alias("lang"), F.substr(text, at, F.lit(2 * segment)).alias("w"), h.alias("h")).join(F.broadcast(shares), "lang").where(F.pmod("h", F.lit(1 << 20)) < F.col("share"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "w"))
+    rows = some.withColumn("rank", rank).where(F.col("rank") <= each).orderBy("h", "lang", "w").collect()
     labels = sorted({r["lang"] for r in rows})
     x, y = [], []
     for r in rows:
