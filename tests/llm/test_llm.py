@@ -754,6 +754,26 @@ def test_pipeline_near_dedup_equals_brute_force(spark, docs):
     assert jaccard_dedup.copies(df.limit(0).selectExpr("doc_id AS row", "text")).count() == 0
 
 
+@pytest.mark.parametrize("crowd", [4096, 8])
+def test_plausible_pairs_miss_no_similar_ones(spark, crowd):
+    """Signatures let all similar pairs of different parts through, and few others; crowded buckets in parts give the same."""
+    rng = random.Random(21)
+    base = [[rng.getrandbits(64) for _ in range(rng.choice([3, 30, 300]))] for _ in range(6)]
+    sets = []
+    for k in range(150):
+        own = base[k % 6]
+        share = rng.uniform(0.6, 1)
+        sets.append({x if rng.random() < share else rng.getrandbits(64) for x in own})
+    signed = jaccard_dedup.signatures(sets)
+    rows = [(k % 6, k, len(s), k // 12, bytearray(signed[k].tobytes())) for k, s in enumerate(sets)]
+    df = spark.createDataFrame(rows, "key bigint, rep bigint, n bigint, part bigint, signature binary").repartition(3)
+    found = {(r["a"], r["b"]) for r in jaccard_dedup.close(df, crowd).collect()}
+    pairs = [(a, b) for a in range(150) for b in range(a + 1, 150) if a % 6 == b % 6 and a // 12 != b // 12]
+    alike = {p for p in pairs if jaccard_dedup.similar(sets[p[0]], sets[p[1]])}
+    assert alike and alike <= found <= set(pairs)
+    assert all(len(sets[a] & sets[b]) > 0.5 * len(sets[a] | sets[b]) for a, b in found if min(len(sets[a]), len(sets[b])) > 200)
+
+
 def test_secret_of_one_owner_in_many_documents(spark):
     """One owner's value is live however many of its documents hold it; two owners' isn't."""
     own, shared = "Zx9kQ7vB2mN4pL8wR1tY", "aB3dE5gH7jK9mN1pQ3sT5vX7"
