@@ -23,7 +23,7 @@ import regex
 from .common import ragged, sums
 
 #: Pre-tokens that a worker remembers; beyond it, those that the last batch didn't use go.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 #: Plain texts: ASCII and the letters from U+00C0 to U+00FF, no apostrophe, white space only single blanks or line ends between other characters.
 _ODD = r"[^\x00-\x7f\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{ff}]|[\t\x0b-\r']|[ \n][ \n]|^[ \n]|[ \n]$"
 _LETTER, _DIGIT, _OTHER, _BLANK, _LINE = range(5)
