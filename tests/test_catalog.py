@@ -19,7 +19,7 @@ def duck():
 
 def rows(names, values):
     order = sorted(range(len(names)), key=lambda k: names[k])
-    clean = lambda x: round(x, 3) + 0.0 if isinstance(x, float) and not math.isnan(x) else x
+    clean = lambda x: round(x, 4) + 0.0 if isinstance(x, float) and not math.isnan(x) else x
     return sorted((tuple(clean(v[k]) for k in order) for v in values), key=repr)
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .functions import angles, boxes
 from .operators import matching, reshape, sampling, sequences, statistics
 from .plans.views import DET_SQL, FRAG_SQL, OBS_SQL, det, frag, indexed, obs
-from .registry import ORACLES, PAIRS_SQL, QUERIES, Query, query, r
+from .registry import ORACLES, PAIRS_SQL, QUERIES, Query, query, r, r_half
 from .session import ship
 from .streaming import tracker
 
@@ -189,7 +189,7 @@ def w09(s, d):
 @query("w10_linear_interpolation", f"WITH {OBS_SQL}, n AS (SELECT tid, frame, cx, heading, lead(frame) OVER w nf, lead(cx) OVER w nc, lead(heading) OVER w nh FROM obs WINDOW w AS (PARTITION BY tid ORDER BY frame)) SELECT tid, frame, round(cx, 4) cx, round(heading, 4) heading FROM n UNION ALL SELECT tid, CAST(g.range AS BIGINT), round(cx + CAST(g.range - frame AS DOUBLE) / (nf - frame) * (nc - cx), 4), round((heading + CAST(g.range - frame AS DOUBLE) / (nf - frame) * (((nh - heading + 540) % 360) - 180) + 360) % 360, 4) FROM n, range(0, 100000) g WHERE g.range > frame AND g.range < nf")
 def w10(s, d):
     out = sequences.filled(obs(s, d).select("tid", "frame", "cx", "heading"), ["tid"], ["cx"], ["heading"])
-    return out.select("tid", "frame", r("cx").alias("cx"), r("heading").alias("heading"))
+    return out.select("tid", "frame", r_half("cx").alias("cx"), r_half("heading").alias("heading"))
 
 
 @query("w13_position_spikes", f"WITH {OBS_SQL}, n AS (SELECT tid, frame, cx, cy, lag(frame) OVER w pf, lag(cx) OVER w px, lag(cy) OVER w py, lead(frame) OVER w nf, lead(cx) OVER w nx, lead(cy) OVER w ny FROM obs WINDOW w AS (PARTITION BY tid ORDER BY frame)) SELECT tid, frame, round((px+nx)/2, 4) mx, round((py+ny)/2, 4) my FROM n WHERE pf = frame - 1 AND nf = frame + 1 AND (cx-px)*(nx-cx) + (cy-py)*(ny-cy) < 0 AND sqrt((nx-px)*(nx-px)+(ny-py)*(ny-py))/2 < greatest(sqrt((cx-px)*(cx-px)+(cy-py)*(cy-py)), sqrt((nx-cx)*(nx-cx)+(ny-cy)*(ny-cy)))")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .functions import angles, boxes, polygons
 from .operators import headings, identity, matching, reshape, sampling, sequences, statistics
 from .plans.views import DET_SQL, FRAG_SQL, OBS_SQL, det, frag, indexed, obs
-from .registry import PAIRS_SQL, query, r
+from .registry import PAIRS_SQL, query, r, r_half
 from .session import ship
 
 BOX = ("cx", "cy", "w", "h", "heading")
@@ -314,7 +314,7 @@ def w08(s, d):
 @query("w11_filled_edges", f"WITH {OBS_SQL}, v AS (SELECT tid, frame, CASE WHEN score >= 0.3 THEN cx END cx, CASE WHEN score >= 0.3 THEN frame END kf FROM obs), g AS (SELECT *, last_value(cx IGNORE NULLS) OVER a pc, last_value(kf IGNORE NULLS) OVER a pf, first_value(cx IGNORE NULLS) OVER b nc, first_value(kf IGNORE NULLS) OVER b nf FROM (SELECT * FROM v UNION ALL SELECT e.tid, CAST(t.range AS BIGINT), NULL, NULL FROM (SELECT tid, min(frame) lo, max(frame) hi FROM v GROUP BY 1) e, range(0, 100000) t WHERE t.range BETWEEN lo AND hi AND NOT EXISTS (SELECT 1 FROM v WHERE v.tid = e.tid AND v.frame = t.range)) y WINDOW a AS (PARTITION BY tid ORDER BY frame ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), b AS (PARTITION BY tid ORDER BY frame ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) SELECT tid, frame, round(CASE WHEN cx IS NOT NULL THEN cx WHEN pf IS NULL THEN nc WHEN nf IS NULL THEN pc ELSE pc + (frame - pf)*(nc - pc)/(nf - pf) END, 4) cx FROM g")
 def w11(s, d):
     o = obs(s, d).select("tid", "frame", F.when(F.col("score") >= 0.3, F.col("cx")).alias("cx"))
-    return sequences.filled(o, ["tid"], ["cx"], edges=True).select("tid", "frame", r("cx").alias("cx"))
+    return sequences.filled(o, ["tid"], ["cx"], edges=True).select("tid", "frame", r_half("cx").alias("cx"))
 
 
 @query("w12_circular_middle", f"WITH {OBS_SQL}, n AS (SELECT tid, frame, heading a, lead(heading) OVER (PARTITION BY tid ORDER BY frame) b FROM obs) SELECT tid, frame, round((a + 0.5*(((b - a + 540) % 360) - 180) + 720) % 360, 4) middle FROM n WHERE b IS NOT NULL")

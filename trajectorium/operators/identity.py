@@ -29,13 +29,14 @@ def contact_groups(pairs: DataFrame) -> DataFrame:
     return pairs.select("frame", "a_event_id", "b_event_id").groupBy("frame").applyInPandas(run, "frame bigint, event_id bigint, component_id bigint")
 
 
-def silhouette(points: DataFrame, ident: str, label: str, vector: str, blocks: int = 16) -> DataFrame:
+def silhouette(points: DataFrame, ident: str, label: str, vector: str, block: int = 2048) -> DataFrame:
     """ident, s of every point by Euclidean distance: (b - a) / max(a, b), 0 for the only one of its label. null if there is one label only.
 
-    Points are dealt into blocks by their id; each pair of blocks is one task's
-    matrix, and leaves one row per point and label, so memory is bounded by a
-    block and the number of blocks is what to raise for more points.
+    Points are dealt by their id into blocks of about `block` points; each pair
+    of blocks is one group, worked through in strips, and leaves one row per
+    point and label, so memory is bounded however many points there are.
     """
+    blocks = max(1, -(-points.count() // block))
     p = points.select(F.col(ident).alias("i"), F.col(label).alias("l"), F.col(vector).alias("v"), F.pmod(F.xxhash64(ident), F.lit(blocks)).alias("b"))
     side = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     left = p.select("*", side.alias("o"), F.lit(0).alias("s")).withColumnRenamed("b", "x").withColumnRenamed("o", "y")
@@ -46,11 +47,13 @@ def silhouette(points: DataFrame, ident: str, label: str, vector: str, blocks: i
         if not len(a) or not len(b):
             return pd.DataFrame({"i": [], "l": [], "m": [], "d": [], "n": []})
         u, v = (np.stack(k["v"].to_numpy()).astype(float) for k in (a, b))
-        far = np.sqrt(np.stack([((v - x) ** 2).sum(1) for x in u]))
+        names, which = np.unique(b["l"].to_numpy(), return_inverse=True)
+        member = np.zeros((len(b), len(names)))
+        member[np.arange(len(b)), which] = 1
+        far = np.concatenate([np.stack([np.sqrt(((v - x) ** 2).sum(1)) for x in u[s : s + 256]]) @ member for s in range(0, len(u), 256)])
         out = []
-        for m in sorted(b["l"].unique()):
-            own = (b["l"] == m).to_numpy()
-            out.append(pd.DataFrame({"i": a["i"].to_numpy(), "l": a["l"].to_numpy(), "m": m, "d": far[:, own].sum(1), "n": own.sum() - np.isin(a["i"], b["i"][own])}))
+        for k, m in enumerate(names):
+            out.append(pd.DataFrame({"i": a["i"].to_numpy(), "l": a["l"].to_numpy(), "m": m, "d": far[:, k], "n": (which == k).sum() - np.isin(a["i"], b["i"][which == k])}))
         return pd.concat(out)
 
     cells = left.unionByName(right.select(left.columns)).groupBy("x", "y").applyInPandas(run, "i bigint, l bigint, m bigint, d double, n bigint")

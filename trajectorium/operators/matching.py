@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -17,9 +19,20 @@ def lookup_last(df: DataFrame, table: DataFrame, on: list[str], value: str, orde
     return df.join(last, on, "left")
 
 def in_runs(rows: DataFrame, runs: DataFrame, key: list[str]) -> DataFrame:
-    """rows with the run of their key that holds their frame."""
-    r = runs.select(*key, F.col("start_frame").alias("_s"), F.col("end_frame").alias("_e"), F.col("island").alias("run_id"))
-    return rows.join(r, key).where((F.col("frame") >= F.col("_s")) & (F.col("frame") <= F.col("_e"))).drop("_s", "_e")
+    """rows with the run_id (island) of the run of their key that holds their frame; those in no run go, and a row in two runs is an error. One pass along each key's frames, so a row never meets all runs."""
+    none = F.lit(None).cast(f"struct<e:{runs.schema['end_frame'].dataType.simpleString()},run:{runs.schema['island'].dataType.simpleString()}>")
+    held = F.struct(*rows.columns)
+    at = lambda frame, kind, delta, run, row: [*key, frame.cast("long").alias("_at"), F.lit(kind).alias("_kind"), F.lit(delta).alias("_open"), run.alias("_run"), row.alias("_row")]
+    empty = F.lit(None).cast(rows.select(held.alias("r")).schema["r"].dataType)
+    starts = runs.select(*at(F.col("start_frame"), 0, 1, F.struct(F.col("end_frame").alias("e"), F.col("island").alias("run")), empty))
+    ends = runs.select(*at(F.col("end_frame") + 1, 0, -1, none, empty))
+    some = reduce(lambda a, b: a & b, (F.col(k).isNotNull() for k in key), F.col("frame").isNotNull())
+    both = rows.where(some).select(*at(F.col("frame"), 1, 0, none, held)).unionByName(starts).unionByName(ends)
+    w = Window.partitionBy(*key).orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    both = both.withColumn("_open", F.sum("_open").over(w)).withColumn("_run", F.max("_run").over(w)).where("_kind = 1 AND _open > 0")
+    run = F.when(F.col("_open") == 1, F.col("_run.run")).otherwise(F.raise_error(F.lit("a row lies in two runs")).cast(runs.schema["island"].dataType))
+    return both.select("_row.*", run.alias("run_id"))
+
 
 def overlapping_pairs(det: DataFrame, cell: float = 64.0) -> DataFrame:
     """Pairs a < b of one frame whose axis-aligned boxes strictly overlap, with iou.
@@ -53,17 +66,48 @@ def best_match(det: DataFrame) -> DataFrame:
     return det.select("event_id").join(best, "event_id", "left")
 
 def last_before(left: DataFrame, frags: DataFrame, key: str, at: str) -> DataFrame:
-    """left with the fragment of its key that ended last before `at`; of equal ends the highest id."""
-    f = frags.select(F.col(key).alias("_k"), F.col("frag_id").alias("_f"), F.col("end_frame").alias("_e"))
-    found = left.join(f, (F.col(key) == F.col("_k")) & (F.col("_e") < F.col(at)), "left")
-    return found.groupBy(*left.columns).agg(F.max_by("_f", F.struct("_e", "_f")).alias("before_frag"))
+    """left with the fragment of its key that ended last before `at`; of equal ends the highest id. One pass along each key's frames, so a row never meets all earlier fragments."""
+    held = F.struct(*left.columns)
+    found = F.struct(F.col("end_frame").alias("e"), F.col("frag_id").alias("f"))
+    kind = frags.select(found.alias("f")).schema["f"].dataType
+    a = left.select(F.col(key).alias("_k"), F.col(at).cast("long").alias("_at"), F.lit(0).alias("_kind"), held.alias("_row"), F.lit(None).cast(kind).alias("_f"))
+    b = frags.where(F.col(key).isNotNull()).select(F.col(key).alias("_k"), F.col("end_frame").cast("long").alias("_at"), F.lit(1).alias("_kind"), F.lit(None).cast(a.schema["_row"].dataType).alias("_row"), found.alias("_f"))
+    w = Window.partitionBy("_k").orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, 0)  # a fragment that ends at `at` comes after it
+    return a.unionByName(b).withColumn("_f", F.max("_f").over(w)).where("_kind = 0").select("_row.*", F.col("_f.f").alias("before_frag"))
+
+
+def connected(valid: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Rows and columns of each connected part of a matrix of allowed pairs."""
+    left = np.full(valid.shape[0], -1)
+    out = []
+    for start in range(valid.shape[0]):
+        if left[start] >= 0 or not valid[start].any():
+            continue
+        rows = np.zeros(valid.shape[0], bool)
+        rows[start] = True
+        while True:
+            columns = valid[rows].any(0)
+            more = valid[:, columns].any(1)
+            if (more == rows).all():
+                break
+            rows = more
+        left[rows] = len(out)
+        out.append((np.flatnonzero(rows), np.flatnonzero(columns)))
+    return out
+
 
 def min_cost(cost: np.ndarray, valid: np.ndarray) -> list[tuple[int, int]]:
     """Pairs of a one-to-one assignment of least cost, those that aren't valid left out afterwards (shortest augmenting paths)."""
-    some = [np.flatnonzero(valid.any(k)) for k in (1, 0)]
-    if len(some[0]) < valid.shape[0] or len(some[1]) < valid.shape[1]:  # what fits nothing changes nothing
-        kept = np.ix_(*some)
-        return [(int(some[0][i]), int(some[1][j])) for i, j in min_cost(cost[kept], valid[kept])] if len(some[0]) else []
+    parts = connected(valid)  # what fits nothing changes nothing, and parts don't change each other
+    if len(parts) != 1 or len(parts[0][0]) < valid.shape[0] or len(parts[0][1]) < valid.shape[1]:
+        out = []
+        for rows, columns in parts:
+            kept = np.ix_(rows, columns)
+            found = [(0, 0)] if valid[kept].size == 1 else min_cost(cost[kept], valid[kept])
+            out += [(int(rows[i]), int(columns[j])) for i, j in found]
+        return sorted(out)
+    if valid.size == 1:
+        return [(0, 0)]
     c = np.where(valid, cost, 1e12)
     flip = c.shape[0] > c.shape[1]
     c = c.T if flip else c
@@ -231,7 +275,10 @@ def rescued(blobs: DataFrame, results: DataFrame, reach: float) -> DataFrame:
     grid cells, and a blob's measures are aggregates, so no group is collected.
     """
     values = [f"{k}_{c}" for k in "ab" for c in (*BOX, "heading")]
-    pairs = near_pairs(blobs.select("frame", "event_id", *BOX, "heading"), results.select("frame", "event_id", *BOX, "heading"), reach)
+    turn = lambda f, g: F.abs(f(F.radians("heading"))) * F.col("w") / 2 + F.abs(g(F.radians("heading"))) * F.col("h") / 2
+    sides = [t.select("frame", "event_id", *BOX, "heading", turn(F.sin, F.cos).alias("ex"), turn(F.cos, F.sin).alias("ey")) for t in (blobs, results)]
+    # boxes whose bounds don't meet share no area and hold no centre: such pairs change nothing
+    pairs = near_pairs(*sides, reach).where("abs(a_cx - b_cx) <= a_ex + b_ex + 1e-9 AND abs(a_cy - b_cy) <= a_ey + b_ey + 1e-9")
 
     def run(batches):
         for p in batches:
@@ -256,6 +303,7 @@ def rescued(blobs: DataFrame, results: DataFrame, reach: float) -> DataFrame:
     )
     has = results.select("frame").distinct().withColumn("_has", F.lit(True))
     rows = blobs.select("frame", "event_id").join(has, "frame", "left").join(per, ["frame", "event_id"], "left")
+    #: Reasons, as they are written out.
     rules = [
         (F.col("_has").isNull(), "no_result_frame"), (F.coalesce("owned", F.lit(0)) == 0, "no_matching_obb"), (F.col("owned") > 1, "multiple_result_obbs"), (F.col("cover") < 0.85, "insufficient_blob_coverage"),
         (F.col("covering") > 1, "competing_result_obb"), (F.col("spans") > 0, "obb_spans_multiple_blobs"), (F.col("aspect") < 1.25, "axis_ambiguous"), (~F.col("sized"), "obb_size_mismatch"),

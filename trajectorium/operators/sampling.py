@@ -49,19 +49,22 @@ def overlapping_intervals(f: DataFrame, bin_size: int) -> DataFrame:
 
 def reachable_split(sizes: dict[int, int], target: int, low: int | None = None, high: int | None = None) -> dict[int, int]:
     """How many groups of each size make up the validation rows. sizes: group size -> number of groups. With low and high the sum must lie in them: target if it can be made, else the least sum that can, else an error. Without, the sum next to target, the larger on a tie."""
+    most = 2 * target if high is None or low is None else high  # 0 can be made, so nothing beyond twice the target is nearer
+    mask = (1 << (max(most, 0) + 1)) - 1
     items = [(s, min(n, 1 << k, n - (1 << k) + 1)) for s, n in sorted(sizes.items()) for k in range(n.bit_length()) if n - (1 << k) + 1 > 0]
     reach = [1]
     for s, n in items:
-        reach.append(reach[-1] | reach[-1] << (s * n))
-    total = sum(s * n for s, n in sizes.items())
-    sums = [x for x in range(total + 1) if reach[-1] >> x & 1]
+        reach.append((reach[-1] | reach[-1] << (s * n)) & mask if s * n <= most else reach[-1])
     if low is None or high is None:
-        best = min(sums, key=lambda x: (abs(x - target), -x))
+        below = (reach[-1] & ((1 << (target + 1)) - 1)).bit_length() - 1
+        above = reach[-1] >> target
+        above = target + (above & -above).bit_length() - 1 if above else None
+        best = below if above is None or target - below < above - target else above
     else:
-        inside = [x for x in sums if low <= x <= high]
+        inside = reach[-1] >> low << low
         if not inside:
             raise ValueError(f"no sum from {low} to {high} can be made")
-        best = target if target in inside else inside[0]
+        best = target if low <= target <= high and reach[-1] >> target & 1 else (inside & -inside).bit_length() - 1
     taken = dict.fromkeys(sizes, 0)
     for (s, n), before in zip(reversed(items), reversed(reach[:-1])):
         if not before >> best & 1:

@@ -29,3 +29,8 @@ def query(name: str, sql: str | None = None):
 
 def r(c, d: int = 4):
     return F.round(c, d)
+
+
+def r_half(c, d: int = 4):
+    """Rounded as SQL engines round doubles, by a multiplication: values on the edge, as those in the middle of two, go the same way."""
+    return F.round(F.col(c) * 10**d) / 10**d
