@@ -204,17 +204,17 @@ def _medians(able: DataFrame) -> DataFrame:
     cells = _levels(able).select("key", F.posexplode("x").alias("k", "v")).groupBy("key", "k", "v").agg(F.count("*").alias("c"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        median, spread, n = [], [], 0
-        for k in range(_D):
-            own = pdf[pdf["k"] == k].sort_values("v")
-            v, c = own["v"].to_numpy(float) / GRID, own["c"].to_numpy()
-            n = int(c.sum())
-            median.append(v[np.searchsorted(c.cumsum(), (n + 1) // 2)])
-            order = np.argsort(np.abs(v - median[k]), kind="stable")
-            spread.append(1.4826 * np.abs(v - median[k])[order][np.searchsorted(c[order].cumsum(), (n + 1) // 2)])
-        return pd.DataFrame([{"key": pdf["key"].iloc[0], "n": n, "median": median, "spread": spread}])
-
-    return materialize(cells.groupBy("key").applyInPandas(run, "key string, n bigint, median array<double>, spread array<double>"), "medians")
+        own = pdf.sort_values("v")
+        v, c = own["v"].to_numpy(float) / GRID, own["c"].to_numpy()
+        n = int(c.sum())
+        median = v[np.searchsorted(c.cumsum(), (n + 1) // 2)]
+        order = np.argsort(np.abs(v - median), kind="stable")
+        spread = 1.4826 * np.abs(v - median)[order][np.searchsorted(c[order].cumsum(), (n + 1) // 2)]
+        return pd.DataFrame([{"key": own["key"].iloc[0], "k": own["k"].iloc[0], "n": n, "median": median, "spread": spread}])
+
+    each = cells.groupBy("key", "k").applyInPandas(run, "key string, k int, n bigint, median double, spread double")
+    listed = each.groupBy("key").agg(F.max("n").alias("n"), F.array_sort(F.collect_list(F.struct("k", "median", "spread"))).alias("e"))
+    return materialize(listed.select("key", "n", F.col("e.median").alias("median"), F.col("e.spread").alias("spread")), "medians")
 
 
 def _starts(able: DataFrame) -> DataFrame:
