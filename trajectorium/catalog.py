@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions import angles, boxes
 from .operators import matching, reshape, sampling, sequences, statistics
-from .plans.views import DET_SQL, FRAG_SQL, OBS_SQL, det, frag, indexed, obs
+from .plans.views import DET_SQL, FRAG_SQL, OBS_SQL, STRUNG_SQL, det, frag, indexed, obs, strung
 from .registry import ORACLES, PAIRS_SQL, QUERIES, Query, query, r, r_half
 from .session import ship
 from .streaming import tracker
@@ -54,11 +54,12 @@ def p15(s, d):
 # joins
 
 
-@query("j02_full_outer_dense", f"WITH {OBS_SQL}, a AS (SELECT frame, cx FROM obs WHERE tid = 1), b AS (SELECT frame, heading FROM obs WHERE tid = 2), m AS (SELECT greatest((SELECT coalesce(max(frame), 0) FROM a), (SELECT coalesce(max(frame), 0) FROM b)) m) SELECT CAST(g.range AS BIGINT) frame, a.cx, b.heading FROM m, range(0, 100000) g LEFT JOIN a ON a.frame = g.range LEFT JOIN b ON b.frame = g.range WHERE g.range <= m.m")
+@query("j02_full_outer_dense", f"WITH {OBS_SQL}, a AS (SELECT tid // 2 AS pair, * FROM obs WHERE tid % 2 = 0), b AS (SELECT tid // 2 AS pair, * FROM obs WHERE tid % 2 = 1), g AS (SELECT tid // 2 AS pair, unnest(range(0, max(frame) + 1)) AS frame FROM obs GROUP BY 1) SELECT pair, g.frame, a.cx, b.heading FROM g LEFT JOIN a USING (pair, frame) LEFT JOIN b USING (pair, frame)")
 def j02(s, d):
-    o = obs(s, d)
-    both = o.where("tid = 1").select("frame", "cx").join(o.where("tid = 2").select("frame", "heading"), "frame", "full")
-    return reshape.dense(both)
+    """Boxes of the first, headings of the second of every two tracks."""
+    o = obs(s, d).withColumn("pair", F.expr("tid div 2"))
+    both = reshape.full_outer(o.where("tid % 2 = 0").select("pair", "frame", "cx"), o.where("tid % 2 = 1").select("pair", "frame", "heading"), ["pair", "frame"])
+    return reshape.dense(both, by=["pair"])
 
 
 @query("j04_range_join", f"WITH {OBS_SQL}, i AS (SELECT tid, frame, frame - row_number() OVER (PARTITION BY tid ORDER BY frame) g FROM obs), q AS (SELECT tid, min(frame) s, max(frame) e, count(*) n FROM i GROUP BY tid, g) SELECT obs.tid, obs.frame, CAST(q.n AS BIGINT) run_frames FROM obs JOIN q ON q.tid = obs.tid AND obs.frame BETWEEN q.s AND q.e")
@@ -228,9 +229,9 @@ def o06(s, d):
     return sampling.top_per_group(det(s, d), "frame", "score", 8, "event_id").select("frame", "event_id", "score")
 
 
-@query("u07_long_to_wide", f"WITH {OBS_SQL} SELECT frame, max(CASE WHEN tid = 1 THEN cx END) cx1, max(CASE WHEN tid = 1 THEN cy END) cy1, max(CASE WHEN tid = 2 THEN cx END) cx2, max(CASE WHEN tid = 2 THEN cy END) cy2 FROM obs GROUP BY 1")
+@query("u07_long_to_wide", f"WITH {STRUNG_SQL} SELECT frame, " + ", ".join(f"max(CASE WHEN tid = {k} THEN {c} END) {c}{k}" for k in range(4) for c in ("cx", "cy")) + " FROM strung GROUP BY 1")
 def u07(s, d):
-    return reshape.to_wide(obs(s, d), [1, 2], ["cx", "cy"])
+    return reshape.to_wide(strung(s, d), [0, 1, 2, 3], ["cx", "cy"])
 
 
 @query("u09_id_swap", f"WITH {OBS_SQL} SELECT event_id, frame, CAST(CASE WHEN frame >= 20 AND frame < 90 AND tid = 1 THEN 2 WHEN frame >= 20 AND frame < 90 AND tid = 2 THEN 1 ELSE tid END AS BIGINT) tid FROM obs")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .functions import angles, boxes, polygons
 from .operators import headings, identity, matching, reshape, sampling, sequences, statistics
-from .plans.views import DET_SQL, FRAG_SQL, OBS_SQL, det, frag, indexed, obs
+from .plans.views import DET_SQL, FRAG_SQL, OBS_SQL, STRUNG_SQL, det, frag, indexed, obs, strung
 from .registry import PAIRS_SQL, query, r, r_half
 from .session import ship
 
@@ -112,10 +112,10 @@ def j01(s, d):
     return matching.lookup_last(rows.select("event_id", "tid", "frame"), rows, ["tid", "frame"], "score", "event_id").select("event_id", "score")
 
 
-@query("j03_full_outer", f"WITH {OBS_SQL} SELECT coalesce(a.frame, b.frame) AS position, a.score, b.heading FROM (SELECT * FROM obs WHERE tid = 3) a FULL JOIN (SELECT * FROM obs WHERE tid = 4) b ON a.frame = b.frame")
+@query("j03_full_outer", f"WITH {OBS_SQL}, a AS (SELECT tid // 2 AS pair, * FROM obs WHERE tid % 2 = 0), b AS (SELECT tid // 2 AS pair, * FROM obs WHERE tid % 2 = 1) SELECT coalesce(a.pair, b.pair) AS pair, coalesce(a.frame, b.frame) AS position, a.score, b.heading FROM a FULL JOIN b ON a.pair = b.pair AND a.frame = b.frame")
 def j03(s, d):
-    o = obs(s, d).withColumnRenamed("frame", "position")
-    return o.where("tid = 3").select("position", "score").join(o.where("tid = 4").select("position", "heading"), "position", "full")
+    o = obs(s, d).withColumnRenamed("frame", "position").withColumn("pair", F.expr("tid div 2"))
+    return reshape.full_outer(o.where("tid % 2 = 0").select("pair", "position", "score"), o.where("tid % 2 = 1").select("pair", "position", "heading"), ["pair", "position"])
 
 
 _REASONS = "a AS (SELECT frame, CASE WHEN min(score) < 0.02 THEN 'faint' END x, CASE WHEN count(*) > 60 THEN 'crowded' END y, CASE WHEN max(cx) > 99.5 THEN 'far' END z FROM det GROUP BY 1), u AS (SELECT frame, concat_ws('|', x, y, z) reasons FROM a WHERE x IS NOT NULL OR y IS NOT NULL OR z IS NOT NULL)"
@@ -392,29 +392,27 @@ def u01(s, d):
     return rows.where("frame < 70").withColumn("pass", F.lit("backward")).unionByName(rows.where("frame >= 70").withColumn("pass", F.lit("forward"))).drop("frame")
 
 
-@query("u03_frame_union", f"WITH {OBS_SQL}, f AS (SELECT frame FROM obs WHERE tid = 1 UNION SELECT frame FROM obs WHERE tid = 2) SELECT t.range AS frame, f.frame IS NOT NULL present FROM range(0, (SELECT max(frame) + 1 FROM f)) t LEFT JOIN f ON f.frame = t.range")
+@query("u03_frame_union", f"WITH {OBS_SQL}, f AS (SELECT DISTINCT tid // 2 AS pair, frame FROM obs), g AS (SELECT pair, unnest(range(0, max(frame) + 1)) AS frame FROM f GROUP BY 1) SELECT g.pair, g.frame, f.frame IS NOT NULL present FROM g LEFT JOIN f ON f.pair = g.pair AND f.frame = g.frame")
 def u03(s, d):
-    o = obs(s, d).select("tid", "frame")
-    both = o.where("tid = 1").select("frame").union(o.where("tid = 2").select("frame")).distinct()
-    return reshape.dense(both.withColumn("present", F.lit(True))).select("frame", F.coalesce("present", F.lit(False)).alias("present"))
+    o = obs(s, d).withColumn("pair", F.expr("tid div 2"))
+    both = o.where("tid % 2 = 0").select("pair", "frame").union(o.where("tid % 2 = 1").select("pair", "frame")).distinct()
+    return reshape.dense(both.withColumn("present", F.lit(True)), by=["pair"]).select("pair", "frame", F.coalesce("present", F.lit(False)).alias("present"))
 
 
-@query("u05_frame_sets", f"WITH {OBS_SQL}, a AS (SELECT frame FROM obs WHERE tid = 1), b AS (SELECT frame FROM obs WHERE tid = 2) SELECT frame, 'both' AS side FROM (SELECT frame FROM a INTERSECT SELECT frame FROM b) x UNION ALL SELECT frame, 'first' FROM (SELECT frame FROM a EXCEPT SELECT frame FROM b) y")
+@query("u05_frame_sets", f"WITH {OBS_SQL}, a AS (SELECT tid // 2 AS pair, frame FROM obs WHERE tid % 2 = 0), b AS (SELECT tid // 2 AS pair, frame FROM obs WHERE tid % 2 = 1) SELECT pair, frame, 'both' AS side FROM (SELECT * FROM a INTERSECT SELECT * FROM b) x UNION ALL SELECT pair, frame, 'first' FROM (SELECT * FROM a EXCEPT SELECT * FROM b) y")
 def u05(s, d):
-    o = obs(s, d).select("tid", "frame")
-    a, b = (o.where(f"tid = {k}").select("frame") for k in (1, 2))
-    return a.intersect(b).withColumn("side", F.lit("both")).unionByName(a.subtract(b).withColumn("side", F.lit("first")))
+    o = obs(s, d).select(F.expr("tid div 2").alias("pair"), "frame", (F.col("tid") % 2).alias("k"))
+    return reshape.frame_sets(*[o.where(F.col("k") == k).drop("k") for k in (0, 1)])
 
 
-@query("u06_keep_last_dense", f"WITH {DET_SQL}, l AS (SELECT frame, max(event_id) event_id FROM det WHERE tid = 5 GROUP BY 1) SELECT t.range AS frame, l.event_id FROM range(0, (SELECT max(frame) + 1 FROM l)) t LEFT JOIN l ON l.frame = t.range")
+@query("u06_keep_last_dense", f"WITH {DET_SQL}, l AS (SELECT tid, frame, max(event_id) event_id FROM det GROUP BY 1, 2), g AS (SELECT tid, unnest(range(0, max(frame) + 1)) AS frame FROM l GROUP BY 1) SELECT g.tid, g.frame, l.event_id FROM g LEFT JOIN l ON l.tid = g.tid AND l.frame = g.frame")
 def u06(s, d):
-    return reshape.dense(reshape.keep_last(det(s, d).where("tid = 5").select("frame", "event_id"), ["frame"], "event_id"))
+    return reshape.dense(reshape.keep_last(det(s, d).select("tid", "frame", "event_id"), ["tid", "frame"], "event_id"), by=["tid"])
 
 
-@query("u08_wide_to_long", f"WITH {OBS_SQL} SELECT frame, tid - 1 AS tid, cx, cy FROM obs WHERE tid IN (1, 2, 3)")
+@query("u08_wide_to_long", f"WITH {STRUNG_SQL} SELECT frame, tid, cx, cy FROM strung")
 def u08(s, d):
-    o = obs(s, d).where("tid IN (1, 2, 3)").withColumn("tid", F.col("tid") - 1)
-    return reshape.to_long(reshape.to_wide(o, [0, 1, 2], ["cx", "cy"]), ["cx", "cy"])
+    return reshape.to_long(reshape.to_wide(strung(s, d), [0, 1, 2, 3], ["cx", "cy"]), ["cx", "cy"])
 
 
 @query("u11_swap_safety", f"WITH {OBS_SQL}, o AS (SELECT tid, frame FROM obs WHERE frame BETWEEN 10 AND 20), t AS (SELECT DISTINCT tid FROM obs), p AS (SELECT x.tid a, y.tid b FROM t x JOIN t y ON y.tid = x.tid + 1), e AS (SELECT a, b, frame FROM p JOIN o ON o.tid IN (a, b) GROUP BY 1, 2, 3 HAVING count(*) = 1), n AS (SELECT a, b, count(*) c FROM e GROUP BY 1, 2) SELECT a, b, coalesce(c, 0) differing, c IS NULL AS safe FROM p LEFT JOIN n USING (a, b)")

@@ -7,10 +7,11 @@ import hashlib
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from .functions import angles
+from .catalog_more import sql_corner
+from .functions import angles, boxes, codes
 from .operators import episodes, headings, identity, matching, reshape, resolver, sampling, sequences, statistics
 from .plans import reuse
-from .plans.views import DET_SQL, FRAG_SQL, OBS_SQL, det, frag, obs
+from .plans.views import DET_SQL, FRAG_SQL, OBS_SQL, STRUNG_SQL, det, frag, obs, strung
 from .registry import PAIRS_SQL, query, r
 from .session import fresh_path, ship
 from .sources import tables
@@ -123,11 +124,11 @@ def w22(s, d):
     return _episodes(s, d).withColumn("roster", F.array_join("roster", ","))
 
 
-_CELLS = "cells AS (SELECT tid % 5 AS episode, tid, frame, event_id % 7 = 0 AS filled, CASE WHEN event_id % 3 = 0 THEN round(score, 3) ELSE 0 END iou FROM obs WHERE frame < 40 AND tid < 60)"
+_CELLS = "cells AS (SELECT tid % 5 AS episode, tid, frame, event_id % 7 = 0 AS filled, CASE WHEN event_id % 3 = 0 THEN round(score, 3) ELSE 0 END iou FROM obs)"
 
 
 def _cells(s, d):
-    rows = obs(s, d).where("frame < 40 AND tid < 60")
+    rows = obs(s, d)
     return rows.select((F.col("tid") % 5).alias("episode"), "tid", "frame", (F.col("event_id") % 7 == 0).alias("filled"), F.when(F.col("event_id") % 3 == 0, F.round("score", 3)).otherwise(0.0).alias("iou"))
 
 
@@ -251,14 +252,9 @@ def c05(s, d):
     return o.withColumn("synthetic", F.lit(False)).withColumn("history", F.lit(None).cast("int")).unionByName(fills)
 
 
-#: What the tracker's stage codes mean.
-STAGES = ["start", "strong_heading", "strong_axis", "loose_heading", "loose_axis", "by_speed", "after_gap", "filled"]
-
-
-@query("c06_stage_names", f"WITH {DET_SQL} SELECT event_id, CASE event_id % 9 " + " ".join(f"WHEN {k} THEN '{x}'" for k, x in enumerate(STAGES)) + " END AS stage FROM det")
+@query("c06_stage_names", f"WITH {DET_SQL} SELECT event_id, event_id % 37 AS code, CASE event_id % 37 " + " ".join(f"WHEN {code} THEN '{short}'" for code, short, _ in codes.CODES) + " END AS short, CASE event_id % 37 " + " ".join(f"WHEN {code} THEN '{label}'" for code, _, label in codes.CODES) + " END AS label, CASE WHEN event_id % 37 IN (" + ", ".join(str(code) for code, *_ in codes.CODES) + ") THEN event_id % 37 > 1 END AS refined FROM det")
 def c06(s, d):
-    names = F.broadcast(s.createDataFrame(list(enumerate(STAGES)), "code bigint, stage string"))  # as many rows as there are stages
-    return det(s, d).select("event_id", (F.col("event_id") % 9).alias("code")).join(names, "code", "left").select("event_id", "stage")
+    return codes.described(det(s, d).select("event_id", (F.col("event_id") % 37).alias("code"))).select("event_id", "code", "short", "label", "refined")
 
 
 @query("x02_in_polygon", f"WITH {DET_SQL}, e(x1, y1, x2, y2) AS (VALUES (10.0, 100.0, 90.0, 200.0), (90.0, 200.0, 60.0, 900.0), (60.0, 900.0, 40.0, 400.0), (40.0, 400.0, 10.0, 100.0)) SELECT event_id, count(*) FILTER ((y1 > cy) <> (y2 > cy) AND cx < (x2 - x1) * (cy - y1) / (y2 - y1) + x1) % 2 = 1 AS inside FROM det, e GROUP BY 1")
@@ -319,35 +315,35 @@ def m01(s, d):
 # files
 
 
-@query("s05_strict_result", f"WITH {OBS_SQL} SELECT frame, tid - 1 AS tid, round(cx, 4) cx, round(cy, 4) cy, w, h, heading FROM obs WHERE tid IN (1, 2, 3)")
+@query("s05_strict_result", f"WITH {STRUNG_SQL} SELECT frame, tid, round(cx, 4) cx, round(cy, 4) cy, w, h, heading FROM strung")
 def s05(s, d):
     """Written as a wide table (K01) and read back."""
     path = fresh_path(s, "result")
-    tables.write_result(obs(s, d).where("tid IN (1, 2, 3)").withColumn("tid", F.col("tid") - 1), path, [0, 1, 2])
+    tables.write_result(strung(s, d), path, [0, 1, 2, 3])
     return tables.read_result(s, path).select("frame", "tid", r("cx").alias("cx"), r("cy").alias("cy"), "w", "h", "heading")
 
 
-@query("s06_lenient_result", f"WITH {OBS_SQL} SELECT frame, tid - 1 AS tid, round(cx, 4) cx FROM obs WHERE tid IN (1, 2) AND event_id % 5 > 1")
+@query("s06_lenient_result", f"WITH {STRUNG_SQL} SELECT frame, tid, round(cx, 4) cx FROM strung WHERE event_id % 5 > 1")
 def s06(s, d):
     """Some cells hold no number, some boxes no area."""
     path = fresh_path(s, "broken")
-    rows = obs(s, d).where("tid IN (1, 2)").select("frame", (F.col("tid") - 1).alias("tid"), *[(F.when(F.col("event_id") % 5 == 0, "x") if v == "cx" else F.when(F.col("event_id") % 5 == 1, "0") if v == "w" else F).when(F.lit(True), F.col(v).cast("string")).alias(v) for v in tables.RESULT])
-    reshape.to_wide(rows, [0, 1], tables.RESULT).write.option("header", True).csv(path)
+    rows = strung(s, d).select("frame", "tid", *[(F.when(F.col("event_id") % 5 == 0, "x") if v == "cx" else F.when(F.col("event_id") % 5 == 1, "0") if v == "w" else F).when(F.lit(True), F.col(v).cast("string")).alias(v) for v in tables.RESULT])
+    reshape.to_wide(rows, [0, 1, 2, 3], tables.RESULT).write.option("header", True).csv(path)
     return tables.read_result(s, path, strict=False).select("frame", "tid", r("cx").alias("cx"))
 
 
-@query("s11_centroids", f"WITH {OBS_SQL} SELECT tid - 1 AS tid, count(cx) n, round(sum(cx), 3) total FROM obs WHERE tid IN (1, 2) GROUP BY 1")
+@query("s11_centroids", f"WITH {STRUNG_SQL} SELECT tid, count(cx) n, round(sum(cx), 3) total FROM strung GROUP BY 1")
 def s11(s, d):
     path = fresh_path(s, "centroids")
-    rows = obs(s, d).where("tid IN (1, 2)").select("frame", (F.col("tid") - 1).alias("tid"), F.col("cx").alias("x"), F.col("cy").alias("y"))
-    reshape.to_wide(rows, [0, 1], ["x", "y"]).drop("frame").write.option("header", True).csv(path)
+    rows = strung(s, d).select("frame", "tid", F.col("cx").alias("x"), F.col("cy").alias("y"))
+    reshape.to_wide(rows, [0, 1, 2, 3], ["x", "y"]).drop("frame").write.option("header", True).csv(path)
     return tables.read_centroids(s, path, most_missing=0.99).groupBy("tid").agg(F.count("x").alias("n"), F.round(F.sum("x"), 3).alias("total"))
 
 
-@query("s08_pose", f"WITH {OBS_SQL} SELECT frame, tid AS track, p AS point, round(CASE WHEN p = 'head' THEN cx ELSE cx + w END, 4) x FROM obs, (VALUES ('head'), ('tail')) t(p) WHERE tid < 4")
+@query("s08_pose", f"WITH {OBS_SQL} SELECT frame, tid AS track, p AS point, round(CASE WHEN p = 'head' THEN cx ELSE cx + w END, 4) x FROM obs, (VALUES ('head'), ('tail')) t(p)")
 def s08(s, d):
     path = fresh_path(s, "pose")
-    rows = obs(s, d).where("tid < 4").selectExpr("concat('track_', tid) AS track", "frame AS frame_idx", "cx AS `head.x`", "cy AS `head.y`", "cx + w AS `tail.x`", "cy AS `tail.y`")
+    rows = obs(s, d).selectExpr("concat('track_', tid) AS track", "frame AS frame_idx", "cx AS `head.x`", "cy AS `head.y`", "cx + w AS `tail.x`", "cy AS `tail.y`")
     rows.write.option("header", True).csv(path)
     return tables.read_pose(s, path).select("frame", "track", "point", r("x").alias("x"))
 
@@ -397,9 +393,9 @@ def k04(s, d):
     return det(s, d).select("event_id", F.coalesce(F.expr("CASE WHEN event_id % 4 <> 0 THEN tid END"), F.lit(-1)).alias("track_id"), why.alias("reasons"))
 
 
-@query("k06_corrections_log", f"WITH {DET_SQL} SELECT event_id, '{{\"kind\":\"relabel\",\"tid\":' || tid || ',\"frame\":' || frame || '}}' AS record FROM det WHERE event_id % 50 = 0")
+@query("k06_corrections_log", f"WITH {DET_SQL} SELECT event_id, '{{\"kind\":\"relabel\",\"tid\":' || tid || ',\"frame\":' || frame || '}}' AS record FROM det")
 def k06(s, d):
-    return det(s, d).where("event_id % 50 = 0").select("event_id", F.to_json(F.struct(F.lit("relabel").alias("kind"), "tid", "frame")).alias("record"))
+    return det(s, d).select("event_id", F.to_json(F.struct(F.lit("relabel").alias("kind"), "tid", "frame")).alias("record"))
 
 
 @query("k10_run_summary", f"WITH {OBS_SQL}, b AS (SELECT *, CASE WHEN frame - lag(frame) OVER (PARTITION BY tid ORDER BY frame) <= 2 THEN 0 ELSE 1 END nw FROM obs), i AS (SELECT *, CAST(sum(nw) OVER (PARTITION BY tid ORDER BY frame) AS BIGINT) island FROM b) SELECT tid, island, min(frame) start_frame, max(frame) end_frame, count(*) n, count(*) FILTER (event_id % 5 = 0) deleted, 5 * count(*) FILTER (event_id % 5 = 0) >= 2 * count(*) AS dropped FROM i GROUP BY 1, 2")
@@ -409,11 +405,11 @@ def k10(s, d):
     return out.withColumn("dropped", F.expr("5 * deleted >= 2 * n"))
 
 
-@query("k08_front_rear", f"WITH {OBS_SQL} SELECT frame, max(CASE WHEN tid = 1 THEN round(cx + sin(radians(heading))*w/2, 4) END) front_x0, max(CASE WHEN tid = 2 THEN round(cx - sin(radians(heading))*w/2, 4) END) rear_x1 FROM obs WHERE tid IN (1, 2) GROUP BY 1")
+@query("k08_front_rear", f"WITH {STRUNG_SQL} SELECT frame, " + ", ".join(f"max(CASE WHEN tid = {k} THEN round(cx {sign} sin(radians(heading))*w/2, 4) END) {name}_x{k}" for k in range(4) for sign, name in (("+", "front"), ("-", "rear"))) + " FROM strung GROUP BY 1")
 def k08(s, d):
     half = F.sin(F.radians("heading")) * F.col("w") / 2
-    rows = obs(s, d).where("tid IN (1, 2)").select("frame", (F.col("tid") - 1).alias("tid"), r(F.col("cx") + half).alias("front_x"), r(F.col("cx") - half).alias("rear_x"))
-    return reshape.to_wide(rows, [0, 1], ["front_x", "rear_x"]).select("frame", "front_x0", "rear_x1")
+    rows = strung(s, d).select("frame", "tid", r(F.col("cx") + half).alias("front_x"), r(F.col("cx") - half).alias("rear_x"))
+    return reshape.to_wide(rows, [0, 1, 2, 3], ["front_x", "rear_x"])
 
 
 @query("w17_flip_repair")
@@ -438,11 +434,10 @@ def k07(s, d):
     return parts[0].unionByName(parts[1]).select("split", "stem", "source_frame", "kind")
 
 
-@query("k02_corner_table", f"WITH {OBS_SQL}, z AS (SELECT frame, tid, round(cx + sin(radians(heading))*w/2 + cos(radians(heading))*h/2, 4) x FROM obs WHERE tid IN (1, 2)) SELECT frame AS position, max(CASE WHEN tid = 1 THEN x END) x00, max(CASE WHEN tid = 2 THEN x END) x01 FROM z GROUP BY 1")
+@query("k02_corner_table", f"WITH {STRUNG_SQL}, z AS (SELECT frame, tid, heading AS c, " + ", ".join(f"round({sql_corner(k)[i]}, 4) {c}{k}" for k in range(4) for i, c in enumerate("xy")) + " FROM strung) SELECT frame AS position, " + ", ".join(f"max(CASE WHEN tid = {t} THEN {c} END) {c}{t}" for t in range(4) for c in [*[f"{c}{k}" for k in range(4) for c in "xy"], "c"]) + " FROM z GROUP BY 1")
 def k02(s, d):
-    x = F.col("cx") + F.sin(F.radians("heading")) * F.col("w") / 2 + F.cos(F.radians("heading")) * F.col("h") / 2
-    rows = obs(s, d).where("tid IN (1, 2)").select(F.col("frame").alias("position"), (F.col("tid") - 1).alias("tid"), r(x).alias("x0"))
-    return reshape.to_wide(rows, [0, 1], ["x0"], frame="position")
+    rows = strung(s, d).withColumn("corners", F.transform(boxes.corners(*[F.col(c) for c in ("cx", "cy", "w", "h", "heading")]), lambda p: F.struct(F.round(p["x"], 4).alias("x"), F.round(p["y"], 4).alias("y"))))
+    return reshape.corner_table(rows, [0, 1, 2, 3])
 
 
 @query("s12_sniffed_format", "SELECT 'result' AS format UNION ALL SELECT 'pose' UNION ALL SELECT 'centroids'")

@@ -28,11 +28,26 @@ def to_long(wide: DataFrame, values: list[str], ident: str = "tid", frame: str =
     return wide.select(frame, F.explode(each).alias("_x")).select(frame, "_x.*").where(F.coalesce(*[F.col(v) for v in values]).isNotNull())
 
 
-def dense(df: DataFrame, frame: str = "frame") -> DataFrame:
-    """df and a row for each frame from 0 to the last that it lacks. The frames are made from the gaps."""
-    known = df.select(frame).distinct()
-    ends = known.agg(F.max(frame).alias("m")).select(F.explode(F.sequence(F.lit(0).cast("long"), "m")).alias(frame))
-    return ends.join(df, frame, "left")
+def dense(df: DataFrame, frame: str = "frame", by: list[str] = ()) -> DataFrame:
+    """df and a row for each frame from 0 to the last of each `by` that it lacks."""
+    last = df.groupBy(*by).agg(F.max(frame).alias("m")) if by else df.agg(F.max(frame).alias("m"))
+    return last.select(*by, F.explode(F.sequence(F.lit(0).cast("long"), "m")).alias(frame)).join(df, [*by, frame], "left")
+
+
+def corner_table(tracks: DataFrame, ids: list[int], frame: str = "frame") -> DataFrame:
+    """position, x0<id>, y0<id>, ..., x3<id>, y3<id> and c<id> (the heading) for each id: one row per frame. tracks: corners (array of x, y), heading."""
+    each = tracks.select(F.col(frame).alias("position"), "tid", *[F.get("corners", F.lit(k))[c].alias(f"{c}{k}") for k in range(4) for c in "xy"], F.col("heading").alias("c"))
+    return to_wide(each, ids, [f"{c}{k}" for k in range(4) for c in "xy"] + ["c"], frame="position")
+
+
+def full_outer(a: DataFrame, b: DataFrame, key: list[str]) -> DataFrame:
+    """Rows of both tables, together where their keys agree."""
+    return a.join(b, key, "full")
+
+
+def frame_sets(a: DataFrame, b: DataFrame) -> DataFrame:
+    """The distinct rows of a, and side: both, or first where b lacks them."""
+    return a.intersect(b).withColumn("side", F.lit("both")).unionByName(a.subtract(b).withColumn("side", F.lit("first")))
 
 
 def keep_last(df: DataFrame, key: list[str], order: str) -> DataFrame:

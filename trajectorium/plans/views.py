@@ -10,6 +10,7 @@ FROM (SELECT event_id, user_id tid, CAST(floor((epoch(ts) - 1704067200)/14400) A
 CAST((event_id*53) % 1000 AS DOUBLE)/1E3 score, value cx, CAST(json_extract_string(props,'$.k') AS INT)*5E0 cy,
 CAST(20 + event_id % 30 AS DOUBLE) w, CAST(8 + event_id % 10 AS DOUBLE) h, CAST((event_id*37) % 360 AS DOUBLE) heading FROM events) z)"""
 OBS_SQL = DET_SQL + """, obs AS (SELECT * FROM (SELECT d.*, row_number() OVER (PARTITION BY tid, frame ORDER BY event_id) rn FROM det d) z WHERE rn = 1)"""
+STRUNG_SQL = OBS_SQL + ", strung AS (SELECT event_id, tid // 4 * 100000 + frame AS frame, tid % 4 AS tid, score, cx, cy, w, h, heading FROM obs)"
 FRAG_SQL = "frag AS (SELECT vec_id frag_id, CAST(label AS BIGINT) obj_id, vec_id*10 start_frame, vec_id*10 + 3 + vec_id % 5 end_frame, embedding centroid FROM embeddings)"
 
 
@@ -36,6 +37,11 @@ def obs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first.select("tid", "frame", "_x.*")
 
 
+def strung(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All tracks, four to a video, their ids 0 to 3 and the videos one after the other: what a wide table holds."""
+    return obs(spark, sf_dir).withColumns({"frame": F.expr("tid div 4 * 100000 + frame"), "tid": F.col("tid") % 4})
+
+
 def frag(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = F.col("vec_id")
     return spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(v.alias("frag_id"), F.col("label").cast("long").alias("obj_id"), (v * 10).alias("start_frame"), (v * 10 + 3 + v % 5).alias("end_frame"), F.col("embedding").alias("centroid"))
