@@ -8,10 +8,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .catalog_more import sql_corner
-from .functions import angles, boxes, codes
-from .operators import episodes, headings, identity, matching, reshape, resolver, sampling, sequences, statistics
+from .functions import angles, boxes, codes, fitting
+from .operators import blobs, episodes, headings, identity, matching, reshape, resolver, sampling, sequences, statistics
 from .plans import reuse
-from .plans.views import DET_SQL, FRAG_SQL, OBS_SQL, STRUNG_SQL, det, frag, obs, strung
+from .plans.views import DET_SQL, FRAG_SQL, OBS_SQL, STRUNG_SQL, det, frag, indexed, obs, strung
 from .registry import PAIRS_SQL, query, r
 from .session import fresh_path, ship
 from .sources import tables
@@ -472,3 +472,47 @@ def c02(s, d):
 def c04(s, d):
     ship(s)
     return resolver.decisions(*_resolver_input(s, d), resolver.Rules(limit=50.0, closed_only=True))
+
+
+#: Contours: the corners of each detection's box, and the middles between them, which don't change its axes.
+_CONTOUR_SQL = "pts AS (" + " UNION ALL ".join(f"SELECT event_id, {sql_corner(k)[0]} x, {sql_corner(k)[1]} y FROM det" for k in range(4)) + ")"
+
+
+def _contours(s, d):
+    corners = boxes.corners(*[F.col(c) for c in ("cx", "cy", "w", "h", "heading")])
+    return det(s, d).select("frame", F.col("event_id").alias("blob_index"), corners.alias("contour"))
+
+
+@query("f14_fitted_boxes", f"WITH {DET_SQL}, {_CONTOUR_SQL}, m AS (SELECT event_id, avg(x) mx, avg(y) my, atan2(2*covar_pop(x, y), var_pop(x) - var_pop(y))/2 a FROM pts GROUP BY 1), z AS (SELECT event_id, mx, my, (x-mx)*cos(a) + (y-my)*sin(a) u, (y-my)*cos(a) - (x-mx)*sin(a) v FROM pts JOIN m USING (event_id)) SELECT event_id AS blob_index, round(max(u) - min(u), 3) w, round(max(v) - min(v), 3) h FROM z GROUP BY 1")
+def f14(s, d):
+    return fitting.fitted(_contours(s, d), "contour").select("blob_index", r("w", 3).alias("w"), r("h", 3).alias("h"))
+
+
+@query("s03_blob_index", f"WITH {DET_SQL}, {_CONTOUR_SQL} SELECT event_id AS blob_index, round(avg(x), 3) x, round(avg(y), 3) y, round(any_value(w*h), 3) area, round(min(x), 3) x0, round(min(y), 3) y0, round(max(x), 3) x1, round(max(y), 3) y1 FROM pts JOIN det USING (event_id) GROUP BY 1")
+def s03(s, d):
+    """Contours written as a blob table and read back, then measured."""
+    path = fresh_path(s, "blobs")
+    _contours(s, d).write.parquet(path)
+    found = blobs.index(s.read.parquet(path))
+    return found.select("blob_index", *[r(c, 3).alias(c) for c in ("x", "y", "area", "x0", "y0", "x1", "y1")])
+
+
+@query("s04_detection_table", f"WITH {DET_SQL} SELECT frame, det_index, event_id, score FROM det")
+def s04(s, d):
+    path = fresh_path(s, "detections")
+    tables.write_detections(indexed(det(s, d)), path)
+    return tables.read_detections(s, path, 0).select("frame", "det_index", "event_id", "score")
+
+
+@query("s09_headed_pose", f"WITH {STRUNG_SQL} SELECT frame, 'animal' || tid AS individual, p AS point, round(CASE WHEN p = 'head' THEN cx ELSE cx + w END, 4) x, round(score, 4) likelihood FROM strung, (VALUES ('head'), ('tail')) t(p)")
+def s09(s, d):
+    """A pose table under four header lines, each line a row of one part-file, written and read back."""
+    path = fresh_path(s, "headed")
+    rows = strung(s, d).withColumn("end", F.col("cx") + F.col("w"))
+    wide = reshape.to_wide(rows, [0, 1, 2, 3], ["cx", "cy", "end", "score"])
+    names = [(f"animal{i}", p, v, c) for i in range(4) for p, x in (("head", f"cx{i}"), ("tail", f"end{i}")) for v, c in (("x", x), ("y", f"cy{i}"), ("likelihood", f"score{i}"))]
+    heads = [["scorer", *["s"] * len(names)], ["individuals", *[n[0] for n in names]], ["bodyparts", *[n[1] for n in names]], ["coords", *[n[2] for n in names]]]
+    cells = wide.select(F.concat_ws(",", F.col("frame").cast("string"), *[F.coalesce(F.col(n[3]).cast("string"), F.lit("")) for n in names]).alias("value"), F.lit(1).alias("k"), "frame")
+    top = s.createDataFrame([(",".join(h), 0, k) for k, h in enumerate(heads)], "value string, k int, frame long")
+    top.unionByName(cells).repartition(1).sortWithinPartitions("k", "frame").select("value").write.text(path)
+    return tables.read_headed_pose(s, path).where("x IS NOT NULL").select("frame", "individual", "point", r("x").alias("x"), r("likelihood").alias("likelihood"))

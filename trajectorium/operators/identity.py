@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from itertools import permutations
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -74,6 +77,41 @@ def two_roster_decision(costs: DataFrame, swap_ratio: float = 0.5, identity_limi
     return costs.withColumn("decision", F.when(same.isNull() | swap.isNull(), "abstain").otherwise(what))
 
 
+def roster_decision(costs: DataFrame, swap_ratio: float = 0.5, identity_limit: float = 5.0, most: int = 3) -> DataFrame:
+    """key, decision, mapping, best, identity_cost, second of each contact. costs: key, n, cost (array of n rows of n: before i to after j).
+
+    All orders of up to `most` ids are tried, the identity first, so that it
+    holds on ties. swap: the best isn't the identity and costs at most swap_ratio of the
+    identity's and of the second best; identity: the best is, and its largest part is
+    below the limit. Else, as for other numbers of ids or costs that lack, the
+    decision says why none is made, and the mapping is the identity.
+    """
+    n = F.col("n")
+    tried = F.lit(None)
+    for size in range(2, most + 1):
+        options = [F.struct(aggregate_sum([F.col("cost")[i][j] for i, j in enumerate(p)]).alias("total"), F.lit(k).alias("k"), F.array(*[F.lit(j) for j in p]).alias("to"), F.greatest(*[F.col("cost")[i][j] for i, j in enumerate(p)]).alias("largest")) for k, p in enumerate(permutations(range(size)))]
+        tried = F.when(n == size, F.array(*options)).otherwise(tried)
+    rows = costs.withColumn("_all", tried).withColumn("_sorted", F.array_sort("_all"))
+    best, same, second = F.col("_sorted")[0], F.col("_all")[0], F.col("_sorted")[1]
+    lacks = F.col("_all").isNotNull() & F.exists(F.flatten("cost"), lambda x: x.isNull())
+    swap = best["k"] != 0
+    what = (
+        F.when(F.col("_all").isNull(), "roster_invalid")
+        .when(lacks, "centroid_missing")
+        .when(swap & (best["total"] > swap_ratio * F.least(same["total"], second["total"])), "gate_cost_ratio")
+        .when(~swap & (best["largest"] >= identity_limit), "gate_abs_dist")
+        .when(swap, "swap")
+        .otherwise("identity")
+    )
+    rows = rows.withColumn("decision", what)
+    kept = F.when(F.col("decision") == "swap", best["to"]).otherwise(F.when(n > 0, F.transform(F.sequence(F.lit(0), n.cast("int") - 1), lambda x: x)).otherwise(F.array().cast("array<int>")))
+    return rows.select("key", "decision", kept.alias("mapping"), best["total"].alias("best"), same["total"].alias("identity_cost"), second["total"].alias("second"))
+
+
+def aggregate_sum(parts: list[Column]) -> Column:
+    return reduce(lambda a, b: a + b, parts)
+
+
 def swap_safety(tracks: DataFrame, pairs: DataFrame, start: int, end: int) -> DataFrame:
     """pairs (a, b) with differing: the frames start..end that only one of them has, and safe: none is."""
     seen = tracks.where(F.col("frame").between(start, end)).select("tid", "frame").distinct()

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.reshape import object_ids, to_long, to_wide
@@ -72,6 +72,49 @@ def read_pose(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(F.expr("try_cast(frame_idx AS bigint)").alias("frame"), ident.alias("track"), F.explode(each).alias("_x")).select("frame", "track", "_x.*")
 
 
+def read_headed_pose(spark: SparkSession, path: str) -> DataFrame:
+    """A pose table under a header of three lines (scorer, points, coordinates) or four (with individuals before the points) as frame, individual (null without that line), point, x, y, likelihood.
+
+    Frames are in the first column, or, where the first three name an image, the
+    rows' order from 0, which holds for a table of one file. The driver reads the header only.
+    """
+    raw = spark.read.csv(path, inferSchema=False)
+    names = raw.columns
+    start = spark.read.text(path).limit(5).collect()
+    lines = [r["value"].split(",") for r in start]
+    many = len(lines) > 1 and lines[1][0].strip().lower() == "individuals"
+    n = 4 if many else 3
+    if len(lines) < n:
+        raise ValueError(f"a header of {n} lines is wanted")
+    width = 3 if len(lines) > n and lines[n][0].strip() == "labeled-data" else 1
+    heads = {line[0].strip().lower() for line in lines[:n]}
+    point, coordinate = lines[n - 2], lines[n - 1]
+    keys: dict[tuple[str | None, str], dict[str, str]] = {}
+    for k in range(width, len(names)):
+        keys.setdefault((lines[1][k].strip() if many else None, point[k].strip()), {})[coordinate[k].strip().lower()] = names[k]
+    number = lambda c: F.expr(f"try_cast(`{c}` AS double)") if c else F.lit(None).cast("double")
+    each = F.array(*[F.struct(F.lit(i).cast("string").alias("individual"), F.lit(p).alias("point"), *[number(c.get(v)).alias(v) for v in ("x", "y", "likelihood")]) for (i, p), c in keys.items()])
+    rows = raw.where(~F.lower(F.trim(names[0])).isin(sorted(heads)) | F.col(names[0]).isNull())
+    if width == 3:
+        at = rows.withColumn("_at", F.monotonically_increasing_id())
+        rows = at.withColumn("_f", (F.row_number().over(Window.orderBy("_at")) - 1).cast("long"))
+    else:
+        rows = rows.withColumn("_f", F.expr(f"try_cast(`{names[0]}` AS double)").cast("long"))
+    return rows.select(F.col("_f").alias("frame"), F.explode(each).alias("_x")).select("frame", "_x.*")
+
+
+def write_detections(det: DataFrame, path: str) -> None:
+    """One row for each frame and det_index, sorted by frame within each file, so that a range of frames reads few row groups."""
+    det.repartitionByRange("frame").sortWithinPartitions("frame", "det_index").write.parquet(path)
+
+
+def read_detections(spark: SparkSession, path: str, first: int | None = None, last: int | None = None) -> DataFrame:
+    """The detections of a table, of the frames from first to last."""
+    rows = spark.read.parquet(path)
+    rows = rows if first is None else rows.where(F.col("frame") >= first)
+    return rows if last is None else rows.where(F.col("frame") <= last)
+
+
 def read_centroids(spark: SparkSession, path: str, most_missing: float = 0.5) -> DataFrame:
     """x0, y0, x1, ... as frame, tid, x, y, without animals of which more than that share is missing."""
     raw = spark.read.option("header", True).csv(path)
