@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import regex
 import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -310,6 +311,51 @@ def test_language_id(spark, docs, none):
     assert langid.identify(none).count() == 0
 
 
+def plain_probabilities(net, text):
+    """The mean over all positions, byte by byte and segment by segment."""
+    w, n = net.w, net.hidden
+    squash = lambda a: a / (1 + np.abs(a))
+
+    def states(part, d):
+        h, out = np.zeros(n), []
+        for x in part:
+            g, q = w["E" + d][x], h @ w["U" + d]
+            r, z = 0.5 + 0.5 * squash(g[:n] + q[:n]), 0.5 + 0.5 * squash(g[n : 2 * n] + q[n : 2 * n])
+            new = squash(g[2 * n :] + r * (q[2 * n :] + w["c" + d]))
+            h = (1 - z) * new + z * h
+            out.append(h)
+        return out
+
+    data, rows = text.encode(), []
+    for s in range(0, len(data), langid.SEGMENT):
+        part = data[s : s + langid.SEGMENT]
+        for f, b in zip(states(part, "f"), states(part[::-1], "b")[::-1]):
+            e = np.exp(w["b"] + f @ w["Vf"] + b @ w["Vb"])
+            rows.append(e / e.sum())
+    return np.mean(rows, axis=0) if rows else np.zeros(len(net.labels))
+
+
+def test_language_id_equals_plain_loops(spark, docs):
+    """Texts of several segments and of parts of one, odd, empty and null ones; ties go to the first language."""
+    net = langid.Network(["aa", "bb", "cc"], hidden=4, seed=5)
+    some = docs.where("doc_id < 25 OR doc_id BETWEEN 10000 AND 20000").select("doc_id", F.substr("text", F.lit(1), F.lit(700)).alias("text"))
+    for r in langid.predict(some, net).collect():
+        p = plain_probabilities(net, r["text"] or "")
+        if regex.search(r"\p{L}", r["text"] or ""):
+            assert r["lang_pred"] == net.labels[int(p.argmax())] and abs(r["score"] - p.max()) < 1e-4
+        else:
+            assert (r["lang_pred"], r["score"]) == ("und", 0.0)
+    for name in net.w:
+        net.w[name][:] = 0
+    assert {r["lang_pred"] for r in langid.predict(some, net).collect()} <= {"aa", "und"}
+
+
+def test_rare_languages_are_learned(spark):
+    rows = [(k, f"the {k} common text of many words", "en") for k in range(3000)] + [(5000 + k, f"ein seltener Text {k} und Wörter", "de") for k in range(4)] + [(6000, None, "fr"), (None, "x", "it")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    assert langid.train(df, 40).labels == ["de", "en"]
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a="</p>";</script></head><body class="page">
 <nav><ul><li><a href="/x">Home</a></li></ul></nav><div class="cookie-notice">We use</div>%s<div id="comments"><p>Nice!</p></div><footer>&copy; x</footer></body></html>"""
 
