@@ -9,6 +9,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import spread
+
+
 EPISODE = "video string, episode bigint, start_frame bigint, end_frame bigint, roster array<bigint>"
 
 
@@ -68,7 +71,7 @@ def contact_episodes(contacts: DataFrame, seen: DataFrame, longest: int = 0) ->
         found = follow(pairs, alone, longest)
         return pd.DataFrame({"video": [key[0]] * len(found), "episode": range(len(found)), "start_frame": [x[0] for x in found], "end_frame": [x[1] for x in found], "roster": [list(x[2]) for x in found]})
 
-    return both.groupBy("video").applyInPandas(run, EPISODE)
+    return spread(both, "video").groupBy("video").applyInPandas(run, EPISODE)
 
 
 def at_risk(episodes: DataFrame, overlaps: DataFrame, cells: DataFrame, least_iou: float) -> DataFrame:
@@ -110,7 +113,7 @@ def unique_matchings(costs: DataFrame, key: str, most: int = 5, ratio: float = 1
         return pd.DataFrame({key: k[0], "source": [int(table.index[i]) for i, _ in pairs], "target": [int(table.columns[j]) for _, j in pairs]})
 
     sized = costs.groupBy(key).agg(F.countDistinct("source").alias("_s"), F.countDistinct("target").alias("_t")).where((F.col("_s") <= most) & (F.col("_t") <= most)).select(key)
-    return costs.join(sized, key, "left_semi").groupBy(key).applyInPandas(run, f"{key} bigint, source bigint, target bigint")
+    return spread(costs.join(sized, key, "left_semi"), key).groupBy(key).applyInPandas(run, f"{key} bigint, source bigint, target bigint")
 
 
 def vectors(parts: DataFrame, key: list[str]) -> DataFrame:

@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from ..functions.kalman import Filter
+from ..session import spread
 
 
 def apart(a: float, b: float) -> float:
@@ -58,7 +59,7 @@ def resolve_signs(tracks: DataFrame) -> DataFrame:
             i = j
         return pd.DataFrame({"tid": pdf["tid"], "frame": pdf["frame"], "resolved": out})
 
-    return tracks.select("tid", "frame", "heading", "axis").groupBy("tid").applyInPandas(run, "tid bigint, frame bigint, resolved double")
+    return spread(tracks.select("tid", "frame", "heading", "axis"), "tid").groupBy("tid").applyInPandas(run, "tid bigint, frame bigint, resolved double")
 
 
 def predicted_gaps(tracks: DataFrame, max_age: int) -> DataFrame:
@@ -79,7 +80,7 @@ def predicted_gaps(tracks: DataFrame, max_age: int) -> DataFrame:
         out.insert(0, "tid", pdf["tid"].iloc[0])
         return out
 
-    return tracks.select("tid", "frame", "cx", "cy").groupBy("tid").applyInPandas(run, "tid bigint, frame bigint, cx double, cy double")
+    return spread(tracks.select("tid", "frame", "cx", "cy"), "tid").groupBy("tid").applyInPandas(run, "tid bigint, frame bigint, cx double, cy double")
 
 
 def repaired(frames: np.ndarray, headings: np.ndarray, least: int, split: float = 60.0, boundary: float = 120.0) -> np.ndarray:
@@ -121,4 +122,4 @@ def repair_flips(tracks: DataFrame, least: int = 5) -> DataFrame:
         return pdf[["tid", "frame"]].assign(heading=now, turned=now != was)
 
     rows = tracks.select("tid", "frame", "heading").where("heading IS NOT NULL AND NOT isnan(heading)")
-    return rows.groupBy("tid").applyInPandas(run, "tid bigint, frame bigint, heading double, turned boolean")
+    return spread(rows, "tid").groupBy("tid").applyInPandas(run, "tid bigint, frame bigint, heading double, turned boolean")

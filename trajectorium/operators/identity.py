@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import spread
+
 
 def contact_groups(pairs: DataFrame) -> DataFrame:
     """frame, event_id, component_id (the smallest event_id that contacts lead to) of the pairs' detections. One group per frame, so a group is as large as one frame's contacts."""
@@ -29,7 +31,7 @@ def contact_groups(pairs: DataFrame) -> DataFrame:
             label = new
         return pd.DataFrame({"frame": pdf["frame"].iloc[0], "event_id": ids, "component_id": ids[label]})
 
-    return pairs.select("frame", "a_event_id", "b_event_id").groupBy("frame").applyInPandas(run, "frame bigint, event_id bigint, component_id bigint")
+    return spread(pairs.select("frame", "a_event_id", "b_event_id"), "frame").groupBy("frame").applyInPandas(run, "frame bigint, event_id bigint, component_id bigint")
 
 
 def silhouette(points: DataFrame, ident: str, label: str, vector: str, block: int = 2048) -> DataFrame:
@@ -59,7 +61,7 @@ def silhouette(points: DataFrame, ident: str, label: str, vector: str, block: in
             out.append(pd.DataFrame({"i": a["i"].to_numpy(), "l": a["l"].to_numpy(), "m": m, "d": far[:, k], "n": (which == k).sum() - np.isin(a["i"], b["i"][which == k])}))
         return pd.concat(out)
 
-    cells = left.unionByName(right.select(left.columns)).groupBy("x", "y").applyInPandas(run, "i bigint, l bigint, m bigint, d double, n bigint")
+    cells = spread(left.unionByName(right.select(left.columns)), "x", "y").groupBy("x", "y").applyInPandas(run, "i bigint, l bigint, m bigint, d double, n bigint")
     to = cells.groupBy("i", "l", "m").agg(F.try_divide(F.sum("d"), F.sum("n")).alias("mean"), F.sum("n").alias("n"))
     each = to.groupBy("i", "l").agg(F.max(F.when(F.col("l") == F.col("m"), F.coalesce("mean", F.lit(0.0)))).alias("a"), F.max(F.when(F.col("l") == F.col("m"), F.col("n"))).alias("own"), F.min(F.when(F.col("l") != F.col("m"), F.col("mean"))).alias("b"))
     s = F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b"))
@@ -145,4 +147,4 @@ def slots(tracks: DataFrame, group: str) -> DataFrame:
         return pdf[[group, "frame", "tid"]].assign(slot=np.array(out, np.int64))
 
     rows = tracks.select(F.col(group).cast("string").alias(group), "frame", "tid").distinct()
-    return rows.groupBy(group).applyInPandas(run, f"{group} string, frame bigint, tid bigint, slot bigint")
+    return spread(rows, group).groupBy(group).applyInPandas(run, f"{group} string, frame bigint, tid bigint, slot bigint")

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import boxes, polygons
+from ..session import spread
 
 BOX = ("cx", "cy", "w", "h")
 
@@ -150,7 +151,7 @@ def consecutive_matches(det: DataFrame, radius: float) -> DataFrame:
         pairs = min_cost(d, (d <= radius) & (ratio >= 0.5) & (ratio <= 2))
         return pd.DataFrame({"frame": [int(pdf["frame"].iloc[0])] * len(pairs), "a": [int(a["event_id"].iloc[i]) for i, _ in pairs], "b": [int(b["event_id"].iloc[j]) for _, j in pairs], "distance": [float(d[i, j]) for i, j in pairs]})
 
-    return here.unionByName(there).groupBy("frame").applyInPandas(run, "frame bigint, a bigint, b bigint, distance double")
+    return spread(here.unionByName(there), "frame").groupBy("frame").applyInPandas(run, "frame bigint, a bigint, b bigint, distance double")
 
 def suppressed(det: DataFrame, limit: float) -> DataFrame:
     """Greedy suppression: per frame, by score, a detection stays unless it overlaps one that stays by more than limit."""
@@ -168,7 +169,7 @@ def suppressed(det: DataFrame, limit: float) -> DataFrame:
                 keep.append(i)
         return pdf.iloc[keep][["frame", "event_id", "score"]]
 
-    return det.select("frame", "event_id", "score", *BOX).groupBy("frame").applyInPandas(run, "frame bigint, event_id bigint, score double")
+    return spread(det.select("frame", "event_id", "score", *BOX), "frame").groupBy("frame").applyInPandas(run, "frame bigint, event_id bigint, score double")
 
 def nearest_mutual(det: DataFrame, radius: float) -> DataFrame:
     """Pairs of neighbouring frames that are each other's nearest within radius; ties go to the lower id. Candidates meet in grid cells of the radius."""

@@ -13,6 +13,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import spread
+
+
 from .episodes import follow
 from .matching import min_cost, shared_areas
 
@@ -169,7 +172,7 @@ def _run(tracks: DataFrame, frags: DataFrame, rules: Rules | None, schema: str,
         b = b.assign(centroid=[None if c is None or np.isnan(np.asarray(c, float)).any() else np.asarray(c, float) for c in b["centroid"]])
         return shape(key[0], *resolve_video(a, b, rules))
 
-    return t.groupBy("video").cogroup(g.groupBy("video")).applyInPandas(run, schema)
+    return spread(t, "video").groupBy("video").cogroup(spread(g, "video").groupBy("video")).applyInPandas(run, schema)
 
 
 def resolve(tracks: DataFrame, frags: DataFrame, rules: Rules | None = None) -> DataFrame:

@@ -87,3 +87,8 @@ def discard(*tables: DataFrame) -> None:
         path = t._trajectorium_path
         _delete(t.sparkSession, path)
         t.sparkSession.sparkContext._trajectorium_tables.discard(path)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """df dealt by keys over all shuffle partitions. For groups that take Python long though their rows are few: Spark would put such partitions together by their bytes."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.kalman import Filter
 from ..operators.matching import min_cost, shared_areas
+from ..session import spread
 
 VALUES = ["cx", "cy", "w", "h", "heading"]
 SCHEMA = "video string, frame bigint, tid bigint, det bigint, stage int, " + ", ".join(f"{v} double" for v in VALUES)
@@ -321,7 +322,7 @@ def _table(video: str, rows: list[list]) -> pd.DataFrame:
 def _grouped(det: DataFrame, run) -> DataFrame:
     good = " AND ".join(f"{v} IS NOT NULL AND NOT isnan({v})" for v in [*VALUES, "score"])
     rows = det.select("video", "frame", "det", "score", *VALUES).where(f"{good} AND w > 0 AND h > 0 AND frame IS NOT NULL AND det IS NOT NULL")
-    out = rows.groupBy("video").applyInPandas(run, SCHEMA)
+    out = spread(rows, "video").groupBy("video").applyInPandas(run, SCHEMA)
     return out.withColumn("heading", F.when(~F.isnan("heading"), F.col("heading")))
 
 

@@ -8,6 +8,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from ..session import spread
+
+
 SCHEMA = "video string, frame bigint, det bigint, tid bigint"
 _STATE = "last bigint, next bigint, tid array<bigint>, frame array<bigint>, box array<double>"
 
@@ -62,7 +65,7 @@ def track(det: DataFrame, match_iou: float = 0.3, max_gap: int = 3) -> DataFrame
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         return _follow(Tracks(match_iou, max_gap), key[0], pdf)
 
-    return det.select("video", "frame", "det", "cx", "cy", "w", "h").groupBy("video").applyInPandas(run, SCHEMA)
+    return spread(det.select("video", "frame", "det", "cx", "cy", "w", "h"), "video").groupBy("video").applyInPandas(run, SCHEMA)
 
 
 def track_stream(det: DataFrame, match_iou: float = 0.3, max_gap: int = 3) -> DataFrame:
