@@ -516,3 +516,18 @@ def s09(s, d):
     top = s.createDataFrame([(",".join(h), 0, k) for k, h in enumerate(heads)], "value string, k int, frame long")
     top.unionByName(cells).repartition(1).sortWithinPartitions("k", "frame").select("value").write.text(path)
     return tables.read_headed_pose(s, path).where("x IS NOT NULL").select("frame", "individual", "point", r("x").alias("x"), r("likelihood").alias("likelihood"))
+
+
+#: Three tracks each, in a frame (b) and the next one (a); costs are the way along x.
+_ROSTER_SQL = "w AS (SELECT tid // 3 AS roster, frame, " + ", ".join(f"max(CASE WHEN tid % 3 = {k} THEN cx END) x{k}" for k in range(3)) + " FROM obs GROUP BY 1, 2), c AS (SELECT b.roster, b.frame, " + ", ".join(f"abs(b.x{i} - a.x{j}) c{i}{j}" for i in range(3) for j in range(3)) + " FROM w b JOIN w a ON a.roster = b.roster AND a.frame = b.frame + 1)"
+_ORDERS = [(0, 1, 2), (0, 2, 1), (1, 0, 2), (1, 2, 0), (2, 0, 1), (2, 1, 0)]
+
+
+@query("j26_roster_of_three", f"WITH {OBS_SQL}, {_ROSTER_SQL}, t AS (SELECT *, [" + ", ".join("+".join(f"c{i}{j}" for i, j in enumerate(p)) for p in _ORDERS) + "] o FROM c WHERE " + " AND ".join(f"c{i}{j} IS NOT NULL" for i in range(3) for j in range(3)) + "), z AS (SELECT *, list_sort(o) q FROM t) SELECT roster, frame, CASE WHEN q[1] = o[1] THEN CASE WHEN greatest(c00, c11, c22) >= 5 THEN 'gate_abs_dist' ELSE 'identity' END WHEN q[1] > 0.5 * least(o[1], q[2]) THEN 'gate_cost_ratio' ELSE 'swap' END AS decision, round(q[1], 4) AS best FROM z")
+def j26_three(s, d):
+    o = obs(s, d).select(F.expr("tid div 3").alias("roster"), "frame", (F.col("tid") % 3).alias("tid"), "cx")
+    wide = o.groupBy("roster", "frame").agg(*[F.max(F.when(F.col("tid") == k, F.col("cx"))).alias(f"x{k}") for k in range(3)]).dropna()
+    after = wide.select("roster", (F.col("frame") - 1).alias("frame"), *[F.col(f"x{k}").alias(f"y{k}") for k in range(3)])
+    cost = F.array(*[F.array(*[F.abs(F.col(f"x{i}") - F.col(f"y{j}")) for j in range(3)]) for i in range(3)])
+    costs = wide.join(after, ["roster", "frame"]).select(F.struct("roster", "frame").alias("key"), F.lit(3).alias("n"), cost.alias("cost"))
+    return identity.roster_decision(costs).select("key.*", "decision", r("best").alias("best"))
