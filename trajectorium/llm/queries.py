@@ -7,10 +7,11 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_codec, embed_dedup, langid, packing, quality, secret_scan, simhash, style_tree, token_counts, training_order
+from . import bpe_codec, embed_dedup, fill_in_middle, langid, lattice_lm, lexical_search, packing, quality, secret_scan, simhash, style_tree, token_counts, training_order
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,9 +59,21 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle.digests(table(spark, sf_dir, "documents"))
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice_lm.score(table(spark, sf_dir, "documents"), PIECES)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_training_order, op3_language_id, op4_html_extraction, op5_simhash_near_dedup, op6_bpe_codec, op7_best_fit_packing, op8_quality_rules, op9_token_counts, op10_embedding_near_dedup)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_training_order, op3_language_id, op4_html_extraction, op5_simhash_near_dedup, op6_bpe_codec, op7_best_fit_packing, op8_quality_rules, op9_token_counts, op10_embedding_near_dedup, op11_fill_in_middle, op12_lexical_search, op13_lattice_lm)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op11_fill_in_middle": fill_in_middle.SQL, "op12_lexical_search": lexical_search.SQL}
