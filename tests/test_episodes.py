@@ -31,17 +31,56 @@ def test_episodes_of_a_table_bridge_inner_gaps_only(spark):
     assert episodes.contact_episodes(contacts.limit(0), seen.limit(0)).count() == 0
 
 
-def test_unique_matching_is_the_cheapest_permutation():
-    assert episodes.unique_matching(np.array([[1.0, 9], [9, 1]])) == [0, 1]
-    assert episodes.unique_matching(np.array([[1.0, 1.2], [1.2, 1]])) is None
-    assert episodes.unique_matching(np.array([[np.inf, np.inf]])) is None
+def plain_matching(cost, ratio=1.5):
+    """For each row its column in the cheapest one-to-one matching, by all permutations."""
+    n, m = cost.shape
+    totals = sorted((sum(cost[i, p[i]] for i in range(n)), p) for p in itertools.permutations(range(m), n))
+    if not np.isfinite(totals[0][0]) or (len(totals) > 1 and totals[1][0] < ratio * totals[0][0]):
+        return None
+    return list(totals[0][1])
+
+
+def test_unique_matchings_equal_all_permutations(spark):
     rng = np.random.default_rng(2)
-    for _ in range(20):
-        c = rng.random((3, 4))
-        best = sorted(sum(c[i, p[i]] for i in range(3)) for p in itertools.permutations(range(4), 3))
-        got = episodes.unique_matching(c)
-        assert (got is not None) == (best[1] >= 1.5 * best[0])
-        assert got is None or np.isclose(sum(c[i, got[i]] for i in range(3)), best[0])
+    rows, wanted = [], set()
+    tables = [np.array([[1.0, 9], [9, 1]]), np.array([[1.0, 1.2], [1.2, 1]]), np.array([[np.inf, 2.0], [np.inf, 1.0]]), np.array([[0.0, 0], [0, 0]])]
+    tables += [np.where(rng.random(shape) < 0.2, np.inf, rng.random(shape) ** 3) for shape in [(n, m) for n in range(1, 7) for m in range(1, 7)] * 3]
+    for key, c in enumerate(tables):
+        here = [(key, 10 + 3 * i, 100 - j, float(c[i, j])) for i, j in np.ndindex(c.shape) if np.isfinite(c[i, j])]
+        rows += here + [(k, s, t, x + 1) for k, s, t, x in here[:1]]
+        c = c[np.isfinite(c).any(1)][:, np.isfinite(c).any(0)] if here else c
+        if not here or max(c.shape) > 5:
+            continue
+        ss, tt = sorted({r[1] for r in here}), sorted({r[2] for r in here})
+        c = np.array([[next((x for _, s, t, x in here if (s, t) == (a, b)), np.inf) for b in tt] for a in ss])
+        turned = len(ss) > len(tt)
+        found = plain_matching(c.T if turned else c)
+        wanted |= {(key, ss[j], tt[i]) if turned else (key, ss[i], tt[j]) for i, j in enumerate(found or [])}
+    costs = spark.createDataFrame(rows + [(999, 1, 1, None), (999, 1, 2, float("nan"))], "cell bigint, source bigint, target bigint, cost double")
+    found = [tuple(r) for r in episodes.unique_matchings(costs, "cell").collect()]
+    assert len(found) == len(set(found)) and set(found) == wanted and wanted
+    assert episodes.unique_matchings(costs.limit(0), "cell").count() == 0
+
+
+def test_best_cliques_equal_all_subsets(spark):
+    rng = np.random.default_rng(3)
+    arms, apart, wanted = [], [], set()
+    for key in range(40):
+        n = int(rng.integers(1, 10))
+        own = [sorted(rng.choice(12, int(rng.integers(1, 4)), replace=False).tolist()) for _ in range(n)]
+        links = {(i, j) for i, j in itertools.combinations(range(n), 2) if rng.random() < 0.6}
+        arms += [(key, 5 * i, a) for i, a in enumerate(own)]
+        apart += [(key, 5 * i, 5 * j) for i, j in links]
+        if n <= 8:
+            sets = [w for size in range(2, n + 1) for w in itertools.combinations(range(n), size) if all(x in links for x in itertools.combinations(w, 2))]
+            union = lambda w: sorted({a for i in w for a in own[i]})  # noqa: B023, E731
+            best = min(sets, key=lambda w: (-len(union(w)), union(w), len(w), w), default=())
+            wanted |= {(key, 5 * i) for i in best}
+    a = spark.createDataFrame(arms, "cell bigint, arm bigint, atoms array<bigint>")
+    p = spark.createDataFrame(apart, "cell bigint, a bigint, b bigint")
+    found = [tuple(r) for r in episodes.best_cliques(a, p, "cell").collect()]
+    assert len(found) == len(set(found)) and set(found) == wanted
+    assert episodes.best_cliques(a.limit(0), p, "cell").count() == episodes.best_cliques(a, p.limit(0), "cell").count() == 0
 
 
 def test_reachable_split_equals_all_subsets():

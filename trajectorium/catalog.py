@@ -294,7 +294,7 @@ def t11(s, d):
     return tracker.track(rows)
 
 
-from . import catalog_more, catalog_stages  # noqa: E402, F401  (they register their queries)
+from . import catalog_graph, catalog_more, catalog_stages  # noqa: E402, F401  (they register their queries)
 
 
 def queries() -> dict[str, Query]:

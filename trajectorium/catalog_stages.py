@@ -147,16 +147,26 @@ def w24(s, d):
 _FRAMES = 1 << 31
 
 
-@query("j25_unique_matchings")
+_MATCHINGS = f"""WITH RECURSIVE {OBS_SQL}, z AS (SELECT tid // 4 AS roster, frame, event_id, cx, cy FROM obs),
+c AS (SELECT a.roster, a.frame, a.event_id AS source, b.event_id AS target, sqrt((a.cx-b.cx)*(a.cx-b.cx) + (a.cy-b.cy)*(a.cy-b.cy)) AS cost FROM z a JOIN z b ON a.roster = b.roster AND b.frame = a.frame + 1),
+k AS (SELECT roster, frame, count(DISTINCT source) n, count(DISTINCT target) m, list_sort(list_distinct(list(source))) ss, list_sort(list_distinct(list(target))) ts FROM c GROUP BY 1, 2),
+o AS (SELECT c.roster, c.frame, n > m AS turned, least(n, m) AS n, CASE WHEN n > m THEN list_position(ts, target) ELSE list_position(ss, source) END AS i, CASE WHEN n > m THEN source ELSE target END AS p, CASE WHEN n > m THEN target ELSE source END AS q, cost FROM c JOIN k USING (roster, frame)),
+w AS (SELECT roster, frame, turned, n, 1 AS i, [p] AS used, [q] AS own, cost AS total FROM o WHERE i = 1 UNION ALL SELECT w.roster, w.frame, w.turned, w.n, w.i + 1, list_append(used, o.p), list_append(own, o.q), total + cost FROM w JOIN o ON o.roster = w.roster AND o.frame = w.frame AND o.i = w.i + 1 AND NOT list_contains(used, o.p)),
+r AS (SELECT *, row_number() OVER (PARTITION BY roster, frame ORDER BY total) rn, lead(total) OVER (PARTITION BY roster, frame ORDER BY total) nxt FROM w WHERE i = n),
+b AS (SELECT roster, frame, turned, unnest(own) AS q, unnest(used) AS p FROM r WHERE rn = 1 AND (nxt IS NULL OR nxt >= 1.5 * total))
+SELECT roster, frame, CASE WHEN turned THEN p ELSE q END AS source, CASE WHEN turned THEN q ELSE p END AS target FROM b"""
+
+
+@query("j25_unique_matchings", _MATCHINGS)
 def j25(s, d):
-    ship(s)
     """Four ids are one roster, matched from each frame to the next."""
     roster = F.floor(F.col("tid") / 4)
     rows = obs(s, d).select(roster.alias("roster"), "tid", "frame", "event_id", "cx", "cy")
     cell = lambda f: (F.col("roster") * _FRAMES + f).alias("cell")
     here = rows.select(cell(F.col("frame")), F.col("event_id").alias("source"), "cx", "cy")
     there = rows.where("frame > 0").select(cell(F.col("frame") - 1), F.col("event_id").alias("target"), F.col("cx").alias("x"), F.col("cy").alias("y"))
-    costs = here.join(there, "cell").select("cell", "source", "target", F.hypot(F.col("cx") - F.col("x"), F.col("cy") - F.col("y")).alias("cost"))
+    dx, dy = F.col("cx") - F.col("x"), F.col("cy") - F.col("y")
+    costs = here.join(there, "cell").select("cell", "source", "target", F.sqrt(dx * dx + dy * dy).alias("cost"))
     return episodes.unique_matchings(costs, "cell").select(F.floor(F.col("cell") / _FRAMES).alias("roster"), (F.col("cell") % _FRAMES).alias("frame"), "source", "target")
 
 

@@ -91,29 +91,58 @@ def seams(cells: DataFrame, key: list[str]) -> DataFrame:
     return whole.select(*key, F.when(F.col("_open"), F.least("_s", "_m")).otherwise(F.col("_s")).alias("seam"))
 
 
-def unique_matching(cost: np.ndarray, ratio: float = 1.5) -> list[int] | None:
-    """For each row its column in the cheapest one-to-one matching, if the second best costs at least ratio times as much; for tables of a few rows."""
-    n, m = cost.shape
-    totals = sorted((sum(cost[i, p[i]] for i in range(n)), p) for p in itertools.permutations(range(m), n))
-    if not totals or not np.isfinite(totals[0][0]) or (len(totals) > 1 and totals[1][0] < ratio * totals[0][0]):
-        return None
-    return list(totals[0][1])
+def injections(most: int) -> list[tuple[int, int, list[list[int]]]]:
+    """n, m and all ways to give each of n things one of m places of its own, for n <= m <= most, in order."""
+    return [(n, m, [list(p) for p in itertools.permutations(range(m), n)]) for m in range(1, most + 1) for n in range(1, m + 1)]
 
 
 def unique_matchings(costs: DataFrame, key: str, most: int = 5, ratio: float = 1.5) -> DataFrame:
-    """key, source, target of the groups with a unique best matching. costs: key, source, target, cost; a pair that lacks can't be matched, and groups of over `most` sources or targets have no result, as the definition says."""
-
-    def run(k: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        table = pdf.pivot_table(index="source", columns="target", values="cost", aggfunc="min").sort_index().sort_index(axis=1)
-        c = table.fillna(np.inf).to_numpy(float)
-        found = None if max(c.shape) > most else unique_matching(c, ratio) if c.shape[0] <= c.shape[1] else unique_matching(c.T, ratio)
-        if found is None:
-            return pd.DataFrame({key: [], "source": [], "target": []}).astype("int64")
-        pairs = list(enumerate(found)) if c.shape[0] <= c.shape[1] else [(j, i) for i, j in enumerate(found)]
-        return pd.DataFrame({key: k[0], "source": [int(table.index[i]) for i, _ in pairs], "target": [int(table.columns[j]) for _, j in pairs]})
-
-    sized = costs.groupBy(key).agg(F.countDistinct("source").alias("_s"), F.countDistinct("target").alias("_t")).where((F.col("_s") <= most) & (F.col("_t") <= most)).select(key)
-    return spread(costs.join(sized, key, "left_semi"), key).groupBy(key).applyInPandas(run, f"{key} bigint, source bigint, target bigint")
+    """key, source, target of the groups whose cheapest one-to-one matching is unique: the second best costs at least ratio times as much. costs: key, source, target, cost.
+
+    Of the fewer of sources and targets each gets a partner. A pair that lacks, or
+    whose cost is null or NaN, can't be matched; of a pair's costs the least
+    counts. Groups of over `most` sources or targets have no result, as the
+    definition says. A group is one row: its costs as an array, with all
+    matchings of its size (a table of at most `most` squared rows) beside it.
+    """
+    pairs = costs.where("cost IS NOT NULL AND NOT isnan(cost)").groupBy(key, "source", "target").agg(F.min("cost").alias("cost"))
+    sized = pairs.groupBy(key).agg(F.countDistinct("source").alias("_s"), F.countDistinct("target").alias("_t")).where((F.col("_s") <= most) & (F.col("_t") <= most))
+    kept = pairs.join(sized.select(key), key, "left_semi").groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct(F.struct("source", "target"), "cost"))).alias("_c"))
+    side = lambda name: F.array_sort(F.array_distinct(F.transform(F.map_keys("_c"), lambda k: k[name])))
+    rows = kept.withColumns({"_s": side("source"), "_t": side("target")}).withColumn("_turned", F.size("_s") > F.size("_t"))
+    rows = rows.withColumns({"_rows": F.when(F.col("_turned"), F.col("_t")).otherwise(F.col("_s")), "_cols": F.when(F.col("_turned"), F.col("_s")).otherwise(F.col("_t"))})
+    ways = costs.sparkSession.createDataFrame(injections(most), "_n int, _m int, _ways array<array<int>>")
+    rows = rows.withColumns({"_n": F.size("_rows"), "_m": F.size("_cols")}).join(F.broadcast(ways), ["_n", "_m"])
+    infinite = "double('infinity')"
+    cell = f"coalesce(if(_turned, element_at(_c, named_struct('source', _cols[w[i]], 'target', _rows[i])), element_at(_c, named_struct('source', _rows[i], 'target', _cols[w[i]]))), {infinite})"
+    totals = F.expr(f"array_sort(transform(_ways, w -> named_struct('total', aggregate(sequence(0, _n - 1), 0D, (x, i) -> x + {cell}), 'way', w)))")
+    rows = rows.select(key, "_rows", "_cols", "_turned", totals.alias("_t"))
+    rows = rows.where(f"_t[0].total < {infinite} AND (size(_t) = 1 OR _t[1].total >= {ratio}D * _t[0].total)")
+    found = rows.select(key, "_turned", F.explode(F.expr("transform(_rows, (r, i) -> named_struct('r', r, 'c', _cols[_t[0].way[i]]))")).alias("_p"))
+    one, other = F.col("_p.r"), F.col("_p.c")
+    return found.select(key, F.when(F.col("_turned"), other).otherwise(one).alias("source"), F.when(F.col("_turned"), one).otherwise(other).alias("target"))
+
+
+def best_cliques(arms: DataFrame, apart: DataFrame, key: str, most: int = 8) -> DataFrame:
+    """key, arm of the best set of arms that are pairwise apart: most atoms together; of equals the smallest sorted atoms, then fewest and first arms. arms: key, arm, atoms (array); apart: key, a, b (a < b).
+
+    Groups of one arm or of over `most` have no result, as the definition says.
+    Sets are bit masks over a group's arms, which are one row.
+    """
+    counted = arms.groupBy(key).agg(F.count("*").alias("_n")).where((F.col("_n") > 1) & (F.col("_n") <= most)).select(key)
+    links = apart.select(key, F.col("a").alias("arm"), F.col("b").alias("_o")).unionByName(apart.select(key, F.col("b").alias("arm"), F.col("a").alias("_o")))
+    near = links.join(counted, key, "left_semi").groupBy(key, "arm").agg(F.collect_set("_o").alias("_others"))
+    rows = arms.join(counted, key, "left_semi").join(near, [key, "arm"], "left")
+    whole = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("arm", "atoms", F.coalesce("_others", F.array().cast(near.schema["_others"].dataType)).alias("others")))).alias("_a"))
+    # for each arm the mask of itself and of those that it is apart from
+    whole = whole.withColumn("_m", F.expr("transform(_a, (x, i) -> aggregate(sequence(0, size(_a) - 1), shiftleft(1, i), (m, j) -> if(array_contains(x.others, _a[j].arm), m | shiftleft(1, j), m)))"))
+    sets = F.expr("filter(sequence(1, shiftleft(1, size(_a)) - 1), s -> bit_count(s) > 1 AND forall(transform(_m, (m, i) -> (shiftright(s, i) & 1) = 0 OR (s & m) = s), ok -> ok))")
+    union = "array_sort(array_distinct(flatten(transform(filter(sequence(0, size(_a) - 1), i -> (shiftright(s, i) & 1) = 1), i -> _a[i].atoms))))"
+    # of sets of one size, the first arms: the lowest arm is the highest bit in the order
+    first = "aggregate(sequence(0, size(_a) - 1), 0, (x, i) -> x * 2 + (1 - (shiftright(s, i) & 1)))"
+    scored = whole.withColumn("_s", sets).withColumn("_s", F.expr(f"transform(_s, s -> named_struct('less', -size({union}), 'atoms', {union}, 'arms', bit_count(s), 'first', {first}, 's', s))"))
+    best = scored.where(F.size("_s") > 0).withColumn("_s", F.array_min("_s")["s"])
+    return best.select(key, F.explode(F.expr("transform(filter(sequence(0, size(_a) - 1), i -> (shiftright(_s, i) & 1) = 1), i -> _a[i].arm)")).alias("arm"))
 
 
 def vectors(parts: DataFrame, key: list[str]) -> DataFrame:
