@@ -83,6 +83,17 @@ def test_best_cliques_equal_all_subsets(spark):
     assert episodes.best_cliques(a.limit(0), p, "cell").count() == episodes.best_cliques(a, p.limit(0), "cell").count() == 0
 
 
+def test_pieces_of_large_episodes(spark):
+    cells = [(1, 0, t, f, t == 3 and f == 2) for t in range(1, 6) for f in range(5) if (t, f) != (5, 3)] + [(2, 0, t, f, True) for t in (1, 2, 3) for f in range(2)] + [(3, 0, t, f, False) for t in range(4) for f in range(2)]
+    overlaps = [(1, 1, 2, 0.5), (1, 2, 3, 0.2), (1, 3, 4, 0.2), (1, 1, 3, 0.1), (1, 2, 3, 0.3), (1, 4, 5, 0.0), (2, 1, 2, 0.9), (3, 0, 1, 0.9)]
+    c = spark.createDataFrame(cells, "episode bigint, start_frame bigint, tid bigint, frame bigint, filled boolean")
+    o = spark.createDataFrame(overlaps, "episode bigint, a bigint, b bigint, iou double")
+    # 3 was filled in: 2 (0.3) and 4 (0.2) overlap it most; 5 came back but overlaps no one; the others are small or whole
+    assert [tuple(r) for r in episodes.pieces(c, o).collect()] == [(1, [2, 3, 4])]
+    assert [tuple(r) for r in episodes.pieces(c, o, 2).orderBy("episode", "roster").collect()] == [(1, [2, 3]), (2, [1, 2])]
+    assert episodes.pieces(c.limit(0), o).count() == 0
+
+
 def test_reachable_split_equals_all_subsets():
     rng = np.random.default_rng(4)
     for _ in range(30):

@@ -67,3 +67,59 @@ def test_tables(spark, after):
     assert log[0].decision == ("swap" if after[0][1] == B else "identity")
     assert resolver.decisions(t.limit(0), g.limit(0)).count() == 0
     assert resolver.resolve(t, g.limit(0)).count() == 40
+
+
+def crowd(gap=(), filled=()):
+    """Five in a row that touch their neighbours from frame 6 to 12; who is in gap is missing at frame 9."""
+    rows = []
+    for f in range(20):
+        step = 10.0 if 6 <= f <= 12 else 60.0
+        rows += [("v", i, f, 100.0 + step * i, 50.0, 14.0 - 0.5 * i, 6.0, 90.0, i in filled and f == 9) for i in range(1, 6) if not (i in gap and f == 9)]
+    return pd.DataFrame(rows, columns=["video", "tid", "frame", *resolver.BOX, "filled"])
+
+
+def crowd_frags(order):
+    at = {i: [20.0 * i, 0.0] for i in range(1, 6)}
+    rows = [("v", i, 0, 5, at[i]) for i in at] + [("v", i, 14, 18, at[j]) for i, j in zip(at, order)]
+    g = pd.DataFrame(rows, columns=["video", "tid", "start_frame", "end_frame", "centroid"])
+    g["centroid"] = [np.array(c) for c in g["centroid"]]
+    return g
+
+
+def test_large_contacts_are_judged_in_pieces():
+    rules = resolver.Rules()
+    t, log = resolver.resolve_video(crowd(), crowd_frags([1, 2, 3, 4, 5]), rules)
+    assert [(x[2], x[3], x[4]) for x in log] == [("1,2,3,4,5", "abstain", "no_trigger")] and (t["id"] == t["tid"]).all()
+    # 4 touches 3 and 5; it was made up at frame 9, and 4 and 5 changed places
+    t, log = resolver.resolve_video(crowd(filled={4}), crowd_frags([1, 2, 3, 5, 4]), rules)
+    assert ("3,4,5", "swap") in [(x[2], x[3]) for x in log]
+    last = t[t["frame"] == 19].set_index("tid")["id"]
+    assert last.to_dict() == {1: 1, 2: 2, 3: 3, 4: 5, 5: 4}
+    # whoever comes back is a centre too
+    _, log = resolver.resolve_video(crowd(gap={2}), crowd_frags([1, 2, 3, 4, 5]), rules)
+    assert ("1,2,3", "identity") in [(x[2], x[3]) for x in log]
+    _, log = resolver.resolve_video(crowd(filled={4}), crowd_frags([1, 2, 3, 5, 4]), resolver.Rules(roster=5))
+    assert [(x[2], x[3]) for x in log][0] == ("1,2,3,4,5", "swap")
+
+
+@pytest.mark.parametrize("rebuilds", [20, 3, 0])
+def test_all_of_twentyfive_changes_are_made(rebuilds):
+    """Two that meet again and again and change places each time."""
+    rows, marks = [], []
+    for k in range(25):
+        for f in range(20):
+            apart = max(abs(f - 10) * 6 - 6, 2)
+            rows += [("v", 1, 20 * k + f, 100.0 - apart, 50.0, 12.0, 6.0, 90.0), ("v", 2, 20 * k + f, 100.0 + apart, 50.0, 12.0, 6.0, 90.0)]
+    for k in range(26):
+        at = (A, B) if k % 2 == 0 else (B, A)
+        lo, hi = (0, 5) if k == 0 else (20 * k - 6, 20 * k - 2) if k == 25 else (20 * k - 6, 20 * k + 5)
+        marks += [("v", 1, lo, hi, np.array(at[0])), ("v", 2, lo, hi, np.array(at[1]))]
+    t = pd.DataFrame(rows, columns=["video", "tid", "frame", *resolver.BOX])
+    g = pd.DataFrame(marks, columns=["video", "tid", "start_frame", "end_frame", "centroid"])
+    got, log = resolver.resolve_video(t, g, resolver.Rules(rebuilds=rebuilds))
+    swaps = [x for x in log if x[3] == "swap"]
+    assert len(swaps) == 25 and {x[0] // 20 for x in swaps} == set(range(25))
+    # looks are what is followed: after each contact the ids stand where the looks are
+    for k in range(25):
+        row = got[(got["frame"] == 20 * k + 19) & (got["tid"] == 1)].iloc[0]
+        assert row["id"] == (1 if k % 2 else 2)

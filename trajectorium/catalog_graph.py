@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .operators import episodes, graph, matching, merges
-from .plans.views import DET_SQL, det
+from .plans.views import DET_SQL, OBS_SQL, det, obs
 from .registry import query, r
 from .session import materialize
 
@@ -85,3 +85,18 @@ def j24_components(s, d):
     """Parents and children over all frames, as j24 has contacts within one."""
     main = merges.dominant(_scaled(s, d), _links(s, d)).where("first_f OR first_g")
     return graph.components(main.select(F.col("src").alias("a"), F.col("dst").alias("b")))
+
+
+_PIECE_SQL = OBS_SQL + ", z AS (SELECT tid // 8 * 1000 + frame // 6 AS episode, frame // 6 * 6 AS start_frame, tid, frame, event_id % 11 = 0 AS filled, cx, cy, w, h FROM obs), l AS (SELECT *, lag(frame) OVER (PARTITION BY episode, tid ORDER BY frame) AS was FROM z), k AS (SELECT episode, tid, bool_or(filled OR (frame > start_frame AND coalesce(was, -9) <> frame - 1)) AS trigger FROM l GROUP BY 1, 2), n AS (SELECT episode FROM k GROUP BY 1 HAVING count(*) > 3), o AS (SELECT a.episode, a.tid, b.tid AS other, (least(a.cx+a.w/2, b.cx+b.w/2) - greatest(a.cx-a.w/2, b.cx-b.w/2)) * (least(a.cy+a.h/2, b.cy+b.h/2) - greatest(a.cy-a.h/2, b.cy-b.h/2)) AS i, a.w*a.h + b.w*b.h AS s FROM z a JOIN z b ON a.episode = b.episode AND a.frame = b.frame AND a.tid <> b.tid AND abs(a.cx-b.cx) < (a.w+b.w)/2 AND abs(a.cy-b.cy) < (a.h+b.h)/2)"
+
+
+@query("c03_roster_pieces", f"WITH {_PIECE_SQL}, m AS (SELECT o.episode, o.tid, other, max(round(i / (s - i), 6)) AS iou FROM o JOIN k ON k.episode = o.episode AND k.tid = o.tid AND trigger JOIN n ON n.episode = o.episode GROUP BY 1, 2, 3), r AS (SELECT *, row_number() OVER (PARTITION BY episode, tid ORDER BY iou DESC, other) AS rn FROM m) SELECT DISTINCT episode, array_to_string(list_sort(list_append(list(other), tid)), ',') AS roster FROM r WHERE rn < 3 GROUP BY episode, tid")
+def c03(s, d):
+    """Eight ids over six frames are an episode."""
+    rows = obs(s, d).select(F.expr("tid div 8 * 1000 + frame div 6").alias("episode"), F.expr("frame div 6 * 6").alias("start_frame"), "tid", "frame", (F.col("event_id") % 11 == 0).alias("filled"), "event_id", *matching.BOX)
+    met = matching.overlapping_pairs(rows.withColumn("frame", F.col("episode") * 6 + F.col("frame") % 6))
+    who = rows.select("event_id", "tid", "episode")
+    a, b = (who.select(F.col("event_id").alias(f"{k}_event_id"), F.col("tid").alias(k), "episode") for k in "ab")
+    overlaps = met.join(a, "a_event_id").join(b.drop("episode"), "b_event_id").select("episode", "a", "b", F.round("iou", 6).alias("iou"))
+    found = episodes.pieces(rows.select("episode", "start_frame", "tid", "frame", "filled"), overlaps)
+    return found.select("episode", F.array_join("roster", ",").alias("roster"))

@@ -82,6 +82,26 @@ def at_risk(episodes: DataFrame, overlaps: DataFrame, cells: DataFrame, least_io
     return rows.withColumn("trigger", F.coalesce("trigger", F.lit(False))).withColumn("risky", F.coalesce(F.col("most_iou") >= least_iou, F.lit(False)) | F.col("trigger"))
 
 
+def pieces(cells: DataFrame, overlaps: DataFrame, most: int = 3) -> DataFrame:
+    """episode, roster: the rosters of at most `most` into which episodes of more ids are taken apart. cells: episode, start_frame, tid, frame, filled (made up), a row where an id has a box; overlaps: episode, a, b, iou.
+
+    Each id that was filled in, or came back after a frame without a box, is the
+    centre of a roster with those that overlap it most at any time of the episode.
+    Ids of equal overlap go by number. Equal rosters are one; an id that overlaps
+    no other has none.
+    """
+    before = F.lag("frame").over(Window.partitionBy("episode", "tid").orderBy("frame"))
+    back = (F.col("frame") > F.col("start_frame")) & ~F.coalesce(F.col("_before") == F.col("frame") - 1, F.lit(False))
+    marked = cells.withColumn("_before", before).groupBy("episode", "tid").agg(F.bool_or(F.coalesce("filled", F.lit(False)) | back).alias("trigger"))
+    large = marked.groupBy("episode").agg(F.count("*").alias("_n")).where(F.col("_n") > most).select("episode")
+    centres = marked.where("trigger").join(large, "episode", "left_semi").select("episode", "tid")
+    both = overlaps.select("episode", F.col("a").alias("tid"), F.col("b").alias("other"), "iou").unionByName(overlaps.select("episode", F.col("b").alias("tid"), F.col("a").alias("other"), "iou")).where("iou > 0")
+    near = both.join(centres, ["episode", "tid"]).groupBy("episode", "tid", "other").agg(F.max("iou").alias("iou"))
+    rank = F.row_number().over(Window.partitionBy("episode", "tid").orderBy(F.desc("iou"), "other"))
+    kept = near.withColumn("_r", rank).where(F.col("_r") < most).groupBy("episode", "tid").agg(F.collect_list("other").alias("_o"))
+    return kept.select("episode", F.array_sort(F.array_append("_o", F.col("tid"))).alias("roster")).distinct()
+
+
 def seams(cells: DataFrame, key: list[str]) -> DataFrame:
     """key, seam: for each id of an episode the frame of its most overlap among the filled ones, else among all (the earliest on a tie), else the middle of the episode; the earliest of the ids. cells: key, tid, frame, filled, iou (null or 0: none)."""
     most = lambda on: F.min_by("frame", F.when(on & (F.col("iou") > 0), F.struct(-F.col("iou"), "frame")))
@@ -105,7 +125,7 @@ def unique_matchings(costs: DataFrame, key: str, most: int = 5, ratio: float = 1
     definition says. A group is one row: its costs as an array, with all
     matchings of its size (a table of at most `most` squared rows) beside it.
     """
-    pairs = costs.where("cost IS NOT NULL AND NOT isnan(cost)").groupBy(key, "source", "target").agg(F.min("cost").alias("cost"))
+    pairs = spread(costs.where("cost IS NOT NULL AND NOT isnan(cost)"), key).groupBy(key, "source", "target").agg(F.min("cost").alias("cost"))
     sized = pairs.groupBy(key).agg(F.countDistinct("source").alias("_s"), F.countDistinct("target").alias("_t")).where((F.col("_s") <= most) & (F.col("_t") <= most))
     kept = pairs.join(sized.select(key), key, "left_semi").groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct(F.struct("source", "target"), "cost"))).alias("_c"))
     side = lambda name: F.array_sort(F.array_distinct(F.transform(F.map_keys("_c"), lambda k: k[name])))
@@ -129,6 +149,7 @@ def best_cliques(arms: DataFrame, apart: DataFrame, key: str, most: int = 8) ->
     Groups of one arm or of over `most` have no result, as the definition says.
     Sets are bit masks over a group's arms, which are one row.
     """
+    arms, apart = spread(arms, key), spread(apart, key)  # few bytes, but much work for each row
     counted = arms.groupBy(key).agg(F.count("*").alias("_n")).where((F.col("_n") > 1) & (F.col("_n") <= most)).select(key)
     links = apart.select(key, F.col("a").alias("arm"), F.col("b").alias("_o")).unionByName(apart.select(key, F.col("b").alias("arm"), F.col("a").alias("_o")))
     near = links.join(counted, key, "left_semi").groupBy(key, "arm").agg(F.collect_set("_o").alias("_others"))
@@ -140,8 +161,8 @@ def best_cliques(arms: DataFrame, apart: DataFrame, key: str, most: int = 8) ->
     union = "array_sort(array_distinct(flatten(transform(filter(sequence(0, size(_a) - 1), i -> (shiftright(s, i) & 1) = 1), i -> _a[i].atoms))))"
     # of sets of one size, the first arms: the lowest arm is the highest bit in the order
     first = "aggregate(sequence(0, size(_a) - 1), 0, (x, i) -> x * 2 + (1 - (shiftright(s, i) & 1)))"
-    scored = whole.withColumn("_s", sets).withColumn("_s", F.expr(f"transform(_s, s -> named_struct('less', -size({union}), 'atoms', {union}, 'arms', bit_count(s), 'first', {first}, 's', s))"))
-    best = scored.where(F.size("_s") > 0).withColumn("_s", F.array_min("_s")["s"])
+    scored = whole.withColumn("_s", sets).withColumn("_s", F.expr(f"transform(transform(_s, s -> named_struct('u', {union}, 'arms', bit_count(s), 'first', {first}, 's', s)), x -> named_struct('less', -size(x.u), 'x', x))"))
+    best = scored.where(F.size("_s") > 0).withColumn("_s", F.array_min("_s")["x"]["s"])
     return best.select(key, F.explode(F.expr("transform(filter(sequence(0, size(_a) - 1), i -> (shiftright(_s, i) & 1) = 1), i -> _a[i].arm)")).alias("arm"))
 
 

@@ -21,9 +21,11 @@ from dataclasses import dataclass, field
 from itertools import combinations, permutations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ..session import materialize, ship, spread
 from .graph import chains, components
@@ -478,62 +480,90 @@ _AT = ["area", "cx", "cy", "normal", "edge", "roi_edge", "unknown", "clean", "su
 _CHAIN = "video string, chain bigint, part bigint, frames array<bigint>, nodes array<bigint>, n_forward array<int>, n_backward array<int>, one_sided array<boolean>, events array<struct<direction string, type string, frame bigint, n int, source string, reasons string, arms string>>, stops array<string>"
 
 
-def _view(rows: pd.DataFrame, forward: bool) -> list[Chain]:
+def _view(rows: list[dict], forward: bool) -> list[Chain]:
     out = []
     step = 1 if forward else -1
-    for r in rows.itertuples():
-        at = {k: np.asarray([x[k] for x in r.nodes])[::step] for k in _AT}
-        side = ("second_f", "heirs", "next_f", "here_f") if forward else ("second_g", "forebears", "next_b", "here_b")
-        at |= {k: np.asarray([x[c] for x in r.nodes])[::step] for k, c in zip(("second", "heirs", "next", "here"), side)}
-        frames, names = (np.asarray([x[k] for x in r.nodes], np.int64)[::step] for k in ("frame", "node"))
-        begins, ends = (r.start_kind, r.end_kind) if forward else (MIRROR.get(r.end_kind, r.end_kind), MIRROR.get(r.start_kind, r.start_kind))
-        inner = [None if x is None or x != x else int(x) for x in (r.cc, r.pc)][::step]
-        out.append(Chain(int(r.chain), names, frames * step, at, begins, ends, *inner))
+    side = ("second_f", "heirs", "next_f", "here_f") if forward else ("second_g", "forebears", "next_b", "here_b")
+    for r in rows:
+        at = {k: np.asarray([x[k] for x in r["nodes"]])[::step] for k in _AT}
+        at |= {k: np.asarray([x[c] for x in r["nodes"]])[::step] for k, c in zip(("second", "heirs", "next", "here"), side)}
+        frames, names = (np.asarray([x[k] for x in r["nodes"]], np.int64)[::step] for k in ("frame", "node"))
+        begins, ends = (r["start_kind"], r["end_kind"])[::step]
+        inner = (r["cc"], r["pc"])[::step]
+        out.append(Chain(r["chain"], names, frames * step, at, begins if forward else MIRROR.get(begins, begins), ends if forward else MIRROR.get(ends, ends), *inner))
     return out
 
 
-def _judge(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    scale = Scale(*(float(rows[c].iloc[0]) for c in ("s_low", "l_ref", "tau")))
+def _judge(rows: list[dict]) -> list[dict]:
+    """Evidence of one connected part of the graph, whose rows are chains."""
+    scale = Scale(*(rows[0][c] for c in ("s_low", "l_ref", "tau")))
     found, events, stops = {}, {}, {}
-    for forward in (True, False):
-        overlap = {(int(x["src"]), int(x["dst"]))[:: 1 if forward else -1]: float(x["overlap"]) for links in rows["out"] for x in (links if links is not None else [])}
-        flow = Flow(_view(rows, forward), overlap, scale)
+    for step, name in ((1, "forward"), (-1, "backward")):
+        overlap = {(x["src"], x["dst"])[::step]: x["overlap"] for r in rows for x in r["out"] or ()}
+        flow = Flow(_view(rows, step == 1), overlap, scale)
         held = flow.run()
         for c in flow.parts:
-            ev = held[c.name]
-            mass = c.mass(False)
-            keeps = [len(e.atoms) >= 2 and e.sure and e.since is not None and a >= KEEPS * mass for e, a in zip(ev, c.at["area"])]
-            step = 1 if forward else -1
-            found[c.name, forward] = ([len(e.atoms) for e in ev][::step], keeps[::step])
-        name = "forward" if forward else "backward"
+            ev, mass = held[c.name], c.mass(False)
+            keeps = [len(e.atoms) >= 2 and e.sure and e.since is not None and bool(a >= KEEPS * mass) for e, a in zip(ev, c.at["area"])]
+            found[c.name, step] = ([len(e.atoms) for e in ev][::step], keeps[::step])
         for e in flow.events:
-            kind = e["type"] if forward else {"merge": "split", "split_share": "merge_share"}[e["type"]]
-            events.setdefault(e["chain"], []).append((name, kind, abs(e["time"]), e["n"], e["source"], "+".join(e["reasons"]), ";".join(e["arms"])))
+            kind = e["type"] if step == 1 else {"merge": "split", "split_share": "merge_share"}[e["type"]]
+            events.setdefault(e["chain"], []).append({"direction": name, "type": kind, "frame": abs(e["time"]), "n": e["n"], "source": e["source"], "reasons": "+".join(e["reasons"]), "arms": ";".join(e["arms"])})
         for c, why in flow.stops.items():
             stops.setdefault(c, []).append(f"{name}_stop:{why}")
     out = []
-    for r in rows.itertuples():
-        (nf, kf), (nb, kb) = found[r.chain, True], found[r.chain, False]
-        out.append((r.video, r.chain, key[0], [x["frame"] for x in r.nodes], [x["node"] for x in r.nodes], nf, nb, [a or b for a, b in zip(kf, kb)], events.get(r.chain, []), stops.get(r.chain, [])))
-    return pd.DataFrame(out, columns=["video", "chain", "part", "frames", "nodes", "n_forward", "n_backward", "one_sided", "events", "stops"])
+    for r in rows:
+        (nf, kf), (nb, kb) = found[r["chain"], 1], found[r["chain"], -1]
+        one = {"n_forward": nf, "n_backward": nb, "one_sided": [a or b for a, b in zip(kf, kb)], "events": events.get(r["chain"], []), "stops": stops.get(r["chain"], [])}
+        out.append({"video": r["video"], "chain": r["chain"], "part": r["part"], "frames": [x["frame"] for x in r["nodes"]], "nodes": [x["node"] for x in r["nodes"]], **one})
+    return out
+
+
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
+    """Rows of one part after the other, from batches sorted by part; a part may go over several."""
+    held: list[dict] = []
+    for b in batches:
+        for row in b.to_pylist():
+            if held and held[0]["part"] != row["part"]:
+                yield held
+                held = []
+            held.append(row)
+    if held:
+        yield held
 
 
 def evidence(g: Graph) -> DataFrame:
-    """One row for each chain: video, chain, part, frames, nodes, n_forward, n_backward (lower bounds at each node), one_sided (whether one direction alone would be believed there), events, stops. A connected part of the graph of chains is one group."""
+    """One row for each chain of a connected part of the graph where something merges or splits: video, chain, part, frames, nodes, n_forward, n_backward (lower bounds at each node), one_sided (whether one direction alone would be believed there), events, stops. Elsewhere each chain is one animal.
+
+    Parts are dealt over tasks, which take one after the other.
+    """
+    ship(g.nodes.sparkSession)
     n = g.nodes
     for way, forward in (("f", True), ("b", False)):
         near = _near(g, forward).toDF("node", f"next_{way}", f"here_{way}")
         n = n.join(near, "node", "left").withColumns({c: F.coalesce(c, F.lit(False)) for c in (f"next_{way}", f"here_{way}")})
+    links = g.links.join(g.nodes.select(F.col("node").alias("src"), F.col("chain").alias("a")), "src").join(g.nodes.select(F.col("node").alias("dst"), F.col("chain").alias("b")), "dst")
+    links = materialize(links.select("src", "dst", "overlap", "kind", "a", "b"), "between")
+    whole = components(links.select("a", "b")).toDF("chain", "part")
+    met = links.where("kind <> 'reset'").select(F.col("a").alias("chain")).join(whole, "chain").select("part").distinct()
+    parts = materialize(whole.join(met, "part", "left_semi"), "parts")
     columns = ["frame", "node", *_AT, "second_f", "second_g", "heirs", "forebears", "next_f", "here_f", "next_b", "here_b"]
-    rows = n.groupBy("chain").agg(F.array_sort(F.collect_list(F.struct(*columns))).alias("nodes"))
-    links = g.links.join(n.select(F.col("node").alias("src"), F.col("chain").alias("a")), "src").join(n.select(F.col("node").alias("dst"), F.col("chain").alias("b")), "dst")
-    links = materialize(links.select("src", "dst", "overlap", "a", "b"), "between")
-    parts = components(links.select("a", "b")).toDF("chain", "part")
+    rows = n.join(parts.select("chain"), "chain", "left_semi").groupBy("chain").agg(F.array_sort(F.collect_list(F.struct(*columns))).alias("nodes"))
     out = links.where("a <> b").groupBy(F.col("a").alias("chain")).agg(F.collect_list(F.struct("src", "dst", "overlap")).alias("out"))
-    whole = g.chains.join(rows, "chain").join(parts, "chain", "left").join(out, "chain", "left").join(g.scales.select("video", "s_low", "l_ref", "tau"), "video")
-    whole = whole.withColumn("part", F.coalesce("part", "chain"))
-    ship(g.nodes.sparkSession)
-    return materialize(spread(whole, "part").groupBy("part").applyInPandas(_judge, _CHAIN), "evidence")
+    full = parts.join(g.chains, "chain").join(rows, "chain").join(out, "chain", "left").join(g.scales.select("video", "s_low", "l_ref", "tau"), "video")
+    schema = to_arrow_schema(StructType.fromDDL(_CHAIN))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made: list[dict] = []
+        for part in _parts(batches):
+            made += _judge(part)
+            if len(made) >= 2000:
+                yield pa.RecordBatch.from_pylist(made, schema)
+                made = []
+        if made:
+            yield pa.RecordBatch.from_pylist(made, schema)
+
+    return materialize(spread(full, "part").sortWithinPartitions("part").mapInArrow(run, _CHAIN), "evidence")
 
 
 def levels(g: Graph, found: DataFrame) -> DataFrame:

@@ -28,11 +28,12 @@ ABSTAINED, SWAPPED, CONFIRMED = 22, 23, 26
 
 @dataclass
 class Rules:
-    """swap_ratio: of the unchanged cost, below which a change is believed; limit: farthest appearance that counts as the same; longest: frames of an episode, 0 for any; rebuilds: relabellings after which no more follow; closed_only: for populations that vary, change only what is seen throughout."""
+    """swap_ratio: of the unchanged cost, below which a change is believed; limit: farthest appearance that counts as the same; longest: frames of an episode, 0 for any; roster: of how many an episode may be to be judged whole; rebuilds: relabellings after which episodes are made anew, those after them are done too, but the episodes stay; closed_only: for populations that vary, change only what is seen throughout."""
 
     swap_ratio: float = 0.5
     limit: float = 5.0
     longest: int = 0
+    roster: int = 3
     rebuilds: int = 20
     closed_only: bool = False
 
@@ -125,47 +126,107 @@ def _closed(t: pd.DataFrame, roster: list[int], start: int, end: int) -> bool:
     return bool(whole and not inside.any())
 
 
+def _pieces(t: pd.DataFrame, c: pd.DataFrame, start: int, end: int, roster: tuple[int, ...], most: int) -> tuple[list[tuple[int, ...]], str]:
+    """Rosters of at most `most` into which a large contact is taken apart, and why there are none: around each id that was filled in or came back within it, those that overlap it most at any time."""
+    inside = t[t["frame"].between(start, end) & t["id"].isin(roster)]
+    met = c[c["frame"].between(start, end) & c["a"].isin(roster) & c["b"].isin(roster)]
+    near = pd.concat([met.rename(columns={"a": "id", "b": "other"}), met.rename(columns={"b": "id", "a": "other"})]).groupby(["id", "other"])["iou"].max().reset_index()
+    found, triggers = set(), 0
+    for i in sorted(roster):
+        own = inside[inside["id"] == i].sort_values("frame")
+        back = (own["frame"] > start) & (own["frame"].diff() != 1)
+        if not (own["filled"] | back).any():
+            continue
+        triggers += 1
+        others = near[near["id"] == i].sort_values(["iou", "other"], ascending=[False, True])["other"].tolist()[: most - 1]
+        if others:
+            found.add(tuple(sorted([i, *map(int, others)])))
+    return sorted(found), "" if found else "no_candidate" if triggers else "no_trigger"
+
+
+class _Video:
+    """Tracks and fragments of one video while it is being resolved."""
+
+    def __init__(self, tracks: pd.DataFrame, frags: pd.DataFrame, rules: Rules):
+        self.t = tracks.assign(id=tracks["tid"], history=0).reset_index(drop=True)
+        if "filled" not in self.t:
+            self.t["filled"] = False
+        self.g = frags.assign(id=frags["tid"]).reset_index(drop=True)
+        self.rules, self.log, self.changes = rules, [], 0
+
+    def episodes(self) -> list[tuple[int, int, tuple[int, ...]]]:
+        self.c = _contacts(self.t)
+        pairs = {int(f): list(zip(p["a"].tolist(), p["b"].tolist())) for f, p in self.c.groupby("frame")}
+        return sorted(follow(pairs, _bridges(self.t, self.c), self.rules.longest), key=lambda e: (e[0], e[2]))
+
+    def note(self, start: int, end: int, roster: tuple[int, ...], what: str, why: str, seam: int | None = None) -> None:
+        self.log.append((start, end, ",".join(map(str, roster)), what, why, seam))
+        inside = self.t["frame"].between(start, end) & self.t["id"].isin(roster)
+        self.t.loc[inside, "history"] = {"swap": SWAPPED, "identity": CONFIRMED}.get(what, ABSTAINED)
+
+    def judge(self, start: int, end: int, roster: tuple[int, ...]) -> int | None:
+        """Decides and, for a change of places, relabels; the seam of that."""
+        what, why, mapping = decide(list(roster), start, self.g, self.rules)
+        if what == "swap" and self.rules.closed_only and not _closed(self.t, list(roster), start, end):
+            what, why, mapping = "abstain", "not_closed", {}
+        seam = _seam(self.c, sorted(mapping), start, end) if mapping else None
+        self.note(start, end, roster, what, why, seam)
+        if seam is not None:
+            for rows, late in ((self.t, self.t["frame"] >= seam), (self.g, self.g["start_frame"] >= seam)):
+                if rows is self.t:
+                    rows.loc[late & rows["id"].isin(mapping), "history"] = SWAPPED
+                rows.loc[late, "id"] = rows.loc[late, "id"].map(lambda i: mapping.get(i, i))
+            self.changes += 1
+            if self.changes > self.rules.rebuilds:
+                self.c = _contacts(self.t)  # the seams of later episodes look at the ids of now
+        return seam
+
+
 def resolve_video(tracks: pd.DataFrame, frags: pd.DataFrame, rules: Rules) -> tuple[pd.DataFrame, list[tuple]]:
-    """tracks with resolved and history, and start, end, roster, decision, reason, seam of each episode that was judged. Episodes are taken by start and roster; after a change they are made anew and begin at the first, and none is judged twice."""
-    t = tracks.assign(id=tracks["tid"], history=0).reset_index(drop=True)
-    g = frags.assign(id=frags["tid"]).reset_index(drop=True)
-    log: list[tuple] = []
+    """tracks with resolved and history, and start, end, roster, decision, reason, seam of each episode that was judged.
+
+    Episodes are taken by start and roster. Those of more ids than rules.roster
+    are judged in pieces. After a change they are made anew and begin at the
+    first, and none is judged twice; after rules.rebuilds changes the list stays
+    and every later change is still made.
+    """
+    v = _Video(tracks, frags, rules)
     judged: set[tuple] = set()
-    changes, again = 0, True
+    again = True
     while again:
         again = False
-        c = _contacts(t)
-        pairs = {int(f): list(zip(p["a"].tolist(), p["b"].tolist())) for f, p in c.groupby("frame")}
-        for start, end, roster in sorted(follow(pairs, _bridges(t, c), rules.longest), key=lambda e: (e[0], e[2])):
+        for start, end, roster in v.episodes():
             if (start, end, roster) in judged:
                 continue
             judged.add((start, end, roster))
-            what, why, mapping = decide(list(roster), start, g, rules)
-            if what == "swap" and rules.closed_only and not _closed(t, list(roster), start, end):
-                what, why, mapping = "abstain", "not_closed", {}
-            if what == "swap" and changes >= rules.rebuilds:
-                what, why, mapping = "abstain", "too_many_changes", {}
-            seam = _seam(c, sorted(mapping), start, end) if mapping else None
-            log.append((start, end, ",".join(map(str, roster)), what, why, seam))
-            inside = t["frame"].between(start, end) & t["id"].isin(roster)
-            t.loc[inside, "history"] = {"swap": SWAPPED, "identity": CONFIRMED}.get(what, ABSTAINED)
-            if mapping:
-                late = t["frame"] >= seam
-                t.loc[late & t["id"].isin(mapping), "history"] = SWAPPED
-                t.loc[late, "id"] = t.loc[late, "id"].map(lambda i: mapping.get(i, i))  # noqa: B023
-                later = g["start_frame"] >= seam
-                g.loc[later, "id"] = g.loc[later, "id"].map(lambda i: mapping.get(i, i))  # noqa: B023
-                for k in [j for j in judged if j[1] >= seam and j != (start, end, roster) and j[0] > start]:
-                    judged.discard(k)
-                changes, again = changes + 1, True
+            parts = [roster]
+            if len(roster) > rules.roster:
+                parts, why = _pieces(v.t, v.c, start, end, roster, rules.roster)
+                if not parts:
+                    v.note(start, end, roster, "abstain", why)
+            for part in parts:
+                if part != roster:
+                    if (start, end, part) in judged:
+                        continue
+                    judged.add((start, end, part))
+                seam = v.judge(start, end, part)
+                if seam is not None and v.changes <= rules.rebuilds:
+                    for k in [j for j in judged if j[1] >= seam and j[0] > start]:
+                        judged.discard(k)
+                    if part != roster:
+                        judged.discard((start, end, roster))  # its other pieces are still to be judged
+                    again = True
+                    break
+            if again:
                 break
-    return t, log
+    return v.t, v.log
 
 
 def _run(tracks: DataFrame, frags: DataFrame, rules: Rules | None, schema: str, shape) -> DataFrame:
     rules = rules or Rules()
     good = " AND ".join(f"{v} IS NOT NULL AND NOT isnan({v})" for v in BOX)
-    t = tracks.select("video", "tid", "frame", *BOX).where(f"{good} AND w > 0 AND h > 0 AND tid IS NOT NULL AND frame IS NOT NULL")
+    filled = F.coalesce(F.col("filled"), F.lit(False)) if "filled" in tracks.columns else F.lit(False)
+    t = tracks.select("video", "tid", "frame", *BOX, filled.alias("filled")).where(f"{good} AND w > 0 AND h > 0 AND tid IS NOT NULL AND frame IS NOT NULL")
     g = frags.select("video", "tid", "start_frame", "end_frame", F.col("centroid").cast("array<double>").alias("centroid"))
 
     def run(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
@@ -176,7 +237,7 @@ def _run(tracks: DataFrame, frags: DataFrame, rules: Rules | None, schema: str,
 
 
 def resolve(tracks: DataFrame, frags: DataFrame, rules: Rules | None = None) -> DataFrame:
-    """video, tid, frame, resolved (the id it should have), history (0: in no contact). tracks: video, tid, frame and box; frags: video, tid, start_frame, end_frame, centroid."""
+    """video, tid, frame, resolved (the id it should have), history (0: in no contact). tracks: video, tid, frame, box and, if there is one, filled (made up where the animal wasn't seen); frags: video, tid, start_frame, end_frame, centroid."""
 
     def shape(video: str, t: pd.DataFrame, log: list) -> pd.DataFrame:
         return t.assign(video=video, resolved=t["id"])[["video", "tid", "frame", "resolved", "history"]]
