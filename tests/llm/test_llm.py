@@ -128,6 +128,53 @@ def test_training_order(docs, none, tmp_path):
     assert training_order.training_order(none, queries.BYTE_BPE, "k").count() == 0
 
 
+def test_training_order_is_the_rows_own(spark, docs, tmp_path):
+    """One table in one file, in uneven files, shuffled and not from files gives the same shards, at any size of splits; a second action too."""
+    rows = docs.select("doc_id", "text", "lang", "n").where("doc_id IS NULL OR doc_id <> 20001").collect()
+    table = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, n int")
+    random.Random(1).shuffle(rows)
+    mixed = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, n int")
+    table.coalesce(1).write.parquet(f"{tmp_path}/one")
+    for k, part in enumerate((rows[:3], rows[3:40], rows[40:41], rows[41:])):
+        spark.createDataFrame(part, mixed.schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/four")
+    found = []
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for name, bytes_ in (("one", before), ("one", "20000"), ("four", before), ("four", "20000"), ("mixed", before)):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", bytes_)
+            path = f"file://{tmp_path}/out{len(found)}"
+            source = mixed if name == "mixed" else spark.read.parquet(f"{tmp_path}/{name}")
+            df = training_order.training_order(source, queries.BYTE_BPE, "k", path, 64, 100)
+            first, second = (sorted(map(tuple, df.select("slot", "n_tokens", "record_crc32").collect())) for _ in range(2))
+            assert first == second
+            files = sorted((f.name, f.read_bytes()) for f in (tmp_path / f"out{len(found)}").iterdir() if f.name.startswith("shard"))
+            found.append((first, files))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert len(found[0][1]) > 3 and all(f == found[0] for f in found[1:])
+
+
+def test_a_shard_takes_the_place_of_an_older_one(tmp_path):
+    from pyarrow import fs
+
+    class Strict:
+        """A file system that doesn't rename onto a file."""
+
+        def __init__(self):
+            self.own = fs.LocalFileSystem()
+
+        def __getattr__(self, name):
+            return getattr(self.own, name)
+
+        def move(self, a, b):
+            assert self.own.get_file_info(b).type == fs.FileType.NotFound
+            self.own.move(a, b)
+
+    for data in (b"one", b"two"):
+        training_order._replace(Strict(), f"{tmp_path}/x", data)
+        assert (tmp_path / "x").read_bytes() == data and len(list(tmp_path.iterdir())) == 1
+
+
 def feistel(index, n, key, rounds=8):
     """A plain keyed Feistel network with cycle-walking."""
     import struct
@@ -155,16 +202,20 @@ def test_permutation_equals_plain_feistel(spark, n):
     assert found == [feistel(i, n, "a key") for i in range(n)] and sorted(found) == list(range(n))
 
 
-def test_training_order_runs_over_one_plan(spark, docs):
-    """Neither the setting nor the number of partitions planned later changes what the passes see; a shuffled input works too."""
-    before = dict(spark.sparkContext.getConf().getAll()), spark.conf.get("spark.sql.files.minPartitionNum", None)
-    rows, partitions = training_order.settled(docs.repartition(7, "doc_id"))
-    parts = [r[0] for r in rows.groupBy(F.spark_partition_id()).count().select("count").orderBy("count").collect()]
-    spark.conf.set("spark.sql.shuffle.partitions", "3")
-    again = [r[0] for r in rows.groupBy(F.spark_partition_id()).count().select("count").orderBy("count").collect()]
-    spark.conf.set("spark.sql.shuffle.partitions", "8")
-    assert parts == again and sum(parts) == docs.count() and partitions >= len(parts)
-    assert before == (dict(spark.sparkContext.getConf().getAll()), spark.conf.get("spark.sql.files.minPartitionNum", None))
+def test_training_order_tells_changed_input(spark, docs, tmp_path):
+    docs.select("doc_id", "text").coalesce(1).write.parquet(f"{tmp_path}/t")
+    rows = training_order.placed(spark.read.parquet(f"{tmp_path}/t"))
+    index, total = training_order.indexed(rows, queries.BYTE_BPE, 64)
+    side = f"file://{tmp_path}/side"
+    training_order.write_side_files(index, side)
+    firsts = sorted((r["first"], r["n"]) for r in index.collect())
+    assert firsts[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(firsts, firsts[1:])) and sum(firsts[-1]) == total
+    assert training_order.sequences(rows, queries.BYTE_BPE, 64, side).count() == total
+    for changed in (rows.withColumn("row", F.col("row") + 10_000), rows.withColumn("text", F.repeat(F.coalesce("text", F.lit("x")), 500))):
+        with pytest.raises(Exception, match="input changed"):
+            training_order.sequences(changed, queries.BYTE_BPE, 64, side).count()
+    with pytest.raises(Exception, match="occurs twice"):
+        training_order.write_side_files(index.unionByName(index), f"{side}2")
 
 
 def fingerprint(text):
