@@ -2,15 +2,17 @@
 
 Each text is scanned for three fixed kinds of secrets (assignments, access
 keys, long hexadecimal strings) and for candidates: other long mixed strings
-that look random. Every value, hashed, is counted over the whole corpus: in how
-many distinct repositories and by how many distinct owners. A value of a single
-owner is owner-specific and live-looking, however many of the owner's
-repositories repeat it; so is one of few owners and few repositories, where
-more owners than one are allowed. One that many owners have is a copied
-example, also where they have copies of one text. Live-looking candidates are
-added as spans of kind `live`; spans of the fixed kinds always stay.
-
-A repository is named by a column, and counts once for a value, whoever owns it.
+that look random, signed tokens of three parts, passwords in addresses of servers,
+blocks of private keys. Every value, hashed, is counted over the whole corpus: in
+how many distinct repositories each of its distinct owners has it. A credential
+belongs to one owner, in however many of its repositories; a leak or a fork
+elsewhere doesn't make it an example. An example is spread over owners. So a value
+is owner-specific and live-looking if one owner has SHARE of all its repositories
+at least, else it is a copied example, also where several owners have copies of
+one text. Live-looking candidates are added as spans of kind `live`; spans of the
+fixed kinds always stay.
+
+A repository is named by a column, and counts once for each owner of a value.
 Where no column names it, texts stand for it: equal texts, as in forks and
 mirrors, are one.
 
@@ -42,12 +44,17 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{32,}")
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+#: Candidates by their form; of a server's address the password is the value. Parts without bound are of few characters that end them.
+_FORMS = (
+    ("eyJ", re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}")),
+    ("://", re.compile(r"(?<=://)[A-Za-z0-9._-]{1,64}:([^\s:/@]{6,128})@")),
+    ("PRIVATE KEY-----", re.compile(r"-----BEGIN [A-Z ]{0,32}PRIVATE KEY-----[A-Za-z0-9+/=\s:,-]{32,}?-----END [A-Z ]{0,32}PRIVATE KEY-----")),
+)
 
 #: Bits per character that a candidate needs.
 ENTROPY = 3.2
-#: A value of at most so many owners is owner-specific; if it has more than one, it may have at most so many repositories.
-OWNERS = 1
-REPOSITORIES = 3
+#: The part of a value's repositories that one owner has, from which the value is that owner's.
+SHARE = 0.8
 
 Span = tuple[str, int, int]
 
@@ -73,8 +80,16 @@ def looks_random(value: str) -> bool:
 
 
 def candidate_spans(text: str) -> tuple[list[Span], list[str]]:
-    found = [m for m in _CANDIDATE.finditer(text) if looks_random(m[0])]
-    return [("live", m.start(), m.end()) for m in found], [m[0] for m in found]
+    """Candidates by start; of those that overlap, the form's counts, not the mixed string."""
+    found = []
+    for mark, form in _FORMS:
+        if mark in text:
+            group = 1 if form.groups else 0
+            found += [(m.start(group), m.end(group), m[group]) for m in form.finditer(text)]
+    formed = list(found)
+    found += [(m.start(), m.end(), m[0]) for m in _CANDIDATE.finditer(text) if looks_random(m[0]) and not any(m.start() < e and s < m.end() for s, e, _ in formed)]
+    found.sort()
+    return [("live", s, e) for s, e, _ in found], [v for *_, v in found]
 
 
 def written(spans: list[Span]) -> str:
@@ -112,18 +127,16 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_
 
 
 def frequencies(found: DataFrame) -> DataFrame:
-    """hash, repositories, owners: distinct ones that have each value, a null one among them. Rows are summed before each exchange, and the first key holds the repository or owner, so no value's rows meet in one task."""
-    each = found.select("owner", "repo", F.explode(F.concat("base", "more")).alias("s")).select("owner", "repo", F.col("s.hash").alias("hash"))
-    some = F.explode(F.array(F.struct(F.lit(True).alias("repo"), F.col("repo").alias("name")), F.struct(F.lit(False).alias("repo"), F.col("owner").alias("name"))))
-    named = each.select("hash", some.alias("of")).select("hash", "of.repo", "of.name").distinct()
-    return named.groupBy("hash").agg(F.count_if("repo").alias("repositories"), F.count_if(~F.col("repo")).alias("owners"))
+    """hash, owners, repositories (pairs of an owner and a repository of it, nulls among them, that have the value), most (those of one owner). Rows are made distinct and summed before each exchange, and the first keys hold the repository, then the owner, so no value's rows meet in one task."""
+    each = found.select("owner", "repo", F.explode(F.concat("base", "more")).alias("s")).select("owner", "repo", F.col("s.hash").alias("hash")).distinct()
+    per = each.groupBy("hash", "owner").agg(F.count("*").alias("n"))
+    return per.groupBy("hash").agg(F.count("*").alias("owners"), F.sum("n").alias("repositories"), F.max("n").alias("most"))
 
 
-def _judged(docs: DataFrame, owners: int = OWNERS, repositories: int = REPOSITORIES, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str | None = None) -> DataFrame:
+def _judged(docs: DataFrame, share: float = SHARE, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str | None = None) -> DataFrame:
     """What ownership_scan() returns, with the id as `id` and text_hash."""
     found = scan(docs, id_col, text_col, owner_col, repo_col)
-    few = (F.col("owners") == 1) | (F.col("repositories") <= repositories)
-    live = frequencies(found).where((F.col("owners") <= owners) & few).select("hash", F.lit(True).alias("live"))
+    live = frequencies(found).where(F.col("most") >= share * F.col("repositories")).select("hash", F.lit(True).alias("live"))
     # documents equal in id and text have equal values; a live value can have many rows, so the join is one that splits skewed keys
     key = ["id", "text_hash"]
     values = found.select("id", "text_hash", F.explode(F.concat("base", "more")).alias("s")).select(*key, F.col("s.hash").alias("hash")).distinct()
@@ -143,15 +156,15 @@ def _judged(docs: DataFrame, owners: int = OWNERS, repositories: int = REPOSITOR
     )
 
 
-def ownership_scan(docs: DataFrame, owners: int = OWNERS, repositories: int = REPOSITORIES, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str | None = None) -> DataFrame:
+def ownership_scan(docs: DataFrame, share: float = SHARE, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str | None = None) -> DataFrame:
     """id_col, n_assign, n_access, n_hex, base_sha256, spans, n_live (values in the text that are owner-specific), n_copied (others)."""
-    return _judged(docs, owners, repositories, id_col, text_col, owner_col, repo_col).drop("text_hash").withColumnRenamed("id", id_col)
+    return _judged(docs, share, id_col, text_col, owner_col, repo_col).drop("text_hash").withColumnRenamed("id", id_col)
 
 
-def redact(docs: DataFrame, owners: int = OWNERS, repositories: int = REPOSITORIES, mark: str = "[SECRET]") -> DataFrame:
+def redact(docs: DataFrame, share: float = SHARE, mark: str = "[SECRET]") -> DataFrame:
     """docs with the same columns, each span replaced by the mark (overlapping ones by one), n_chars counted anew where a text changes."""
     id_, hash_, spans_, masked_ = free_names(docs, "_id", "_hash", "_spans", "_masked")
-    spans = _judged(docs, owners, repositories).where("spans <> ''").select(F.col("id").alias(id_), F.col("text_hash").alias(hash_), F.col("spans").alias(spans_)).distinct()
+    spans = _judged(docs, share).where("spans <> ''").select(F.col("id").alias(id_), F.col("text_hash").alias(hash_), F.col("spans").alias(spans_)).distinct()
     spans = materialize(spans, "spans")  # few, as few texts have secrets: their size is known when the join is planned
     text = F.col("text").cast("string")
     both = docs.join(spans, F.col("doc_id").eqNullSafe(F.col(id_)) & (F.xxhash64(text) == F.col(hash_)), "left")
