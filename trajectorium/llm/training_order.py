@@ -54,8 +54,8 @@ END = 50256
 ROUNDS = 8
 #: Each step of a walk ends it with a chance of a half at least; one that takes more steps than this fails.
 WALK = 96
-#: Bytes of text that a worker tokenises at once: of more text, a smaller share of the words is new.
-UNIT = 4 << 20
+#: Bytes of text that a worker tokenises at once.
+UNIT = 2 << 20
 #: Rows of an input file whose indices are one side file.
 CHUNK = 1 << 19
 
