@@ -121,3 +121,53 @@ def test_static_windows_equal_brute_force(spark):
         t = spark.createDataFrame([(seed, *x, 0.0) for x in rows], "tid bigint, frame bigint, cx double, cy double, w double, h double, heading double")
         got = {x.frame for x in staged.static_windows(t, ["tid"], 8, 0.7, 0.7, 0.2).collect()}
         assert got == brute_static(rows, 8, 0.7, 0.7, 0.2) and got
+
+
+def moving(at):
+    return [(f, f, 0.9, (x, 50, 20, 8, 90)) for f, x in enumerate(at) if x is not None]
+
+
+def tracked(spark, at):
+    df = video(spark, moving(at))
+    return {x.frame: x for x in staged.track_population(df, 1).collect()}, [(x.frame, x.det, x.stage, x.reason) for x in staged.retractions(df, 1).collect()]
+
+
+def test_a_leap_before_a_miss_is_taken_back(spark):
+    out, gone = tracked(spark, [50] * 6 + [73, None, 50, 50])
+    assert gone == [(6, 6, staged.BY_SPEED, staged.BEFORE_MISS)]
+    assert sorted(out) == [0, 1, 2, 3, 4, 5, 8, 9] and out[8].stage in (1, 3)
+    # the track went on from the box before the leap: the place of its filters is there
+    assert out[8].heading == 90.0
+
+
+def test_an_excursion_between_two_leaps_is_taken_back(spark):
+    out, gone = tracked(spark, [50] * 6 + [73, 50, 50, 50])
+    assert gone == [(6, 6, staged.BY_SPEED, staged.EXCURSION)] and sorted(out) == [0, 1, 2, 3, 4, 5, 7, 8, 9]
+    assert out[7].stage == staged.BY_SPEED
+
+
+def test_true_fast_motion_stays(spark):
+    out, gone = tracked(spark, [50] * 6 + [73, 96, 119, 142])
+    assert not gone and sorted(out) == list(range(10)) and out[6].stage == staged.BY_SPEED
+    # a leap away that is missed afterwards stays if what it came from was a leap itself
+    out, gone = tracked(spark, [50] * 6 + [73, 120, None, 120])
+    assert all(reason == staged.EXCURSION or frame != 7 for frame, _, _, reason in gone)
+
+
+def test_a_run_of_reversed_headings_must_agree():
+    """Headings that are far from the old one, but also from each other, begin the run anew."""
+    t = staged.Track(0, np.array([50.0, 50, 9, 8, 90]), staged.Limits())
+    for f, a in enumerate([270, 200, 270, 265, 270]):
+        t.predict()
+        t.take(f, f, 2, np.array([50.0, 50, 9, 8, a]))
+    assert [r[-1] for r in t.rows[2:]] == [270, 265, 270] and np.isnan([r[-1] for r in t.rows[:2]]).all() and t.heading == 270
+    t = staged.Track(0, np.array([50.0, 50, 9, 8, 90]), staged.Limits())
+    for f, a in enumerate([270, 100, 270, 270]):
+        t.predict()
+        t.take(f, f, 2, np.array([50.0, 50, 9, 8, a]))
+    assert np.isnan([r[-1] for r in t.rows]).all() and t.heading == 90
+
+
+def test_nothing_is_taken_back_from_nothing(spark):
+    assert staged.retractions(video(spark, []), 1).count() == 0
+    assert staged.retractions(video(spark, [(0, 0, 0.9, (1, 1, 4, 2, 0))]), 2).count() == 0

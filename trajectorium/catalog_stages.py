@@ -92,6 +92,12 @@ def t03(s, d):
     return staged.track_population(_videos(s, d), 3)
 
 
+@query("t04_retractions")
+def t04(s, d):
+    ship(s)
+    return staged.retractions(_videos(s, d), 3)
+
+
 @query("t05_variable_population")
 def t05(s, d):
     ship(s)

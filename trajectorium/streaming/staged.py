@@ -6,6 +6,7 @@ over tasks. A group holds one video's detections and tracks.
 
 from __future__ import annotations
 
+import copy
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -26,6 +27,10 @@ AXIS_LIMIT, SIZES, SPEEDS = 67.5, 2.0, 1.5
 #: Stages 1 to 4 as (needs strong overlap, needs a near heading).
 OVERLAP_STAGES = [(True, True), (True, False), (False, True), (False, False)]
 BY_SPEED, AFTER_GAP, FILLED = 5, 6, 7
+#: Stages whose boxes a risky match may be measured against.
+TRUSTED = frozenset({0, 1, 2, 3, 4})
+#: Why a row was taken back.
+BEFORE_MISS, EXCURSION = "before_miss", "excursion"
 
 
 @dataclass
@@ -105,6 +110,18 @@ def by_distance(boxes: np.ndarray, miss: np.ndarray, det: np.ndarray, max_age: i
     return min_cost(far / size + np.minimum(miss / max(max_age, 1), 1.0)[:, None], valid)
 
 
+@dataclass
+class Risk:
+    """A match by distance that may be taken back: its step, frame and box, the box before it, and the track as predicted for its frame."""
+
+    step: int
+    frame: int
+    box: np.ndarray
+    anchor: np.ndarray
+    trusted: bool
+    state: dict
+
+
 @dataclass
 class Track:
     """One animal: its filters, last box, last heading, and the rows written so far."""
@@ -120,6 +137,8 @@ class Track:
     rows: list = field(default_factory=list)
     steps: list = field(default_factory=list)
     reversed_: list = field(default_factory=list)
+    risk: Risk | None = None
+    erased: list = field(default_factory=list)
 
     def __post_init__(self):
         self.begin(self.seen)
@@ -160,8 +179,9 @@ class Track:
             v = self.turn.update(unit(box[4]))
             heading = self.heading = on_axis(box[4], v) if fits_axis(box[4], v) else box[4] % 360.0
         elif stage in (2, 4):
-            back = apart(box[4], self.heading) > 90.0
-            self.reversed_ = [*self.reversed_, (len(self.rows), box[4] % 360.0)] if back else []
+            back = apart(box[4], self.heading) > self.limits.strong_turn
+            same = self.reversed_ and apart(self.reversed_[-1][1], box[4]) <= self.limits.strong_turn
+            self.reversed_ = [*(self.reversed_ if same else []), (len(self.rows), box[4] % 360.0)] if back else []
             if len(self.reversed_) >= max(self.limits.turn_run, 2):
                 for k, a in self.reversed_[:-1]:
                     self.rows[k][-1] = a
@@ -177,6 +197,43 @@ class Track:
         if stage in (1, 3):
             self.mend_flip()
 
+    def erase(self, frame: int, why: str) -> None:
+        """The row of that frame counts no more."""
+        for k in range(len(self.rows) - 1, -1, -1):
+            if self.rows[k][0] == frame:
+                r = self.rows.pop(k)
+                self.erased.append([*r[:4], why])
+                # the run of reversed headings names rows by place
+                self.reversed_ = [(i - (i > k), a) for i, a in self.reversed_ if i != k]
+                return
+
+    def weigh(self, step: int, frame: int, stage: int, box: np.ndarray, max_age: int) -> None:
+        """Before a box is taken: of two risky matches within max_age, the first goes if the second is nearer to the box before it; a risky match is remembered with the track as it is now."""
+        if stage not in (BY_SPEED, AFTER_GAP):
+            self.risk = None
+            return
+        anchor, old = self.seen, self.risk
+        if old is not None and step - old.step - 1 <= max_age and np.hypot(*(box[:2] - old.anchor[:2])) < np.hypot(*(old.box[:2] - old.anchor[:2])):
+            self.erase(old.frame, EXCURSION)
+            anchor = old.anchor
+        held = next((r[3] for r in reversed(self.rows) if r[0] == self.last), None)
+        kept = ("place", "shape", "turn", "heading", "seen", "miss", "last")
+        self.risk = Risk(step, frame, box, anchor, held in TRUSTED, {k: copy.deepcopy(getattr(self, k)) for k in kept})
+
+    def missed(self, step: int) -> None:
+        """No box. A risky match in the frame just before, from a trusted box, is taken back: it counts as missed and the track goes on as predicted from that box."""
+        old = self.risk
+        if old is not None and old.step == step - 1 and old.trusted:
+            self.erase(old.frame, BEFORE_MISS)
+            vars(self).update(copy.deepcopy(old.state))
+            self.seen = old.anchor
+            self.predict()
+            self.miss += 1
+            self.steps[-1] = self.guess
+            self.risk = None
+        self.miss += 1
+        self.reversed_ = []
+
     def mend_flip(self) -> None:
         """Of three neighbouring frames, the middle heading is turned round if it is far from both others and the other way is nearer."""
         if len(self.rows) < 3:
@@ -268,11 +325,11 @@ def frames_of(pdf: pd.DataFrame, order: list[int]):
         yield f, p[VALUES].to_numpy(float), p["score"].to_numpy(float), p["det"].to_numpy()
 
 
-def one_pass(pdf: pd.DataFrame, order: list[int], count: int, limits: Limits) -> list[list]:
-    """Rows of the tracks that begin with the best boxes of the first frame of the order."""
+def one_pass(pdf: pd.DataFrame, order: list[int], count: int, limits: Limits) -> list[Track]:
+    """The tracks that begin with the best boxes of the first frame of the order."""
     tracks: list[Track] = []
     past: dict[int, list] = {}
-    for frame, det, score, ids in frames_of(pdf, order):
+    for step, (frame, det, score, ids) in enumerate(frames_of(pdf, order)):
         if not tracks:
             for k in range(min(count, len(det))):
                 t = Track(k, det[k], limits, last=frame)
@@ -293,14 +350,14 @@ def one_pass(pdf: pd.DataFrame, order: list[int], count: int, limits: Limits) ->
                 j, stage = found[k]
                 if t.miss and stage != BY_SPEED:
                     fill_gap(t, det[j], frame, past, limits)
+                t.weigh(step, frame, stage, det[j], limits.max_age)
                 t.take(frame, int(ids[j]), stage, det[j])
                 t.steps.append(det[j])
             else:
-                t.miss += 1
-                t.reversed_ = []
+                t.missed(step)
                 t.steps.append(t.guess)
             del t.steps[: -limits.max_age - 1]
-    return [r for t in tracks for r in t.rows]
+    return tracks
 
 
 def start_frame(pdf: pd.DataFrame, count: int, least: float = 0.5) -> int | None:
@@ -319,11 +376,21 @@ def _table(video: str, rows: list[list]) -> pd.DataFrame:
     return out.sort_values(["tid", "frame"])
 
 
-def _grouped(det: DataFrame, run) -> DataFrame:
+def _grouped(det: DataFrame, run, schema: str = SCHEMA) -> DataFrame:
     good = " AND ".join(f"{v} IS NOT NULL AND NOT isnan({v})" for v in [*VALUES, "score"])
     rows = det.select("video", "frame", "det", "score", *VALUES).where(f"{good} AND w > 0 AND h > 0 AND frame IS NOT NULL AND det IS NOT NULL")
-    out = spread(rows, "video").groupBy("video").applyInPandas(run, SCHEMA)
-    return out.withColumn("heading", F.when(~F.isnan("heading"), F.col("heading")))
+    out = spread(rows, "video").groupBy("video").applyInPandas(run, schema)
+    return out if schema != SCHEMA else out.withColumn("heading", F.when(~F.isnan("heading"), F.col("heading")))
+
+
+def _both_ways(pdf: pd.DataFrame, count: int, limits: Limits) -> tuple[int, list[Track], list[Track]] | None:
+    """The start frame, and the tracks backwards and forwards from it."""
+    at = start_frame(pdf, count)
+    if at is None:
+        return None
+    low, high = int(pdf["frame"].min()), int(pdf["frame"].max())
+    back = one_pass(pdf, list(range(at, low - 1, -1)), count, Limits(**{**vars(limits), "dt": -1.0}))
+    return at, back, one_pass(pdf, list(range(at, high + 1)), count, limits)
 
 
 def track_population(det: DataFrame, count: int, limits: Limits | None = None) -> DataFrame:
@@ -331,22 +398,40 @@ def track_population(det: DataFrame, count: int, limits: Limits | None = None) -
 
     Tracks are numbered by score in the start frame and followed backwards and
     forwards from there. Frames in which an animal isn't seen have no row, and
-    a heading that isn't sure is null. Videos without a frame of `count`
-    detections have no rows; rows with a null, or without an area, are left out.
+    a heading that isn't sure is null. A match by distance is taken back if the
+    animal is missed right after it or a later such match shows that it was an
+    excursion, see retractions(). Videos without a frame of `count` detections
+    have no rows; rows with a null, or without an area, are left out.
     """
     limits = limits or Limits()
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        at = start_frame(pdf, count)
-        if at is None:
+        found = _both_ways(pdf, count, limits)
+        if found is None:
             return _table(key[0], [])
-        low, high = int(pdf["frame"].min()), int(pdf["frame"].max())
-        back = one_pass(pdf, list(range(at, low - 1, -1)), count, Limits(**{**vars(limits), "dt": -1.0}))
-        return _table(key[0], [r for r in back if r[0] < at] + one_pass(pdf, list(range(at, high + 1)), count, limits))
+        at, back, ahead = found
+        return _table(key[0], [r for t in back for r in t.rows if r[0] < at] + [r for t in ahead for r in t.rows])
 
     return _grouped(det, run)
 
 
+RETRACTED = "video string, frame bigint, tid bigint, det bigint, stage int, reason string"
+
+
+def retractions(det: DataFrame, count: int, limits: Limits | None = None) -> DataFrame:
+    """video, frame, tid, det, stage, reason: the rows that track_population() wrote and took back."""
+    limits = limits or Limits()
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        found = _both_ways(pdf, count, limits)
+        rows = [r for tracks in (found or (0, [], []))[1:] for t in tracks for r in t.erased]
+        out = pd.DataFrame(rows, columns=["frame", "tid", "det", "stage", "reason"])
+        out.insert(0, "video", key[0])
+        return out
+
+    return _grouped(det, run, RETRACTED)
+
+
 def edge_margin(body: float, speed: float, edge_hits: int, width: float, height: float) -> float:
     """How far from the border births need few hits only."""
     return min(0.5 * body + speed * edge_hits, 0.15 * min(width, height))
