@@ -290,7 +290,7 @@ def r05(s, d):
 @query("t11_greedy_tracker")
 def t11(s, d):
     ship(s)
-    rows = det(s, d).select((F.col("tid") % 4).cast("string").alias("video"), "frame", F.col("event_id").alias("det"), *matching.BOX)
+    rows = det(s, d).select(F.expr("string(tid div 16)").alias("video"), "frame", F.col("event_id").alias("det"), *matching.BOX)
     return tracker.track(rows)
 
 

@@ -14,7 +14,7 @@ from .plans import reuse
 from .plans.views import DET_SQL, FRAG_SQL, OBS_SQL, STRUNG_SQL, det, frag, indexed, obs, strung
 from .registry import PAIRS_SQL, query, r
 from .session import fresh_path, ship
-from .sources import tables
+from .sources import lines, tables
 from .streaming import staged
 
 # angles
@@ -113,16 +113,16 @@ def w19(s, d):
 
 
 def _contacts(s, d):
-    """Contacts between ids, the ids dealt over four videos."""
+    """Contacts between ids, of which sixteen are one video."""
     p = matching.overlapping_pairs(det(s, d)).select("frame", "a_event_id", "b_event_id")
     ids = det(s, d).select("event_id", "tid")
     p = p.join(ids.toDF("a_event_id", "a"), "a_event_id").join(ids.toDF("b_event_id", "b"), "b_event_id")
-    return p.where("a % 4 = b % 4 AND a <> b").select((F.col("a") % 4).cast("string").alias("video"), "frame", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return p.where("a div 16 = b div 16 AND a <> b").select(F.expr("string(a div 16)").alias("video"), "frame", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def _episodes(s, d):
     ship(s)
-    return episodes.contact_episodes(_contacts(s, d), obs(s, d).select((F.col("tid") % 4).cast("string").alias("video"), "tid", "frame"))
+    return episodes.contact_episodes(_contacts(s, d), obs(s, d).select(F.expr("string(tid div 16)").alias("video"), "tid", "frame"))
 
 
 @query("w22_contact_episodes")
@@ -348,12 +348,21 @@ def s06(s, d):
     return tables.read_result(s, path, strict=False).select("frame", "tid", r("cx").alias("cx"))
 
 
-@query("s11_centroids", f"WITH {STRUNG_SQL} SELECT tid, count(cx) n, round(sum(cx), 3) total FROM strung GROUP BY 1")
+@query("s11_centroids", f"WITH {STRUNG_SQL}, n AS (SELECT frame, row_number() OVER (ORDER BY frame) - 1 AS row FROM (SELECT DISTINCT frame FROM strung)) SELECT row AS frame, tid, round(cx, 4) AS x FROM strung JOIN n USING (frame) WHERE cx IS NOT NULL")
 def s11(s, d):
+    """Written in several files; the rows' numbers are the frames."""
     path = fresh_path(s, "centroids")
     rows = strung(s, d).select("frame", "tid", F.col("cx").alias("x"), F.col("cy").alias("y"))
-    reshape.to_wide(rows, [0, 1, 2, 3], ["x", "y"]).drop("frame").write.option("header", True).csv(path)
-    return tables.read_centroids(s, path, most_missing=0.99).groupBy("tid").agg(F.count("x").alias("n"), F.round(F.sum("x"), 3).alias("total"))
+    reshape.to_wide(rows, [0, 1, 2, 3], ["x", "y"]).orderBy("frame").drop("frame").write.option("header", True).csv(path)
+    return tables.read_centroids(s, path, most_missing=0.99).where("x IS NOT NULL").select("frame", "tid", r("x").alias("x"))
+
+
+@query("s07_ordered_rows", f"WITH {STRUNG_SQL} SELECT frame, count(*) AS n FROM strung GROUP BY 1")
+def s07_rows(s, d):
+    """A table of several files whose frames must increase."""
+    path = fresh_path(s, "ordered")
+    strung(s, d).groupBy("frame").agg(F.count("*").alias("n")).orderBy("frame").write.option("header", True).csv(path)
+    return lines.ordered(s, path, "frame").select(F.col("frame").cast("long").alias("frame"), F.col("n").cast("long").alias("n"))
 
 
 @query("s08_pose", f"WITH {OBS_SQL} SELECT frame, tid AS track, p AS point, round(CASE WHEN p = 'head' THEN cx ELSE cx + w END, 4) x FROM obs, (VALUES ('head'), ('tail')) t(p)")
@@ -522,16 +531,16 @@ def s04(s, d):
 
 @query("s09_headed_pose", f"WITH {STRUNG_SQL} SELECT frame, 'animal' || tid AS individual, p AS point, round(CASE WHEN p = 'head' THEN cx ELSE cx + w END, 4) x, round(score, 4) likelihood FROM strung, (VALUES ('head'), ('tail')) t(p)")
 def s09(s, d):
-    """A pose table under four header lines, each line a row of one part-file, written and read back."""
+    """A pose table under four header lines in a file of their own, before those of the rows."""
     path = fresh_path(s, "headed")
     rows = strung(s, d).withColumn("end", F.col("cx") + F.col("w"))
     wide = reshape.to_wide(rows, [0, 1, 2, 3], ["cx", "cy", "end", "score"])
     names = [(f"animal{i}", p, v, c) for i in range(4) for p, x in (("head", f"cx{i}"), ("tail", f"end{i}")) for v, c in (("x", x), ("y", f"cy{i}"), ("likelihood", f"score{i}"))]
     heads = [["scorer", *["s"] * len(names)], ["individuals", *[n[0] for n in names]], ["bodyparts", *[n[1] for n in names]], ["coords", *[n[2] for n in names]]]
-    cells = wide.select(F.concat_ws(",", F.col("frame").cast("string"), *[F.coalesce(F.col(n[3]).cast("string"), F.lit("")) for n in names]).alias("value"), F.lit(1).alias("k"), "frame")
-    top = s.createDataFrame([(",".join(h), 0, k) for k, h in enumerate(heads)], "value string, k int, frame long")
-    top.unionByName(cells).repartition(1).sortWithinPartitions("k", "frame").select("value").write.text(path)
-    return tables.read_headed_pose(s, path).where("x IS NOT NULL").select("frame", "individual", "point", r("x").alias("x"), r("likelihood").alias("likelihood"))
+    cells = wide.select(F.concat_ws(",", F.col("frame").cast("string"), *[F.coalesce(F.col(n[3]).cast("string"), F.lit("")) for n in names]).alias("value"), "frame")
+    s.createDataFrame([(",".join(h), k) for k, h in enumerate(heads)], "value string, k int").coalesce(1).sortWithinPartitions("k").select("value").write.text(f"{path}/0")
+    cells.orderBy("frame").select("value").write.text(f"{path}/1")
+    return tables.read_headed_pose(s, f"{path}/*").where("x IS NOT NULL").select("frame", "individual", "point", r("x").alias("x"), r("likelihood").alias("likelihood"))
 
 
 #: Three tracks each, in a frame (b) and the next one (a); costs are the way along x.

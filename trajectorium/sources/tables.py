@@ -5,10 +5,11 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.reshape import object_ids, to_long, to_wide
+from .lines import cell, numbered, top
 
 RESULT = ["cx", "cy", "w", "h", "heading"]
 _ADAPTERS: dict[str, tuple[Callable[[list[str]], bool], Callable[[SparkSession, str], DataFrame]]] = {}
@@ -76,31 +77,23 @@ def read_headed_pose(spark: SparkSession, path: str) -> DataFrame:
     """A pose table under a header of three lines (scorer, points, coordinates) or four (with individuals before the points) as frame, individual (null without that line), point, x, y, likelihood.
 
     Frames are in the first column, or, where the first three name an image, the
-    rows' order from 0, which holds for a table of one file. The driver reads the header only.
+    rows' order from 0 over all files by path, of which the first has the header.
     """
-    raw = spark.read.csv(path, inferSchema=False)
-    names = raw.columns
-    start = spark.read.text(path).limit(5).collect()
-    lines = [r["value"].split(",") for r in start]
+    lines = [line.split(",") for line in top(spark, path, 5)]
     many = len(lines) > 1 and lines[1][0].strip().lower() == "individuals"
     n = 4 if many else 3
     if len(lines) < n:
         raise ValueError(f"a header of {n} lines is wanted")
     width = 3 if len(lines) > n and lines[n][0].strip() == "labeled-data" else 1
-    heads = {line[0].strip().lower() for line in lines[:n]}
     point, coordinate = lines[n - 2], lines[n - 1]
-    keys: dict[tuple[str | None, str], dict[str, str]] = {}
-    for k in range(width, len(names)):
-        keys.setdefault((lines[1][k].strip() if many else None, point[k].strip()), {})[coordinate[k].strip().lower()] = names[k]
-    number = lambda c: F.expr(f"try_cast(`{c}` AS double)") if c else F.lit(None).cast("double")
+    keys: dict[tuple[str | None, str], dict[str, int]] = {}
+    for k in range(width, len(coordinate)):
+        keys.setdefault((lines[1][k].strip() if many else None, point[k].strip()), {})[coordinate[k].strip().lower()] = k
+    number = lambda k: cell(k) if k is not None else F.lit(None).cast("double")
     each = F.array(*[F.struct(F.lit(i).cast("string").alias("individual"), F.lit(p).alias("point"), *[number(c.get(v)).alias(v) for v in ("x", "y", "likelihood")]) for (i, p), c in keys.items()])
-    rows = raw.where(~F.lower(F.trim(names[0])).isin(sorted(heads)) | F.col(names[0]).isNull())
-    if width == 3:
-        at = rows.withColumn("_at", F.monotonically_increasing_id())
-        rows = at.withColumn("_f", (F.row_number().over(Window.orderBy("_at")) - 1).cast("long"))
-    else:
-        rows = rows.withColumn("_f", F.expr(f"try_cast(`{names[0]}` AS double)").cast("long"))
-    return rows.select(F.col("_f").alias("frame"), F.explode(each).alias("_x")).select("frame", "_x.*")
+    rows = numbered(spark, path, n, every=False)
+    frame = F.col("row") if width == 3 else cell(0).cast("long")
+    return rows.select(frame.alias("frame"), F.explode(each).alias("_x")).select("frame", "_x.*")
 
 
 def write_detections(det: DataFrame, path: str) -> None:
@@ -116,10 +109,10 @@ def read_detections(spark: SparkSession, path: str, first: int | None = None, la
 
 
 def read_centroids(spark: SparkSession, path: str, most_missing: float = 0.5) -> DataFrame:
-    """x0, y0, x1, ... as frame, tid, x, y, without animals of which more than that share is missing."""
-    raw = spark.read.option("header", True).csv(path)
-    ids = sorted(int(m[1]) for c in raw.columns if (m := re.fullmatch(r"x(\d+)", c)))
-    cells = raw.select(F.monotonically_increasing_id().alias("_i"), *[F.expr(f"try_cast(`{a}{i}` AS double)").alias(f"{a}{i}") for i in ids for a in "xy"])
+    """x0, y0, x1, ... as frame (the number of the row over all files by path), tid, x, y, without animals of which more than that share is missing."""
+    names = [c.strip() for c in top(spark, path, 1)[0].split(",")]
+    ids = sorted(int(m[1]) for c in names if (m := re.fullmatch(r"x(\d+)", c)))
+    cells = numbered(spark, path, 1).select(F.col("row").alias("_i"), *[cell(names.index(f"{a}{i}")).alias(f"{a}{i}") for i in ids for a in "xy"])
     lack = cells.agg(*[F.avg((F.col(f"x{i}").isNull() | F.isnan(f"x{i}")).cast("double")).alias(str(i)) for i in ids]).first()
     kept = [i for i in ids if lack[str(i)] <= most_missing]
     each = F.array(*[F.struct(F.lit(i).cast("long").alias("tid"), F.col(f"x{i}").alias("x"), F.col(f"y{i}").alias("y")) for i in kept])
