@@ -1,10 +1,10 @@
-"""Queries over graphs: blobs that flow into one another, cliques of arms."""
+"""Queries over graphs of blobs, contacts and arms, over pixels and regions, and over the gaps of tracks."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .operators import episodes, graph, matching, merges
+from .operators import episodes, graph, headings, matching, merges, regions
 from .plans.views import DET_SQL, OBS_SQL, det, obs
 from .registry import query, r
 from .session import materialize
@@ -100,3 +100,65 @@ def c03(s, d):
     overlaps = met.join(a, "a_event_id").join(b.drop("episode"), "b_event_id").select("episode", "a", "b", F.round("iou", 6).alias("iou"))
     found = episodes.pieces(rows.select("episode", "start_frame", "tid", "frame", "filled"), overlaps)
     return found.select("episode", F.array_join("roster", ",").alias("roster"))
+
+
+# pixels, regions and placements
+
+#: A frame of 64 by 40 pixels for each hour of the day in each of some days; detections are its bright pixels, and those around them.
+_PIXEL_SQL = DET_SQL + ", px AS (SELECT DISTINCT frame, CAST((event_id * 7 + dx) % 64 AS INT) AS x, CAST((event_id * 13 + dy) % 40 AS INT) AS y FROM det, (VALUES (0, 0), (1, 0), (0, 1), (1, 1), (2, 1), (2, 0), (0, 2), (2, 2), (1, 2)) t(dx, dy) WHERE event_id % 3 = 0 AND NOT (dx = 1 AND dy = 1))"
+
+
+def _pixels(s, d):
+    e = F.col("event_id")
+    ring = s.createDataFrame([(0, 0), (1, 0), (0, 1), (2, 1), (2, 0), (0, 2), (2, 2), (1, 2)], "dx int, dy int")
+    rows = det(s, d).where("event_id % 3 = 0").select("frame", "event_id").join(F.broadcast(ring))
+    return rows.select("frame", ((e * 13 + F.col("dy")) % 40).cast("int").alias("y"), ((e * 7 + F.col("dx")) % 64).cast("int").alias("x"))
+
+
+def _frames(s, d):
+    return det(s, d).select("frame").distinct().select("frame", F.lit(64).alias("width"), F.lit(40).alias("height"))
+
+
+@query("x01_foreground_runs", f"WITH {_PIXEL_SQL}, i AS (SELECT *, x - row_number() OVER (PARTITION BY frame, y ORDER BY x) AS k FROM px) SELECT frame, y, min(x) AS x0, max(x) AS x1 FROM i GROUP BY frame, y, k")
+def x01_runs(s, d):
+    return regions.runs(_pixels(s, d)).select("frame", "y", "x0", "x1")
+
+
+@query("x01_blobs")
+def x01_blobs(s, d):
+    """Foreground with its holes filled, as connected blobs."""
+    whole = regions.filled(regions.runs(_pixels(s, d)), _frames(s, d))
+    return regions.blobs(regions.labelled(whole))
+
+
+@query("x03_outlier_rounds")
+def x03(s, d):
+    """Boxes of a frame's even detections are regions, the odd ones blobs."""
+    pairs = matching.overlapping_pairs(det(s, d))
+    rows = det(s, d)
+    area = (F.col("w") * F.col("h")).cast("long")
+    region = rows.where("event_id % 2 = 0").select(F.col("event_id").alias("region"), area.alias("pixels"), area.alias("area"))
+    blob = rows.where("event_id % 2 = 1").select(F.col("event_id").alias("blob"), (F.col("event_id") % 41 == 1).alias("outlier"))
+    a, b = F.col("a_event_id"), F.col("b_event_id")
+    mixed = pairs.where("a_event_id % 2 <> b_event_id % 2").select(F.when(a % 2 == 0, a).otherwise(b).alias("region"), F.when(a % 2 == 1, a).otherwise(b).alias("blob"), F.greatest(F.lit(1), (F.col("iou") * 500).cast("long")).alias("pixels"))
+    targets, _, _ = regions.outliers(materialize(region, "regions"), materialize(blob, "blobs"), materialize(mixed.withColumn("owned", (F.col("region") + F.col("blob")) % 5 == 0), "cover"), 200, 700)
+    return targets
+
+
+@query("x06_placements")
+def x06(s, d):
+    """Each detection is a scene's reference, over which three donors are placed."""
+    donor = F.explode(F.sequence(F.lit(0), F.lit(2)))
+    rows = det(s, d).select(F.col("event_id").alias("scene"), donor.alias("donor"), F.col("w").cast("int").alias("rw"), F.col("h").cast("int").alias("rh"))
+    whole = lambda k: F.lit(k)
+    rows = rows.select("scene", "donor", F.col("donor").alias("turn"), (F.col("rw") - 5 * F.col("donor")).alias("w"), (F.col("rh") + F.col("donor")).alias("h"), whole(100).alias("rx"), whole(80).alias("ry"), "rw", "rh", whole(300).alias("width"), whole(200).alias("height"))
+    return regions.placed(materialize(rows, "donors"), 12, 0.1, 0.5, "seed", 0.2)
+
+
+@query("w15_gap_gates")
+def w15_gates(s, d):
+    """What became of each gap, and why."""
+    e = F.col("event_id")
+    rows = obs(s, d).select("tid", "frame", (F.col("frame") * 3.0).alias("cx"), (F.col("tid") * 1.0).alias("cy"), "w", "h", ((F.col("tid") % 36) * 5.0 + (e % 9) * 10.0).alias("axis"), "heading", (e % 17 == 0).alias("risky"))
+    found = headings.gap_fills(rows, max_age=6, strong_iou=0.3, strong_turn=90.0)
+    return found.select("tid", "before", "after", "action", "branch", r("iou").alias("iou"), F.size("boxes").alias("frames"))

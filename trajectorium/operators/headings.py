@@ -5,9 +5,11 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..functions.kalman import Filter
 from ..session import spread
+from .matching import shared_areas
 
 
 def apart(a: float, b: float) -> float:
@@ -83,6 +85,125 @@ def predicted_gaps(tracks: DataFrame, max_age: int) -> DataFrame:
     return spread(tracks.select("tid", "frame", "cx", "cy"), "tid").groupBy("tid").applyInPandas(run, "tid bigint, frame bigint, cx double, cy double")
 
 
+def corners(box: np.ndarray) -> np.ndarray:
+    """The corners of cx, cy, w, h, heading in turn, the first edge along w."""
+    along = np.array([np.sin(np.radians(box[4])), -np.cos(np.radians(box[4]))])
+    side = np.array([-along[1], along[0]])
+    x, y = box[2] / 2 * along, box[3] / 2 * side
+    return box[:2] + np.array([-x - y, x - y, x + y, -x + y])
+
+
+def between(a: np.ndarray, b: np.ndarray, share: float) -> np.ndarray:
+    """The box that share of the way along the chords of the corners, b's numbered as near to a's as can be: its centre, mean edges and first edge's direction."""
+    p, q = corners(a), corners(b)
+    q = min((np.roll(q, -k, 0) for k in range(4)), key=lambda r: float(((r - p) ** 2).sum()))
+    c = (1 - share) * p + share * q
+    along, side = (c[1] - c[0] + c[2] - c[3]) / 2, (c[2] - c[1] + c[3] - c[0]) / 2
+    if np.hypot(*side) > np.hypot(*along):
+        along, side = side, -along
+    return np.array([*c.mean(0), np.hypot(*along), np.hypot(*side), np.degrees(np.arctan2(along[0], -along[1])) % 360.0])
+
+
+def on_long_axis(axis: float, heading: float, most: float) -> float | None:
+    """The direction along the axis next to the heading, if it is within `most` degrees."""
+    way = axis % 360.0 if apart(axis, heading) <= 90.0 else (axis + 180.0) % 360.0
+    return way if apart(way, heading) <= most else None
+
+
+#: Why a gap is left open, and how one is filled.
+TOO_LONG, RISKY, NO_OVERLAP, TURNED, OFF_AXIS, FILLED = "length", "risky", "overlap", "heading", "axis", "filled"
+GAP = "tid bigint, before bigint, after bigint, action string, branch string, iou double, turn double, boxes array<struct<frame:bigint,cx:double,cy:double,w:double,h:double,heading:double>>"
+
+
+def _gap(before: np.ndarray, after: np.ndarray, guess: np.ndarray, headings: tuple[float, float, float], n: int, frame: int, limits: dict) -> tuple[str, str | None, float, float, list]:
+    """action, branch, iou, turn and boxes of a gap of n frames after `frame` whose ends are sure. headings: before, after, predicted."""
+    iou = [float(x) for x in shared_parts(after[None], np.stack([guess, before]))[0]]
+    branch = next((b for b, x in zip(("prediction", "previous"), iou) if x >= limits["iou"]), None)
+    if branch is None:
+        return NO_OVERLAP, None, max(iou), float("nan"), []
+    a, b, toward = headings
+    way = toward if branch == "prediction" else a
+    turn = 0.0 if np.isnan(way) or np.isnan(b) else float(apart(way, b))
+    best = iou[0] if branch == "prediction" else iou[1]
+    if turn > limits["turn"]:
+        return TURNED, branch, best, turn, []
+    boxes = []
+    for k in range(1, n + 1):
+        share = k / (n + 1)
+        box = between(before, after, share)
+        if np.isnan(a) and np.isnan(b):
+            heading = float("nan")
+        elif np.isnan(a) or np.isnan(b):
+            heading = b if np.isnan(a) else a
+        else:
+            heading = (a + share * ((b - a + 180.0) % 360.0 - 180.0)) % 360.0
+        if not np.isnan(heading):
+            heading = on_long_axis(box[4], heading, limits["axis"])
+            if heading is None:
+                return OFF_AXIS, branch, best, turn, []
+        boxes.append((frame + k, *box[:4].tolist(), None if np.isnan(heading) else float(heading)))
+    return FILLED, branch, best, turn, boxes
+
+
+def shared_parts(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Share of the union of each of a with each of b (rows of cx, cy, w, h, heading)."""
+    i, j = (x.ravel() for x in np.meshgrid(range(len(a)), range(len(b)), indexing="ij"))
+    both = shared_areas(a[i], b[j])
+    union = a[i, 2] * a[i, 3] + b[j, 2] * b[j, 3] - both
+    return np.divide(both, union, out=np.zeros_like(both), where=union > 0).reshape(len(a), len(b))
+
+
+def gap_fills(tracks: DataFrame, max_age: int = 10, strong_iou: float = 0.5, strong_turn: float = 45.0, axis_error: float = 45.0) -> DataFrame:
+    """tid, before, after, action, branch, iou, turn, boxes for each gap of a track (GAP). tracks: tid, frame, cx, cy, w, h, axis (the direction of w), heading (null: not known) and risky.
+
+    Filters of constant velocity follow a track's place, shape and heading. A gap
+    is filled along the chord between its ends if it is shorter than max_age,
+    neither end is risky, the box behind it overlaps the predicted one or else the
+    one before it strongly enough, the heading there fits, and no heading on the way
+    is farther than axis_error from its box's axis; else action tells the first
+    of these that fails. A track is one group; rows without a box are left out.
+    """
+    limits = {"iou": strong_iou, "turn": strong_turn, "axis": axis_error}
+
+    def vector(a: float) -> np.ndarray:
+        return np.array([np.sin(np.radians(a)), -np.cos(np.radians(a))])
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("frame").drop_duplicates("frame")
+        frames, risky = pdf["frame"].to_numpy(), pdf["risky"].to_numpy(bool)
+        box, heading = pdf[["cx", "cy", "w", "h", "axis"]].to_numpy(float), pdf["heading"].to_numpy(float)
+
+        def direction(k: int) -> float:
+            """The side of the axis that the heading is on."""
+            return box[k, 4] if np.isnan(heading[k]) else on_long_axis(box[k, 4], heading[k], 90.0)
+
+        place, shape, turn = Filter(box[0, :2]), Filter(box[0, 2:4]), Filter(vector(direction(0)), noise=0.005, drift=(0.005, 0.005, 0.02, 0.02))
+        rows = []
+        for k in range(1, len(pdf)):
+            n = int(frames[k] - frames[k - 1]) - 1
+            for _ in range(n + 1):
+                at, size, way = place.predict(), shape.predict(), turn.predict()
+            if n:
+                if n >= max_age:
+                    found = (TOO_LONG, None, float("nan"), float("nan"), [])
+                elif risky[k] or risky[k - 1]:
+                    found = (RISKY, None, float("nan"), float("nan"), [])
+                else:
+                    toward = float(np.degrees(np.arctan2(way[0], -way[1])) % 360.0)
+                    guess = np.array([*at, *np.maximum(size, 1.0), box[k - 1, 4]])
+                    found = _gap(box[k - 1], box[k], guess, (heading[k - 1], heading[k], toward), n, int(frames[k - 1]), limits)
+                rows.append((int(pdf["tid"].iloc[0]), int(frames[k - 1]), int(frames[k]), *found))
+            place.update(box[k, :2])
+            shape.update(box[k, 2:4])
+            turn.update(vector(direction(k)))
+        return pd.DataFrame(rows, columns=["tid", "before", "after", "action", "branch", "iou", "turn", "boxes"])
+
+    good = " AND ".join(f"{c} IS NOT NULL AND NOT isnan({c})" for c in ("cx", "cy", "w", "h", "axis")) + " AND w > 0 AND h > 0 AND tid IS NOT NULL AND frame IS NOT NULL"
+    rows = tracks.select("tid", "frame", "cx", "cy", "w", "h", "axis", "heading", F.coalesce("risky", F.lit(False)).alias("risky")).where(good)
+    nan = lambda c: F.when(~F.isnan(c), F.col(c)).alias(c)
+    return spread(rows, "tid").groupBy("tid").applyInPandas(run, GAP).select("tid", "before", "after", "action", "branch", nan("iou"), nan("turn"), "boxes")
+
+
 def repaired(frames: np.ndarray, headings: np.ndarray, least: int, split: float = 60.0, boundary: float = 120.0) -> np.ndarray:
     """headings of one track, short runs turned round where that joins them to a long one.
 
