@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from .operators import episodes, graph, headings, matching, merges, regions
 from .plans.views import DET_SQL, OBS_SQL, det, obs
 from .registry import query, r
-from .session import materialize
+from .session import fresh_path, materialize
+from .streaming import live
 
 #: Frames that a video has at most, for links that stay within videos.
 _FRAMES = 100_000
@@ -162,3 +163,39 @@ def w15_gates(s, d):
     rows = obs(s, d).select("tid", "frame", (F.col("frame") * 3.0).alias("cx"), (F.col("tid") * 1.0).alias("cy"), "w", "h", ((F.col("tid") % 36) * 5.0 + (e % 9) * 10.0).alias("axis"), "heading", (e % 17 == 0).alias("risky"))
     found = headings.gap_fills(rows, max_age=6, strong_iou=0.3, strong_turn=90.0)
     return found.select("tid", "before", "after", "action", "branch", r("iou").alias("iou"), F.size("boxes").alias("frames"))
+
+
+# streams
+
+
+def _streamed(s, rows, make, out_schema):
+    """rows as a stream of four files, in order of frames, each a micro-batch; what it wrote, read back."""
+    at = fresh_path(s, "stream")
+    cuts = [x or 0 for x in rows.agg(*[F.percentile("frame", q).cast("long").alias(f"q{k}") for k, q in enumerate((0.25, 0.5, 0.75))]).first()]
+    low = [None, *cuts]
+    for a, b in zip(low, [*cuts, None]):
+        part = rows if a is None else rows.where(F.col("frame") > a)
+        (part if b is None else part.where(F.col("frame") <= b)).write.mode("append").parquet(f"{at}/in/{len(low)}-{a or 0}")
+    source = s.readStream.schema(rows.schema).option("recursiveFileLookup", True).parquet(f"{at}/in").withWatermark("ts", "1 second")
+    q = make(source).writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/checkpoint").outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return s.read.schema(out_schema).parquet(f"{at}/out")
+
+
+def _timed(s, d):
+    rows = det(s, d).select(F.expr("tid div 64").cast("string").alias("video"), "frame", F.col("event_id").alias("det"), "tid", "cx", "cy", "w", "h", "heading")
+    return rows.withColumn("ts", F.timestamp_seconds(1704067200 + F.col("frame") * 14400))
+
+
+@query("t09_overlap_edges", f"WITH {_LINK_SQL} SELECT b.video, b.frame, src AS parent, dst AS child, round(o, 4) AS overlap FROM e JOIN blob b ON b.node = src")
+def t09(s, d):
+    """Over a stream: of each video only the last frame is held."""
+    found = _streamed(s, _timed(s, d), live.links_stream, live.EDGES)
+    return found.select(F.col("video").cast("long").alias("video"), "frame", "parent", "child", r("overlap").alias("overlap"))
+
+
+@query("t06_static_stream")
+def t06(s, d):
+    """w19 over a stream: a row comes when a window takes it."""
+    o = obs(s, d).select(F.col("tid").cast("string").alias("key"), "frame", "cx", "cy", "w", "h", "heading").withColumn("ts", F.timestamp_seconds(1704067200 + F.col("frame") * 14400))
+    return _streamed(s, o, lambda x: live.static_stream(x, 6, 0.5, 0.0, 20.0), live.STILL).select(F.col("key").cast("long").alias("tid"), "frame")

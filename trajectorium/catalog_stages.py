@@ -255,11 +255,6 @@ def u02(s, d):
     return whole.withColumn("place", F.row_number().over(Window.partitionBy("frame").orderBy("event_id")))
 
 
-@query("t09_overlap_edges", f"WITH {DET_SQL} SELECT a.frame, a.event_id AS parent, b.event_id AS child, round((least(a.cx+a.w/2, b.cx+b.w/2) - greatest(a.cx-a.w/2, b.cx-b.w/2)) * (least(a.cy+a.h/2, b.cy+b.h/2) - greatest(a.cy-a.h/2, b.cy-b.h/2)), 4) AS overlap FROM det a JOIN det b ON b.frame = a.frame + 1 AND abs(a.cx-b.cx) < (a.w+b.w)/2 AND abs(a.cy-b.cy) < (a.h+b.h)/2")
-def t09(s, d):
-    return matching.temporal_edges(det(s, d)).select("frame", "parent", "child", r("overlap").alias("overlap"))
-
-
 @query("c05_synthetic_rows", f"WITH {OBS_SQL}, n AS (SELECT tid, frame, lead(frame) OVER (PARTITION BY tid ORDER BY frame) nxt FROM obs), g AS (SELECT tid, unnest(range(frame + 1, nxt)) frame FROM n WHERE nxt > frame + 1 AND nxt - frame - 1 < 3) SELECT tid, frame, event_id, false AS synthetic, CAST(NULL AS INT) AS history FROM obs UNION ALL SELECT tid, frame, NULL, true, 21 FROM g")
 def c05(s, d):
     o = obs(s, d).select("tid", "frame", "event_id")

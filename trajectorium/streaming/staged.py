@@ -197,6 +197,15 @@ class Track:
         if stage in (1, 3):
             self.mend_flip()
 
+    def release(self, frame: int | None) -> list[list]:
+        """Takes out the rows up to that frame (none: all)."""
+        gone = [frame is None or r[0] <= frame for r in self.rows]
+        out = [r for r, g in zip(self.rows, gone) if g]
+        kept = np.cumsum(~np.array(gone, bool)) - 1
+        self.rows = [r for r, g in zip(self.rows, gone) if not g]
+        self.reversed_ = [(int(kept[k]), a) for k, a in self.reversed_ if k < len(gone) and not gone[k]]
+        return out
+
     def erase(self, frame: int, why: str) -> None:
         """The row of that frame counts no more."""
         for k in range(len(self.rows) - 1, -1, -1):
@@ -325,26 +334,34 @@ def frames_of(pdf: pd.DataFrame, order: list[int]):
         yield f, p[VALUES].to_numpy(float), p["score"].to_numpy(float), p["det"].to_numpy()
 
 
-def one_pass(pdf: pd.DataFrame, order: list[int], count: int, limits: Limits) -> list[Track]:
-    """The tracks that begin with the best boxes of the first frame of the order."""
-    tracks: list[Track] = []
-    past: dict[int, list] = {}
-    for step, (frame, det, score, ids) in enumerate(frames_of(pdf, order)):
+class Population:
+    """A known number of animals, followed frame by frame from the best boxes of the first frame."""
+
+    def __init__(self, count: int, limits: Limits):
+        self.count, self.limits = count, limits
+        self.tracks: list[Track] = []
+        self.past: dict[int, list] = {}
+        self.steps = 0
+
+    def step(self, frame: int, det: np.ndarray, score: np.ndarray, ids: np.ndarray) -> None:
+        """det, score and ids by falling score; frames without detections are steps too."""
+        limits, tracks, past = self.limits, self.tracks, self.past
+        step, self.steps = self.steps, self.steps + 1
         if not tracks:
-            for k in range(min(count, len(det))):
+            for k in range(min(self.count, len(det))):
                 t = Track(k, det[k], limits, last=frame)
                 t.note(frame, int(ids[k]), 0, det[k], det[k][4] % 360.0)
                 t.steps.append(det[k])
                 tracks.append(t)
             past[frame] = [det, ids, set(range(len(tracks), len(det))), set(range(len(tracks)))]
-            continue
+            return
         for t in tracks:
             t.predict()
         free = set(range(len(det)))
         found = claims(tracks, det, free, limits, steps=limits.max_age)
         part_duplicates(found, det, score, limits, free)
         past[frame] = [det, ids, free, {j for j, _ in found.values()}]
-        past.pop(frame - int(np.sign(limits.dt)) * (4 * limits.max_age + 1), None)
+        past.pop(frame - int(np.sign(limits.dt)) * self.memory, None)
         for k, t in enumerate(tracks):
             if k in found:
                 j, stage = found[k]
@@ -357,7 +374,23 @@ def one_pass(pdf: pd.DataFrame, order: list[int], count: int, limits: Limits) ->
                 t.missed(step)
                 t.steps.append(t.guess)
             del t.steps[: -limits.max_age - 1]
-    return tracks
+
+    @property
+    def memory(self) -> int:
+        """Frames back in which rows may still be added, changed or taken back."""
+        return max(4 * self.limits.max_age, self.limits.turn_run) + 1
+
+    def release(self, frame: int | None) -> list[list]:
+        """The rows up to that frame (none: all), which are final and given once."""
+        return [r for t in self.tracks for r in t.release(frame)]
+
+
+def one_pass(pdf: pd.DataFrame, order: list[int], count: int, limits: Limits) -> list[Track]:
+    """The tracks that begin with the best boxes of the first frame of the order."""
+    p = Population(count, limits)
+    for frame in frames_of(pdf, order):
+        p.step(*frame)
+    return p.tracks
 
 
 def start_frame(pdf: pd.DataFrame, count: int, least: float = 0.5) -> int | None:
@@ -439,59 +472,97 @@ def edge_margin(body: float, speed: float, edge_hits: int, width: float, height:
 
 def track_variable(det: DataFrame, limits: Limits | None = None, width: float | None = None, height: float | None = None, margin: float = 0.0, edge_hits: int = 2, inner_hits: int = 10, inner_age: int | None = None) -> DataFrame:
     """The same for any number of animals. Without width and height a detection that nothing claims begins a track at once; with them it needs edge_hits consecutive frames next to the border and inner_hits elsewhere, and its rows begin with the first hit. A candidate ends with its first miss; a track ends max_age frames after its last box if that is next to the border, else inner_age."""
-    limits = limits or Limits()
-    bounded = width is not None and height is not None
-    if bounded and inner_hits <= edge_hits:
-        raise ValueError("births inside need more hits than those at the border")
-    inner = max(30, limits.max_age) if inner_age is None else inner_age
-    asleep = Limits(**{**vars(limits), "max_age": max(limits.max_age, inner)}) if bounded else limits
+    policy = Policy(limits or Limits(), width, height, margin, edge_hits, inner_hits, inner_age)
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        m = Changing(policy)
+        for frame in frames_of(pdf, list(range(int(pdf["frame"].min()), int(pdf["frame"].max()) + 1))):
+            m.step(*frame)
+        return _table(key[0], m.release(None))
 
-    def near_edge(box: np.ndarray) -> bool:
-        return min(box[0], width - box[0], box[1], height - box[1]) <= margin
+    return _grouped(det, run)
 
-    def needed(t: Track) -> int:
-        return 1 if not bounded else edge_hits if near_edge(t.born) else inner_hits
 
-    def age(t: Track) -> int:
-        return inner if bounded and not near_edge(t.seen) else limits.max_age
+@dataclass
+class Policy:
+    """When tracks begin and end, see track_variable()."""
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        open_: list[Track] = []
-        done: list[Track] = []
-        number = 0
-        for frame, det, score, ids in frames_of(pdf, list(range(int(pdf["frame"].min()), int(pdf["frame"].max()) + 1))):
-            done += [t for t in open_ if t.firm and t.miss >= age(t)]
-            open_ = [t for t in open_ if not (t.firm and t.miss >= age(t))]
-            for t in open_:
-                t.predict()
-            free = set(range(len(det)))
-            if len(det) and 0 < limits.nms_iou < 1:
-                iou = overlaps(det, det)
-                for j in range(len(det)):
-                    if any(iou[j, i] > limits.nms_iou for i in range(j) if i in free):
-                        free.discard(j)
-            for firm in (True, False):
-                group = [t for t in open_ if t.firm == firm]
-                found = claims(group, det, free, asleep)
-                for k, t in enumerate(group):
-                    if k in found:
-                        t.take(frame, int(ids[found[k][0]]), found[k][1], det[found[k][0]])
-                    else:
-                        t.miss += 1
-            open_ = [t for t in open_ if t.firm or not t.miss]
-            for j in sorted(free):
-                t = Track(-1, det[j], asleep, firm=False, last=frame)
-                t.born = det[j]
-                t.note(frame, int(ids[j]), 0, det[j], det[j][4] % 360.0)
-                open_.append(t)
-            for t in open_:
-                if not t.firm and t.hits >= needed(t):
-                    t.firm, t.tid, number = True, number, number + 1
-                    for r in t.rows:
-                        r[1] = t.tid
-        return _table(key[0], [r for t in [*done, *open_] if t.firm for r in t.rows])
+    limits: Limits
+    width: float | None = None
+    height: float | None = None
+    margin: float = 0.0
+    edge_hits: int = 2
+    inner_hits: int = 10
+    inner_age: int | None = None
 
-    return _grouped(det, run)
+    def __post_init__(self):
+        self.bounded = self.width is not None and self.height is not None
+        if self.bounded and self.inner_hits <= self.edge_hits:
+            raise ValueError("births inside need more hits than those at the border")
+        self.inner = max(30, self.limits.max_age) if self.inner_age is None else self.inner_age
+        self.asleep = Limits(**{**vars(self.limits), "max_age": max(self.limits.max_age, self.inner)}) if self.bounded else self.limits
+
+    def near_edge(self, box: np.ndarray) -> bool:
+        return min(box[0], self.width - box[0], box[1], self.height - box[1]) <= self.margin
+
+    def needed(self, t: Track) -> int:
+        return 1 if not self.bounded else self.edge_hits if self.near_edge(t.born) else self.inner_hits
+
+    def age(self, t: Track) -> int:
+        return self.inner if self.bounded and not self.near_edge(t.seen) else self.limits.max_age
+
+
+class Changing:
+    """Any number of animals, followed frame by frame."""
+
+    def __init__(self, policy: Policy):
+        self.policy = policy
+        self.open: list[Track] = []
+        self.done: list[Track] = []
+        self.number = 0
+
+    @property
+    def memory(self) -> int:
+        return max(self.policy.limits.turn_run, 3) + 1
+
+    def step(self, frame: int, det: np.ndarray, score: np.ndarray, ids: np.ndarray) -> None:
+        policy = self.policy
+        over = lambda t: t.firm and t.miss >= policy.age(t)
+        self.done += [t for t in self.open if over(t)]
+        self.open = [t for t in self.open if not over(t)]
+        for t in self.open:
+            t.predict()
+        free = set(range(len(det)))
+        if len(det) and 0 < policy.limits.nms_iou < 1:
+            iou = overlaps(det, det)
+            for j in range(len(det)):
+                if any(iou[j, i] > policy.limits.nms_iou for i in range(j) if i in free):
+                    free.discard(j)
+        for firm in (True, False):
+            group = [t for t in self.open if t.firm == firm]
+            found = claims(group, det, free, policy.asleep)
+            for k, t in enumerate(group):
+                if k in found:
+                    t.take(frame, int(ids[found[k][0]]), found[k][1], det[found[k][0]])
+                else:
+                    t.miss += 1
+        self.open = [t for t in self.open if t.firm or not t.miss]
+        for j in sorted(free):
+            t = Track(-1, det[j], policy.asleep, firm=False, last=frame)
+            t.born = det[j]
+            t.note(frame, int(ids[j]), 0, det[j], det[j][4] % 360.0)
+            self.open.append(t)
+        for t in self.open:
+            if not t.firm and t.hits >= policy.needed(t):
+                t.firm, t.tid, self.number = True, self.number, self.number + 1
+                for r in t.rows:
+                    r[1] = t.tid
+
+    def release(self, frame: int | None) -> list[list]:
+        """The final rows up to that frame (none: all) of animals that are sure, given once. Candidates keep theirs."""
+        out = [r for t in self.done for r in t.release(None)]
+        self.done = []
+        return out + [r for t in self.open if t.firm for r in t.release(frame)]
 
 
 def static_windows(tracks: DataFrame, key: list[str], window: int, presence: float = 0.98, iou: float = 0.8, displacement: float = 0.2) -> DataFrame:
