@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .operators import episodes, graph, headings, matching, merges, regions
-from .plans.views import DET_SQL, OBS_SQL, det, obs
+from .operators import classify, episodes, graph, headings, matching, merges, regions
+from .plans.views import DET_SQL, OBS_SQL, det, indexed, obs
 from .registry import query, r
 from .session import fresh_path, materialize
 from .streaming import live
@@ -199,3 +199,54 @@ def t06(s, d):
     """w19 over a stream: a row comes when a window takes it."""
     o = obs(s, d).select(F.col("tid").cast("string").alias("key"), "frame", "cx", "cy", "w", "h", "heading").withColumn("ts", F.timestamp_seconds(1704067200 + F.col("frame") * 14400))
     return _streamed(s, o, lambda x: live.static_stream(x, 6, 0.5, 0.0, 20.0), live.STILL).select(F.col("key").cast("long").alias("tid"), "frame")
+
+
+# the first classification of blobs
+
+_EXCLUSION = "CASE event_id % 19 WHEN 0 THEN 'manual' WHEN 1 THEN 'synthetic' WHEN 2 THEN 'result_multiple' WHEN 3 THEN 'other' END"
+_CLASS_SQL = DET_SQL + f", b AS (SELECT event_id, frame, det_index AS blob_index, tid, cx, cy, w, h, w * h AS area, greatest(w, h) AS major, greatest(w, h) / least(w, h) AS aspect, event_id % 11 = 0 AS po, event_id % 13 = 0 AS mo, event_id % 17 = 0 AS re, {_EXCLUSION} AS ex, event_id % 4 AS oc FROM det), c AS (SELECT *, concat_ws('|', CASE WHEN po THEN 'pickle_outlier' END, CASE WHEN mo THEN 'segmentation_fragment' END, CASE WHEN re THEN 'segmentation_source_restored' END, CASE WHEN ex IN ('manual', 'synthetic', 'result_multiple') THEN 'segmentation_' || ex WHEN oc > 1 THEN 'segmentation_result_multiple' END, CASE WHEN aspect < 2.5 THEN 'low_obb_aspect' END) AS why FROM b)"
+
+
+def _classified(s, d):
+    e = F.col("event_id")
+    exclusion = F.expr(_EXCLUSION)
+    rows = indexed(det(s, d)).select(
+        "event_id", "frame", F.col("det_index").alias("blob_index"), "tid", "cx", "cy", "w", "h", (F.col("cx") - F.col("w") / 2).alias("x"), (F.col("cy") - F.col("h") / 2).alias("y"), (F.col("w") * F.col("h")).alias("area"), (F.col("w") * F.col("h")).alias("bbox_area"),
+        F.greatest("w", "h").alias("major"), (F.greatest("w", "h") / F.least("w", "h")).alias("aspect"), (e % 11 == 0).alias("pickle_outlier"), (e % 13 == 0).alias("mask_only"), (e % 17 == 0).alias("restored"), exclusion.alias("exclusion"), (e % 4).alias("obb_count"),
+        F.when(e % 3 > 0, F.col("tid")).alias("traj_id"), F.when(e % 5 > 0, (e % 8).cast("int")).alias("class_id"), F.sin(F.radians("heading")).alias("dx"), (-F.cos(F.radians("heading"))).alias("dy"),
+    )
+    return classify.stage_one(rows, 2.5, guided=True)
+
+
+@query("p08_stage_one", f"WITH {_CLASS_SQL} SELECT event_id, why AS reasons, why <> '' AS erased FROM c")
+def p08_stage_one(s, d):
+    return _classified(s, d).select("event_id", F.array_join("reasons", "|").alias("reasons"), "erased")
+
+
+_NAMES = ", ".join(f"'{n}'" for n in classify.DIRECTIONS)
+_K04 = {
+    "rect_x": "round(cx - w/2, 3)", "rect_y": "round(cy - h/2, 3)", "rect_w": "w", "rect_h": "h", "center_x": "round(cx, 3)", "center_y": "cy", "bbox_area": "area", "pickle_outlier": "CAST(po AS INT)",
+    **{f"{c}_outlier": "0" for c in ("area", "bbox_area", "width", "height", "obb_major_axis", "jump")}, "obb_major_axis_len": "major", "obb_aspect_ratio": "round(aspect, 6)", "min_obb_aspect_ratio": "2.5::DOUBLE", "low_obb_aspect_outlier": "CAST(aspect < 2.5 AS INT)",
+    "individual_distance_px": "10.0::DOUBLE", "jump_threshold_px": "30.0::DOUBLE", "init_max_dist_px": "20.0::DOUBLE", "traj_max_dist_px": "40.0::DOUBLE", "direction_min_total_disp_threshold_px": "5.0::DOUBLE", "jump_distance_px": "CAST(NULL AS DOUBLE)",
+    **{f"erase_{k}": "CAST(why <> '' AS INT)" for k in ("stage1", "pre_direction", "final")}, **{f"erase_{k}_reasons": "why" for k in ("stage1", "pre_direction", "final")}, "direction_failure_reasons": "''",
+    "traj_id": "CASE WHEN event_id % 3 > 0 THEN tid ELSE -1 END", "class_id": "CASE WHEN event_id % 5 > 0 THEN CAST(event_id % 8 AS INT) ELSE -1 END", "direction_name": f"CASE WHEN event_id % 5 > 0 THEN [{_NAMES}][event_id % 8 + 1] ELSE '' END",
+    "direction_dx": "round(sin(radians((event_id*37) % 360)), 6)", "direction_dy": "round(-cos(radians((event_id*37) % 360)), 6)", "axis_length": "CAST(NULL AS DOUBLE)", "head_angle_deg": "CAST((event_id*37) % 360 AS DOUBLE)", "jump_lo": "0.0::DOUBLE", "jump_hi": "30.0::DOUBLE",
+    **{f"{k}_{e}": f"{f}({c}) FILTER (NOT po AND NOT mo) OVER ()" for k, c in {"area": "area", "bbox": "area", "w": "w", "h": "h", "obb_major_axis": "major"}.items() for e, f in (("lo", "min"), ("hi", "max"))},
+}
+
+
+@query("k04_classification_table", f"WITH {_CLASS_SQL} SELECT " + ", ".join(f"{_K04.get(c, c)} AS {c}" for c in classify.COLUMNS) + " FROM c")
+def k04_table(s, d):
+    """All columns, written as a table and read back."""
+    path = fresh_path(s, "classification")
+    found = classify.table(_classified(s, d), 10.0, {"jump": 3.0, "init": 2.0, "traj": 4.0, "disp": 0.5}, 2.5)
+    found.write.option("header", True).csv(path)
+    back = s.read.schema(found.schema).option("header", True).option("nullValue", None).option("emptyValue", "").csv(path)
+    digits = {c: 3 for c in ("rect_x", "rect_y", "center_x")} | {c: 6 for c in ("obb_aspect_ratio", "direction_dx", "direction_dy")} | {"head_angle_deg": 4}
+    text = [c for c, k in found.dtypes if k == "string"]
+    return back.select(*[F.round(c, digits[c]).alias(c) if c in digits else F.coalesce(c, F.lit("")).alias(c) if c in text else F.col(c) for c in classify.COLUMNS])
+
+
+@query("k05_summary", f"WITH {_CLASS_SQL} SELECT metric, value FROM (SELECT 'blobs' AS metric, count(*)::DOUBLE AS value FROM c UNION ALL SELECT 'erased', count(*) FILTER (why <> '')::DOUBLE FROM c UNION ALL SELECT n, count(*) FILTER (list_contains(string_split(why, '|'), n))::DOUBLE FROM c, (VALUES ('pickle_outlier'), ('segmentation_fragment'), ('segmentation_source_restored'), ('segmentation_manual'), ('segmentation_synthetic'), ('segmentation_result_multiple'), ('low_obb_aspect')) t(n) GROUP BY n" + "".join(f" UNION ALL SELECT '{k}_{e}', {f}({c})::DOUBLE FROM c WHERE NOT po AND NOT mo" for k, c in {"area": "area", "bbox": "area", "w": "w", "h": "h", "obb_major_axis": "major"}.items() for e, f in (("lo", "min"), ("hi", "max"))) + ") z")
+def k05(s, d):
+    return classify.summary(_classified(s, d))
