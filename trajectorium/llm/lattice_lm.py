@@ -18,14 +18,14 @@ count less an absolute discount, and what the discounts leave is the weight of
 the pieces, so all texts together have probability 1.
 
 Counts are gathered over all training documents as a table of words that grows
-with the corpus. Words of the FREQUENT highest counts are sent to the tasks (a
-bounded table); all others occur at most N / FREQUENT times each, so the join
+with the corpus. Words of the highest counts, FREQUENT at most, are sent to the tasks (a
+bounded table); all others occur about N / FREQUENT times at most, so the join
 with their table has no hot key.
 
 Null and empty texts and those without a word are an end alone; texts and words of
 any length are scored whole, in windows of WINDOW places. A null doc_id isn't held
-out, nor learned from. Equal counts at the frequent table's edge change where a
-word is looked up, not what it adds. Repeated rows count and are scored each, an
+out, nor learned from. Words of equal counts are looked up at one place, and which
+it is doesn't change what they add. Repeated rows count and are scored each, an
 empty table gives an empty one, other columns are left alone whatever their names.
 """
 
@@ -368,6 +368,19 @@ def _first_sums(docs: DataFrame, frequent: bytes, scores: Scores) -> DataFrame:
     return docs.select("doc_id", "held_out", "text").mapInArrow(run, f"doc_id {kind}, held_out boolean, n_tokens bigint, rest array<binary>, times array<bigint>, n_known bigint, {doubles}")
 
 
+def _frequent(table: DataFrame, most: int) -> DataFrame:
+    """The words of the highest counts, `most` at most: those above an edge that a histogram of counts (64 cells to a doubling) gives. Any other word has less than about N / most occurrences."""
+    level = F.floor(F.log2("c") * 64)
+    cells = table.where("c > 0").groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect()
+    edge, n = None, 0
+    for r in cells:
+        n += r["count"]
+        if n > most:
+            break
+        edge = r["level"]
+    return table.where((F.col("c") > 0) & (level >= edge)) if edge is not None else table.limit(0)
+
+
 def score(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", lang_col: str | None = "lang", rounds: int = ROUNDS, frequent: int = FREQUENT) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: log10 probabilities of each text. lang_col is read of training documents only."""
     ship(docs.sparkSession)
@@ -379,7 +392,7 @@ def score(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
     scores = Scores(int(own_words.sum()), words.where("c > 0").count(), discount(words), ends, own_words, own_distinct)
     table = materialize(_score_words(words, path, counts, scores), "scored")
     discard(words)
-    top = table.orderBy(F.desc("c"), "key").limit(frequent).toPandas()
+    top = _frequent(table, frequent).toPandas()
     models = [f"m{x}" for x in range(len(ends))]
     held = pickle.dumps(([bytes(k) for k in top["key"]], np.stack([top["c"] > 0, *(top[x] for x in ("base", *models))]).astype(np.float64)))
     sums = materialize(_first_sums(rows, held, scores).withColumn("row", F.monotonically_increasing_id()), "sums")
