@@ -277,7 +277,7 @@ def f30(s, d):
 # splits and trackers
 
 
-@query("r01_group_split")
+@query("r01_group_split", f"WITH {DET_SQL} SELECT event_id, frame, CASE WHEN ('0x' || substr(sha256('seed/' || frame), 1, 13))::BIGINT / 4503599627370496.0 < 0.2 THEN 'val' ELSE 'train' END AS split FROM det")
 def r01(s, d):
     return sampling.split_by_group(det(s, d).select("frame", "event_id"), "frame", 0.2, "seed")
 

@@ -299,7 +299,10 @@ def r04(s, d):
     return per.agg(F.count_if(F.col("k") > 1).alias("shared_frames"), F.sum("n").alias("n"))
 
 
-@query("r06_rotations")
+_UNIT = "('0x' || substr(sha256({}), 1, 13))::BIGINT / 4503599627370496.0"
+
+
+@query("r06_rotations", f"WITH {DET_SQL} SELECT event_id, CASE WHEN {_UNIT.format("'seed/' || event_id")} < 0.5 THEN [90, 180, 270][1 + CAST(floor({_UNIT.format("'seed/which/' || event_id")} * 3) AS INT)] ELSE 0 END AS degrees FROM det")
 def r06(s, d):
     return det(s, d).select("event_id", sampling.rotation("seed", [0, 90, 180, 270], 0.5, F.col("event_id")).alias("degrees"))
 
