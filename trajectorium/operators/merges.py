@@ -88,6 +88,14 @@ def dominant(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return ranked.select("src", "dst", "overlap", best("f").alias("first_f"), best("g").alias("first_g"), "rank_f", "rank_g", "share_f", "share_g")
 
 
+def continued(nodes: DataFrame, main: DataFrame) -> DataFrame:
+    """node, chain for the nodes of chains of two or more: over dominant links whose ends have no other, neither at the image's edge nor unknown. main: src, dst."""
+    hard = nodes.select("node", (F.col("edge") | F.col("unknown")).alias("hard"))
+    alone = main.select("src", "dst", F.count("*").over(Window.partitionBy("src")).alias("_o"), F.count("*").over(Window.partitionBy("dst")).alias("_i")).where("_o = 1 AND _i = 1")
+    ones = _ends(alone.select("src", "dst"), hard, "hard").where("NOT hard_s AND NOT hard_d")
+    return chains(ones.select(F.col("src").alias("a"), F.col("dst").alias("b")))
+
+
 def transitions(nodes: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Two tables. Nodes: node, chain, cc, pc (transitions that they are child and parent of), second_f, second_g, heirs, forebears (substantial neighbours), continues. Links: src, dst, overlap, comp, kind, for the dominant ones.
 
@@ -100,9 +108,7 @@ def transitions(nodes: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFram
     sizes = comp.groupBy("comp").agg(F.countDistinct("src").alias("p"), F.countDistinct("dst").alias("q"))
     kind = F.when(F.expr("p = 1 AND q = 1"), "reset").when(F.expr("p > 1 AND q = 1"), "merge").when(F.expr("p = 1"), "split").otherwise("complex")
     comp = materialize(comp.join(sizes.select("comp", kind.alias("kind")), "comp"), "transitions")
-    hard = nodes.select("node", (F.col("edge") | F.col("unknown")).alias("hard"))
-    ones = _ends(comp.where("kind = 'reset'").select("src", "dst"), hard, "hard").where("NOT hard_s AND NOT hard_d")
-    named = chains(ones.select(F.col("src").alias("a"), F.col("dst").alias("b")))
+    named = continued(nodes, main)
     sub = _ends(d.select("src", "dst"), nodes, "substantial").where("substantial_s AND substantial_d")
     by = lambda t, key, *aggs: t.groupBy(F.col(key).alias("node")).agg(*aggs)
     out = nodes.select("node")
@@ -136,14 +142,15 @@ def graph(nodes: DataFrame, links: DataFrame, breaks: DataFrame | None = None, t
     scale = materialize(scales(usable, links, tau), "scales")
     n = usable.join(scale.select("video", "s_low", "l_ref", "tau", "exit_radius"), "video").withColumn("clean", _clean()).withColumn("substantial", F.col("area") >= SUBSTANTIAL * F.col("s_low"))
     n = materialize(n.where((F.col("area") > 0) & (F.col("area") >= TINY * F.col("s_low"))), "active")
-    topology, comp = transitions(n, links)
+    main = materialize(dominant(n, links).where("first_f OR first_g").select("src", "dst"), "dominant")
+    chained = n.join(continued(n, main), "node", "left").withColumn("chain", F.coalesce("chain", "node"))
     # parts that are neither tiny nor substantial and don't last are satellites: neither types an event nor resets a count
     sizes = Window.partitionBy("chain")
-    brief = n.join(topology.select("node", "chain"), "node").withColumn("_n", F.count("*").over(sizes)).where(~F.col("substantial") & (F.col("_n") < CONFIRM)).select("node")
+    brief = chained.withColumn("_n", F.count("*").over(sizes)).where(~F.col("substantial") & (F.col("_n") < CONFIRM)).select("node")
     brief = materialize(brief, "satellites")
     if not brief.isEmpty():
         n = materialize(n.join(brief, "node", "left_anti"), "active")
-        topology, comp = transitions(n, links)
+    topology, comp = transitions(n, links)
     place = F.row_number().over(Window.partitionBy("chain").orderBy("frame")) - 1
     n = materialize(n.join(topology, "node").withColumn("place", place), "graph")
     span = nodes.groupBy("video").agg(F.min("frame").alias("lo"), F.max("frame").alias("hi"))
