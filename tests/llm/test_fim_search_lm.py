@@ -87,7 +87,7 @@ def plain_search(rows, items, top):
     return out
 
 
-@pytest.mark.parametrize("block", [lexical_search.BLOCK_TERMS, 60])
+@pytest.mark.parametrize("block", [lexical_search.BLOCK_TERMS, 300])
 def test_search_equals_all_scores(spark, docs, block, monkeypatch):
     monkeypatch.setattr(lexical_search, "BLOCK_TERMS", block)
     items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()][:20]
