@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .functions import angles, boxes, polygons
-from .operators import headings, identity, matching, reshape, sampling, sequences, statistics
+from .operators import crowds, headings, identity, matching, reshape, sampling, sequences, statistics
 from .plans.views import DET_SQL, FRAG_SQL, OBS_SQL, STRUNG_SQL, det, frag, indexed, obs, strung
 from .registry import PAIRS_SQL, query, r, r_half
 from .session import ship
@@ -167,13 +167,7 @@ def j08(s, d):
 
 @query("j17_radius_best", f"WITH {DET_SQL}, p AS (SELECT a.event_id, b.event_id o, round(sqrt((a.cx-b.cx)*(a.cx-b.cx) + (a.cy-b.cy)*(a.cy-b.cy))/12 + 1 - least(a.w/b.w, b.w/a.w), 6) c FROM det a JOIN det b ON b.frame = a.frame AND a.event_id <> b.event_id AND (a.cx-b.cx)*(a.cx-b.cx) + (a.cy-b.cy)*(a.cy-b.cy) <= 144 WHERE least(a.w/b.w, b.w/a.w) >= 0.6), z AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY c, o) rn FROM p) SELECT event_id, o AS other, c AS cost FROM z WHERE rn = 1")
 def j17(s, d):
-    rows = det(s, d).select("frame", "event_id", "cx", "cy", "w")
-    square = F.expr("(a_cx-b_cx)*(a_cx-b_cx) + (a_cy-b_cy)*(a_cy-b_cy)")
-    ratio = F.expr("least(a_w/b_w, b_w/a_w)")
-    pairs = matching.near_pairs(rows, rows, 12.0).where((F.col("a_event_id") != F.col("b_event_id")) & (square <= 144) & (ratio >= 0.6))
-    cost = pairs.select(F.col("a_event_id").alias("event_id"), F.col("b_event_id").alias("other"), F.round(F.sqrt(square) / 12 + 1 - ratio, 6).alias("cost"))
-    best = cost.groupBy("event_id").agg(F.min(F.struct("cost", "other")).alias("b"))
-    return best.select("event_id", "b.other", "b.cost")
+    return matching.radius_best(det(s, d), 12.0, 0.6)
 
 
 @query("j18_chebyshev_evidence", f"WITH {DET_SQL} SELECT a.event_id, bit_or(CAST(1 << CAST(b.tid % 4 AS INT) AS BIGINT)) evidence FROM det a JOIN det b ON a.frame = b.frame AND a.tid % 2 = 0 AND b.tid % 2 = 1 AND abs(a.cx - b.cx) <= 9 AND abs(a.cy - b.cy) <= 9 GROUP BY 1")
@@ -196,7 +190,7 @@ def j23(s, d):
 @query("j24_contact_groups", f"{PAIRS_SQL.replace('WITH ', 'WITH RECURSIVE ', 1)}, e AS (SELECT a_event_id x, b_event_id y FROM p UNION SELECT b_event_id, a_event_id FROM p), c AS (SELECT x, x AS y FROM e UNION SELECT c.x, e.y FROM c JOIN e ON c.y = e.x) SELECT det.frame, c.x AS event_id, min(c.y) component_id FROM c JOIN det ON det.event_id = c.x GROUP BY 1, 2")
 def j24(s, d):
     ship(s)
-    return identity.contact_groups(matching.overlapping_pairs(det(s, d)))
+    return identity.contact_groups(crowds.spanning(det(s, d)))
 
 
 _MEANS = "m AS (SELECT obj_id, frag_id % 2 half, list(v ORDER BY i) c FROM (SELECT obj_id, frag_id % 2 frag_id, i, avg(CAST(centroid[CAST(i AS INT)] AS DOUBLE)) v FROM frag, range(1, 65) t(i) GROUP BY 1, 2, 3) z GROUP BY 1, 2)"
@@ -255,10 +249,7 @@ def a12(s, d):
 
 @query("a15_closest_contact", PAIRS_SQL + ", q AS (SELECT frame, a_event_id e, round(inter/(total-inter), 4) iou FROM p UNION ALL SELECT frame, b_event_id, round(inter/(total-inter), 4) FROM p), z AS (SELECT tid, q.frame, iou, row_number() OVER (PARTITION BY tid ORDER BY iou DESC, q.frame) rn FROM q JOIN det ON det.event_id = q.e) SELECT tid, frame, iou FROM z WHERE rn = 1")
 def a15(s, d):
-    rows = det(s, d)
-    p = matching.overlapping_pairs(rows).withColumn("iou", r("iou"))
-    both = p.select("iou", F.explode(F.array("a_event_id", "b_event_id")).alias("event_id"))
-    best = both.join(rows.select("event_id", "tid", "frame"), "event_id").groupBy("tid").agg(F.max(F.struct("iou", -F.col("frame"))).alias("b"))
+    best = matching.top_matches(det(s, d), digits=4, carry="tid bigint").groupBy("tid").agg(F.max(F.struct("iou", -F.col("frame"))).alias("b"))
     return best.select("tid", (-F.col("b")["col2"]).alias("frame"), "b.iou")
 
 
@@ -325,15 +316,8 @@ def w12(s, d):
 
 @query("w16_overlap_gap_partner", f"WITH {OBS_SQL}, p AS (SELECT a.frame, a.tid, b.tid o, (least(a.cx+a.w/2, b.cx+b.w/2) - greatest(a.cx-a.w/2, b.cx-b.w/2)) * (least(a.cy+a.h/2, b.cy+b.h/2) - greatest(a.cy-a.h/2, b.cy-b.h/2)) i, a.w*a.h + b.w*b.h t FROM obs a JOIN obs b ON a.frame = b.frame AND a.tid <> b.tid AND abs(a.cx-b.cx) < (a.w+b.w)/2 AND abs(a.cy-b.cy) < (a.h+b.h)/2), g AS (SELECT * FROM (SELECT tid, frame AS bf, lead(frame) OVER (PARTITION BY tid ORDER BY frame) af FROM obs) z WHERE af - bf BETWEEN 2 AND 10), c AS (SELECT g.tid, bf, af, x.o, round(x.i/(x.t-x.i) + y.i/(y.t-y.i), 6) s, greatest(x.i/(x.t-x.i), y.i/(y.t-y.i)) m FROM g JOIN p x ON x.tid = g.tid AND x.frame = bf JOIN p y ON y.tid = g.tid AND y.frame = af AND y.o = x.o), z AS (SELECT *, row_number() OVER (PARTITION BY tid, bf ORDER BY s DESC, o) rn FROM c WHERE m >= 0.05) SELECT tid, bf AS before, af AS after, o AS partner, s AS score FROM z WHERE rn = 1")
 def w16(s, d):
-    o = obs(s, d)
-    p = matching.overlapping_pairs(o)
-    name = lambda side: o.select(F.col("event_id").alias(f"{side}_event_id"), F.col("tid").alias(side))
-    one = p.join(name("a"), "a_event_id").join(name("b"), "b_event_id").select("frame", "a", "b", "iou")
-    both = one.select("frame", F.explode(F.array(F.struct(F.col("a").alias("tid"), F.col("b").alias("o")), F.struct(F.col("b").alias("tid"), F.col("a").alias("o")))).alias("x"), "iou").select("frame", "x.*", "iou")
-    at = lambda c: both.select("tid", "o", F.col("frame").alias(c), F.col("iou").alias(f"{c}_iou"))
-    found = sequences.gaps(o, ["tid"], 10).join(at("before"), ["tid", "before"]).join(at("after"), ["tid", "o", "after"]).where("greatest(before_iou, after_iou) >= 0.05")
-    best = found.withColumn("score", F.round(F.expr("before_iou + after_iou"), 6)).groupBy("tid", "before", "after").agg(F.max(F.struct("score", (-F.col("o")).alias("n"))).alias("b"))
-    return best.select("tid", "before", "after", (-F.col("b.n")).alias("partner"), "b.score")
+    best = matching.gap_partners(obs(s, d), sequences.gaps(obs(s, d), ["tid"], 10), 10, 0.05)
+    return best.select("tid", "before", "after", "partner", "score")
 
 
 @query("w18_heading_signs")
@@ -372,9 +356,7 @@ def o01(s, d):
 
 @query("o05_top_partners", PAIRS_SQL + ", q AS (SELECT a_event_id event_id, b_event_id other, round(inter/(total-inter), 6) iou FROM p UNION ALL SELECT b_event_id, a_event_id, round(inter/(total-inter), 6) FROM p), z AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY iou DESC, other) AS place FROM q) SELECT event_id, other, place FROM z WHERE place <= 2")
 def o05(s, d):
-    p = matching.overlapping_pairs(det(s, d)).withColumn("iou", F.round("iou", 6))
-    both = p.select(F.col("a_event_id").alias("event_id"), F.col("b_event_id").alias("other"), "iou").unionByName(p.select(F.col("b_event_id").alias("event_id"), F.col("a_event_id").alias("other"), "iou"))
-    return both.withColumn("place", F.row_number().over(Window.partitionBy("event_id").orderBy(F.desc("iou"), "other")).cast("long")).where("place <= 2").select("event_id", "other", "place")
+    return matching.top_matches(det(s, d), 2, digits=6).select("event_id", "other", "place")
 
 
 @query("o07_natural_key", f"WITH {DET_SQL} SELECT event_id, array_to_string(list_transform(regexp_extract_all('Cam' || tid || '_' || frame, '[0-9]+|[^0-9]+'), lambda x: CASE WHEN regexp_matches(x, '^[0-9]') THEN lpad(x, 20, '0') ELSE lower(x) END), '') AS sort_key FROM det")
