@@ -114,10 +114,11 @@ def w19(s, d):
 
 def _contacts(s, d):
     """Contacts between ids, of which sixteen are one video."""
-    p = matching.overlapping_pairs(det(s, d)).select("frame", "a_event_id", "b_event_id")
-    ids = det(s, d).select("event_id", "tid")
-    p = p.join(ids.toDF("a_event_id", "a"), "a_event_id").join(ids.toDF("b_event_id", "b"), "b_event_id")
-    return p.where("a div 16 = b div 16 AND a <> b").select(F.expr("string(a div 16)").alias("video"), "frame", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    rows = det(s, d).withColumn("frame", F.expr("tid div 16 * 100000 + frame"))  # boxes meet within a video only
+    p = matching.overlapping_pairs(rows).select("a_event_id", "b_event_id")
+    ids = det(s, d).select("event_id", "tid", "frame")
+    p = p.join(ids.toDF("a_event_id", "a", "frame"), "a_event_id").join(ids.select("event_id", "tid").toDF("b_event_id", "b"), "b_event_id")
+    return p.where("a <> b").select(F.expr("string(a div 16)").alias("video"), "frame", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def _episodes(s, d):
