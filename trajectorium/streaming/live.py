@@ -159,9 +159,10 @@ class Links:
         if self.last == frame - 1 and len(ids) and len(self.ids):
             a, b = self.box[:, None], box[None]
             side = lambda c: np.minimum(a[..., c] + a[..., c + 2] / 2, b[..., c] + b[..., c + 2] / 2) - np.maximum(a[..., c] - a[..., c + 2] / 2, b[..., c] - b[..., c + 2] / 2)
-            x, y = side(0), side(1)
-            for i, j in zip(*np.nonzero((x > 0) & (y > 0))):
-                self.out.append([frame - 1, int(self.ids[i]), int(ids[j]), float(x[i, j] * y[i, j])])
+            meet = lambda c: np.abs(a[..., c] - b[..., c]) < (a[..., c + 2] + b[..., c + 2]) / 2  # noqa: E731  (as temporal_edges() asks: by their sides boxes that only touch could seem to meet)
+            shared = np.maximum(side(0), 0.0) * np.maximum(side(1), 0.0)
+            for i, j in zip(*np.nonzero(meet(0) & meet(1))):
+                self.out.append([frame - 1, int(self.ids[i]), int(ids[j]), float(shared[i, j])])
         self.last, self.ids, self.box = frame, ids, box
 
     def final(self) -> list:
