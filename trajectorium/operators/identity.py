@@ -34,14 +34,21 @@ def contact_groups(pairs: DataFrame) -> DataFrame:
     return spread(pairs.select("frame", "a_event_id", "b_event_id"), "frame").groupBy("frame").applyInPandas(run, "frame bigint, event_id bigint, component_id bigint")
 
 
+#: Points of a block of silhouette() at most.
+MOST_BLOCK = 16384
+
+
 def silhouette(points: DataFrame, ident: str, label: str, vector: str, block: int = 2048) -> DataFrame:
     """ident, s of every point by Euclidean distance: (b - a) / max(a, b), 0 for the only one of its label. null if there is one label only.
 
-    Points are dealt by their id into blocks of about `block` points; each pair
+    Points are dealt by their id into blocks of about `block` points, of more if they are many, up to MOST_BLOCK; each pair
     of blocks is one group, worked through in strips, and leaves one row per
     point and label, so memory is bounded however many points there are.
     """
-    blocks = max(1, -(-points.count() // block))
+    many = points.count()
+    # each point goes to every block once, so blocks grow with the points while there are enough groups for all tasks
+    block = max(block, min(MOST_BLOCK, many // 16))
+    blocks = max(1, -(-many // block))
     p = points.select(F.col(ident).alias("i"), F.col(label).alias("l"), F.col(vector).alias("v"), F.pmod(F.xxhash64(ident), F.lit(blocks)).alias("b"))
     side = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     left = p.select("*", side.alias("o"), F.lit(0).alias("s")).withColumnRenamed("b", "x").withColumnRenamed("o", "y")
