@@ -912,3 +912,22 @@ def test_style_tree_keeps_copied_articles(spark):
     rows += [(2000 + k, "http://b.example/x", page % (word(), "<p>The same article</p>"), "The same article") for k in range(62)]
     df = spark.createDataFrame([r[:3] for r in rows], "page_id bigint, url string, html string")
     assert {r["page_id"]: r["text"] for r in style_tree.extract(df).collect()} == {r[0]: r[3] for r in rows}
+
+
+@pytest.mark.parametrize("crowd", [4096, 8])
+def test_buckets_hand_on_a_forest_of_links(spark, crowd):
+    """Buckets with sets compare them in their tasks, a pair in its first bucket only, and give fewer links than rows; before, all plausible pairs were handed on."""
+    import numpy as np
+
+    rng = random.Random(23)
+    base = [[rng.getrandbits(64) for _ in range(rng.choice([30, 300]))] for _ in range(3)]
+    sets = [{x if rng.random() < (0.97 if k < 120 else 0.86) else rng.getrandbits(64) for x in base[k % 3]} for k in range(180)]
+    signed = jaccard_dedup.signatures(sets)
+    keys = [[100 + k % 3, 200 + k % 3] for k in range(180)]
+    rows = [(key, k, len(s), k, bytearray(signed[k].tobytes()), keys[k], bytearray(np.sort(np.array(list(s), np.uint64)).tobytes())) for k, s in enumerate(sets) for key in keys[k]]
+    df = spark.createDataFrame(rows, "key bigint, rep bigint, n bigint, part bigint, signature binary, keys array<bigint>, hashes binary").repartition(3)
+    found = [(r["a"], r["b"]) for r in jaccard_dedup.close(df, crowd).collect()]
+    pairs = [(a, b) for a in range(180) for b in range(a) if a % 3 == b % 3 and jaccard_dedup.similar(sets[a], sets[b])]
+    assert all(jaccard_dedup.similar(sets[a], sets[b]) for a, b in found)
+    assert reached(180, found) == reached(180, pairs)
+    assert len(pairs) > 1500 and (crowd == 8 or len(found) < 180)

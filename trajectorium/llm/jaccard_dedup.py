@@ -9,14 +9,18 @@ is right. A pair of similarity 0.8 has no such band with probability
 of 64 bits don't serve here: at 0.8 they differ in 10 bits on average and at
 times in 20.
 
-First each text meets one smaller row, that with which it shares most bands of
-those that are the smallest of a bucket. So a group of copies costs as many
-comparisons as it has texts. Then those pairs of a bucket meet that are not in
-one component yet. Texts that share a passage, and so buckets, but no more are
-many, so these pairs are first compared by signatures of BINS bytes, in the task
-that has the bucket: a pair goes on if its signatures agree in as many places as a
-pair of SIMILARITY would but for a chance of a few in a million. A bucket of
-over CROWD rows is dealt into parts, each pair of parts for itself.
+First each text meets one smaller row: the smallest that its SimHash fingerprint
+reaches by pigeonhole blocks (`simhash`, whose links are checked here), or else
+that with which it shares most bands of those that are the smallest of a bucket.
+So a group of copies costs as many comparisons as it has texts. Then those pairs
+of a bucket meet that are not in one component yet, each in the first bucket that
+it shares, inside the task that has it. Texts that share a passage, and so
+buckets, but no more are many, so these pairs are first compared by signatures of
+BINS bytes: a pair goes on if its signatures agree in as many places as a pair of
+SIMILARITY would but for a chance of a few in a million. What is left is counted
+from both sets there, and the task hands on a forest of its links, so that tables
+grow with the texts. A bucket of over CROWD rows or many hashes is dealt into
+parts, each pair of parts for itself.
 
 Null and empty texts, and texts without a word, have the empty set. Texts of
 fewer words than a shingle are one shingle. Very long texts are compared whole.
@@ -35,6 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import discard, materialize, ship
+from . import simhash
 from .common import strings, units
 from .components import components
 
@@ -50,6 +55,8 @@ BINS = 512
 SPREAD = 4.5
 #: Rows of a bucket that are compared in one task.
 CROWD = 4096
+#: Hashes of such rows.
+MOST = 1 << 21
 _draw = np.random.default_rng(SEED)
 _XOR = _draw.integers(0, 1 << 64, ROWS * BANDS, np.uint64)
 _ODD = _draw.integers(0, 1 << 64, ROWS * BANDS, np.uint64) | np.uint64(1)
@@ -174,13 +181,39 @@ def compared(rep: np.ndarray, n: np.ndarray, part: np.ndarray, own: np.ndarray,
     return np.concatenate([np.zeros(0, np.int64), *a]), np.concatenate([np.zeros(0, np.int64), *b])
 
 
+def linked(rep: np.ndarray, n: np.ndarray, part: np.ndarray, own: np.ndarray, across: np.ndarray, group: np.ndarray, signature: np.ndarray, key: np.ndarray, keys: np.ndarray, hashes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """A forest of the links between rows of one group, of different parts, that share no bucket before this one. The sets are compared; otherwise as compared()."""
+    a, b = [], []
+    starts = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
+    for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(group)]):
+        at = np.unique(part[s:e], return_inverse=True)[1]
+        for x in range(s, e - 1):
+            y = np.arange(x + 1, e)
+            y = y[(at[y - s] != at[x - s]) & (SIMILARITY[1] * np.minimum(n[x], n[y]) >= SIMILARITY[0] * np.maximum(n[x], n[y])) & (~across[x] | (own[x] != own[y]))]
+            if len(y):
+                y = y[keys[x][(keys[x] == keys[y]).argmax(1)] == key[x]]
+            for k in range(0, len(y), 1024):
+                some = y[k : k + 1024]
+                for z in some[plausible(signature[np.full(len(some), x)], signature[some], n[x] + n[some])].tolist():
+                    if at[z - s] == at[x - s]:
+                        continue
+                    both = len(np.intersect1d(hashes[x], hashes[z], assume_unique=True))
+                    if SIMILARITY[1] * both >= SIMILARITY[0] * (n[x] + n[z] - both):
+                        a.append(min(rep[x], rep[z]))
+                        b.append(max(rep[x], rep[z]))
+                        at[at == at[z - s]] = at[x - s]
+    return np.array(a, np.int64), np.array(b, np.int64)
+
+
 def close(rest: DataFrame, crowd: int = CROWD) -> DataFrame:
-    """a, b: the plausible pairs of each bucket's rows of different parts. rest: key, rep, n, part, signature."""
-    crowds = materialize(rest.groupBy("key").agg(F.count("*").alias("many")).where(F.col("many") > crowd), "crowds")
-    pieces = F.ceil(F.coalesce("many", F.lit(0)) * 2 / crowd).cast("int")
-    dealt = rest.join(crowds, "key", "left").withColumn("pieces", F.when(F.col("many").isNull(), 1).otherwise(pieces)).withColumn("own", F.pmod(F.xxhash64("rep"), "pieces").cast("int"))
+    """a, b: the plausible pairs of each bucket's rows of different parts. rest: key, rep, n, part, signature; with keys (all of the row's) and hashes (its set's, as bytes), a forest of the links between them instead."""
+    exact = [c for c in ("keys", "hashes") if c in rest.columns]
+    share = F.greatest(F.count("*") / crowd, F.sum("n") / MOST if exact else F.lit(0.0))
+    crowds = materialize(rest.groupBy("key").agg(share.alias("share")).where(F.col("share") > 1), "crowds")
+    pieces = F.ceil(F.col("share") * 2).cast("int")
+    dealt = rest.join(crowds, "key", "left").withColumn("pieces", F.when(F.col("share").isNull(), 1).otherwise(pieces)).withColumn("own", F.pmod(F.xxhash64("rep"), "pieces").cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
-    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "n", "part", "signature")
+    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "n", "part", "signature", *exact)
     ordered = dealt.repartition(int(rest.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key", "i", "j").sortWithinPartitions("key", "i", "j")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,7 +230,11 @@ def close(rest: DataFrame, crowd: int = CROWD) -> DataFrame:
                 number = lambda c: t.column(c).to_numpy()
                 new = reduce(np.logical_or, (np.diff(number(c)) != 0 for c in ("key", "i", "j")))
                 signature = np.frombuffer(b"".join(t.column("signature").to_pylist()), np.uint8).reshape(-1, BINS)
-                a, b = compared(number("rep"), number("n"), number("part"), number("own"), number("i") != number("j"), np.concatenate(([0], np.cumsum(new))), signature)
+                given = (number("rep"), number("n"), number("part"), number("own"), number("i") != number("j"), np.concatenate(([0], np.cumsum(new))), signature)
+                if exact:
+                    a, b = linked(*given, number("key"), np.array(t.column("keys").to_pylist(), np.int64), [np.frombuffer(x, np.uint64) for x in t.column("hashes").to_pylist()])
+                else:
+                    a, b = compared(*given)
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
         for b in batches:
@@ -205,7 +242,7 @@ def close(rest: DataFrame, crowd: int = CROWD) -> DataFrame:
                 continue
             held.append(b)
             rows = sum(x.num_rows for x in held)
-            if rows >= 4096:  # all but the last group, which may go on
+            if rows >= 4096 or sum(x.nbytes for x in held) >= 8 * MOST:  # all but the last group, which may go on
                 ends = [x.column(c).to_numpy() for x in held for c in ("key", "i", "j")]
                 names = [np.concatenate(ends[k::3]) for k in range(3)]
                 last = np.flatnonzero(reduce(np.logical_or, (x != x[-1] for x in names)))
@@ -217,6 +254,18 @@ def close(rest: DataFrame, crowd: int = CROWD) -> DataFrame:
     return ordered.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
+def hashed(rows: DataFrame, words: int = WORDS) -> DataFrame:
+    """rep, hashes: each text's set in order, as bytes. rows: rep, text."""
+    ship(rows.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in units(batches):
+            sets = [np.sort(np.fromiter(shingles(t, words), np.uint64)).tobytes() for t in strings(b.column("text"))]
+            yield pa.RecordBatch.from_arrays([b.column("rep"), pa.array(sets, pa.binary())], names=["rep", "hashes"])
+
+    return rows.select("rep", F.col("text").cast("string").alias("text")).mapInArrow(run, "rep bigint, hashes binary")
+
+
 def _sized(a: Column, b: Column) -> Column:
     """Whether sets of these sizes can be similar."""
     return F.least(a, b) * SIMILARITY[1] >= F.greatest(a, b) * SIMILARITY[0]
@@ -230,16 +279,21 @@ def copies(rows: DataFrame, words: int = WORDS) -> DataFrame:
     shared = keyed.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("head"), F.count("*").alias("many")).where("many > 1").select("key", "head")
     buckets = materialize(keyed.join(shared, "key"), "buckets")
     met = buckets.where((F.col("rep") != F.col("head.rep")) & _sized(F.col("n"), F.col("head.n"))).groupBy(F.col("head.rep").alias("a"), F.col("rep").alias("b")).agg(F.count("*").alias("bands"))
-    first = materialize(met.groupBy("b").agg(F.min_by("a", F.struct(-F.col("bands"), "a")).alias("a")).select("a", "b"), "pairs")
+    met = met.groupBy("b").agg(F.min_by("a", F.struct(-F.col("bands"), "a")).alias("a"))
+    reached = simhash.near_duplicates(rows.select(F.col("row").alias("doc_id"), "text"), words).where("component_id < doc_id").select(F.col("doc_id").alias("b"), F.col("component_id").alias("near"))
+    reached = reached.join(classes.select(F.col("rep").alias("b")), "b", "left_semi")
+    first = materialize(met.join(reached, "b", "full").select(F.coalesce("near", "a").alias("a"), "b"), "pairs")
     links = materialize(verified(first, rows, words), "links")
     part = materialize(components(links), "parts")
     now = materialize(buckets.join(part.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("part")), "now")
     open_ = now.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("key")
-    rest = now.join(materialize(open_, "open"), "key").join(found.select(F.col("row").alias("rep"), "signature"), "rep")
-    second = materialize(close(rest).join(first, ["a", "b"], "left_anti"), "pairs")
-    more = materialize(verified(second, rows, words), "links")
+    rest = materialize(now.join(materialize(open_, "open"), "key"), "rest")
+    asked = materialize(rest.select("rep").distinct(), "asked")
+    sets = materialize(hashed(rows.withColumnRenamed("row", "rep").join(asked, "rep", "left_semi"), words), "sets")
+    held = found.select(F.col("row").alias("rep"), "signature", "keys").join(sets, "rep")
+    more = materialize(close(rest.join(held, "rep")), "links")
     whole = components(links.unionByName(more))
     of = classes.join(whole.withColumnRenamed("node", "rep"), "rep", "left").select("sum", "n", F.coalesce("component", "rep").alias("component"))
     gone = materialize(found.select("row", "sum", "n").join(materialize(of, "components"), ["sum", "n"]).where("row <> component").select("row"), "gone")
-    discard(found, classes, buckets, first, links, part, now, second, more)
+    discard(found, classes, buckets, first, links, part, now, rest, asked, sets, more)
     return gone
