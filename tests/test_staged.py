@@ -5,6 +5,8 @@ import itertools
 import numpy as np
 import pytest
 
+from trajectorium.functions.kalman import Filter
+from trajectorium.operators import matching
 from trajectorium.session import ship
 from trajectorium.streaming import staged
 
@@ -171,3 +173,43 @@ def test_a_run_of_reversed_headings_must_agree():
 def test_nothing_is_taken_back_from_nothing(spark):
     assert staged.retractions(video(spark, []), 1).count() == 0
     assert staged.retractions(video(spark, [(0, 0, 0.9, (1, 1, 4, 2, 0))]), 2).count() == 0
+
+
+def test_boxes_are_measured_once_for_all_stages(monkeypatch):
+    calls = []
+    monkeypatch.setattr(staged, "shared_areas", lambda a, b, f=staged.shared_areas: calls.append(len(a)) or f(a, b))
+    limits = staged.Limits()
+    tracks = [staged.Track(k, np.array([30.0 * k, 50, 20, 8, 90]), limits) for k in range(3)]
+    for t in tracks:
+        t.predict()
+    det = np.array([[0.0, 50, 20, 8, 90], [30, 52, 20, 8, 200], [66, 50, 20, 8, 0]])
+    free = {0, 1, 2}
+    found = staged.claims(tracks, det, free, limits, steps=10)
+    assert {k: j for k, (j, _) in found.items()} == {0: 0, 1: 1, 2: 2} and not free
+    assert len({stage for _, stage in found.values()}) > 1 and len(calls) == 1
+
+
+def test_filter_equals_its_matrices():
+    rng = np.random.default_rng(3)
+    for dt in (1.0, -1.0):
+        drift = (0.01, 0.02, 0.05, 0.07)
+        f = Filter((1.0, 2.0), noise=0.1, drift=drift, dt=dt)
+        x, p, step = np.array([1.0, 2, 0, 0]), np.eye(4) * 10, np.eye(4)
+        step[0, 2] = step[1, 3] = dt
+        for seen in rng.normal(size=(30, 2)):
+            x, p = step @ x, step @ p @ step.T + np.diag(drift)
+            assert np.allclose(f.predict(), x[:2])
+            gain = np.linalg.solve(p[:2, :2] + np.eye(2) * 0.1, p[:2]).T
+            x, p = x + gain @ (seen - x[:2]), p - gain @ p[:2]
+            assert np.allclose(f.update(seen), x[:2]) and np.allclose(f.x, x)
+
+
+def test_few_entries_are_assigned_as_many_are(monkeypatch):
+    rng = np.random.default_rng(4)
+    for t in range(300):
+        shape = rng.integers(1, 8, 2)
+        cost, valid = rng.integers(0, 3 if t % 2 else 1000, shape).astype(float), rng.random(shape) < rng.random()
+        few = matching.min_cost(cost, valid)
+        with monkeypatch.context() as m:
+            m.setattr(matching, "FEW", 0)
+            assert few == matching.min_cost(cost, valid)

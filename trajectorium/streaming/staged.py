@@ -6,7 +6,8 @@ over tasks. A group holds one video's detections and tracks.
 
 from __future__ import annotations
 
-import copy
+import math
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -24,6 +25,7 @@ SCHEMA = "video string, frame bigint, tid bigint, det bigint, stage int, " + ",
 TURN_NOISE, TURN_DRIFT = 0.005, (0.005, 0.005, 0.02, 0.02)
 #: The widest angle between a direction and the axis it is put on; radius of the distance stage in box sizes and in speeds.
 AXIS_LIMIT, SIZES, SPEEDS = 67.5, 2.0, 1.5
+_AXIS_COS = math.cos(math.radians(AXIS_LIMIT))
 #: Stages 1 to 4 as (needs strong overlap, needs a near heading).
 OVERLAP_STAGES = [(True, True), (True, False), (False, True), (False, False)]
 BY_SPEED, AFTER_GAP, FILLED = 5, 6, 7
@@ -49,25 +51,36 @@ def apart(a, b):
     return np.abs((np.asarray(a) - b + 180.0) % 360.0 - 180.0)
 
 
-def unit(a: float) -> np.ndarray:
-    return np.array([np.sin(np.radians(a)), -np.cos(np.radians(a))])
+def far_apart(a: float, b: float) -> float:
+    """apart() of two numbers."""
+    return abs((a - b + 180.0) % 360.0 - 180.0)
 
 
-def on_axis(axis: float, v: np.ndarray) -> float:
+def unit(a: float) -> tuple[float, float]:
+    return math.sin(math.radians(a)), -math.cos(math.radians(a))
+
+
+def along(axis: float, v: Sequence[float]) -> float:
+    x, y = unit(axis)
+    return x * v[0] + y * v[1]
+
+
+def on_axis(axis: float, v: Sequence[float]) -> float:
     """The direction along the axis next to v."""
-    return axis % 360.0 if unit(axis) @ v >= 0 else (axis + 180.0) % 360.0
+    return axis % 360.0 if along(axis, v) >= 0 else (axis + 180.0) % 360.0
 
 
-def fits_axis(axis: float, v: np.ndarray) -> bool:
-    length = float(np.hypot(*v))
-    return length > 1e-6 and abs(unit(axis) @ v) / length >= np.cos(np.radians(AXIS_LIMIT))
+def fits_axis(axis: float, v: Sequence[float]) -> bool:
+    length = math.hypot(v[0], v[1])
+    return length > 1e-6 and abs(along(axis, v)) / length >= _AXIS_COS
 
 
-def overlaps(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Share of the union for each of a with each of b (rows of VALUES)."""
+def overlaps(a: np.ndarray, b: np.ndarray, only: np.ndarray | None = None) -> np.ndarray:
+    """Share of the union for each of a with each of b (rows of VALUES), 0 for pairs that aren't asked for."""
     out = np.zeros((len(a), len(b)))
     reach = np.hypot(a[:, 2], a[:, 3])[:, None] / 2 + np.hypot(b[:, 2], b[:, 3])[None, :] / 2
-    i, j = np.nonzero(np.hypot(a[:, None, 0] - b[None, :, 0], a[:, None, 1] - b[None, :, 1]) < reach)
+    near = np.hypot(a[:, None, 0] - b[None, :, 0], a[:, None, 1] - b[None, :, 1]) < reach
+    i, j = np.nonzero(near if only is None else near & only)
     if len(i):
         both = shared_areas(a[i], b[j])
         union = a[i, 2] * a[i, 3] + b[j, 2] * b[j, 3] - both
@@ -75,31 +88,51 @@ def overlaps(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def by_overlap(references: list[tuple[np.ndarray, np.ndarray]], miss: np.ndarray, det: np.ndarray, strong: bool, directed: bool, limits: Limits) -> list[tuple[int, int]]:
-    """Pairs (track, detection). references: boxes and headings (nan: none) of the tracks, predicted ones first; later ones serve the tracks and detections that are left."""
-    pairs: list[tuple[int, int]] = []
+Measure = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+
+
+def measured(references: list[tuple[np.ndarray, np.ndarray]], miss: np.ndarray, det: np.ndarray, limits: Limits) -> list[Measure]:
+    """Of each reference with each detection, as matrices: overlap, angle of the headings (nan: none), and what a match costs by heading and by axis; a reference that overlaps nothing is left out."""
+    n, out = len(miss), []
+    shares = overlaps(np.concatenate([boxes for boxes, _ in references]), det)
     age = np.minimum(miss / max(limits.max_age, 1), 1.0)[:, None]
-    for boxes, headings in references:
-        rows = np.setdiff1d(np.arange(len(boxes)), [i for i, _ in pairs])
-        cols = np.setdiff1d(np.arange(len(det)), [j for _, j in pairs])
-        if not len(rows) or not len(cols):
+    for k, (boxes, headings) in enumerate(references):
+        iou = shares[k * n : (k + 1) * n]
+        if not iou.any():
+            continue
+        turn, axis = apart(headings[:, None], det[:, 4]), apart(boxes[:, 4][:, None], det[:, 4])
+        base = ((1 - iou) / max(1 - limits.strong_iou, 1e-6)) ** 2 + age
+        by_turn, by_axis = (base + (a / max(limits.strong_turn, 1.0)) ** 2 for a in (np.nan_to_num(turn), np.minimum(axis, 180.0 - axis)))
+        out.append((iou, turn, by_turn, by_axis))
+    return out
+
+
+def matched(measures: list[Measure], rows: list[int], cols: list[int], strong: bool, directed: bool, limits: Limits) -> list[tuple[int, int]]:
+    """Pairs of those rows (tracks) and columns (detections) of the measures; later references serve what is left."""
+    pairs: list[tuple[int, int]] = []
+    for iou, turn, by_turn, by_axis in measures:
+        if not rows or not cols:
             break
-        iou = overlaps(boxes[rows], det[cols])
         valid = iou >= limits.strong_iou if strong else iou > 1e-9
-        if not valid.any():
-            continue
-        turn = apart(headings[rows][:, None], det[cols, 4][None, :])
         if directed:
             valid &= np.isnan(turn) | (turn <= limits.strong_turn)
-            turn = np.nan_to_num(turn)
-        else:
-            axis = apart(boxes[rows, 4][:, None], det[cols, 4][None, :])
-            turn = np.minimum(axis, 180.0 - axis)
-        cost = ((1 - iou) / max(1 - limits.strong_iou, 1e-6)) ** 2 + age[rows] + (turn / max(limits.strong_turn, 1.0)) ** 2
-        pairs += [(int(rows[i]), int(cols[j])) for i, j in min_cost(cost, valid)]
+        if not valid.any():
+            continue
+        at = np.ix_(rows, cols)
+        valid = valid[at]
+        if not valid.any():
+            continue
+        found = [(rows[i], cols[j]) for i, j in min_cost((by_turn if directed else by_axis)[at], valid)]
+        pairs += found
+        rows, cols = ([x for x in of if x not in {p[k] for p in found}] for k, of in enumerate((rows, cols)))
     return pairs
 
 
+def by_overlap(references: list[tuple[np.ndarray, np.ndarray]], miss: np.ndarray, det: np.ndarray, strong: bool, directed: bool, limits: Limits) -> list[tuple[int, int]]:
+    """Pairs (track, detection). references: boxes and headings (nan: none) of the tracks, predicted ones first; later ones serve the tracks and detections that are left."""
+    return matched(measured(references, miss, det, limits), list(range(len(miss))), list(range(len(det))), strong, directed, limits)
+
+
 def by_distance(boxes: np.ndarray, miss: np.ndarray, det: np.ndarray, max_age: int, speed: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Pairs of least distance in box sizes; with speed, within a radius that grows with it and with each miss."""
     if not len(boxes) or not len(det):
@@ -153,20 +186,20 @@ class Track:
 
     def predict(self) -> None:
         at, size, v = self.place.predict(), self.shape.predict(), self.turn.predict()
-        fits = fits_axis(self.seen[4], v)
-        self.guess_heading = on_axis(self.seen[4], v) if fits else self.heading
-        self.guess = np.array([*at, *np.maximum(size, 1e-3), self.guess_heading])
+        axis = float(self.seen[4])
+        self.guess_heading = on_axis(axis, v) if fits_axis(axis, v) else self.heading
+        self.guess = np.array([*at, max(size[0], 1e-3), max(size[1], 1e-3), self.guess_heading])
 
     @property
     def speed(self) -> float:
-        return float(np.hypot(*self.place.x[2:]))
+        return math.hypot(*self.place.x[2:])
 
     def note(self, frame: int, det: int, stage: int, box: np.ndarray, heading: float) -> None:
         self.rows.append([frame, self.tid, det, stage, *box[:4], heading])
 
     def take(self, frame: int, det: int, stage: int, box: np.ndarray) -> None:
         """The frame's box is this one. Stages by axis leave the heading open unless a turn has lasted; those by distance freeze it, and a long gap begins the filters anew."""
-        heading = float("nan")
+        heading, axis = float("nan"), float(box[4])
         if stage == AFTER_GAP:
             old = self.heading
             self.begin(box)
@@ -176,20 +209,20 @@ class Track:
             self.shape.update(box[2:4])
         if stage in (1, 3):
             self.reversed_ = []
-            v = self.turn.update(unit(box[4]))
-            heading = self.heading = on_axis(box[4], v) if fits_axis(box[4], v) else box[4] % 360.0
+            v = self.turn.update(unit(axis))
+            heading = self.heading = on_axis(axis, v) if fits_axis(axis, v) else axis % 360.0
         elif stage in (2, 4):
-            back = apart(box[4], self.heading) > self.limits.strong_turn
-            same = self.reversed_ and apart(self.reversed_[-1][1], box[4]) <= self.limits.strong_turn
-            self.reversed_ = [*(self.reversed_ if same else []), (len(self.rows), box[4] % 360.0)] if back else []
+            back = far_apart(axis, self.heading) > self.limits.strong_turn
+            same = self.reversed_ and far_apart(self.reversed_[-1][1], axis) <= self.limits.strong_turn
+            self.reversed_ = [*(self.reversed_ if same else []), (len(self.rows), axis % 360.0)] if back else []
             if len(self.reversed_) >= max(self.limits.turn_run, 2):
                 for k, a in self.reversed_[:-1]:
                     self.rows[k][-1] = a
-                heading = box[4] % 360.0
+                heading = axis % 360.0
                 self.turn_to(heading)
                 self.reversed_ = []
             else:
-                self.turn.update(unit(on_axis(box[4], self.turn.x[:2])))
+                self.turn.update(unit(on_axis(axis, self.turn.x[:2])))
         else:
             self.reversed_ = []
         self.note(frame, det, stage, box, heading)
@@ -222,19 +255,19 @@ class Track:
             self.risk = None
             return
         anchor, old = self.seen, self.risk
-        if old is not None and step - old.step - 1 <= max_age and np.hypot(*(box[:2] - old.anchor[:2])) < np.hypot(*(old.box[:2] - old.anchor[:2])):
+        if old is not None and step - old.step - 1 <= max_age and math.dist(box[:2], old.anchor[:2]) < math.dist(old.box[:2], old.anchor[:2]):
             self.erase(old.frame, EXCURSION)
             anchor = old.anchor
         held = next((r[3] for r in reversed(self.rows) if r[0] == self.last), None)
-        kept = ("place", "shape", "turn", "heading", "seen", "miss", "last")
-        self.risk = Risk(step, frame, box, anchor, held in TRUSTED, {k: copy.deepcopy(getattr(self, k)) for k in kept})
+        state = {k: getattr(self, k).copy() for k in ("place", "shape", "turn")} | {k: getattr(self, k) for k in ("heading", "seen", "miss", "last")}
+        self.risk = Risk(step, frame, box, anchor, held in TRUSTED, state)
 
     def missed(self, step: int) -> None:
         """No box. A risky match in the frame just before, from a trusted box, is taken back: it counts as missed and the track goes on as predicted from that box."""
         old = self.risk
         if old is not None and old.step == step - 1 and old.trusted:
             self.erase(old.frame, BEFORE_MISS)
-            vars(self).update(copy.deepcopy(old.state))
+            vars(self).update(old.state)
             self.seen = old.anchor
             self.predict()
             self.miss += 1
@@ -248,10 +281,10 @@ class Track:
         if len(self.rows) < 3:
             return
         (f0, *_, a), (f1, *_, b), (f2, *_, c) = self.rows[-3:]
-        if abs(f2 - f0) != 2 or np.isnan([a, b, c]).any() or apart(a, b) <= self.limits.strong_turn or apart(b, c) <= self.limits.strong_turn:
+        if abs(f2 - f0) != 2 or math.isnan(a + b + c) or far_apart(a, b) <= self.limits.strong_turn or far_apart(b, c) <= self.limits.strong_turn:
             return
         other = (b + 180.0) % 360.0
-        if apart(a, other) + apart(other, c) < apart(a, b) + apart(b, c):
+        if far_apart(a, other) + far_apart(other, c) < far_apart(a, b) + far_apart(b, c):
             self.rows[-2][-1] = other
             self.turn_to(c)
 
@@ -269,11 +302,14 @@ def claims(tracks: list[Track], det: np.ndarray, free: set[int], limits: Limits,
         return [k for k, t in enumerate(tracks) if k not in found and (t.miss < limits.max_age) == active], sorted(free)
 
     table = lambda rows, of: np.array([of(tracks[k]) for k in rows], float).reshape(len(rows), -1)
-    for stage, (strong, directed) in enumerate(OVERLAP_STAGES, 1):
-        rows, cols = left(True)
-        if rows and cols:
-            references = [(table(rows, lambda t: t.guess), table(rows, lambda t: t.guess_heading)[:, 0]), (table(rows, lambda t: t.seen), table(rows, lambda t: t.heading)[:, 0])]
-            keep(by_overlap(references, table(rows, lambda t: t.miss)[:, 0], det[cols], strong, directed, limits), rows, cols, stage)
+    rows, cols = left(True)
+    if rows and cols:
+        # boxes are measured once for all stages, which differ in what they allow
+        references = [(table(rows, lambda t: t.guess), table(rows, lambda t: t.guess_heading)[:, 0]), (table(rows, lambda t: t.seen), table(rows, lambda t: t.heading)[:, 0])]
+        measures = measured(references, table(rows, lambda t: t.miss)[:, 0], det[cols], limits)
+        for stage, (strong, directed) in enumerate(OVERLAP_STAGES, 1):
+            if measures:
+                keep(matched(measures, [i for i, k in enumerate(rows) if k not in found], [j for j, c in enumerate(cols) if c in free], strong, directed, limits), rows, cols, stage)
     rows, cols = left(True)
     if steps is None:
         rows = [k for k in rows if tracks[k].miss == 0]
@@ -291,7 +327,9 @@ def part_duplicates(found: dict[int, tuple[int, int]], det: np.ndarray, score: n
     if not 0 < limits.nms_iou < 1 or len(rows) < 2:
         return
     boxes = det[[found[k][0] for k in rows]]
-    iou = overlaps(boxes, boxes)
+    iou = overlaps(boxes, boxes, np.tri(len(rows), k=-1, dtype=bool).T)
+    if not (iou > limits.nms_iou).any():
+        return
     rank = lambda k: (found[k][1], -score[found[k][0]])
     for i, a in enumerate(rows):
         for j in range(i + 1, len(rows)):
@@ -324,14 +362,12 @@ def fill_gap(track: Track, box: np.ndarray, frame: int, past: dict[int, list], l
         track.note(track.last + k * step, int(ids[j]), FILLED, det[j], float("nan"))
 
 
-def frames_of(pdf: pd.DataFrame, order: list[int]):
+def frames_of(pdf: pd.DataFrame, order: list[int]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
     """frame, boxes, scores, ids in that order; frames without detections too."""
     pdf = pdf.sort_values(["frame", "score", "det"], ascending=[True, False, True])
-    own = dict(list(pdf.groupby("frame")))
-    none = pdf.iloc[:0]
-    for f in order:
-        p = own.get(f, none)
-        yield f, p[VALUES].to_numpy(float), p["score"].to_numpy(float), p["det"].to_numpy()
+    frames, boxes, scores, ids = pdf["frame"].to_numpy(), pdf[VALUES].to_numpy(float), pdf["score"].to_numpy(float), pdf["det"].to_numpy()
+    for f, a, b in zip(order, *(np.searchsorted(frames, order, side).tolist() for side in ("left", "right"))):
+        yield f, boxes[a:b], scores[a:b], ids[a:b]
 
 
 class Population:
@@ -534,9 +570,9 @@ class Changing:
             t.predict()
         free = set(range(len(det)))
         if len(det) and 0 < policy.limits.nms_iou < 1:
-            iou = overlaps(det, det)
-            for j in range(len(det)):
-                if any(iou[j, i] > policy.limits.nms_iou for i in range(j) if i in free):
+            near = overlaps(det, det, np.tri(len(det), k=-1, dtype=bool)) > policy.limits.nms_iou
+            for j in np.flatnonzero(near.any(1)).tolist():
+                if any(i in free for i in np.flatnonzero(near[j]).tolist()):
                     free.discard(j)
         for firm in (True, False):
             group = [t for t in self.open if t.firm == firm]
