@@ -56,3 +56,16 @@ def test_a_box_between_two():
     mid = headings.between(np.array([0.0, 0, 20, 8, 80]), np.array([0.0, 0, 20, 8, 100]), 0.5)
     assert mid[4] % 180 == pytest.approx(90) and mid[2] == pytest.approx(20 * math.cos(math.radians(10)))
     assert headings.on_long_axis(90, 40, 45) is None and headings.on_long_axis(90, 240, 45) == 270
+
+
+def test_a_tracks_gaps_are_compared_at_once(monkeypatch):
+    calls = []
+    monkeypatch.setattr(headings, "shared_areas", lambda a, b, f=headings.shared_areas: calls.append(len(a)) or f(a, b))
+    frames = np.array([0, 1, 3, 4, 7, 8, 30, 31, 33])
+    box = np.array([(2.0 * f, 5.0, 20.0, 8.0, 90.0) for f in frames])
+    risky = np.zeros(len(frames), bool)
+    risky[-1] = True
+    found = headings.gaps_of(frames, box, np.full(len(frames), 90.0), risky, {"age": 10, "iou": 0.5, "turn": 45.0, "axis": 45.0})
+    assert [x[:3] for x in found] == [(1, 3, headings.FILLED), (4, 7, headings.FILLED), (8, 30, headings.TOO_LONG), (31, 33, headings.RISKY)]
+    assert [[b[0] for b in x[-1]] for x in found] == [[2], [5, 6], [], []] and calls == [4]
+    assert all(np.allclose(b[1:3], (2 * b[0], 5)) for x in found for b in x[-1])

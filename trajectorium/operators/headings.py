@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -85,18 +88,23 @@ def predicted_gaps(tracks: DataFrame, max_age: int) -> DataFrame:
     return spread(tracks.select("tid", "frame", "cx", "cy"), "tid").groupBy("tid").applyInPandas(run, "tid bigint, frame bigint, cx double, cy double")
 
 
+#: The four numberings of a box's corners.
+_TURNS = (np.arange(4)[:, None] + np.arange(4)) % 4
+
+
 def corners(box: np.ndarray) -> np.ndarray:
     """The corners of cx, cy, w, h, heading in turn, the first edge along w."""
-    along = np.array([np.sin(np.radians(box[4])), -np.cos(np.radians(box[4]))])
-    side = np.array([-along[1], along[0]])
-    x, y = box[2] / 2 * along, box[3] / 2 * side
-    return box[:2] + np.array([-x - y, x - y, x + y, -x + y])
+    cx, cy, w, h, a = box.tolist()
+    s, c = math.sin(math.radians(a)), -math.cos(math.radians(a))
+    x, y, u, v = w / 2 * s, w / 2 * c, h / 2 * -c, h / 2 * s
+    return np.array([(cx + (-x - u), cy + (-y - v)), (cx + (x - u), cy + (y - v)), (cx + (x + u), cy + (y + v)), (cx + (-x + u), cy + (-y + v))])
 
 
 def between(a: np.ndarray, b: np.ndarray, share: float) -> np.ndarray:
     """The box that share of the way along the chords of the corners, b's numbered as near to a's as can be: its centre, mean edges and first edge's direction."""
     p, q = corners(a), corners(b)
-    q = min((np.roll(q, -k, 0) for k in range(4)), key=lambda r: float(((r - p) ** 2).sum()))
+    turned = q[_TURNS]
+    q = turned[int(((turned - p) ** 2).reshape(4, 8).sum(1).argmin())]
     c = (1 - share) * p + share * q
     along, side = (c[1] - c[0] + c[2] - c[3]) / 2, (c[2] - c[1] + c[3] - c[0]) / 2
     if np.hypot(*side) > np.hypot(*along):
@@ -113,11 +121,12 @@ def on_long_axis(axis: float, heading: float, most: float) -> float | None:
 #: Why a gap is left open, and how one is filled.
 TOO_LONG, RISKY, NO_OVERLAP, TURNED, OFF_AXIS, FILLED = "length", "risky", "overlap", "heading", "axis", "filled"
 GAP = "tid bigint, before bigint, after bigint, action string, branch string, iou double, turn double, boxes array<struct<frame:bigint,cx:double,cy:double,w:double,h:double,heading:double>>"
+_GAP_BOX = pa.struct([("frame", pa.int64()), *((c, pa.float64()) for c in ("cx", "cy", "w", "h", "heading"))])
+_GAP_FIELDS = [pa.field(n, t) for n, t in (("tid", pa.int64()), ("before", pa.int64()), ("after", pa.int64()), ("action", pa.string()), ("branch", pa.string()), ("iou", pa.float64()), ("turn", pa.float64()), ("boxes", pa.list_(_GAP_BOX)))]
 
 
-def _gap(before: np.ndarray, after: np.ndarray, guess: np.ndarray, headings: tuple[float, float, float], n: int, frame: int, limits: dict) -> tuple[str, str | None, float, float, list]:
-    """action, branch, iou, turn and boxes of a gap of n frames after `frame` whose ends are sure. headings: before, after, predicted."""
-    iou = [float(x) for x in shared_parts(after[None], np.stack([guess, before]))[0]]
+def _gap(before: np.ndarray, after: np.ndarray, iou: list[float], headings: tuple[float, float, float], n: int, frame: int, limits: dict) -> tuple[str, str | None, float, float, list]:
+    """action, branch, iou, turn and boxes of a gap of n frames after `frame` whose ends are sure. iou: of the box after it with the predicted one and with that before; headings: before, after, predicted."""
     branch = next((b for b, x in zip(("prediction", "previous"), iou) if x >= limits["iou"]), None)
     if branch is None:
         return NO_OVERLAP, None, max(iou), float("nan"), []
@@ -146,11 +155,41 @@ def _gap(before: np.ndarray, after: np.ndarray, guess: np.ndarray, headings: tup
 
 
 def shared_parts(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Share of the union of each of a with each of b (rows of cx, cy, w, h, heading)."""
-    i, j = (x.ravel() for x in np.meshgrid(range(len(a)), range(len(b)), indexing="ij"))
-    both = shared_areas(a[i], b[j])
-    union = a[i, 2] * a[i, 3] + b[j, 2] * b[j, 3] - both
-    return np.divide(both, union, out=np.zeros_like(both), where=union > 0).reshape(len(a), len(b))
+    """Share of the union of each of a with that of b in its row (rows of cx, cy, w, h, heading)."""
+    both = shared_areas(a, b)
+    union = a[:, 2] * a[:, 3] + b[:, 2] * b[:, 3] - both
+    return np.divide(both, union, out=np.zeros_like(both), where=union > 0)
+
+
+def gaps_of(frames: np.ndarray, box: np.ndarray, heading: np.ndarray, risky: np.ndarray, limits: dict) -> list[tuple]:
+    """before, after, action, branch, iou, turn, boxes of the gaps of one track, by frame.
+
+    The filters run along the track first; the boxes that they predict, and those
+    before the gaps, are then compared with those behind all at once.
+    """
+    axes, known = box[:, 4].tolist(), heading.tolist()
+    # the side of its axis that each heading is on, as a vector
+    ways = [math.radians(a if math.isnan(h) else on_long_axis(a, h, 90.0)) for a, h in zip(axes, known)]
+    ways = [(math.sin(a), -math.cos(a)) for a in ways]
+    places, sizes, steps = box[:, :2].tolist(), box[:, 2:4].tolist(), np.diff(frames).tolist()
+    place, shape, turn = Filter(places[0]), Filter(sizes[0]), Filter(ways[0], noise=0.005, drift=(0.005, 0.005, 0.02, 0.02))
+    asked, guesses, toward = [], [], []
+    for k, n in enumerate(steps, 1):
+        for _ in range(n):
+            at, size, way = place.predict(), shape.predict(), turn.predict()
+        if 1 < n <= limits["age"] and not risky[k] and not risky[k - 1]:
+            asked.append(k)
+            guesses.append((*at, max(size[0], 1.0), max(size[1], 1.0), axes[k - 1]))
+            toward.append(math.degrees(math.atan2(way[0], -way[1])) % 360.0)
+        place.update(places[k])
+        shape.update(sizes[k])
+        turn.update(ways[k])
+    rows = {k + 1: (TOO_LONG if n > limits["age"] else RISKY, None, float("nan"), float("nan"), []) for k, n in enumerate(steps) if n > 1}
+    if asked:
+        iou = shared_parts(np.tile(box[asked], (2, 1)), np.concatenate([guesses, box[np.array(asked) - 1]])).reshape(2, -1).T.tolist()
+        for k, shares, way in zip(asked, iou, toward):
+            rows[k] = _gap(box[k - 1], box[k], shares, (known[k - 1], known[k], way), steps[k - 1] - 1, int(frames[k - 1]), limits)
+    return [(int(frames[k - 1]), int(frames[k]), *found) for k, found in rows.items()]
 
 
 def gap_fills(tracks: DataFrame, max_age: int = 10, strong_iou: float = 0.5, strong_turn: float = 45.0, axis_error: float = 45.0) -> DataFrame:
@@ -163,45 +202,20 @@ def gap_fills(tracks: DataFrame, max_age: int = 10, strong_iou: float = 0.5, str
     is farther than axis_error from its box's axis; else action tells the first
     of these that fails. A track is one group; rows without a box are left out.
     """
-    limits = {"iou": strong_iou, "turn": strong_turn, "axis": axis_error}
+    limits = {"age": max_age, "iou": strong_iou, "turn": strong_turn, "axis": axis_error}
 
-    def vector(a: float) -> np.ndarray:
-        return np.array([np.sin(np.radians(a)), -np.cos(np.radians(a))])
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("frame").drop_duplicates("frame")
-        frames, risky = pdf["frame"].to_numpy(), pdf["risky"].to_numpy(bool)
-        box, heading = pdf[["cx", "cy", "w", "h", "axis"]].to_numpy(float), pdf["heading"].to_numpy(float)
-
-        def direction(k: int) -> float:
-            """The side of the axis that the heading is on."""
-            return box[k, 4] if np.isnan(heading[k]) else on_long_axis(box[k, 4], heading[k], 90.0)
-
-        place, shape, turn = Filter(box[0, :2]), Filter(box[0, 2:4]), Filter(vector(direction(0)), noise=0.005, drift=(0.005, 0.005, 0.02, 0.02))
-        rows = []
-        for k in range(1, len(pdf)):
-            n = int(frames[k] - frames[k - 1]) - 1
-            for _ in range(n + 1):
-                at, size, way = place.predict(), shape.predict(), turn.predict()
-            if n:
-                if n >= max_age:
-                    found = (TOO_LONG, None, float("nan"), float("nan"), [])
-                elif risky[k] or risky[k - 1]:
-                    found = (RISKY, None, float("nan"), float("nan"), [])
-                else:
-                    toward = float(np.degrees(np.arctan2(way[0], -way[1])) % 360.0)
-                    guess = np.array([*at, *np.maximum(size, 1.0), box[k - 1, 4]])
-                    found = _gap(box[k - 1], box[k], guess, (heading[k - 1], heading[k], toward), n, int(frames[k - 1]), limits)
-                rows.append((int(pdf["tid"].iloc[0]), int(frames[k - 1]), int(frames[k]), *found))
-            place.update(box[k, :2])
-            shape.update(box[k, 2:4])
-            turn.update(vector(direction(k)))
-        return pd.DataFrame(rows, columns=["tid", "before", "after", "action", "branch", "iou", "turn", "boxes"])
+    def run(table: pa.Table) -> pa.Table:
+        columns = {c: table.column(c).to_numpy() for c in table.column_names}
+        frames, first = np.unique(columns["frame"], return_index=True)
+        box = np.stack([columns[c][first] for c in ("cx", "cy", "w", "h", "axis")], 1)
+        rows = gaps_of(frames, box, columns["heading"][first].astype(float), columns["risky"][first].astype(bool), limits)
+        values = [[columns["tid"][0]] * len(rows), *(zip(*rows) if rows else [()] * (len(_GAP_FIELDS) - 1))]
+        return pa.table([pa.array(v, f.type) for v, f in zip(values, _GAP_FIELDS)], pa.schema(_GAP_FIELDS))
 
     good = " AND ".join(f"{c} IS NOT NULL AND NOT isnan({c})" for c in ("cx", "cy", "w", "h", "axis")) + " AND w > 0 AND h > 0 AND tid IS NOT NULL AND frame IS NOT NULL"
-    rows = tracks.select("tid", "frame", "cx", "cy", "w", "h", "axis", "heading", F.coalesce("risky", F.lit(False)).alias("risky")).where(good)
+    rows = tracks.select(F.col("tid").cast("long").alias("tid"), F.col("frame").cast("long").alias("frame"), *[F.col(c).cast("double").alias(c) for c in ("cx", "cy", "w", "h", "axis", "heading")], F.coalesce("risky", F.lit(False)).alias("risky")).where(good)
     nan = lambda c: F.when(~F.isnan(c), F.col(c)).alias(c)
-    return spread(rows, "tid").groupBy("tid").applyInPandas(run, GAP).select("tid", "before", "after", "action", "branch", nan("iou"), nan("turn"), "boxes")
+    return spread(rows, "tid").groupBy("tid").applyInArrow(run, GAP).select("tid", "before", "after", "action", "branch", nan("iou"), nan("turn"), "boxes")
 
 
 def repaired(frames: np.ndarray, headings: np.ndarray, least: int, split: float = 60.0, boundary: float = 120.0) -> np.ndarray:
