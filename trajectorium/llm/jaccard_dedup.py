@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from ..session import discard, materialize, ship
 from . import simhash
-from .common import strings, units
+from .common import give_back, strings, units
 from .components import components
 
 WORDS = 5
@@ -250,6 +250,7 @@ def close(rest: DataFrame, crowd: int = CROWD) -> DataFrame:
                     yield from flush(int(last[-1]) + 1)
         if held:
             yield from flush()
+        give_back()
 
     return ordered.mapInArrow(run, "a bigint, b bigint").distinct()
 
