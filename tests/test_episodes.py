@@ -83,6 +83,17 @@ def test_best_cliques_equal_all_subsets(spark):
     assert episodes.best_cliques(a.limit(0), p, "cell").count() == episodes.best_cliques(a, p.limit(0), "cell").count() == 0
 
 
+def test_best_cliques_in_batches(spark):
+    """Groups of many atoms, null and no atoms; no set is compared row by row (failed before: expressions over all sets in each row)."""
+    arms = [(1, k, list(range(40 * k, 40 * k + 40))) for k in range(4)] + [(2, 7, None), (2, 9, []), (3, 1, [5]), (3, 2, [4]), (3, 4, [5]), (4, 1, [1]), (4, 2, [2])]
+    apart = [(1, 0, 2), (1, 1, 2), (2, 7, 9), (3, 1, 2), (3, 2, 4), (3, 2, 99)]
+    a = spark.createDataFrame(arms, "cell bigint, arm bigint, atoms array<bigint>")
+    found = episodes.best_cliques(a, spark.createDataFrame(apart, "cell bigint, a bigint, b bigint"), "cell")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "bit_count" not in plan and "MapInArrow" in plan
+    assert {tuple(r) for r in found.collect()} == {(1, 0), (1, 2), (2, 7), (2, 9), (3, 1), (3, 2)}
+
+
 def test_pieces_of_large_episodes(spark):
     cells = [(1, 0, t, f, t == 3 and f == 2) for t in range(1, 6) for f in range(5) if (t, f) != (5, 3)] + [(2, 0, t, f, True) for t in (1, 2, 3) for f in range(2)] + [(3, 0, t, f, False) for t in range(4) for f in range(2)]
     overlaps = [(1, 1, 2, 0.5), (1, 2, 3, 0.2), (1, 3, 4, 0.2), (1, 1, 3, 0.1), (1, 2, 3, 0.3), (1, 4, 5, 0.0), (2, 1, 2, 0.9), (3, 0, 1, 0.9)]
