@@ -2,7 +2,10 @@
 
 import datetime
 import random
+from datetime import timedelta
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -104,3 +107,37 @@ def test_stream_query_equals_the_table(spark):
     sf = "/root/testdata/sf0.001"
     found, wanted = (sorted(map(tuple, catalog.queries()[q](spark, sf).select("tid", "frame").collect())) for q in ("t06_static_stream", "w19_static_windows"))
     assert found == wanted and found
+
+
+def test_still_takes_a_call_at_once(monkeypatch):
+    """Two messages to the state and no timer a call (failed before), and plain numbers decide as arrays do."""
+
+    class State:
+        value, calls = None, 0
+
+        def get(self):
+            self.calls += 1
+            return self.value
+
+        def update(self, value):
+            self.calls += 1
+            self.value = value
+
+    rng = np.random.default_rng(5)
+    for window in (2, 5, 6):
+        frames = np.flatnonzero(rng.random(300) < 0.9)
+        box = np.column_stack([rng.normal(50, 0.5, (len(frames), 2)).round(1), rng.integers(0, 6, (len(frames), 2))])
+        box[rng.random(len(frames)) < 0.02, 0] = np.nan
+        rows = pd.DataFrame(dict(zip(("key", "frame", *live.staged.VALUES[:4]), ("k", frames, *box.T)))).assign(ts=pd.Timestamp("2024-01-01"))
+        given = []
+        for few in (0, 32):
+            monkeypatch.setattr(live, "_FEW", few)
+            follower = live.Follower(lambda: live.Still(window, 0.7, 0.3, 0.4), ["key", "frame"], timedelta(minutes=1))  # noqa: B023
+            follower.held, follower.handle = State(), None
+            found = [f for k in range(0, len(rows), 60) for t in follower.handleInputRows(("k",), iter([rows.iloc[k : k + 60].sample(frac=1, random_state=1)]), None) for f in t["frame"]]
+            assert follower.held.calls == 2 * -(-len(rows) // 60)
+            given.append(found)
+        machine = live.Still(window, 0.7, 0.3, 0.4)
+        for f, own in rows.groupby("frame"):
+            machine.step(int(f), own)
+        assert given[0] == given[1] == [f for (f,) in machine.final()] and given[0]

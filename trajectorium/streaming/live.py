@@ -11,6 +11,7 @@ ended. The input has a time column `ts` with a watermark.
 
 from __future__ import annotations
 
+import math
 import pickle
 from collections.abc import Callable, Iterator
 from datetime import timedelta
@@ -25,10 +26,15 @@ from . import staged
 
 EDGES = "video string, frame bigint, parent bigint, child bigint, overlap double"
 STILL = "key string, frame bigint"
+#: Frames that are compared as plain numbers.
+_FEW = 32
 
 
 class Follower(StatefulProcessor):
-    """A machine for each key. machine: step(frame, rows), final() and rest(), the last two giving lists of rows without the key."""
+    """A machine for each key. machine: step(frame, rows), final() and rest(), the last two giving lists of rows without the key.
+
+    One that holds back nothing (`prompt`) needs no timer; one with steps(rows) takes all rows of a call.
+    """
 
     def __init__(self, make: Callable[[], object], columns: list[str], idle: timedelta):
         self.make, self.columns, self.idle = make, columns, int(idle.total_seconds() * 1000)
@@ -38,22 +44,29 @@ class Follower(StatefulProcessor):
         self.held = handle.getValueState("machine", "held binary")
 
     def _table(self, key: tuple, rows: list) -> pd.DataFrame:
-        out = pd.DataFrame(rows, columns=self.columns[1:])
-        out.insert(0, self.columns[0], key[0])
-        return out
+        if not rows:
+            return pd.DataFrame(columns=self.columns)
+        return pd.DataFrame(dict(zip(self.columns, ([key[0]] * len(rows), *zip(*rows)))))
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(rows))
-        machine = pickle.loads(self.held.get()[0]) if self.held.exists() else self.make()
-        for frame, own in pdf.sort_values("frame", kind="stable").groupby("frame", sort=True):
-            machine.step(int(frame), own)
+        parts = list(rows)
+        pdf = parts[0] if len(parts) == 1 else pd.concat(parts)
+        held = self.held.get()
+        machine = pickle.loads(held[0]) if held else self.make()
+        if hasattr(machine, "steps"):
+            machine.steps(pdf)
+        else:
+            for frame, own in pdf.sort_values("frame", kind="stable").groupby("frame", sort=True):
+                machine.step(int(frame), own)
         final = machine.final()
         self.held.update((pickle.dumps(machine),))
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        last = int(pdf["ts"].max().timestamp() * 1000)
-        self.handle.registerTimer(max(last, timerValues.getCurrentWatermarkInMs()) + self.idle)
-        yield self._table(key, final)
+        if not getattr(machine, "prompt", False):
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            last = int(pdf["ts"].max().timestamp() * 1000)
+            self.handle.registerTimer(max(last, timerValues.getCurrentWatermarkInMs()) + self.idle)
+        if final:
+            yield self._table(key, final)
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         """The key has been silent: what it holds is final."""
@@ -111,6 +124,8 @@ def _plain(rows: list[list]) -> list[list]:
 class Still:
     """Rows of one track in windows in which it hardly moves, as static_windows() has them: the last `window` frames are held, and a row comes as soon as a window takes it."""
 
+    prompt = True
+
     def __init__(self, window: int, presence: float, iou: float, displacement: float):
         self.window, self.iou, self.displacement = window, iou, displacement
         self.need = int(np.ceil(presence * window))
@@ -118,26 +133,53 @@ class Still:
         self.given: set[int] = set()
         self.began, self.out = None, []
 
+    def steps(self, rows: pd.DataFrame) -> None:
+        """Of several rows of a frame the first counts."""
+        order = np.argsort(rows["frame"].to_numpy(), kind="stable")
+        for frame, *box in zip(*(rows[c].to_numpy(kind)[order].tolist() for c, kind in (("frame", np.int64), *((c, float) for c in staged.VALUES[:4])))):
+            self._step(frame, tuple(box))
+
     def step(self, frame: int, rows: pd.DataFrame) -> None:
+        self._step(frame, tuple(rows[staged.VALUES[:4]].iloc[0].astype(float).tolist()))
+
+    def _step(self, frame: int, box: tuple) -> None:
         if self.seen and frame <= self.seen[-1][0]:
             return
         if not self.seen or frame - self.seen[-1][0] > max(1, self.window - self.need + 1):
             self.seen, self.given, self.began = [], set(), frame
-        self.seen.append((frame, rows[staged.VALUES[:4]].iloc[0].to_numpy(float)))
+        self.seen.append((frame, box))
         self.seen = [x for x in self.seen if x[0] > frame - self.window]
         self.given = {f for f in self.given if f > frame - self.window}
         if frame - self.began < self.window - 1 or len(self.seen) < self.need:
             return
-        b = np.stack([x for _, x in self.seen])
+        held = [x for _, x in self.seen]
+        still = self._few if len(held) <= _FEW and all(math.isfinite(v) for x in held for v in x) else self._many
+        if still(held):
+            new = [f for f, _ in self.seen if f not in self.given]
+            self.given |= set(new)
+            self.out += [[f] for f in new]
+
+    def _many(self, held: list[tuple]) -> bool:
+        b = np.array(held)
         mid = b[len(b) // 2]
         side = lambda c, s: np.maximum(np.minimum(b[:, c] + b[:, s] / 2, mid[c] + mid[s] / 2) - np.maximum(b[:, c] - b[:, s] / 2, mid[c] - mid[s] / 2), 0.0)
         both = side(0, 2) * side(1, 3)
         union = b[:, 2] * b[:, 3] + mid[2] * mid[3] - both
         shared = np.divide(both, union, out=np.zeros_like(both), where=union != 0)
-        if np.hypot(*np.ptp(b[:, :2], axis=0)) <= self.displacement * np.median(b[:, 2:4].max(1)) and np.median(shared) >= self.iou:
-            new = [f for f, _ in self.seen if f not in self.given]
-            self.given |= set(new)
-            self.out += [[f] for f in new]
+        return bool(np.hypot(*np.ptp(b[:, :2], axis=0)) <= self.displacement * np.median(b[:, 2:4].max(1)) and np.median(shared) >= self.iou)
+
+    def _few(self, held: list[tuple]) -> bool:
+        """The same on plain numbers, which for a short window cost less than arrays."""
+        xs, ys = [x[0] for x in held], [x[1] for x in held]
+        if not np.hypot(max(xs) - min(xs), max(ys) - min(ys)) <= self.displacement * _median([max(x[2], x[3]) for x in held]):
+            return False
+        mx, my, mw, mh = held[len(held) // 2]
+        shared = []
+        for x, y, w, h in held:
+            both = max(min(x + w / 2, mx + mw / 2) - max(x - w / 2, mx - mw / 2), 0.0) * max(min(y + h / 2, my + mh / 2) - max(y - h / 2, my - mh / 2), 0.0)
+            union = w * h + mw * mh - both
+            shared.append(both / union if union else 0.0)
+        return _median(shared) >= self.iou
 
     def final(self) -> list:
         out, self.out = self.out, []
@@ -146,9 +188,16 @@ class Still:
     rest = final
 
 
+def _median(values: list[float]) -> float:
+    values, n = sorted(values), len(values)
+    return (values[(n - 1) // 2] + values[n // 2]) / 2
+
+
 class Links:
     """Overlaps of a frame's boxes with those of the frame before, the only one that is held."""
 
+    prompt = True
+
     def __init__(self):
         self.last, self.ids, self.box, self.out = None, np.zeros(0, np.int64), np.zeros((0, 4)), []
 
