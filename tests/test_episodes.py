@@ -3,10 +3,11 @@
 import hashlib
 import itertools
 
+import duckdb
 import numpy as np
 import pytest
 
-from trajectorium import catalog_stages
+from trajectorium import catalog, catalog_stages
 from trajectorium.operators import episodes, sampling
 from trajectorium.plans import reuse
 from trajectorium.session import fresh_path, ship
@@ -157,3 +158,16 @@ def test_rescues(spark):
     assert [x.decision for x in episodes.prototype_rescue(k).collect()] == ["swap", "abstain", "abstain"]
     one = k.select(episodes.one_sided(k.post11, k.post12, k.post21, k.post22).alias("d"))
     assert [x.d for x in one.collect()] == ["swap", "identity", "abstain"]
+
+
+def test_roster_pieces_of_long_videos_and_touching_boxes(spark, tmp_path):
+    """Failed before: boxes whose overlap rounds to 0 were left out, and frames of two episodes of one number were taken for one."""
+    # 0 and 1 overlap by 4e-15; 40 at frame 0 and 32 at frame 6000 have the same place and episode, but not the same frame
+    seen = [(0, 0, 0, 14.8), (30, 1, 0, 34.8), (60, 2, 0, 300.0), (90, 3, 0, 400.0)] + [(120 + 30 * k, 40 + k, 0, 100.0 * k) for k in range(3)] + [(330 + 30 * k, 32 + k, 6000, 100.0 * k) for k in range(3)]
+    duck = duckdb.connect()
+    duck.execute("CREATE TABLE events (event_id BIGINT, ts TIMESTAMP, user_id BIGINT, event_type VARCHAR, value DOUBLE, props VARCHAR)")
+    for e, user, frame, x in seen:
+        duck.execute("INSERT INTO events SELECT ?, TIMESTAMP '2024-01-01' + to_hours(4 * ?), ?, 'view', ?, '{\"k\": 1}'", [e, frame, user, x])
+    duck.execute(f"COPY events TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    got = sorted(tuple(x) for x in catalog.queries()["c03_roster_pieces"](spark, str(tmp_path)).select("episode", "roster").collect())
+    assert got == [(0, "0,1")] == sorted(duck.execute(catalog.oracle_sql()["c03_roster_pieces"]).fetchall())
