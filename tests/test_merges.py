@@ -1,6 +1,6 @@
 import pytest
 
-from trajectorium.operators import merges
+from trajectorium.operators import graph, merges
 
 NODES = "video string, frame bigint, node bigint, area double, cx double, cy double, length double, normal boolean, edge boolean, roi_edge boolean, unknown boolean"
 
@@ -195,3 +195,12 @@ def test_graph_helpers(spark):
     assert {r["node"]: r["component"] for r in graph.components(links).collect()} == wanted | {60: 60}
     assert {r["node"]: r["chain"] for r in graph.chains(links.where("a <> b")).collect()} == wanted
     assert graph.components(links.limit(0)).count() == graph.chains(links.limit(0)).count() == 0
+
+
+def test_graph_tables_stay_off_the_driver(spark):
+    """Failed before: tables of a few MB in files, many times that in memory, were sent whole through the driver for joins."""
+    links = [(10 * k, 10 * k + 1) for k in range(40)]
+    parts = graph.components(spark.createDataFrame(links, "a bigint, b bigint"))
+    kept = parts.where("component < 200").groupBy("component").count().withColumnRenamed("component", "node")
+    plan = parts.join(kept, "node")._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "SortMergeJoin" in plan
