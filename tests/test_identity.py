@@ -96,3 +96,15 @@ def test_both_overlaps_agree(spark):
     got = matching.shared_areas(a, b)
     assert np.allclose(got, [native[k] for k in range(300)], atol=1e-6) and (got > 0).sum() > 50
     assert np.allclose(got[:20], a[:20, 2] * a[:20, 3])
+
+
+def test_distances_of_close_and_far_vectors():
+    """Failed before: there was no product of matrices, each row met all others by differences. Copies are 0 apart, close pairs keep their digits."""
+    rng = np.random.default_rng(3)
+    u = rng.normal(size=(50, 64)) + 100
+    v = np.concatenate([u[:20], u[20:40] + 1e-9 * rng.normal(size=(20, 64)), rng.normal(size=(60, 64)), np.full((1, 64), 1e200), np.full((1, 64), np.inf)])
+    with np.errstate(over="ignore"):
+        exact = np.sqrt(((u[:, None] - v) ** 2).sum(2))
+    found = identity.distances(u, v)
+    assert (np.diag(found)[:20] == 0).all()
+    assert np.allclose(found, exact, rtol=1e-11, atol=0)

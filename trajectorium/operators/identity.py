@@ -34,8 +34,22 @@ def contact_groups(pairs: DataFrame) -> DataFrame:
     return spread(pairs.select("frame", "a_event_id", "b_event_id"), "frame").groupBy("frame").applyInPandas(run, "frame bigint, event_id bigint, component_id bigint")
 
 
-#: Points of a block of silhouette() at most.
-MOST_BLOCK = 16384
+#: Points of a block of silhouette() at most, and rows of a strip.
+MOST_BLOCK, STRIP = 16384, 64
+#: Part of the squared lengths below which a squared distance is taken from the differences, and how many such pairs at once.
+CLOSE, AT_ONCE = 1e-3, 8192
+
+
+def distances(u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Euclidean distances of all rows of u from all of v, by one product of matrices; those of close pairs, where that would lose digits, by their differences."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        long = (u * u).sum(1)[:, None] + (v * v).sum(1)
+        square = long - 2 * (u @ v.T)
+        i, j = np.nonzero(~((square > CLOSE * long) & (long < 1e300)))
+        for s in range(0, len(i), AT_ONCE):
+            x, y = i[s : s + AT_ONCE], j[s : s + AT_ONCE]
+            square[x, y] = ((u[x] - v[y]) ** 2).sum(1)
+        return np.sqrt(square)
 
 
 def silhouette(points: DataFrame, ident: str, label: str, vector: str, block: int = 2048) -> DataFrame:
@@ -62,7 +76,7 @@ def silhouette(points: DataFrame, ident: str, label: str, vector: str, block: in
         names, which = np.unique(b["l"].to_numpy(), return_inverse=True)
         member = np.zeros((len(b), len(names)))
         member[np.arange(len(b)), which] = 1
-        far = np.concatenate([np.stack([np.sqrt(((v - x) ** 2).sum(1)) for x in u[s : s + 256]]) @ member for s in range(0, len(u), 256)])
+        far = np.concatenate([distances(u[s : s + STRIP], v) @ member for s in range(0, len(u), STRIP)])
         out = []
         for k, m in enumerate(names):
             out.append(pd.DataFrame({"i": a["i"].to_numpy(), "l": a["l"].to_numpy(), "m": m, "d": far[:, k], "n": (which == k).sum() - np.isin(a["i"], b["i"][which == k])}))
